@@ -1,8 +1 @@
 """attestra: document-evidence analytics and training-data preparation as Spark DataFrames."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Python functions travel to the executors by value, so the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
