@@ -1,12 +1,16 @@
 """The queries of this package and their SQL, by name."""
 
-from attestra.llm import mixing, sharding, urls
+from attestra.llm import mixing, pieces, setjoin, sharding, toxicity, urls
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_sharding": sharding.op3_sharding,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
+    "op7_ngram_jaccard": setjoin.op7_ngram_jaccard,
     "op8_mixing": mixing.op8_mixing,
     "op9_url_filter": urls.op9_url_filter,
 }
 ORACLE = {
+    "op7_ngram_jaccard": setjoin.SQL,
     "op9_url_filter": urls.SQL,
 }
