@@ -1,16 +1,21 @@
 """The queries of this package and their SQL, by name."""
 
-from attestra.llm import mixing, pieces, setjoin, sharding, toxicity, urls
+from attestra.llm import ann, chat, fingerprints, mixing, pieces, setjoin, sharding, suffix_tree, toxicity, urls
 
 QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_sharding": sharding.op3_sharding,
     "op4_sentencepiece": pieces.op4_sentencepiece,
+    "op5_ann": ann.op5_ann,
+    "op6_suffix_tree": suffix_tree.op6_suffix_tree,
     "op7_ngram_jaccard": setjoin.op7_ngram_jaccard,
     "op8_mixing": mixing.op8_mixing,
     "op9_url_filter": urls.op9_url_filter,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 ORACLE = {
+    "op1_chat_format": chat.SQL,
     "op7_ngram_jaccard": setjoin.SQL,
     "op9_url_filter": urls.SQL,
 }
