@@ -51,7 +51,8 @@ def title_search(docs: DataFrame, text: str) -> DataFrame:
 def keyset_page(df: DataFrame, order: list[str], after: tuple | None, limit: int) -> DataFrame:
     """The page after a cursor in descending order, with one more row that tells whether another page follows."""
     if after is not None:
-        df = df.where(F.struct(*order) < F.struct(*[F.lit(a) for a in after]))
+        kind = {f.name: f.dataType for f in df.schema.fields}
+        df = df.where(F.struct(*order) < F.struct(*[F.lit(a).cast(kind[c]).alias(c) for c, a in zip(order, after, strict=True)]))
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(limit + 1)
 
 

@@ -110,7 +110,7 @@ def grid_edges(boxes: DataFrame, key: str, position: str, gap: float = 0.5) -> D
     w = Window.partitionBy(key).orderBy(position)
     edges = boxes.select(key, position).distinct().withColumn("new", F.when(F.col(position) - F.lag(position).over(w) <= gap, 0).otherwise(1))
     edges = edges.withColumn("edge", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return edges.groupBy(key, "edge").agg(F.round(F.avg(position), 6).alias("at"), F.count("*").alias("members"))
+    return edges.groupBy(key, "edge").agg(F.round(F.avg(position), 6).alias("place"), F.count("*").alias("members"))
 
 
 def header_rows(cells: DataFrame) -> DataFrame:

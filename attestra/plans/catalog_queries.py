@@ -91,7 +91,7 @@ def distinct_on(spark, sf):
     return ct.distinct_on(rows, "user_id", F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 1).otherwise(2), F.col("event_id"))
 
 
-REPORT = f"""latest AS (SELECT doc_id, max(at) AS latest FROM (SELECT doc_id, created_at AS at FROM versions UNION ALL SELECT doc_id, published_at FROM publications) GROUP BY 1),
+REPORT = f"""latest AS (SELECT doc_id, max(tm) AS latest FROM (SELECT doc_id, created_at AS tm FROM versions UNION ALL SELECT doc_id, published_at FROM publications) GROUP BY 1),
 busy AS (SELECT doc_id, count(*) AS active FROM versions WHERE index_status = 'staging' AND version_id % 3 = 0 GROUP BY 1),
 report AS (SELECT d.doc_id, l.latest, l.latest + INTERVAL 90 DAY AS eligible_after, coalesce(b.active, 0) AS active,
   list_filter([CASE WHEN NOT archived AND NOT revoked THEN 'DOCUMENT_NOT_ARCHIVED' END, CASE WHEN b.active > 0 THEN 'PROTECTED_REFERENCES' END, CASE WHEN l.latest + INTERVAL 90 DAY > {NOW} THEN 'RETENTION_ACTIVE' END], lambda x: x IS NOT NULL) AS blockers
@@ -197,10 +197,10 @@ def debug_summary(spark, sf):
 
 @query("l5_expire_private", f"""
 SELECT event_id AS run_id, gone AS expired, sha256(props) AS text_hash, length(props) AS text_length, CASE WHEN NOT gone THEN props END AS text FROM (
-  SELECT *, event_type IN ('purchase', 'error') AND epoch_ms(ts) % 7 < 4 AS gone FROM events)""")
+  SELECT *, event_type IN ('purchase', 'error') AND event_id % 7 < 4 AS gone FROM events)""")
 def expire_private(spark, sf):
     rows = fx.table(spark, sf, "events").select(
-        F.col("event_id").alias("run_id"), F.col("props").alias("text"), F.col("event_type").isin("purchase", "error").alias("terminal"), F.when(F.unix_millis("ts") % 7 < 4, now).otherwise(now + F.make_dt_interval(F.lit(1))).alias("expires_at"),
+        F.col("event_id").alias("run_id"), F.col("props").alias("text"), F.col("event_type").isin("purchase", "error").alias("terminal"), F.when(F.col("event_id") % 7 < 4, now).otherwise(now + F.make_dt_interval(F.lit(1))).alias("expires_at"),
     )
     return ct.expire_private(rows, now).select("run_id", "expired", "text_hash", "text_length", "text")
 
@@ -225,8 +225,8 @@ def runs(spark, sf):
 
 
 @query("r5_lease_expiry", f"""
-SELECT o_orderkey AS run_id, CASE WHEN k % 7 = 0 THEN 'cancelled' WHEN at + INTERVAL 300 DAY <= {NOW} THEN 'deadline_exceeded' WHEN k % 8 = 0 THEN 'source_revoked' WHEN k % 4 > 0 AND k % 6 >= 3 THEN 'internal_error' ELSE 'resume' END AS outcome
-FROM (SELECT *, o_orderkey AS k, o_orderdate AS at FROM orders) WHERE k % 3 IN (0, 1) AND (k % 5 = 0 OR at <= {NOW} OR (k % 7 <> 0 AND at + INTERVAL 300 DAY <= {NOW}))""")
+SELECT o_orderkey AS run_id, CASE WHEN k % 7 = 0 THEN 'cancelled' WHEN tm + INTERVAL 300 DAY <= {NOW} THEN 'deadline_exceeded' WHEN k % 8 = 0 THEN 'source_revoked' WHEN k % 4 > 0 AND k % 6 >= 3 THEN 'internal_error' ELSE 'resume' END AS outcome
+FROM (SELECT *, o_orderkey AS k, o_orderdate AS tm FROM orders) WHERE k % 3 IN (0, 1) AND (k % 5 = 0 OR tm <= {NOW} OR (k % 7 <> 0 AND tm + INTERVAL 300 DAY <= {NOW}))""")
 def lease_expiry(spark, sf):
     revoked = fx.table(spark, sf, "orders").where("o_orderkey % 8 = 0").select(F.col("o_orderkey").alias("run_id"))
     return ct.lease_expiry(runs(spark, sf), revoked, now)
@@ -293,7 +293,7 @@ def idempotent_commands(spark, sf):
 
 
 @query("w10_stage_duration", """
-SELECT aggregate_id, sequence, greatest(epoch_ms(nt) - epoch_ms(ts), 0) AS millis FROM (SELECT *, lead(event_type) OVER w AS nk, lead(ts) OVER w AS nt FROM log WHERE event_type IN ('view', 'purchase') WINDOW w AS (PARTITION BY aggregate_id ORDER BY sequence)) WHERE event_type = 'view' AND nk = 'purchase'""")
+SELECT aggregate_id, sequence, greatest((epoch_us(nt) - epoch_us(ts)) // 1000, 0) AS millis FROM (SELECT *, lead(event_type) OVER w AS nk, lead(ts) OVER w AS nt FROM log WHERE event_type IN ('view', 'purchase') WINDOW w AS (PARTITION BY aggregate_id ORDER BY sequence)) WHERE event_type = 'view' AND nk = 'purchase'""")
 def stage_duration(spark, sf):
     return ev.stage_duration(fx.log(spark, sf), "view", "purchase")
 

@@ -106,8 +106,8 @@ def chars_in_cells(spark, sf):
 
 
 @query("d8_grid_from_boxes", """
-SELECT key, edge, round(avg(at), 6) AS at, count(*) AS members FROM (SELECT key, at, CAST(sum(fresh) OVER (PARTITION BY key ORDER BY at) - 1 AS BIGINT) AS edge FROM (SELECT key, at, CASE WHEN at - lag(at) OVER (PARTITION BY key ORDER BY at) <= 0.5 THEN 0 ELSE 1 END AS fresh FROM (
-  SELECT DISTINCT l_suppkey AS key, l_quantity + CAST(l_partkey % 3 AS DOUBLE) / 4 AS at FROM lineitem))) GROUP BY 1, 2""")
+SELECT key, edge, round(avg(x), 6) AS place, count(*) AS members FROM (SELECT key, x, CAST(sum(fresh) OVER (PARTITION BY key ORDER BY x) - 1 AS BIGINT) AS edge FROM (SELECT key, x, CASE WHEN x - lag(x) OVER (PARTITION BY key ORDER BY x) <= 0.5 THEN 0 ELSE 1 END AS fresh FROM (
+  SELECT DISTINCT l_suppkey AS key, l_quantity + CAST(l_partkey % 3 AS DOUBLE) / 4 AS x FROM lineitem))) GROUP BY 1, 2""")
 def grid_from_boxes(spark, sf):
     rows = fx.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("key"), (F.col("l_quantity") + (F.col("l_partkey") % 3).cast("double") / 4).alias("x"))
     return lo.grid_edges(rows, "key", "x")
@@ -210,8 +210,10 @@ def tree_paths(spark, sf):
 
 
 @query("d6_tree_validate", """
-SELECT doc_id, node_id, 'missing_parent' AS fault FROM nodes WHERE parent_id IS NOT NULL AND doc_id % 10 = 0 AND parent_id % 100000 > 0 AND parent_id % 100000 % 10 = 5
-UNION ALL SELECT DISTINCT doc_id, NULL, 'several_roots' FROM nodes WHERE doc_id % 10 = 1 AND ordinal = 2""")
+WITH RECURSIVE n AS (SELECT doc_id, node_id, CASE WHEN doc_id % 10 = 1 AND ordinal = 2 THEN NULL ELSE parent_id END AS parent_id FROM nodes WHERE NOT (doc_id % 10 = 0 AND ordinal > 0 AND ordinal % 10 = 5)),
+reached AS (SELECT node_id FROM n WHERE parent_id IS NULL UNION ALL SELECT n.node_id FROM n JOIN reached r ON n.parent_id = r.node_id)
+SELECT doc_id, node_id, CASE WHEN parent_id NOT IN (SELECT node_id FROM n) THEN 'missing_parent' ELSE 'unreachable' END AS fault FROM n WHERE node_id NOT IN (SELECT node_id FROM reached)
+UNION ALL SELECT doc_id, NULL, 'several_roots' FROM n WHERE parent_id IS NULL GROUP BY 1 HAVING count(*) > 1""")
 def tree_validate(spark, sf):
     n = fx.nodes(spark, sf)
     n = n.where("not (doc_id % 10 = 0 and ordinal > 0 and ordinal % 10 = 5)").withColumn("parent_id", F.when((F.col("doc_id") % 10 == 1) & (F.col("ordinal") == 2), F.lit(None)).otherwise(F.col("parent_id")))

@@ -54,7 +54,7 @@ def stage_duration(events: DataFrame, begin: str, end: str) -> DataFrame:
     w = Window.partitionBy("aggregate_id").orderBy("sequence")
     marks = events.where(F.col("event_type").isin(begin, end)).withColumns({"_next": F.lead("event_type").over(w), "_at": F.lead("ts").over(w)})
     pairs = marks.where((F.col("event_type") == begin) & (F.col("_next") == end))
-    return pairs.select("aggregate_id", "sequence", F.greatest(F.unix_millis("_at") - F.unix_millis("ts"), F.lit(0)).alias("millis"))
+    return pairs.select("aggregate_id", "sequence", F.greatest(F.floor((F.unix_micros(F.col("_at").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1000), F.lit(0)).alias("millis"))
 
 
 def stage_metrics(events: DataFrame, width: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
