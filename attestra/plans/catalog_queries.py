@@ -10,7 +10,11 @@ from attestra.plans.book import query
 from attestra.streaming import events as ev
 
 NOW = "TIMESTAMP '1998-06-01 00:00:00'"
-now = F.expr("timestamp'1998-06-01 00:00:00'")
+
+
+def now():
+    return F.expr("timestamp'1998-06-01 00:00:00'")
+
 
 HISTORY = """history AS (SELECT *, lead(published_at) OVER (PARTITION BY doc_id ORDER BY published_at, publication_id) AS retired_at FROM publications)"""
 ELIGIBLE = """eligible AS (SELECT d.doc_id, d.title, h.publication_id, h.version_id FROM catalog d JOIN history h ON h.doc_id = d.doc_id AND h.retired_at IS NULL JOIN versions v ON v.version_id = h.version_id
@@ -101,7 +105,7 @@ report AS (SELECT d.doc_id, l.latest, l.latest + INTERVAL 90 DAY AS eligible_aft
 def report_rows(spark, sf):
     v, p = fx.versions(spark, sf), fx.publications(spark, sf)
     activity = [v.select("doc_id", F.col("created_at").alias("at")), p.select("doc_id", F.col("published_at").alias("at"))]
-    return ct.purge_report(fx.documents(spark, sf), activity, v.where("index_status = 'staging' and version_id % 3 = 0"), 90, now)
+    return ct.purge_report(fx.documents(spark, sf), activity, v.where("index_status = 'staging' and version_id % 3 = 0"), 90, now())
 
 
 @query("a5_purge_report", f"WITH {REPORT} SELECT *, len(blockers) = 0 AS allowed FROM report")
@@ -200,9 +204,9 @@ SELECT event_id AS run_id, gone AS expired, sha256(props) AS text_hash, length(p
   SELECT *, event_type IN ('purchase', 'error') AND event_id % 7 < 4 AS gone FROM events)""")
 def expire_private(spark, sf):
     rows = fx.table(spark, sf, "events").select(
-        F.col("event_id").alias("run_id"), F.col("props").alias("text"), F.col("event_type").isin("purchase", "error").alias("terminal"), F.when(F.col("event_id") % 7 < 4, now).otherwise(now + F.make_dt_interval(F.lit(1))).alias("expires_at"),
+        F.col("event_id").alias("run_id"), F.col("props").alias("text"), F.col("event_type").isin("purchase", "error").alias("terminal"), F.when(F.col("event_id") % 7 < 4, now()).otherwise(now() + F.make_dt_interval(F.lit(1))).alias("expires_at"),
     )
-    return ct.expire_private(rows, now).select("run_id", "expired", "text_hash", "text_length", "text")
+    return ct.expire_private(rows, now()).select("run_id", "expired", "text_hash", "text_length", "text")
 
 
 @query("l9_run_summary", """
@@ -229,7 +233,7 @@ SELECT o_orderkey AS run_id, CASE WHEN k % 7 = 0 THEN 'cancelled' WHEN tm + INTE
 FROM (SELECT *, o_orderkey AS k, o_orderdate AS tm FROM orders) WHERE k % 3 IN (0, 1) AND (k % 5 = 0 OR tm <= {NOW} OR (k % 7 <> 0 AND tm + INTERVAL 300 DAY <= {NOW}))""")
 def lease_expiry(spark, sf):
     revoked = fx.table(spark, sf, "orders").where("o_orderkey % 8 = 0").select(F.col("o_orderkey").alias("run_id"))
-    return ct.lease_expiry(runs(spark, sf), revoked, now)
+    return ct.lease_expiry(runs(spark, sf), revoked, now())
 
 
 @query("r6_retry_schedule", """
@@ -249,7 +253,7 @@ def redispatch(spark, sf):
     o = fx.table(spark, sf, "orders")
     jobs = o.select(k.alias("job_id"), F.when(k % 3 == 0, "queued").when(k % 3 == 1, "retry_wait").otherwise("done").alias("status"), (k % 7 == 0).alias("cancelled"), at.alias("available_at"), F.when(k % 5 != 0, at + F.make_dt_interval(F.lit(10))).alias("lease_until"), F.when(k % 2 != 0, at).alias("last_dispatch_at"))
     box = o.select(k.alias("job_id"), F.when(k % 11 != 0, at).alias("published_at"))
-    return ct.redispatch(jobs, box, now).select("job_id")
+    return ct.redispatch(jobs, box, now()).select("job_id")
 
 
 def outbox(spark, sf):
