@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,3 +222,28 @@ def outbox_route(outbox: DataFrame) -> DataFrame:
     error = F.when(~known, "OUTBOX_INVALID_TOPIC").when(~F.coalesce(fine, F.lit(False)), "OUTBOX_INVALID_PAYLOAD")
     stream = F.when(topic == "ingestion.jobs.v1", F.lit("jobs")).when(topic == "knowledge.events", F.lit("knowledge")).otherwise(F.concat_ws(":", topic, F.col("aggregate_id")))
     return outbox.withColumn("error", error).withColumn("stream", F.when(F.col("error").isNull(), stream))
+
+
+def apply_publications(requests: DataFrame) -> DataFrame:
+    """Outcome of publish requests (doc_id, version_id, operation_id, order, expected) against each document's pointer.
+
+    A request is applied if the current version is the expected one, else it is a conflict; an operation that was
+    applied before is a replay. Each request depends on those before it, so a document is folded in order in one task;
+    documents are spread, and a document's requests are few.
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("order", ignore_index=True)
+        current, done, out = None, set(), []
+        for version, operation, expected in zip(rows["version_id"].tolist(), rows["operation_id"].tolist(), rows["expected"], strict=True):
+            if operation in done:
+                out.append("replay")
+            elif (None if pd.isna(expected) else int(expected)) == current:
+                current = version
+                done.add(operation)
+                out.append("applied")
+            else:
+                out.append("conflict")
+        return pd.DataFrame({"doc_id": rows["doc_id"], "operation_id": rows["operation_id"], "outcome": out, "current": current}).astype({"current": "Int64"})
+
+    return requests.groupBy("doc_id").applyInPandas(fold, "doc_id long, operation_id long, outcome string, current long")

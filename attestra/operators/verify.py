@@ -149,3 +149,28 @@ def contrast_rows(subjects: DataFrame) -> DataFrame:
     w = Window.partitionBy("pack_id").orderBy("row")
     near = subjects.withColumns({"next_row": F.lead("row").over(w), "next_subject": F.lead("subject").over(w)})
     return near.where(word_prefix(F.col("subject"), F.col("next_subject"))).select("pack_id", "row", "next_row")
+
+
+def citation_closure(edges: DataFrame, most: int = 10) -> DataFrame:
+    """(pack_id, trigger, id): everything that a trigger requires, directly or through others (edges pack_id, a, b).
+
+    A round joins the ids reached last with their own requirements; ids reached before are left out, so loops end.
+    """
+    from attestra.plans.staging import staged
+
+    out = front = staged(edges.select("pack_id", F.col("a").alias("trigger"), F.col("b").alias("id")).distinct())
+    for _ in range(most - 1):
+        step = front.join(edges.select("pack_id", F.col("a").alias("id"), F.col("b").alias("_to")), ["pack_id", "id"]).select("pack_id", "trigger", F.col("_to").alias("id")).distinct()
+        front = staged(step.join(out, ["pack_id", "trigger", "id"], "left_anti"))
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
+    return out
+
+
+def artifact_lineage(artifacts: DataFrame, failed: str) -> DataFrame:
+    """Artifacts (artifact_id, run_id, status, parents) with a parent that is missing, of another run, or failed."""
+    rows = artifacts.select("artifact_id", "run_id", F.explode("parents").alias("parent"))
+    up = artifacts.select(F.col("artifact_id").alias("parent"), F.col("run_id").alias("parent_run"), F.col("status").alias("parent_status"))
+    fault = F.when(F.col("parent_run").isNull(), "missing_parent").when(F.col("parent_run") != F.col("run_id"), "other_run").when(F.col("parent_status") == failed, "failed_parent")
+    return rows.join(up, "parent", "left").select("artifact_id", fault.alias("fault")).where("fault is not null")
