@@ -5,8 +5,8 @@ leftmost first among equals, until none is left. With dropout, a candidate merge
 is skipped when its hash, keyed by seed, variant and word, falls below the rate. The words of a document take the
 variants in turn, from an offset that hashes its text, so the same word is cut in up to `variants` ways, and any rerun
 cuts it alike. No merge crosses from a letter to a space, so words are independent and each worker keeps a bounded
-memo of (variant, word). A batch's unseen words are merged together as matrices, a column for each symbol; words over
-LONG characters go through the same agenda one by one. Characters outside the vocabulary, line breaks and literal
+memo of (variant, word). A batch's unseen words are merged together as matrices, a column for each symbol; very long
+words go through the same agenda one by one. Characters outside the vocabulary, line breaks and literal
 U+2581 become byte pieces.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,9 +26,10 @@ from pyspark.sql import DataFrame
 U = np.uint64
 MASK = (1 << 64) - 1
 K = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-LONG = 24
-MEMO = 600_000
-SLICE_CHARS = 1_000_000
+#: Words of up to so many characters are merged together, by length; longer ones alone.
+LENGTHS = (4, 6, 8, 10, 13, 17, 24)
+MEMO = 1_000_000
+SLICE_CHARS = 3_000_000
 WORD = re.compile(r" *[^ \n]+| +|\n")
 SPACE = "▁"
 
@@ -57,21 +59,21 @@ class Vocabulary:
         byte_of = {i: int(model.id_to_piece(i)[3:5], 16) for i in range(n) if model.is_byte(i)}
         self.byte_id = {b: i for i, b in byte_of.items()}
         self.bytes = [bytes([byte_of[i]]) if i in byte_of else b"" if kinds[i] else model.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
-        self.char = np.arange(0x110000, dtype=np.int64) + n  # a character outside the vocabulary: n plus its code
+        self.char = np.arange(0x110000, dtype=np.int32) + n  # a character outside the vocabulary: n plus its code
         for piece, i in self.ids.items():
             if len(piece) == 1 and piece != SPACE:
                 self.char[ord(piece)] = i
         self.char[ord(" ")] = self.ids[SPACE]
-        pairs = {(self.ids[p[:k]] << 32 | self.ids[p[k:]]): i for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids}
-        self.codes = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[c] for c in self.codes.tolist()], np.int64)
-        self.pairs = pairs
+        self.pairs = {self.ids[p[:k]] * n + self.ids[p[k:]]: i for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids}
+        self.codes = np.array(sorted(self.pairs), np.int64)
+        self.merged = np.array([self.pairs[c] for c in self.codes.tolist()], np.int32)
 
     def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ids of the pieces that pairs form, or -1."""
-        code = left << 32 | right
+        n = self.n
+        code = np.where((left >= 0) & (right >= 0) & (left < n) & (right < n), left.astype(np.int64) * n + right, -1)
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where((self.codes[at] == code) & (left >= 0) & (right >= 0), self.merged[at], -1)
+        return np.where(self.codes[at] == code, self.merged[at], -1)
 
     def packed(self, ids: np.ndarray) -> bytes:
         """int32 ids, with characters outside the vocabulary as byte pieces."""
@@ -99,7 +101,7 @@ def agenda(v: Vocabulary, word: str, key: int, below: int) -> bytes:
     start, end, left, right, heap = list(range(n)), list(range(1, n + 1)), list(range(-1, n - 1)), [*range(1, n), -1], []
 
     def offer(i: int, j: int) -> None:
-        if i >= 0 and j >= 0 and (to := v.pairs.get(sym[i] << 32 | sym[j])) is not None:
+        if i >= 0 and j >= 0 and (to := v.pairs.get(sym[i] * v.n + sym[j] if max(sym[i], sym[j]) < v.n else -1)) is not None:
             if mixed(key + start[i] * K[0] + start[j] * K[1] + end[j] * K[2]) >= below:
                 heapq.heappush(heap, (float(v.cost[to]), start[i], end[j], i, j, to))
 
@@ -117,49 +119,73 @@ def agenda(v: Vocabulary, word: str, key: int, below: int) -> bytes:
     return v.packed(np.array([s for s in sym if s >= 0], np.int64))
 
 
+def hashed(key: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """mixed() of candidate merges, by element."""
+    with np.errstate(over="ignore"):
+        h = key + a.astype(U) * U(K[0]) + b.astype(U) * U(K[1]) + c.astype(U) * U(K[2])
+        h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
+        return h ^ (h >> U(31))
+
+
 def together(v: Vocabulary, words: list[str], keys: np.ndarray, below: int) -> list[bytes]:
-    """Words of one length, all at once: each round merges every word's best pair."""
-    count, n = len(words), len(words[0])
-    sym = np.full((count, n + 2), -1, np.int64)
-    sym[:, :n] = v.char[codes_of("".join(words)).reshape(count, n)]
-    edge = np.tile(np.minimum(np.arange(n + 3), n), (count, 1))
+    """Words of similar lengths, all at once: each round merges every word's best pair."""
+    count = len(words)
+    long = np.fromiter(map(len, words), np.int64, count)
+    n = int(long.max())
+    sym = np.full((count, n + 2), -1, np.int32)
+    sym[:, :n][np.arange(n) < long[:, None]] = v.char[codes_of("".join(words))]
+    edge = np.minimum(np.arange(n + 3), long[:, None]).astype(np.uint8)
     out, live = [b""] * count, np.arange(count)
 
     def costs(left, right, a, b, c, key):
         to = v.join(left, right)
-        with np.errstate(over="ignore"):
-            h = key + a.astype(U) * U(K[0]) + b.astype(U) * U(K[1]) + c.astype(U) * U(K[2])
-            h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-            h ^= h >> U(31)
-        return np.where((to >= 0) & (h >= U(below)), v.cost[to], np.float32(np.inf))
+        cost = np.full(to.shape, np.inf, np.float32)
+        some = np.flatnonzero(to.ravel() >= 0)
+        flat = lambda m: np.broadcast_to(m, to.shape).ravel()[some]
+        kept = hashed(flat(key), flat(a), flat(b), flat(c)) >= U(below)
+        cost.ravel()[some[kept]] = v.cost[to.ravel()[some[kept]]]
+        return cost
 
     cost = costs(sym[:, :n], sym[:, 1 : n + 1], edge[:, :n], edge[:, 1 : n + 1], edge[:, 2 : n + 2], keys[:, None])
     place = np.arange(n + 3)
     while len(live):
-        best = cost.argmin(1)
         row = np.arange(len(live))
+        best = cost.argmin(1)
         going = cost[row, best] < np.inf
         if not going.all():
-            for r in np.flatnonzero(~going).tolist():
-                ids = sym[r]
-                out[live[r]] = v.packed(ids[ids >= 0])
+            done = sym[~going]
+            has = done >= 0
+            ends = np.cumsum(has.sum(1))
+            ids = done[has]
+            if len(ids) and ids.max() >= v.n:
+                found = [v.packed(x) for x in np.split(ids, ends[:-1])]
+            else:
+                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                found = [raw[a:b] for a, b in zip(at, at[1:])]
+            for k, x in zip(live[~going].tolist(), found, strict=True):
+                out[k] = x
             live, sym, edge, cost, keys, best = live[going], sym[going], edge[going], cost[going], keys[going], best[going]
+            row = np.arange(len(live))
             if not len(live):
                 break
-            row = np.arange(len(live))
         to = v.join(sym[row, best], sym[row, best + 1])
-        # Symbol, edge and pair at best + 1 (the pair: at best) go, what follows moves up, and the last column stays.
-        later = place[None, :] > best[:, None]
-        take = lambda m, shift: np.take_along_axis(m, np.minimum(place[None, : m.shape[1]] + shift[:, : m.shape[1]], m.shape[1] - 1), 1)
-        sym, edge = take(sym, later), take(edge, later)
-        cost = take(cost, place[None, :] >= best[:, None])
+        # Symbol and edge at best + 1 and the pair at best go, what follows moves up, and the last column stays.
+        m = sym.shape[1]
+        after = np.minimum(place[:m] + (place[:m] > best[:, None]), m - 1)
+        sym = np.take_along_axis(sym, after, 1)
+        m = edge.shape[1]
+        edge = np.take_along_axis(edge, np.minimum(place[:m] + (place[:m] > best[:, None]), m - 1), 1)
+        m = cost.shape[1]
+        cost = np.take_along_axis(cost, np.minimum(place[:m] + (place[:m] >= best[:, None]), m - 1), 1)
         cost[:, -1] = np.inf
         sym[row, best] = to
         for at in (best - 1, best):
-            ok = np.flatnonzero((at >= 0) & (at < cost.shape[1]))
+            ok = np.flatnonzero((at >= 0) & (at < m))
             a = at[ok]
             cost[ok, a] = costs(sym[ok, a], sym[ok, a + 1], edge[ok, a], edge[ok, a + 1], edge[ok, a + 2], keys[ok])
+        if (sym[:, -3:] < 0).all() and m > 2:  # fewer symbols are left: narrower matrices
+            sym, edge, cost = sym[:, :-1], edge[:, :-1], cost[:, :-1]
     return out
 
 
@@ -168,19 +194,23 @@ class Encoder:
         self.v, self.below, self.seed, self.variants = vocabulary(path), int(dropout * 2**64) if dropout < 1 else MASK, seed, variants if dropout > 0 else 1
         self.memo: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
 
-    def learn(self, variant: int, words: set[str]) -> None:
-        by_length: dict[int, list[str]] = {}
-        memo, seed = self.memo[variant], self.seed * 1_000_003 + variant
-        key = lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), seed & MASK)
-        for w in words:
-            if len(w) > LONG:
-                memo[w] = agenda(self.v, w, key(w), self.below)
+    def learn(self, new: list[set[str]]) -> None:
+        """Adds the words of each variant to its memo."""
+        by_length: dict[int, list[tuple[str, int]]] = {}
+        for variant, words in enumerate(new):
+            for w in words:
+                by_length.setdefault(bisect_left(LENGTHS, len(w)), []).append((w, variant))
+        key = lambda x: xxhash.xxh3_64_intdigest(x[0].encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + x[1] & MASK)
+        for size, own in by_length.items():
+            if size == len(LENGTHS):
+                cut = [agenda(self.v, w, key((w, k)), self.below) for w, k in own]
             else:
-                by_length.setdefault(len(w), []).append(w)
-        for own in by_length.values():
-            for at in range(0, len(own), 20_000):
-                some = own[at : at + 20_000]
-                memo.update(zip(some, together(self.v, some, np.fromiter(map(key, some), U, len(some)), self.below), strict=True))
+                cut = []
+                for at in range(0, len(own), 20_000):
+                    some = own[at : at + 20_000]
+                    cut += together(self.v, [w for w, _ in some], np.fromiter(map(key, some), U, len(some)), self.below)
+            for (w, k), x in zip(own, cut, strict=True):
+                self.memo[k][w] = x
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -189,11 +219,11 @@ class Encoder:
             self.memo = [{} for _ in range(n)]
         cut = [WORD.findall(" " + t) if t else [] for t in texts]
         first = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"), self.seed & MASK) % n for t in texts]
-        for r in range(n):
-            new: set[str] = set()
-            for words, f in zip(cut, first, strict=True):
-                new.update(words[(r - f) % n :: n])
-            self.learn(r, new - self.memo[r].keys())
+        new: list[set[str]] = [set() for _ in range(n)]
+        for words, f in zip(cut, first, strict=True):
+            for r in range(n):
+                new[r].update(words[(r - f) % n :: n])
+        self.learn([words - memo.keys() for words, memo in zip(new, self.memo, strict=True)])
         out = []
         for words, f in zip(cut, first, strict=True):
             got: list = [None] * len(words)
