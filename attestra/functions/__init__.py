@@ -1 +1 @@
-"""attestra.functions"""
+"""Column expressions: text rules, numbers, identity."""

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.hashing import canonical_json, sha256, uuid5
+from attestra.operators.intervals import islands, overlap_join
+from attestra.plans.staging import staged
 
 
 def pack_evidence(candidates: DataFrame, most_units: int = 72, most_tokens: int = 5000) -> DataFrame:
@@ -56,8 +58,6 @@ def coalesce_units(fragments: DataFrame) -> DataFrame:
     """Fragments (owner, start, end, text, chunk_id) of one owner stitched where they overlap or touch, with their chunks.
 
     The text that two fragments share must agree; `agrees` is false where it does not."""
-    from attestra.operators.intervals import islands
-
     rows = islands(fragments, ["owner"])
     whole = rows.groupBy("owner", "island").agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("fs"), F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"), F.min("start").alias("start"), F.max("end").alias("end"))
     at = lambda acc, f: acc["start"] + F.char_length(acc["text"])
@@ -70,3 +70,38 @@ def coalesce_units(fragments: DataFrame) -> DataFrame:
         return F.struct(acc["start"].alias("start"), F.concat(acc["text"], more).alias("text"), (acc["agrees"] & (before == F.substr(f["text"], F.lit(1), shared))).alias("agrees"))
 
     return whole.select("owner", "start", "end", "chunk_ids", F.aggregate("fs", zero, stitch).alias("s")).select("owner", "start", "end", "chunk_ids", "s.text", "s.agrees")
+
+
+def anchor_closure(seeds: DataFrame, spans: DataFrame, refs: DataFrame, depth: int = 8) -> DataFrame:
+    """(node_id, round): seeds and, round by round, the nodes whose spans hold what found nodes refer to.
+
+    spans: node_id, block_key, start, end. refs: node_id, block_key, start_b, end_b. Nodes seen before are left out of
+    a round, so loops end; each round is one interval join, and its result is staged.
+    """
+    out = front = staged(seeds.select("node_id", F.lit(0).alias("round")).distinct())
+    for k in range(1, depth + 1):
+        asked = refs.join(front.select("node_id"), "node_id", "left_semi").select("block_key", "start_b", "end_b").distinct()
+        hit = overlap_join(spans.select("block_key", "start", "end", "node_id"), asked, ["block_key"]).select("node_id").distinct()
+        front = staged(hit.join(out.select("node_id"), "node_id", "left_anti").withColumn("round", F.lit(k)))
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
+    return out
+
+
+def reference_ranges(anchors: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """How much of each source anchor (keys, start, end) segments cover; less than all is unresolved context."""
+    hit = overlap_join(anchors, segments, keys)
+    part = hit.groupBy(*keys, "start", "end").agg(F.sum(F.least("end", "end_b") - F.greatest("start", "start_b")).alias("covered"))
+    return anchors.join(part, [*keys, "start", "end"], "left").select(*keys, "start", "end", F.coalesce("covered", F.lit(0)).alias("covered"))
+
+
+def expand_hits(hits: DataFrame, nodes: DataFrame, above: DataFrame, notes: tuple[str, ...]) -> DataFrame:
+    """(hit_id, node_id, relation): the hit itself, its scopes (above: hit_id, node_id, distance) and its siblings of the
+    kinds `notes`; a node that comes in several ways keeps the first of these."""
+    scope = above.select("hit_id", "node_id", F.when(F.col("distance") == 0, 0).otherwise(1).alias("rank"))
+    family = nodes.join(hits, "node_id", "left_semi").select(F.col("node_id").alias("hit_id"), "parent_id")
+    side = nodes.where(F.col("kind").isin(*notes)).select("node_id", "parent_id").join(family, "parent_id").select("hit_id", "node_id", F.lit(2).alias("rank"))
+    first = scope.unionByName(side).groupBy("hit_id", "node_id").agg(F.min("rank").alias("rank"))
+    names = F.array(*[F.lit(n) for n in ("hit", "scope", "note")])
+    return first.select("hit_id", "node_id", F.element_at(names, F.col("rank") + 1).alias("relation"))

@@ -180,3 +180,9 @@ def lifted(chars: DataFrame) -> DataFrame:
     peers = chars.groupBy("line_id").agg(F.percentile("y1", 0.5).alias("bottom"), F.percentile(F.col("y1") - F.col("y0"), 0.5).alias("height"), F.percentile("size", 0.5).alias("usual"))
     rise = F.col("bottom") - F.col("y1")
     return chars.join(peers, "line_id").withColumn("superscript", (rise >= F.greatest(0.22 * F.col("height"), F.lit(1.0))) & (F.col("size") <= 0.88 * F.col("usual"))).drop("bottom", "height", "usual")
+
+
+def recheck_columns(flagged: DataFrame, blocks: DataFrame, owned: DataFrame) -> DataFrame:
+    """Pages flagged for two columns that still have them without the blocks that tables own."""
+    free = blocks.join(owned.select("block_id").distinct(), "block_id", "left_anti")
+    return flagged.join(two_column_pages(column_pairs(free)).select("doc_id", "page"), ["doc_id", "page"], "left_semi")

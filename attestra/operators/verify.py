@@ -174,3 +174,38 @@ def artifact_lineage(artifacts: DataFrame, failed: str) -> DataFrame:
     up = artifacts.select(F.col("artifact_id").alias("parent"), F.col("run_id").alias("parent_run"), F.col("status").alias("parent_status"))
     fault = F.when(F.col("parent_run").isNull(), "missing_parent").when(F.col("parent_run") != F.col("run_id"), "other_run").when(F.col("parent_status") == failed, "failed_parent")
     return rows.join(up, "parent", "left").select("artifact_id", fault.alias("fault")).where("fault is not null")
+
+
+def variant_groups(options: DataFrame) -> DataFrame:
+    """Per table (table_id, subject), base subjects with those whose words contain the base's as a run.
+
+    Candidates share the base's first word: each subject is listed under every one of its words, so the join is on
+    (table, word), not on all pairs. Subjects of one word are no base; a base inside another base's group is left out.
+    """
+    words = F.array_remove(F.split(F.lower("subject"), r"(?U)\W+"), "")
+    rows = options.select("table_id", "subject", words.alias("w")).where(F.size("w") >= 2)
+    base = rows.select("table_id", F.col("subject").alias("base"), F.col("w").alias("bw"), F.col("w")[0].alias("word"))
+    listed = rows.select("table_id", "subject", "w", F.explode(F.array_distinct("w")).alias("word"))
+    run = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    hit = base.join(listed, ["table_id", "word"]).where((F.size("w") > F.size("bw")) & F.contains(run("w"), run("bw")))
+    inner = hit.select("table_id", F.col("subject").alias("base")).distinct()
+    return hit.join(inner, ["table_id", "base"], "left_anti").groupBy("table_id", "base").agg(F.array_sort(F.collect_set("subject")).alias("refined"))
+
+
+def missing_variants(claims: DataFrame, options: DataFrame) -> DataFrame:
+    """Claims that touch a table row (the row of their number) without citing its complete set, with what is missing."""
+    need = options.select("pack_id", F.col("row").alias("claim_id"), "complete")
+    rows = claims.join(need, ["pack_id", "claim_id"]).withColumn("missing", F.array_sort(F.array_except("complete", "evidence_ids")))
+    return rows.where(F.size("missing") > 0).select("pack_id", "claim_id", "missing")
+
+
+def refusal_check(results: DataFrame, artifacts: DataFrame, packs: DataFrame) -> DataFrame:
+    """Per refused run (run_id, code), whether an artifact (role, outcome) or the missing pack proves the code: the
+    router for out of scope, no evidence for not found, a refusing critic for verification, a failed model for schema."""
+    has = lambda role, outcome: F.coalesce(F.bool_or((F.col("role") == role) & (F.col("outcome") == outcome)), F.lit(False))
+    flags = artifacts.groupBy("run_id").agg(has("router", "out_of_scope").alias("router"), has("critic", "refuse").alias("critic"), has("drafter", "failed").alias("model"))
+    found = packs.where("units > 0").select("run_id").distinct().withColumn("evidence", F.lit(True))
+    rows = results.join(flags, "run_id", "left").join(found, "run_id", "left")
+    c = lambda n: F.coalesce(n, F.lit(False))
+    proven = F.when(F.col("code") == "OUT_OF_SCOPE", c("router")).when(F.col("code") == "EVIDENCE_NOT_FOUND", ~c("evidence")).when(F.col("code") == "VERIFICATION_FAILED", c("critic")).when(F.col("code") == "OUTPUT_SCHEMA_INVALID", c("model")).otherwise(F.lit(False))
+    return rows.select("run_id", proven.alias("proven"))

@@ -171,3 +171,78 @@ def apply_publications(spark, sf):
     v = fx.versions(spark, sf)
     w = Window.partitionBy("doc_id").orderBy("created_at", "version_id")
     return ct.apply_publications(v.select("doc_id", "version_id", F.col("version_id").alias("operation_id"), F.row_number().over(w).alias("order"), F.when(F.col("version_id") % 6 == 0, F.lit(-1)).otherwise(F.lag("version_id").over(w)).alias("expected")))
+
+
+@query("d28_recheck_columns")
+def recheck_columns(spark, sf):
+    from attestra.operators import layout as lo
+    from attestra.plans.structure_queries import columns
+
+    b = columns(spark, sf)
+    owned = b.where("line % 3 = 0").select("block_id")
+    flagged = lo.two_column_pages(lo.column_pairs(b)).select("doc_id", "page")
+    return lo.recheck_columns(flagged, b, owned)
+
+
+@query("e2_anchor_closure")
+def anchor_closure(spark, sf):
+    from attestra.operators import evidence as evd
+
+    n = fx.nodes(spark, sf).where("ordinal > 0")
+    spans = n.select("node_id", F.col("doc_id").alias("block_key"), F.col("ordinal").alias("start"), (F.col("ordinal") + 1).alias("end"))
+    refs = n.where("ordinal % 4 = 0").select("node_id", F.col("doc_id").alias("block_key"), (F.col("ordinal") / 2).cast("long").alias("start_b"), (F.col("ordinal") / 2 + 1).cast("long").alias("end_b"))
+    return evd.anchor_closure(n.where("ordinal % 12 = 0").select("node_id"), spans, refs)
+
+
+@query("e5_reference_ranges", """
+SELECT a.block_id, a.start, a."end", coalesce(sum(greatest(0, least(a."end", b."end") - greatest(a.start, b.start))), 0) AS covered FROM (SELECT block_id, n // 4 AS start, n AS "end" FROM spans WHERE part = 1 AND n // 4 < n) a
+LEFT JOIN spans b ON b.block_id = a.block_id AND b.part = 2 AND a.start < b."end" AND b.start < a."end" GROUP BY 1, 2, 3""")
+def reference_ranges(spark, sf):
+    from attestra.operators import evidence as evd
+
+    s = fx.spans(spark, sf)
+    anchors = s.where("part = 1").select("block_id", F.floor(F.col("n") / 4).alias("start"), F.col("n").alias("end")).where("start < end")
+    segments = s.where("part = 2").select("block_id", F.col("start").alias("start_b"), F.col("end").alias("end_b"))
+    return evd.reference_ranges(anchors, segments, ["block_id"])
+
+
+@query("e3_expand_hits", """
+WITH RECURSIVE hits AS (SELECT node_id FROM nodes WHERE ordinal % 9 = 4), up AS (SELECT node_id AS hit_id, node_id, 0 AS k FROM hits UNION ALL SELECT u.hit_id, n.parent_id, k + 1 FROM up u JOIN nodes n ON n.node_id = u.node_id WHERE n.parent_id IS NOT NULL)
+SELECT hit_id, node_id, min_by(relation, rank) AS relation FROM (SELECT hit_id, node_id, CASE WHEN k = 0 THEN 'hit' ELSE 'scope' END AS relation, CASE WHEN k = 0 THEN 0 ELSE 1 END AS rank FROM up
+  UNION ALL SELECT h.node_id, c.node_id, 'note', 2 FROM hits h JOIN nodes p ON p.node_id = h.node_id JOIN nodes c ON c.parent_id = p.parent_id WHERE c.kind = 'paragraph') GROUP BY 1, 2""")
+def expand_hits(spark, sf):
+    from attestra.operators import evidence as evd
+
+    n = fx.nodes(spark, sf)
+    return evd.expand_hits(n.where("ordinal % 9 = 4").select("node_id"), n, tr.ancestry(n, n.where("ordinal % 9 = 4").select("node_id")), ("paragraph",))
+
+
+@query("v6_variant_groups", """
+SELECT a.table_id, a.subject AS base, list_sort(list(DISTINCT b.subject)) AS refined FROM (SELECT DISTINCT l_orderkey % 500 AS table_id, 'limit ' || l_returnflag AS subject FROM lineitem) a
+JOIN (SELECT DISTINCT l_orderkey % 500 AS table_id, 'upper limit ' || l_returnflag || ' line ' || l_linenumber AS subject FROM lineitem) b ON a.table_id = b.table_id AND contains(' ' || lower(b.subject) || ' ', ' ' || lower(a.subject) || ' ') GROUP BY 1, 2""")
+def variant_groups(spark, sf):
+    rows = fx.table(spark, sf, "lineitem")
+    k = (F.col("l_orderkey") % 500).alias("table_id")
+    options = rows.select(k, F.concat(F.lit("limit "), "l_returnflag").alias("subject")).unionByName(rows.select(k, F.concat(F.lit("upper limit "), "l_returnflag", F.lit(" line "), F.col("l_linenumber").cast("string")).alias("subject"))).distinct()
+    return vf.variant_groups(options)
+
+
+@query("v8_missing_variants", """
+SELECT c.pack_id, c.claim_id, list_sort(list_filter([c.claim_id || '-0', c.claim_id || '-1', c.claim_id || '-2', c.claim_id || '-3'], lambda x: NOT list_contains(c.evidence_ids, x))) AS missing FROM claims c JOIN orders o ON o.o_orderkey = c.pack_id WHERE o.o_orderkey % 2 = 0""")
+def missing_variants(spark, sf):
+    options = vf.row_options(fx.units(spark, sf))
+    asked = fx.table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("pack_id"))
+    return vf.missing_variants(fx.claims(spark, sf).join(asked, "pack_id", "left_semi"), options)
+
+
+@query("v16_refusal_check", """
+SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 3 = 0 WHEN o_orderkey % 4 = 1 THEN o_orderkey % 5 = 0 WHEN o_orderkey % 4 = 2 THEN o_orderkey % 7 <> 0 ELSE o_orderkey % 8 = 3 END AS proven FROM orders""")
+def refusal_check(spark, sf):
+    k = F.col("o_orderkey")
+    o = fx.table(spark, sf, "orders")
+    results = o.select(k.alias("run_id"), F.element_at(F.array(*[F.lit(c) for c in ("OUT_OF_SCOPE", "EVIDENCE_NOT_FOUND", "VERIFICATION_FAILED", "OUTPUT_SCHEMA_INVALID")]), (k % 4 + 1).cast("int")).alias("code"))
+    artifacts = o.select(k.alias("run_id"), F.lit("router").alias("role"), F.when(k % 3 == 0, "out_of_scope").otherwise("answer").alias("outcome")).unionByName(
+        o.where(k % 7 != 0).select(k.alias("run_id"), F.lit("critic").alias("role"), F.lit("refuse").alias("outcome"))
+    ).unionByName(o.where(k % 8 == 3).select(k.alias("run_id"), F.lit("drafter").alias("role"), F.lit("failed").alias("outcome")))
+    packs = o.where(k % 5 != 0).select(k.alias("run_id"), F.lit(3).alias("units"))
+    return vf.refusal_check(results, artifacts, packs)

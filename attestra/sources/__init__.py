@@ -1 +1 @@
-"""attestra.sources"""
+"""Reading originals and artifacts, and writing index batches."""

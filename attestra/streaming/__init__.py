@@ -1 +1 @@
-"""attestra.streaming"""
+"""Event logs in batch and as streams."""
