@@ -24,6 +24,8 @@ from attestra.plans.staging import staged
 #: At most so many labelled rows, those of least hashed id, are looked at for mining and for training the classifier.
 SAMPLE = 20_000
 MINED = 48
+SUPPORT = 0.02
+STEMS = (4, 5)
 MINED_VOTERS = 4
 #: A known label counts as one more voter that is right so often.
 LABEL_ACCURACY = 0.95
@@ -46,17 +48,25 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def scan(texts: Iterator, terms: list[str]) -> Iterator[tuple]:
-    """terms, counts, bangs, shouts and words of each text; a term counts where no letter or digit touches it."""
-    machine = ahocorasick.Automaton()
+    """terms, counts, bangs, shouts and words of each text.
+
+    A term counts where no letter or digit touches it; one that ends in * may go on at its right.
+    """
+    machine, of = ahocorasick.Automaton(), {}
     for k, t in enumerate(terms):
-        machine.add_word(t, (k, len(t)))
+        of.setdefault(t.rstrip("*"), []).append((k, t.endswith("*")))
+    for t, own in of.items():
+        machine.add_word(t, (len(t), own))
     machine.make_automaton()
     for text in texts:
         text, found = text or "", {}
         low = text.lower()
-        for end, (k, n) in machine.iter(low):
-            if (end - n < 0 or not low[end - n].isalnum()) and (end + 1 == len(low) or not low[end + 1].isalnum()):
-                found[k] = found.get(k, 0) + 1
+        for end, (n, own) in machine.iter(low):
+            if end - n < 0 or not low[end - n].isalnum():
+                closed = end + 1 == len(low) or not low[end + 1].isalnum()
+                for k, stem in own:
+                    if closed or stem:
+                        found[k] = found.get(k, 0) + 1
         keys = sorted(found)
         yield keys, [found[k] for k in keys], text.count("!!"), len(SHOUT.findall(text)), text.count(" ") + text.count("\n") + 1
 
@@ -146,17 +156,28 @@ def known_labels(labels: DataFrame, folds: int = FOLDS) -> DataFrame:
     return one.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
 
 
+def _stems(n: int) -> Column:
+    return F.transform(F.filter("words", lambda w: F.length(w) > n), lambda w: F.concat(F.left(w, F.lit(n)), F.lit("*")))
+
+
 def mine(docs: DataFrame, known: DataFrame) -> list[str]:
-    """Words far likelier in toxic than in clean labelled texts, best first; each in 5 % of the toxic ones at least."""
+    """Words and stems (written stem*) far likelier in toxic than in clean labelled texts, best first; each in a share
+    SUPPORT of the toxic ones at least. Stems find inflected and compound words of languages without a lexicon."""
     rows = docs.join(F.broadcast(known), docs["doc_id"] == known["_id"]).select("known", F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")).alias("words"))
     bad, n = (rows.agg(F.coalesce(F.sum("known"), F.lit(0)), F.count("*")).first())
     if not 0 < bad < n:
         return []
-    by_word = rows.select("known", F.explode("words").alias("word")).groupBy("word").agg(F.sum("known").alias("bad"), F.count("*").alias("n"))
+    terms = F.array_distinct(F.concat("words", *[_stems(n) for n in STEMS]))
+    by_word = rows.select("known", F.explode(terms).alias("word")).groupBy("word").agg(F.sum("known").alias("bad"), F.count("*").alias("n"))
     ratio = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n - bad + 1))
     z = ratio / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("n") - F.col("bad") + 0.5))
-    strong = by_word.where((F.length("word") > 2) & (F.col("bad") >= max(3, 0.05 * bad)) & (ratio > 2)).orderBy(z.desc(), "word").limit(MINED)
-    return [r.word for r in strong.collect()]
+    strong = by_word.where((F.length("word") > 2) & (F.col("bad") >= F.greatest(F.lit(3), F.lit(SUPPORT * bad))) & (ratio > 2)).orderBy(z.desc(), F.length("word").desc(), "word").limit(100 * MINED)
+    chosen: list[str] = []
+    for r in strong.collect():  # one of each family of a word and its stems
+        own = r.word.rstrip("*")
+        if not any(own.startswith(c.rstrip("*")) or c.startswith(own) for c in chosen):
+            chosen.append(r.word)
+    return chosen[:MINED]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:

@@ -33,6 +33,15 @@ def test_finds_mined_and_listed_words_on_rows_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
 
 
+def test_mines_stems_of_inflected_words(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join([rng.choice(WORDS) for _ in range(30)] + (["Grumpf" + rng.choice("abcdefghijklmnop") + rng.choice("xyz") for _ in range(2)] if i % 6 == 0 else []))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(400)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert all(r.predicted == int(r.doc_id % 6 == 0) for r in got)
+
+
 def test_labels_of_held_out_rows_change_nothing(spark):
     docs, labels = corpus(300)
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
