@@ -29,14 +29,14 @@ def add_fingerprint(df: DataFrame, text: str, name: str, width: int = WIDTH) ->
     looks it up instead of computing it again for each element.
     """
     own = lambda x: f"_{name}_{x}"
+    hexes = F.array(*[F.lit(f"{k:0{BITS // 4}X}") for k in range(1 << BITS)])
     trimmed = F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(SPACES))
-    df = df.withColumn(own("words"), F.split(trimmed, r"[\x20\x09-\x0D]+"))
+    df = df.withColumn(own("some"), trimmed != "").withColumn(own("words"), F.transform(F.split(trimmed, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w)))
     words = F.col(own("words"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(1)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, width)))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - width, F.lit(0)))
+    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))  # past the end: null, which adds nothing
     entries = F.transform(hashes, lambda h: F.shiftleft(h.bitwiseAND(BINS - 1), 48) + F.shiftrightunsigned(h, 16))
-    some = (F.size(words) > 1) | (words[0] != "")
-    df = df.withColumn(own("sorted"), F.when(some, F.sort_array(entries)).otherwise(F.array().cast("array<long>"))).drop(own("words"))
+    df = df.withColumn(own("sorted"), F.when(F.col(own("some")), F.sort_array(entries)).otherwise(F.array().cast("array<long>"))).drop(own("words"), own("some"))
     order = F.col(own("sorted"))
     bin_of = lambda e: F.shiftright(e, 48)
     df = df.withColumn(own("least"), F.filter(order, lambda e, i: (i == 0) | (bin_of(e) != bin_of(F.get(order, i - 1))))).drop(own("sorted"))
@@ -45,7 +45,7 @@ def add_fingerprint(df: DataFrame, text: str, name: str, width: int = WIDTH) ->
     empty = F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long")), F.transform(least, bin_of))
     lent = lambda b: F.array_min(F.transform(least, lambda e: F.shiftleft(F.shiftrightunsigned(F.xxhash64(b, bin_of(e)), 24), BITS) + code(e)))
     filled = F.when(F.size(least) == BINS, least).otherwise(F.sort_array(F.concat(least, F.transform(empty, lambda b: F.shiftleft(b, 48) + code(lent(b))))))
-    packed = F.array_join(F.transform(filled, lambda e: F.lpad(F.hex(code(e)), BITS // 4, "0")), "")
+    packed = F.array_join(F.transform(filled, lambda e: F.get(hexes, code(e).cast("int"))), "")
     return df.withColumn(name, F.when(F.size(least) > 0, packed).otherwise(F.lit(""))).drop(own("least"))
 
 
