@@ -8,9 +8,10 @@ too). A cost model picks, by band, how many segments of which kind; where all ar
 set leaves out that many of its smallest segments, which are the ones that unrelated texts share.
 
 Equal sets are one node. Nodes that share a key are candidates and candidates are verified on their whole sets.
-Per key the node with most shared keys is the pivot: every other node is verified against it, components are drawn,
-and then exactly those pairs of a key are verified that still lie in different components. No link is lost, as any
-linked pair shares a key and is verified or already connected, and a group of n near copies costs about n pairs.
+Per key the node with most shared keys is the pivot: every other node is verified against it and components are drawn.
+A link that is then still missing joins two nodes of one pivot in different components; those are found by what the
+nodes differ by from their pivot (see `apart`) and verified too. No link is lost, as any linked pair shares a key and
+so a pivot, and a group of n near copies costs about n pairs.
 """
 
 from __future__ import annotations
@@ -199,6 +200,56 @@ def linked(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(_verify(p, q), "a long, b long")
 
 
+def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For pivots a and nodes b: the items that only one of the two has."""
+    for b in batches:
+        sets = [(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)) for x, y in zip(b["x"], b["y"], strict=True)]
+        delta = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in sets]
+        for k in range(0, len(sets), 200):
+            d, some = delta[k : k + 200], sets[k : k + 200]
+            ends = np.concatenate([[0], np.cumsum([len(v) for v in d])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(d)))
+            sizes = [pa.array([len(v[j]) for v in some], pa.int64()) for j in (0, 1)]
+            roots = [b[c].slice(k, len(d)) for c in ("a", "b", "root_a", "root_b")]
+            yield pa.RecordBatch.from_arrays([*roots, *sizes, lists], ["a", "b", "root_a", "root_b", "n_a", "n_b", "delta"])
+
+
+def apart(stars: DataFrame, sets: DataFrame, roots: DataFrame, p: int, q: int) -> DataFrame:
+    """Candidates among the nodes of a pivot that lie in different components: pairs a and b, without the pivot's own.
+
+    With A and B what two nodes differ by from the pivot, they differ from each other by |A| + |B| - 2 |A & B|, so a
+    link of nodes in different components needs a common item of A and B, and the more, the farther they are. That
+    is a join of small sets with prefix filtering: rarest items of a pivot first, a node lists as many as it must for
+    any partner. A node outside the pivot's component lists at most D + 1 items; one inside needs to share more than
+    half of its own with a node outside, so it lists less than half, mostly items that nobody else has. Positions in the
+    lists bound what two nodes can still share.
+    """
+    place = lambda node, root: roots.select(F.col("node").alias(node), F.col("root").alias(root))
+    rows = stars.join(place("a", "root_a"), "a", "left").join(place("b", "root_b"), "b", "left")
+    rows = rows.withColumns({"root_a": F.coalesce("root_a", "a"), "root_b": F.coalesce("root_b", "b")})
+    rows = staged(rows.join(rows.where("root_a <> root_b").select("a").distinct(), "a", "left_semi"))
+    left, right = (sets.select(F.col("node").alias(n), F.col("items").alias(i)) for n, i in (("a", "x"), ("b", "y")))
+    kept = "a long, b long, root_a long, root_b long, n_a long, n_b long, delta array<long>"
+    delta = rows.join(left, "a").join(right, "b").mapInArrow(_deltas, kept)
+
+    d, n = F.size("delta"), F.col("n_b")
+    most = F.floor((n + F.floor(n * q / p)) * (q - p) / (q + p))  # differences allowed to any partner of the node
+    nearest = F.floor((F.ceil(n * p / q) + F.col("n_a")) * (q - p) / (q + p)) + 1  # of a node outside to the pivot, at least
+    inside = d - F.ceil((nearest + d - most) / 2) + 1
+    length = F.when(F.col("root_a") == F.col("root_b"), inside).otherwise(F.least(d, most + 1))
+    items = staged(delta.withColumns({"length": length, "d": d}).where("length > 0").select("a", "b", "root_b", "length", "d", n.alias("n"), F.explode("delta").alias("item")))
+    often = items.groupBy("a", "item").agg(F.count("*").alias("often"))
+    first = F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "item"))
+    listed = items.join(often, ["a", "item"]).withColumn("place", first).where("place <= length and often > 1")
+    listed = staged(listed.select("a", "item", F.col("b").alias("node"), F.col("root_b").alias("root"), "n", "d", (F.col("d") - F.col("place") + 1).alias("left")))
+    other = listed.select("a", "item", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "n", "d", "left")])
+    # At their first common item, what is left of either must hold all that the two have to share.
+    shared = F.ceil((F.col("d") + F.col("other_d") - F.floor((F.col("n") + F.col("other_n")) * (q - p) / (q + p))) / 2)
+    near = (F.col("node") < F.col("other_node")) & (F.col("root") != F.col("other_root")) & (shared <= F.least("left", "other_left"))
+    pairs = listed.join(other.withColumnsRenamed({"a": "_a", "item": "_item"}), (F.col("a") == F.col("_a")) & (F.col("item") == F.col("_item")) & near)
+    return pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
+
+
 def near_groups(df: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `df`: doc_id, n_shingles, component_id, node (equal for equal sets) and h (hash of the text).
 
@@ -221,18 +272,12 @@ def near_groups(df: DataFrame, width: int = 5, similarity: tuple[int, int] = (80
     sets = staged(sets.dropDuplicates(["node"]))
 
     pivot = shared.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"))
-    pair = (F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    stars = staged(shared.join(pivot, "key").where("node <> pivot").select(*pair).distinct())
+    stars = staged(shared.join(pivot, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     edges = staged(linked(stars, sets, p, q))
     roots = staged(components(edges))
 
-    # What the stars left apart: pairs of a key in different components.
-    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    placed = staged(placed.join(apart, "key"))
-    other = placed.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    rest = placed.withColumnRenamed("node", "a").join(other, "key").where("a < b and root <> root_b").select("a", "b").distinct()
-    more = staged(linked(rest.join(stars, ["a", "b"], "left_anti"), sets, p, q))
+    rest = apart(stars, sets, roots, p, q)
+    more = staged(linked(rest, sets, p, q))
     if not more.isEmpty():
         roots = staged(components(edges.unionByName(more)))
 
