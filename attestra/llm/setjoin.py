@@ -214,6 +214,13 @@ def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*roots, *sizes, lists], ["a", "b", "root_a", "root_b", "n_a", "n_b", "delta"])
 
 
+def with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """`pairs` (a, b) with root_a and root_b; a node without links is its own root."""
+    place = lambda node, root: roots.select(F.col("node").alias(node), F.col("root").alias(root))
+    rows = pairs.join(place("a", "root_a"), "a", "left").join(place("b", "root_b"), "b", "left")
+    return rows.withColumns({"root_a": F.coalesce("root_a", "a"), "root_b": F.coalesce("root_b", "b")})
+
+
 def apart(stars: DataFrame, sets: DataFrame, roots: DataFrame, p: int, q: int) -> DataFrame:
     """Candidates among the nodes of a pivot that lie in different components: pairs a and b, without the pivot's own.
 
@@ -224,9 +231,7 @@ def apart(stars: DataFrame, sets: DataFrame, roots: DataFrame, p: int, q: int) -
     half of its own with a node outside, so it lists less than half, mostly items that nobody else has. Positions in the
     lists bound what two nodes can still share.
     """
-    place = lambda node, root: roots.select(F.col("node").alias(node), F.col("root").alias(root))
-    rows = stars.join(place("a", "root_a"), "a", "left").join(place("b", "root_b"), "b", "left")
-    rows = rows.withColumns({"root_a": F.coalesce("root_a", "a"), "root_b": F.coalesce("root_b", "b")})
+    rows = with_roots(stars, roots)
     rows = staged(rows.join(rows.where("root_a <> root_b").select("a").distinct(), "a", "left_semi"))
     left, right = (sets.select(F.col("node").alias(n), F.col("items").alias(i)) for n, i in (("a", "x"), ("b", "y")))
     kept = "a long, b long, root_a long, root_b long, n_a long, n_b long, delta array<long>"
@@ -242,6 +247,9 @@ def apart(stars: DataFrame, sets: DataFrame, roots: DataFrame, p: int, q: int) -
     first = F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "item"))
     listed = items.join(often, ["a", "item"]).withColumn("place", first).where("place <= length and often > 1")
     listed = staged(listed.select("a", "item", F.col("b").alias("node"), F.col("root_b").alias("root"), "n", "d", (F.col("d") - F.col("place") + 1).alias("left")))
+    # An item that only nodes of one component list tells nothing.
+    across = listed.groupBy("a", "item").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("a", "item")
+    listed = staged(listed.join(across, ["a", "item"], "left_semi"))
     other = listed.select("a", "item", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "n", "d", "left")])
     # At their first common item, what is left of either must hold all that the two have to share.
     shared = F.ceil((F.col("d") + F.col("other_d") - F.floor((F.col("n") + F.col("other_n")) * (q - p) / (q + p))) / 2)
@@ -272,9 +280,16 @@ def near_groups(df: DataFrame, width: int = 5, similarity: tuple[int, int] = (80
     sets = staged(sets.dropDuplicates(["node"]))
 
     pivot = shared.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"))
-    stars = staged(shared.join(pivot, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    edges = staged(linked(stars, sets, p, q))
+    stars = shared.join(pivot, "key").where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("keys"))
+    stars = staged(stars)
+    # First each node against its commonest pivot, then against those that it is not connected with already.
+    first = stars.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b")
+    edges = staged(linked(first, sets, p, q))
+    roots = staged(components(edges))
+    other = with_roots(stars.join(first, ["a", "b"], "left_anti"), roots).where("root_a <> root_b").select("a", "b")
+    edges = edges.unionByName(staged(linked(other, sets, p, q)))
     roots = staged(components(edges))
+    stars = stars.select("a", "b")
 
     rest = apart(stars, sets, roots, p, q)
     more = staged(linked(rest, sets, p, q))
