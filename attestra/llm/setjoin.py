@@ -259,9 +259,9 @@ def apart(stars: DataFrame, sets: DataFrame, roots: DataFrame, p: int, q: int) -
 
 
 def near_groups(df: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `df`: doc_id, n_shingles, component_id, node (equal for equal sets) and h (hash of the text).
+    """One row per row of `df`: doc_id, n_shingles, component_id, node (equal for equal sets), h (hash of the text), root.
 
-    Rows are linked when the Jaccard similarity of their shingle sets is `similarity` or more; component_id is the
+    root is the same within a component and only there, and null for rows without words. Rows are linked when the Jaccard similarity of their shingle sets is `similarity` or more; component_id is the
     least doc_id reachable by links. Rows without words or text have n_shingles 0 and are linked with nothing. Rows
     with equal ids are nodes of their own; null ids are allowed and never the least one unless all are null. Sets are
     compared by 64-bit shingle hashes. An empty table gives no rows. Other columns are not read.
@@ -298,21 +298,25 @@ def near_groups(df: DataFrame, width: int = 5, similarity: tuple[int, int] = (80
 
     whole = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = whole.join(least, "root").select("node", "component_id")
+    named = whole.join(least, "root").select("node", "component_id", "root")
     return members.join(named, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node", "h",
+        F.when(F.col("n_shingles") > 0, F.col("root")).alias("root"),
     )
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """The rows of `docs` that stay, with all their columns: one of each linked group, of the least id in it.
 
-    Rows without words are in no group and stay, but for repeats of one id and text, of which one stays.
+    A null id is the least only where all ids of a group are null. Rows without words are in no group and stay, but
+    for repeats of one id and text, of which one stays.
     """
     groups = near_groups(docs, width, similarity)
     alone = F.col("n_shingles") == 0
-    one = groups.groupBy("component_id", F.when(alone, F.col("h")).alias("own")).agg(F.min(F.struct("doc_id", "h")).alias("first"))
-    keep = one.select(F.col("component_id").alias("_id"), F.col("first.h").alias("_h"))
+    own = [F.when(alone, F.col(c)).alias(f"own_{c}") for c in ("doc_id", "h")]
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    one = groups.groupBy("root", alone.alias("alone"), *own).agg(least.alias("first"))
+    keep = one.select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     kept = keyed.join(keep, (F.col("_key") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     turn = F.row_number().over(Window.partitionBy("_key", "doc_id").orderBy("_key"))

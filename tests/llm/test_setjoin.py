@@ -87,6 +87,15 @@ def test_repeated_ids_empty_table_and_what_stays(spark):
     assert setjoin.near_groups(df.limit(0)).collect() == [] and setjoin.one_of_each_group(df.limit(0)).collect() == []
 
 
+def test_one_stays_of_each_group_where_ids_are_null_or_repeated(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    stays = lambda rows: sorted(map(tuple, setjoin.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    apart = [(None, text("a")), (None, text("b")), (6, text("c")), (6, text("d"))]  # no ids, or one id for two texts
+    assert stays(apart) == sorted(apart, key=str)
+    assert stays([(None, text("a")), (3, text("a") + " end"), (5, text("a") + " end")]) == [(3, text("a") + " end")]
+    assert len(stays([(None, text("a")), (None, text("a") + " end"), (None, ""), (None, None), (7, "")])) == 4
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(500, 100 + i) for i in range(50)] + [(7, 7), (900, 901), (901, 900)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
