@@ -1,14 +1,16 @@
 """Scoring texts with a probabilistic suffix tree over words.
 
-The root is the add-one distribution of single tokens. A node is a context of one or two preceding words. It is kept
-when it is frequent and a divergence test passes: the log likelihood that its own next-word distribution gains over its
-parent's, per occurrence, reaches DIVERGENCE. A node stores the next words seen often enough; their counts are
-discounted and the rest of the mass goes to the parent's distribution, so every node's distribution sums to one. A
+The root is the add-one distribution of single tokens. A node is a context of one to DEPTH preceding words. It is kept
+when it occurs LEAST times and a divergence test passes: the log likelihood that its own next-word distribution gains
+over its parent's, per occurrence, reaches DIVERGENCE. A node stores the next words seen LEAST times in it; their counts
+are discounted and the rest of the mass goes to the parent's distribution, so every node's distribution sums to one. A
 token is scored in the longest kept suffix of its context.
 
-Counts cover all training documents. What tasks hold in memory is bounded by probabilities, not by the corpus: at most
-1 / MIN_WORD words have that probability, 1 / MIN_CONTEXT contexts and 1 / MIN_ENTRY stored next words for each depth.
-Frequent words are scored inside the tasks; the others, whose table grows with the corpus, by a join.
+Counts cover all training documents, and nothing is left out for being rare in a large corpus: the tree is in tables,
+keyed by 64-bit hashes of word sequences, and grows with the corpus. A text's gain over the root is a sum over its word
+sequences: each adds what it stores as a next word, over what its parent gives, and the mass that it leaves as a
+context. So a text needs one look-up for each of its sequences. Tasks hold the frequent ones and a filter of fixed size
+that tells most sequences without entry; the others are found by a join. Both only decide where an entry is found.
 """
 
 from __future__ import annotations
@@ -16,25 +18,29 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.plans.staging import staged
 
-MIN_WORD = 5e-7
-MIN_CONTEXT = 2e-5
-MIN_ENTRY = 1e-6
-LEAST = 3  # and at least so many occurrences of words, contexts and stored next words
+U = np.uint64
+LEAST = 3  # occurrences of contexts and stored next words
 DIVERGENCE = 0.01  # nats
 DISCOUNT = 0.75
+DEPTH = 3
+HOT_WORD = 5e-7  # words and longer sequences of this share are looked up in tasks, so at most 1 / share of each length
+HOT_SEQUENCE = 1e-6
+SLOTS = 20  # the filter has 2 ** SLOTS longs
 FOLDS, HELD = 7, 2
 END = b""
 HOLD = 300_000
+STEP = U(0x9E3779B97F4A7C15)  # odd; the hash of a sequence is that of all but its last word * STEP + that of the last
 
 
 def held_out(doc_id: Column) -> Column:
@@ -46,9 +52,16 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))
+
+
+END_HASH = int(hashes([END]).view(np.int64)[0])
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
-    give = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+    give = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(hashes(list(seen)).view(np.int64)), pa.array(seen.values(), pa.int64())], ["word", "key", "n"])
     for b in batches:
         for t in b["text"]:
             seen.update(tokens(t.as_py()))
@@ -59,34 +72,70 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Sparse:
-    """Sorted int64 codes with a value each."""
+    """Sorted int64 codes with values each."""
 
-    def __init__(self, codes: np.ndarray, values: np.ndarray):
-        order = np.argsort(codes)
-        self.codes, self.values = np.append(codes[order], np.int64(2**62)), np.append(values[order], 0.0)
+    def __init__(self, codes: np.ndarray, *values: np.ndarray):
+        codes, first = np.unique(codes, return_index=True)
+        self.codes, self.values = np.append(codes, np.int64(2**62)), tuple(np.append(v[first], 0.0) for v in values)
 
     def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each code is, and whether it is there."""
-        at = np.searchsorted(self.codes, codes)
-        return at, (self.codes[at] == codes) & (codes >= 0)
+        at = np.minimum(np.searchsorted(self.codes[:-1], codes), len(self.codes) - 1)
+        return at, (self.codes[at] == codes) & (at < len(self.codes) - 1)
+
+
+class Filter:
+    """Which hashes may be in a column: never wrong about those that are. Its size does not depend on theirs."""
+
+    def __init__(self, keys: DataFrame):
+        slot, bit = F.shiftrightunsigned("key", 64 - SLOTS), F.expr("shiftleft(1L, cast(key & 63 AS INT))")
+        rows = keys.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2 ** SLOTS rows at most
+        self.bits = np.zeros(1 << SLOTS, U)
+        self.bits[rows["slot"].to_numpy()] = rows["bits"].to_numpy().view(U)
+
+    def may_have(self, keys: np.ndarray) -> np.ndarray:
+        return (self.bits[keys >> U(64 - SLOTS)] >> (keys & U(63)) & U(1)).astype(bool)
+
+
+def longer(key: np.ndarray, run: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the `size` words up to each position, from those of one word less, and whether there are so many."""
+    out = np.zeros(len(word), U)
+    out[1:] = key[:-1] * STEP + word[1:]
+    return out, run >= size
 
 
 @dataclass
 class Tree:
-    """Words with their ids and log10 root probabilities; nodes of depth 1 and 2 by code.
+    """Frequent words with their ids and log10 root probabilities, and frequent sequences by their hash.
 
-    A node of depth 1 is its word's id, one of depth 2 is 2 ** 21 * (id of the word before) + (id of the last word)
-    as its number in `contexts2`. nodes[d] maps a node to log10 of the mass it leaves to its parent, gains[d] maps
-    2 ** 21 * node + next to log10 of its probability over the root's.
+    hot has log10 of the mass that a sequence leaves as a context, and of what it adds as a next word to its parent's
+    probability and that mass. nodes[d] has contexts by code: of one word its id, of two 2 ** 21 * (id of the first) +
+    (id of the last).
     """
 
     ids: dict[bytes, int]
     root: np.ndarray
     unit: float  # log10 of the denominator of the root
-    frequent: np.ndarray | None = None  # words that may be contexts
-    nodes: tuple[Sparse, ...] = ()
-    gains: tuple[Sparse, ...] = ()
-    contexts2: Sparse | None = None
+    words: np.ndarray  # their hashes
+    hot: Sparse | None = None
+
+    @property
+    def nodes(self) -> tuple[Sparse, ...]:
+        keys, mass = self.hot.codes[:-1][self.hot.values[0][:-1] < 0], self.hot.values[0][:-1][self.hot.values[0][:-1] < 0]
+        own = Sparse(self.words.view(np.int64), np.arange(len(self.words), dtype=float))
+        at, one = own.find(keys)
+        last = np.nonzero(one)[0]
+        ids = own.values[0][at[last]].astype(np.int64)
+        out, back = [np.empty(0, np.int64)], [np.empty(0)]
+        for k, u in zip(keys[last].view(U), ids, strict=True):  # a pair's hash tells its first word by its last
+            at, ok = own.find(((keys.view(U) - k) * U(pow(int(STEP), -1, 2**64))).view(np.int64))
+            out.append(own.values[0][at[ok]].astype(np.int64) << 21 | u)
+            back.append(mass[ok])
+        return Sparse(ids, mass[last]), Sparse(np.concatenate(out), np.concatenate(back))
+
+    @property
+    def contexts2(self) -> Sparse:
+        return self.nodes[1]
 
     def coded(self, texts: list) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
         """Tokens of each text, all ids (-1: not frequent) after two -1 for each text, and where a token stands."""
@@ -98,132 +147,159 @@ class Tree:
             real += [False, False] + [True] * len(ws)
         return words, np.array(flat, np.int64), np.array(real, bool)
 
-    def numbers2(self, ids: np.ndarray) -> np.ndarray:
-        """Number of the depth-2 context before each position, or -1."""
-        out = np.full(len(ids), -1, np.int64)
-        if self.contexts2 is not None and len(ids) > 2:
-            t, u = ids[:-2], ids[1:-1]
-            at, ok = self.contexts2.find(np.where((t >= 0) & (u >= 0), t << 21 | u, -1))
-            out[2:] = np.where(ok, self.contexts2.values[at].astype(np.int64), -1)
-        return out
-
     def gain(self, ids: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability in its longest kept context over its root probability."""
-        before = np.concatenate([[-1], ids[:-1]])
-        out = np.zeros(len(ids))
-        for context, node, gain in zip((before, self.numbers2(ids)), self.nodes, self.gains, strict=False):
-            at, kept = node.find(context)
-            at_gain, stored = gain.find(np.where(kept & (ids >= 0), context << 21 | np.maximum(ids, 0), -1))
-            out = np.where(stored, gain.values[at_gain], out + np.where(kept, node.values[at], 0.0))
+        """log10 of each token's probability in its longest context over its root probability, by `hot` alone."""
+        word = np.where(ids >= 0, self.words[np.maximum(ids, 0)], U(0))
+        place = np.arange(len(ids))
+        run = place - np.maximum.accumulate(np.where(ids < 0, place, -1))
+        out, key, there = np.zeros(len(ids)), word, run >= 1
+        for size in range(1, DEPTH + 2):
+            if size > 1:
+                key, there = longer(key, run, word, size)
+            at, ok = self.hot.find(key.view(np.int64))
+            ok &= there
+            out += np.where(ok, self.hot.values[1][at], 0.0)
+            out[1:] += np.where(ok, self.hot.values[0][at], 0.0)[:-1]
         return out
 
 
-def _counter(tree_of, depth: int):
-    """Counts of (context, next) codes over batches of texts; a next of 2 ** 21 - 1 stands for the context itself."""
+def _positions(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, place in its text from 1, and text of each token."""
+    words = [tokens(t) for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    text = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    return hashes([w for ws in words for w in ws]), place, text
+
+
+def _counter(filter_of, depth: int):
+    """Counts of (context of `depth` words, next); leaves out what has a part that occurs less than LEAST times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = tree_of.value
-        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        give = lambda: pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["code", "n"])
+        known: Filter = filter_of.value
+        found, size = [], 0
+
+        def give() -> pa.RecordBatch:
+            context, word = (np.concatenate([np.empty(0, U), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
+            _, first, n = np.unique(context * STEP + word, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(context[first].view(np.int64)), pa.array(word[first].view(np.int64)), pa.array(n.astype(np.int64))], ["context", "next", "n"])
+
         for b in batches:
             texts = b["text"].to_pylist()
             for k in range(0, len(texts), 500):
-                _, ids, real = tree.coded(texts[k : k + 500])
-                if depth == 1:
-                    context = np.concatenate([[-1], ids[:-1]])
-                    context = np.where(context >= 0, np.where(tree.frequent[np.maximum(context, 0)], context, -1), -1)
-                else:
-                    context = tree.numbers2(ids)
-                here = real & (context >= 0)
-                own = context[here] << 21
-                new, n = np.unique(np.concatenate([(own | ids[here])[ids[here] >= 0], own | (2**21 - 1)]), return_counts=True)
-                merged, inverse = np.unique(np.concatenate([codes, new]), return_inverse=True)
-                counts = np.bincount(inverse, np.concatenate([counts, n]).astype(float), len(merged)).astype(np.int64)
-                codes = merged
-                if len(codes) > 4_000_000:
+                word, place, _ = _positions(texts[k : k + 500])
+                key = word
+                for d in range(2, depth + 1):
+                    key, _ = longer(key, place, word, d)
+                often = known.may_have(key)
+                here = np.nonzero((place[1:] > depth) & often[:-1] & often[1:])[0] + 1
+                found.append((key[here - 1], word[here]))
+                size += len(here)
+                if size > 2_000_000:
                     yield give()
-                    codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+                    found, size = [], 0
         yield give()
 
     return run
 
 
-def _grow(tree: Tree, depth: int, counted: pd.DataFrame) -> None:
-    """Adds the nodes of one depth that pass the divergence test. counted: code and n of contexts and stored nexts."""
-    code, n = counted["code"].to_numpy(np.int64), counted["n"].to_numpy(float)
-    context, word = code >> 21, code & (2**21 - 1)
-    own = word == 2**21 - 1
-    total = Sparse(context[own], n[own])
-    context, word, n = context[~own], word[~own], n[~own]
-    at, ok = total.find(context)
-    context, word, n, c = context[ok], word[ok], n[ok], total.values[at[ok]]
-    share = (n - DISCOUNT) / c
-    slot = np.searchsorted(total.codes, context)
-    size = len(total.codes)
-    rest = np.clip(1 - np.bincount(slot, share, size), 1e-12, 1)
-    if depth == 1:
-        parent = np.zeros(len(word))
-        under = np.zeros(size)
-    else:
-        pairs = dict(zip(tree.contexts2.values[:-1].astype(np.int64).tolist(), tree.contexts2.codes[:-1].tolist(), strict=True))
-        last = np.array([pairs.get(int(x), 0) & (2**21 - 1) for x in total.codes], np.int64)
-        at, kept = tree.nodes[0].find(last)
-        under = np.where(kept, tree.nodes[0].values[at], 0.0)
-        at, stored = tree.gains[0].find(np.where(kept[slot], last[slot] << 21 | word, -1))
-        parent = np.where(stored, tree.gains[0].values[at], under[slot])
-    gain = np.log10(share + rest[slot] * 10 ** (tree.root[word] + parent)) - tree.root[word]
-    better = np.bincount(slot, n * (gain - parent), size) + (total.values - np.bincount(slot, n, size)) * np.log10(rest)
-    kept = (better * math.log(10) >= DIVERGENCE * total.values) & (total.values > 0)
-    tree.nodes += (Sparse(total.codes[kept], np.log10(rest[kept])),)
-    tree.gains += (Sparse((context << 21 | word)[kept[slot]], gain[kept[slot]]),)
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the hash of a context with its next word, and that of its parent with it."""
+    for b in batches:
+        context, parent, word = (b[c].to_numpy(zero_copy_only=False).view(U) for c in ("context", "parent", "next"))
+        both = [pa.array((x * STEP + word).view(np.int64)) for x in (context, parent)]
+        yield pa.RecordBatch.from_arrays([*b.columns, *both], [*b.schema.names, "key", "parent_key"])
 
 
-def learn(docs: DataFrame) -> tuple[Tree, DataFrame, int, int]:
-    """The tree, the table of words with counts, and the numbers of tokens and of distinct tokens of `docs` (text)."""
+def _tested(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Kept contexts (key, mass), and `grams` with value (log10 over the root's) and delta (0: in no kept context).
+
+    grams: context, next, n, c (of the context), root and under (log10 of the root's and the parent's over the root's).
+    """
+    share = (F.col("n") - DISCOUNT) / F.col("c")
+    rest = grams.groupBy("context").agg(F.greatest(F.lit(1e-12), 1 - F.sum(share)).alias("rest"))
+    own = F.log10(share + F.col("rest") * F.pow(F.lit(10.0), F.col("root") + F.col("under"))) - F.col("root")
+    grams = staged(grams.join(rest, "context").withColumn("own", own))
+    better = F.sum(F.col("n") * (F.col("own") - F.col("under"))) + (F.first("c") - F.sum("n")) * F.log10(F.first("rest"))
+    kept = grams.groupBy("context").agg((better * math.log(10) >= DIVERGENCE * F.first("c")).alias("kept"), F.log10(F.first("rest")).alias("mass"))
+    kept = staged(kept.where("kept").select(F.col("context").alias("key"), "mass"))
+    grams = grams.join(kept.withColumnRenamed("key", "context"), "context", "left")
+    value, delta = F.when(F.col("mass").isNull(), F.col("under")).otherwise(F.col("own")), F.coalesce(F.col("own") - F.col("under") - F.col("mass"), F.lit(0.0))
+    return kept, staged(grams.select("key", "parent_key", "next", "n", "root", value.alias("value"), delta.alias("delta")))
+
+
+def grow(docs: DataFrame) -> tuple[Tree, DataFrame, DataFrame, int, int]:
+    """The frequent part, all sequences (key, n, mass, delta), and words, tokens and distinct tokens as of `learn`."""
     spark = docs.sparkSession
-    words = staged(docs.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    words = staged(docs.mapInArrow(_count_words, "word binary, key long, n long").groupBy("word", "key").agg(F.sum("n").alias("n")))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     unit = math.log10(total + distinct + 1)
-    often = words.where(F.col("n") >= max(LEAST, MIN_WORD * total)).orderBy("word").toPandas()  # 1 / MIN_WORD rows at most
-    n = often["n"].to_numpy(float)
-    tree = Tree({bytes(w): k for k, w in enumerate(often["word"])}, np.log10(n + 1) - unit, unit)
-    tree.frequent = (n >= max(LEAST, MIN_CONTEXT * total)) & (often["word"].map(bytes) != END).to_numpy(bool)
-    for depth in (1, 2):
-        sent = spark.sparkContext.broadcast(tree)
-        nexts = docs.mapInArrow(_counter(sent, depth), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        own = F.col("code").bitwiseAND(2**21 - 1) == 2**21 - 1
-        counted = nexts.where(F.when(own, F.col("n") >= max(LEAST, MIN_CONTEXT * total)).otherwise(F.col("n") >= max(LEAST, MIN_ENTRY * total))).toPandas()
-        _grow(tree, depth, counted)
-        if depth == 1:  # a context of two words: a stored next of a kept word that may itself be a context
-            codes = tree.gains[0].codes[:-1]
-            last = codes & (2**21 - 1)
-            often2 = counted.set_index("code")["n"].reindex(codes).to_numpy(float) >= max(LEAST, MIN_CONTEXT * total)
-            codes = codes[often2 & tree.frequent[last]]
-            tree.contexts2 = Sparse(codes, np.arange(len(codes), dtype=float))
+    often = words.where(F.col("n") >= max(LEAST, HOT_WORD * total)).orderBy("word").toArrow()  # 1 / HOT_WORD rows at most
+    tree = Tree({w: k for k, w in enumerate(often["word"].to_pylist())}, np.log10(often["n"].to_numpy() + 1.0) - unit, unit, often["key"].to_numpy().view(U))
+    zero = F.lit(0.0)
+    before = words.where(F.col("n") >= LEAST).select("key", F.lit(0).cast("long").alias("parent_key"), F.col("key").alias("next"), "n", (F.log10(F.col("n") + 1) - unit).alias("root"), zero.alias("value"), zero.alias("delta"))
+    sequences = []
+    for depth in range(1, DEPTH + 1):
+        sent = spark.sparkContext.broadcast(Filter(before))
+        nexts = docs.mapInArrow(_counter(sent, depth), "context long, next long, n long").groupBy("context", "next").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+        contexts = before.where(F.col("next") != END_HASH).select(F.col("key").alias("context"), F.col("parent_key").alias("parent"), F.col("n").alias("c"))
+        grams = nexts.join(contexts, "context").mapInArrow(_keyed, "context long, next long, n long, parent long, c long, key long, parent_key long")
+        kept, grams = _tested(grams.join(before.select(F.col("key").alias("parent_key"), "root", F.col("value").alias("under")), "parent_key"))
+        sequences.append(before.join(kept, "key", "left").select("key", "n", F.coalesce("mass", zero).alias("mass"), "delta", F.lit(depth).alias("size")))
+        before = grams
+    sequences = reduce(DataFrame.unionByName, [*sequences, before.select("key", "n", zero.alias("mass"), "delta", F.lit(DEPTH + 1).alias("size"))])
+    sequences = staged(sequences)
+    hot = F.col("n") >= F.when(F.col("size") == 1, max(LEAST, HOT_WORD * total)).otherwise(max(LEAST, HOT_SEQUENCE * total))
+    sequences = sequences.withColumn("hot", hot)
+    held = sequences.where("hot").select("key", "mass", "delta").toArrow()
+    tree.hot = Sparse(held["key"].to_numpy(), held["mass"].to_numpy(), held["delta"].to_numpy())
+    return tree, sequences, words, total, distinct
+
+
+def learn(docs: DataFrame) -> tuple[Tree, DataFrame, int, int]:
+    """The tree, the table of words with counts, and the numbers of tokens and of distinct tokens of `docs` (text)."""
+    tree, _, words, total, distinct = grow(docs)
     return tree, words, total, distinct
 
 
-def _score(tree_of):
+def _score(sent_):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = tree_of.value
-        names = ["doc_id", "h", "word", "n", "rows", "n_tokens", "n_known", "base_score", "gain"]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.float64(), pa.float64()]
+        tree, cold = sent_.value
+        order = np.argsort(tree.words.view(np.int64))
+        root = Sparse(tree.words.view(np.int64)[order], tree.root[order])
+        value = tree.hot.values[0] + tree.hot.values[1]
         for b in batches:
             ids_, hs, texts = b["doc_id"].to_pylist(), b["h"].to_pylist(), b["text"].to_pylist()
             for k in range(0, len(texts), 500):
-                words, ids, real = tree.coded(texts[k : k + 500])
-                gain = np.where(real, tree.gain(ids), 0.0)
-                base = np.where(ids >= 0, tree.root[np.maximum(ids, 0)], 0.0) if len(tree.root) else np.zeros(len(ids))
-                known = ids >= 0
-                at, out = 0, []
-                for j, ws in enumerate(words):
-                    to = at + 2 + len(ws)
-                    doc = (ids_[k + j], hs[k + j])
-                    out.append((*doc, b" " + str(doc).encode(), 0, 1, len(ws), int(known[at:to].sum()), float(base[at:to].sum()), float(gain[at:to].sum())))
-                    rare = Counter(w for w, ok in zip(ws, known[at + 2 : to].tolist(), strict=True) if not ok)
-                    out += [(*doc, w, n, 0, 0, 0, 0.0, 0.0) for w, n in rare.items()]
-                    at = to
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                word, place, text = _positions(texts[k : k + 500])
+                docs = len(texts[k : k + 500])
+                base, gain, known, rows = np.zeros(docs), np.zeros(docs), np.zeros(docs, np.int64), []
+                key = word
+                for size in range(1, DEPTH + 2):
+                    here = np.arange(len(word))
+                    if size > 1:
+                        key, there = longer(key, place, word, size)
+                        here = np.nonzero(there)[0]
+                    found, which = np.unique(key[here], return_inverse=True)
+                    at, ok = tree.hot.find(found.view(np.int64))
+                    gain += np.bincount(text[here], np.where(ok, value[at], 0.0)[which], docs)
+                    if size == 1:  # a word below LEAST has no entry in `hot`, but a root probability
+                        at, ok = root.find(found.view(np.int64))
+                        base += np.bincount(text[here], np.where(ok, root.values[0][at], -tree.unit)[which], docs)
+                        known += np.bincount(text[here], ok[which], docs).astype(np.int64)
+                        asked = ~ok
+                    else:
+                        asked = ~ok & cold.may_have(found)
+                    asked = asked[which]
+                    pair, n = np.unique(text[here][asked] * len(found) + which[asked], return_counts=True)
+                    rows.append((pair // max(1, len(found)), found[pair % max(1, len(found))].view(np.int64), n))
+                own = hashes([str(x).encode() for x in zip(ids_[k : k + docs], hs[k : k + docs], strict=True)]).view(np.int64)
+                doc, keys, n = (np.concatenate(x) for x in zip((np.arange(docs), own, np.zeros(docs, np.int64)), *rows, strict=True))
+                more = len(doc) - docs
+                sums = [np.ones(docs, np.int64), np.bincount(text, minlength=docs), known, base, gain]
+                sums = [pa.array(np.concatenate([x, np.zeros(more, x.dtype)])) for x in sums]
+                where = pa.array(doc + k)
+                yield pa.RecordBatch.from_arrays([b["doc_id"].take(where), b["h"].take(where), pa.array(keys), pa.array(n), *sums], ["doc_id", "h", "key", "n", "rows", "n_tokens", "n_known", "base_score", "gain"])
 
     return run
 
@@ -237,15 +313,18 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     empty table gives no rows. Other columns are not read.
     """
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    tree, words, total, distinct = learn(docs.where(~held_out(F.col("doc_id"))).select("text"))
-    sent = df.sparkSession.sparkContext.broadcast(tree)
-    parts = docs.withColumn("h", F.xxhash64("text")).mapInArrow(_score(sent), "doc_id long, h long, word binary, n long, rows long, n_tokens long, n_known long, base_score double, gain double")
-    # A document's own row has a word that no text has, so that those rows spread over all tasks of the join.
-    parts = parts.join(words.select("word", F.col("n").alias("c")), "word", "left")
-    rare = F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - tree.unit)
+    tree, sequences, words, total, distinct = grow(docs.where(~held_out(F.col("doc_id"))).select("text"))
+    cold = sequences.where("not hot and mass + delta <> 0")
+    sent = df.sparkSession.sparkContext.broadcast((replace(tree, ids={}), Filter(cold.where("size > 1"))))
+    parts = docs.withColumn("h", F.xxhash64("text")).mapInArrow(_score(sent), "doc_id long, h long, key long, n long, rows long, n_tokens long, n_known long, base_score double, gain double")
+    rare = words.where(F.col("n") < max(LEAST, HOT_WORD * total)).select("key", F.lit(1).alias("known"), F.log10(F.col("n") + 1).alias("base"), F.lit(0.0).alias("value"))
+    entries = rare.unionByName(cold.select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), (F.col("mass") + F.col("delta")).alias("value")))
+    # A document's own row has a key of its own, so that those rows spread over all tasks of the join.
+    parts = parts.join(entries.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("known", "base", "value")]), "key", "left")
+    here = lambda c: F.col("n") * F.coalesce(F.col(c), F.lit(0))
     sums = parts.groupBy("doc_id", "h").agg(
-        F.sum("rows").alias("rows"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("c").isNull(), 0).otherwise(F.col("n"))).alias("n_known"),
-        F.sum(F.col("base_score") + rare).alias("base_score"), F.sum("gain").alias("gain"),
+        F.sum("rows").alias("rows"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + here("known")).alias("n_known"),
+        F.sum(F.col("base_score") + here("base")).alias("base_score"), F.sum(F.col("gain") + here("value")).alias("gain"),
     )
     each = F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int")))
     return sums.withColumn("_", each).select(
