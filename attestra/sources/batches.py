@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.plans.staging import staged
+
 
 def scan_originals(spark: SparkSession, path: str, registry: DataFrame) -> DataFrame:
     """Files under `path` against the registry (key, size, sha256): verdict of each as a row, never an exception."""
@@ -73,11 +75,11 @@ def write_index_batches(df: DataFrame, ledger_path: str, out_path: str, order: s
             raise
         ledger = spark.createDataFrame([], "batch_id long, known string")
     rows = prints.join(ledger, "batch_id", "left").withColumn("outcome", F.when(F.col("known").isNull(), "written").when(F.col("known") == F.col("print"), "replay").otherwise("conflict"))
+    rows = staged(rows.select("batch_id", "rows", "outcome", "print"))  # before the ledger changes
     fresh = rows.where("outcome = 'written'").select("batch_id", F.col("print").alias("known"))
-    outcome = spark.createDataFrame(rows.select("batch_id", "rows", "outcome").toPandas(), "batch_id long, rows long, outcome string")  # a row for each batch of one call
     df.join(fresh.select("batch_id"), "batch_id", "left_semi").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_path)
     fresh.write.mode("append").parquet(ledger_path)
-    return outcome
+    return rows.select("batch_id", "rows", "outcome")
 
 
 def encode_evidence(units: DataFrame, fields: list[str], interned: str) -> DataFrame:

@@ -120,6 +120,13 @@ def test_index_batches_are_idempotent(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
 
 
+def test_outcomes_of_batches_stay_off_the_driver(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "batch_id long, k int, v string")
+    monkeypatch.setattr(type(df), "toPandas", lambda self: pytest.fail("a row for each batch came to the driver"))
+    got = batches.write_index_batches(df, f"{tmp_path}/ledger", f"{tmp_path}/out", "k", "v")
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "written"), (2, 1, "written")]
+
+
 def test_originals_and_artifacts(spark, tmp_path):
     import hashlib
     import json
