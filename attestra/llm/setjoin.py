@@ -4,14 +4,17 @@ Sets of sizes x and y with Jaccard at least J differ in at most D = (1-J)/(1+J)
 bands so that linked sets are in one band or in neighbours; the universe of hashes is dealt into segments whose number
 follows from the band's D. By the pigeonhole principle two linked sets agree on enough segments, each of which is
 worth one unit if it must be equal and two if one shingle may be missing (its one-deletion neighbourhood is indexed
-too). A cost model picks, by band, how many segments of which kind; where all are exact there are spare ones, and each
-set leaves out that many of its smallest segments, which are the ones that unrelated texts share.
-
-Equal sets are one node. Nodes that share a key are candidates and candidates are verified on their whole sets.
-Per key the node with most shared keys is the pivot: every other node is verified against it and components are drawn.
-A link that is then still missing joins two nodes of one pivot in different components; those are found by what the
-nodes differ by from their pivot (see `apart`) and verified too. No link is lost, as any linked pair shares a key and
-so a pivot, and a group of n near copies costs about n pairs.
+too). A cost model picks, by band, how many segments of which kind. Where all are exact there are spare ones, twice as
+many as one share of the units: each set leaves out that share of its smallest segments, and of the rest as many of
+those that most nodes have, as unrelated texts share these. The least common segment that two linked sets agree on
+always stays in both.
+
+Equal sets are one node. Nodes that share a key are candidates. Counts of a set's shingles by bin (see `sketch`) bound
+what two sets can share, and candidates within that bound are verified on their whole sets. Per key the node with most
+shared keys is the pivot: every other node is verified against it and components are drawn. A link that is then still
+missing joins two nodes of one pivot in different components; those are found by what the nodes differ by from their
+pivot (see `apart`) and verified too. No link is lost, as any linked pair shares a key and so a pivot, and a group of n
+near copies costs about n pairs.
 """
 
 from __future__ import annotations
@@ -22,16 +25,20 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.llm.components import components
-from attestra.plans.staging import staged
+from attestra.plans.staging import spent, staged
 
 U = np.uint64
-#: Keys that one expected false candidate is worth in the cost model, for a segment that holds one shingle of chance 1/e.
-FALSE_COST = 50
+#: Keys that a segment is worth in the cost model which is empty, holds a single shingle, or lies in a common passage,
+#: and the share of segments that does.
+FALSE_COST, SINGLE_COST, COMMON_COST, COMMON = 50, 5, 8, 0.2
+#: Low bits of a key that tell its band.
+BAND_BITS = 10
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,7 +70,7 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 
 @lru_cache(maxsize=64)
-def bands(p: int, q: int, limit: int = 1 << 40) -> tuple[int, ...]:
+def bands(p: int, q: int, limit: int = 1 << 31) -> tuple[int, ...]:
     """Least sizes of the bands: a set's partners of Jaccard p/q or more are in its band or in a neighbour."""
     out = [1]
     while out[-1] < limit:
@@ -73,23 +80,30 @@ def bands(p: int, q: int, limit: int = 1 << 40) -> tuple[int, ...]:
 
 @lru_cache(maxsize=4096)
 def scheme(band: int, p: int, q: int) -> tuple[int, int, int] | None:
-    """(one-deletion segments, exact segments, spare ones) for pairs of this band and of this and the next one."""
+    """(one-deletion segments, exact segments, share of spare ones) for pairs of this band and of this and the next one.
+
+    Of the exact segments two shares are spare: one for the smallest segments and one for the commonest.
+    """
     x = bands(p, q)[band + 1] - 1
     units = (q - p) * (x + x * q // p) // (q + p) + 1
     if units == 1:
         return None  # only equal sets are linked
-    spare = units // 4 + 1
 
-    def cost(deleting: int, exact: int, extra: int) -> float:
-        each = x / (deleting + exact)
-        return exact - extra + deleting * (1 + each) + FALSE_COST * (deleting + exact) * exp(-each)
+    def cost(deleting: int, exact: int, spare: int) -> float:
+        m = deleting + exact
+        each = x / m
+        empty, single = m * exp(-each), m * each * exp(-each)
+        false = FALSE_COST * max(0, empty - spare) + SINGLE_COST * max(0, single - max(0, spare - empty))
+        return exact - spare + deleting * (1 + each) + false + COMMON_COST * max(0, COMMON * m - spare)
 
-    options = [(0, units + spare, spare), *((d, max(0, units - 2 * d), 0) for d in range(1, (units + 1) // 2 + 1))]
+    options = [(0, units + 2 * e, e) for e in {units // k + 1 for k in (8, 4, 2)}]
+    options += [(d, max(0, units - 2 * d), 0) for d in range(1, min(1000, (units + 1) // 2) + 1)]
     return min(options, key=lambda o: cost(*o))
 
 
 def signatures(s: np.ndarray, p: int, q: int) -> np.ndarray:
-    """Keys of a set: two sets of Jaccard p/q or more that are not equal share at least one."""
+    """Keys of a set: two sets of Jaccard p/q or more that are not equal share at least one, or one more than the
+    band's share of spare segments where it has some. The low bits of a key are its band."""
     if not len(s):
         return np.empty(0, U)
     own = int(np.searchsorted(bands(p, q), len(s), "right")) - 1
@@ -107,47 +121,62 @@ def signatures(s: np.ndarray, p: int, q: int) -> np.ndarray:
         size = np.bincount(seg, minlength=m)
         upto = np.cumsum(np.bincount(size))
         least = int(np.searchsorted(upto, spare, "right")) if spare else 0  # segments below this size are left out
-        out.append(mix(total + where)[size >= least])
+        own_keys = [mix(total + where)[size >= least]]
         if deleting:
             rest = seg < deleting
-            out.append(mix(total[seg[rest]] - content[rest] + where[seg[rest]]))
+            own_keys.append(mix(total[seg[rest]] - content[rest] + where[seg[rest]]))
+        out += [k >> U(BAND_BITS) << U(BAND_BITS) | U(band) for k in own_keys]
     return np.unique(np.concatenate(out)) if out else np.empty(0, U)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Counts of a set's hashes by their high bits, four bits a bin, at least as many bins as hashes; empty if one is too large."""
+    bits = max(4, (len(s) - 1).bit_length())
+    n = np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return (n[0::2] | n[1::2] << 4).astype(np.uint8).tobytes() if n.max() < 16 else b""
+
+
 def _members(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for t in b["text"]:
-                s = shingle_set(t.as_py(), width)
-                rows.append((len(s), *digest(s)))
-            n, node, check = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], *(pa.array(x, pa.int64()) for x in (n, node, check))], ["doc_id", "h", "n_shingles", "node", "digest"])
+            for at in range(0, len(b), 500):
+                part = b.slice(at, 500)
+                sets = [shingle_set(t.as_py(), width) for t in part["text"]]
+                n, node, check, bins, items = zip(*[(len(s), *digest(s), sketch(s), s.tobytes()) for s in sets], strict=True)
+                numbers = [pa.array(x, pa.int64()) for x in (n, node, check)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["h"], *numbers, pa.array(bins, pa.binary()), pa.array(items, pa.binary())], [*MEMBERS])
 
     return run
 
 
-def _keys(width: int, p: int, q: int):
+MEMBERS = {"doc_id": "long", "h": "long", "n_shingles": "long", "node": "long", "digest": "long", "sketch": "binary", "items": "binary"}
+
+
+def _keys(p: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            keys, nodes = [np.empty(0, U)], [np.empty(0, np.int64)]
-            for t in b["text"]:
-                s = shingle_set(t.as_py(), width)
-                node = digest(s)[0]
+            keys, nodes, size = [np.empty(0, U)], [np.empty(0, np.int64)], 0
+            for node, items in zip(b["node"].to_pylist(), b["items"], strict=True):
                 if node not in seen:  # equal sets of a task give their keys once
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(node)
-                    keys.append(signatures(s, p, q))
+                    keys.append(signatures(np.frombuffer(items.as_buffer(), U), p, q))
                     nodes.append(np.full(len(keys[-1]), node, np.int64))
-            k, v = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
-            for at in range(0, len(k), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[at : at + 100_000]), pa.array(v[at : at + 100_000])], ["key", "node"])
+                    size += len(keys[-1])
+                if size > 200_000:
+                    yield _pairs(keys, nodes)
+                    keys, nodes, size = [np.empty(0, U)], [np.empty(0, np.int64)], 0
+            yield _pairs(keys, nodes)
 
     return run
 
 
+def _pairs(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key and node, those whose key has more than one node, once each. Holds one row over."""
     last, given = None, False
@@ -170,15 +199,69 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(v[keep])], ["key", "node"])
 
 
-def _sets(width: int):
+def commonest_left_out(shared: DataFrame, p: int, q: int) -> DataFrame:
+    """`shared` (key, node) without the keys of each node and band that most nodes have, as many as are spare.
+
+    A key that only one node is left with goes too. Linked nodes agree on more keys than are spare, so the least common
+    of these, by one order of all keys, is among the spare ones of neither.
+    """
+    spare: dict[int, int] = {}
+    for band in range(len(bands(p, q)) - 1):
+        deleting, exact, extra = scheme(band, p, q) or (0, 0, 0)
+        at = band % (1 << BAND_BITS)
+        spare[at] = min(spare.get(at, extra), 0 if deleting else extra)
+    band = F.col("key").bitwiseAND((1 << BAND_BITS) - 1).cast("int")
+    often = shared.groupBy("key").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("often"), "key"))
+    left = shared.join(often, "key").withColumn("band", band).withColumn("place", place)
+    left = staged(left.where(F.col("place") > F.element_at(F.array(*[F.lit(spare[k]) for k in sorted(spare)]), F.col("band") + 1)).select("key", "node"))
+    more = left.groupBy("key").agg(F.count("*").alias("often")).where("often > 1").select("key")
+    out = staged(left.join(more, "key", "left_semi"))
+    spent(left)
+    return out
+
+
+def _counts(sketches: pa.Array, width: int) -> np.ndarray:
+    """A row of counts for each of `sketches`, all of `width` bytes."""
+    packed = np.frombuffer(sketches.buffers()[2], np.uint8, len(sketches) * width, int(sketches.buffers()[1].size and np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset])).reshape(-1, width)
+    out = np.empty((len(packed), 2 * width), np.uint16)
+    out[:, 0::2], out[:, 1::2] = packed & 15, packed >> 4
+    return out
+
+
+def _levels(p: int, q: int):
+    """Adds `level`: 2 if the sketches x and y leave room for Jaccard p/q, 1 for one of twice that distance, else 0."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py(), width) for t in b["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
+            x, y = b["x"], b["y"]
+            wide = np.stack([pa.compute.binary_length(v).to_numpy(zero_copy_only=False) for v in (x, y)])
+            level = np.full(len(b), 2, np.int32)
+            for u, v in np.unique(wide[:, (wide > 0).all(0)], axis=1).T.tolist():
+                every = np.nonzero((wide[0] == u) & (wide[1] == v))[0]
+                step = max(1, 2_000_000 // max(u, v))
+                for at in range(0, len(every), step):
+                    rows = every[at : at + step]
+                    c, d = _counts(x.take(pa.array(rows)), u), _counts(y.take(pa.array(rows)), v)
+                    while c.shape[1] > d.shape[1]:
+                        c = c[:, 0::2] + c[:, 1::2]
+                    while d.shape[1] > c.shape[1]:
+                        d = d[:, 0::2] + d[:, 1::2]
+                    both = c.sum(1, dtype=np.int64) + d.sum(1, dtype=np.int64)
+                    same = np.minimum(c, d).sum(1, dtype=np.int64)
+                    level[rows] = (q * same >= p * (both - same)).astype(np.int32) + (q * same >= (2 * p - q) * (both - same))
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names if c not in ("x", "y")), pa.array(level)], [*(c for c in b.schema.names if c not in ("x", "y")), "level"])
 
     return run
 
 
+def with_levels(pairs: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
+    """`pairs` (a, b and others) with `level`, see `_levels`."""
+    left, right = (sketches.select(F.col("node").alias(n), F.col("sketch").alias(i)) for n, i in (("a", "x"), ("b", "y")))
+    columns = [c for c in pairs.columns if c not in ("a", "b")]
+    return pairs.join(left, "a").join(right, "b").select("a", "b", *columns, "x", "y").mapInArrow(_levels(p, q), f"a long, b long, {''.join(f'{c} long, ' for c in columns)}level int")
+
+
 def _verify(p: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,7 +304,7 @@ def with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.withColumns({"root_a": F.coalesce("root_a", "a"), "root_b": F.coalesce("root_b", "b")})
 
 
-def apart(stars: DataFrame, sets: DataFrame, roots: DataFrame, p: int, q: int) -> DataFrame:
+def apart(stars: DataFrame, edges: DataFrame, sets: DataFrame, roots: DataFrame, p: int, q: int) -> DataFrame:
     """Candidates among the nodes of a pivot that lie in different components: pairs a and b, without the pivot's own.
 
     With A and B what two nodes differ by from the pivot, they differ from each other by |A| + |B| - 2 |A & B|, so a
@@ -230,9 +313,15 @@ def apart(stars: DataFrame, sets: DataFrame, roots: DataFrame, p: int, q: int) -
     any partner. A node outside the pivot's component lists at most D + 1 items; one inside needs to share more than
     half of its own with a node outside, so it lists less than half, mostly items that nobody else has. Positions in the
     lists bound what two nodes can still share.
+
+    Jaccard distance is a metric: a node linked with the pivot is linked with none that is more than twice as far from
+    the pivot (level 0), so linked nodes list nothing where all nodes outside are so far.
     """
-    rows = with_roots(stars, roots)
-    rows = staged(rows.join(rows.where("root_a <> root_b").select("a").distinct(), "a", "left_semi"))
+    rows = with_roots(stars.join(edges.select("a", "b", F.lit(True).alias("linked")), ["a", "b"], "left"), roots)
+    close = F.max(F.when(F.col("linked").isNull() & (F.col("root_a") != F.col("root_b")), F.col("level")))
+    kept = rows.join(rows.groupBy("a").agg(close.alias("close")), "a").where("linked is null or close > 0")
+    mixed = kept.groupBy("a").agg(F.min("root_b").alias("r0"), F.max("root_b").alias("r1")).where("r0 <> r1").select("a")
+    rows = staged(kept.join(mixed, "a", "left_semi").select("a", "b", "root_a", "root_b"))
     left, right = (sets.select(F.col("node").alias(n), F.col("items").alias(i)) for n, i in (("a", "x"), ("b", "y")))
     kept = "a long, b long, root_a long, root_b long, n_a long, n_b long, delta array<long>"
     delta = rows.join(left, "a").join(right, "b").mapInArrow(_deltas, kept)
@@ -268,33 +357,33 @@ def near_groups(df: DataFrame, width: int = 5, similarity: tuple[int, int] = (80
     """
     p, q = similarity
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    hashed = docs.withColumn("h", F.xxhash64("text"))
-    members = staged(hashed.mapInArrow(_members(width), "doc_id long, h long, n_shingles long, node long, digest long"))
-    keys = docs.select("text").mapInArrow(_keys(width, p, q), "key long, node long")
-    shared = staged(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long"))
+    members = staged(docs.withColumn("h", F.xxhash64("text")).mapInArrow(_members(width), ", ".join(f"{c} {t}" for c, t in MEMBERS.items())))
+    keys = members.where("n_shingles > 0").select("node", "items").mapInArrow(_keys(p, q), "key long, node long")
+    every = staged(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long"))
+    shared = commonest_left_out(every, p, q)
+    spent(every)
 
     nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     weight = shared.groupBy("node").agg(F.count("*").alias("weight"))
-    some = nodes.join(weight, "node").select(F.col("doc_id").alias("_id")).distinct()
-    sets = docs.join(some, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(_sets(width), "node long, items binary")
-    sets = staged(sets.dropDuplicates(["node"]))
+    sets = staged(members.select("node", "sketch", "items").join(weight, "node", "left_semi").dropDuplicates(["node"]))
 
     pivot = shared.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"))
     stars = shared.join(pivot, "key").where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("keys"))
-    stars = staged(stars)
+    stars = staged(with_levels(stars, sets, p, q))
+    spent(shared)
     # First each node against its commonest pivot, then against those that it is not connected with already.
-    first = stars.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b")
+    near = stars.where("level = 2")
+    first = near.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b")
     edges = staged(linked(first, sets, p, q))
     roots = staged(components(edges))
-    other = with_roots(stars.join(first, ["a", "b"], "left_anti"), roots).where("root_a <> root_b").select("a", "b")
+    other = with_roots(near.join(first, ["a", "b"], "left_anti"), roots).where("root_a <> root_b").select("a", "b")
     edges = edges.unionByName(staged(linked(other, sets, p, q)))
     roots = staged(components(edges))
-    stars = stars.select("a", "b")
 
-    rest = apart(stars, sets, roots, p, q)
-    more = staged(linked(rest, sets, p, q))
+    more = staged(linked(apart(stars, edges, sets, roots, p, q), sets, p, q))
     if not more.isEmpty():
         roots = staged(components(edges.unionByName(more)))
+    spent(sets, stars)
 
     whole = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))
