@@ -2,12 +2,15 @@
 
 Segmentation is the merge agenda of a BPE vocabulary: the best-scored adjacent pair that forms a piece is merged,
 leftmost first among equals, until none is left. With dropout, a candidate merge (start, middle and end in its word)
-is skipped when its hash, keyed by seed, variant and word, falls below the rate. The words of a document take the
-variants in turn, from an offset that hashes its text, so the same word is cut in up to `variants` ways, and any rerun
-cuts it alike. No merge crosses from a letter to a space, so words are independent and each worker keeps a bounded
-memo of (variant, word). A batch's unseen words are merged together as matrices, a column for each symbol; very long
-words go through the same agenda one by one. Characters outside the vocabulary, line breaks and literal
-U+2581 become byte pieces.
+is skipped when its hash falls below the rate. The hash is keyed by seed, text and the word's place in it, so every
+occurrence of a word is cut on its own, and any rerun cuts it alike. No merge crosses from a letter to a space, so words
+are independent.
+
+What the agenda does with a word depends only on which candidates are skipped as they come up. Each worker keeps these
+decisions as a bounded graph: a state knows its next candidate, and which state follows if it is merged or skipped. The
+occurrences of a slice of texts walk the graph together, each with hashes of its own, and states that none has reached
+before are computed together, as matrices with a column for each symbol. Very long words go through the same agenda one
+by one. Characters outside the vocabulary, line breaks and literal U+2581 become byte pieces.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +30,11 @@ from pyspark.sql import DataFrame
 U = np.uint64
 MASK = (1 << 64) - 1
 K = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: Words of up to so many characters are merged together, by length; longer ones alone.
+#: Words of up to so many characters walk a graph, one for each length; longer ones are merged alone.
 LENGTHS = (4, 6, 8, 10, 13, 17, 24)
-MEMO = 1_000_000
-SLICE_CHARS = 3_000_000
+STATES = 700_000  # of all graphs of a worker; beyond that it starts anew
+SLOT_BITS = 20
+SLICE_CHARS = 1_500_000
 WORD = re.compile(r" *[^ \n]+| +|\n")
 SPACE = "▁"
 
@@ -68,12 +73,26 @@ class Vocabulary:
         self.codes = np.array(sorted(self.pairs), np.int64)
         self.merged = np.array([self.pairs[c] for c in self.codes.tolist()], np.int32)
 
+        slot = self.slot(self.codes)
+        self.first, self.crowded = np.zeros(1 << SLOT_BITS, np.int32), np.bincount(slot, minlength=1 << SLOT_BITS) > 1
+        self.first[slot] = np.arange(len(slot))
+
+    @staticmethod
+    def slot(codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(U) * U(K[0]) >> U(64 - SLOT_BITS)).astype(np.int64)
+
     def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ids of the pieces that pairs form, or -1."""
         n = self.n
         code = np.where((left >= 0) & (right >= 0) & (left < n) & (right < n), left.astype(np.int64) * n + right, -1)
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where(self.codes[at] == code, self.merged[at], -1)
+        slot = self.slot(code)
+        at = self.first[slot]
+        fits = self.codes[at] == code
+        more = self.crowded[slot] & ~fits
+        if more.any():
+            at[more] = np.minimum(np.searchsorted(self.codes, code[more]), len(self.codes) - 1)
+            fits = self.codes[at] == code
+        return np.where(fits, self.merged[at], -1)
 
     def packed(self, ids: np.ndarray) -> bytes:
         """int32 ids, with characters outside the vocabulary as byte pieces."""
@@ -119,135 +138,182 @@ def agenda(v: Vocabulary, word: str, key: int, below: int) -> bytes:
     return v.packed(np.array([s for s in sym if s >= 0], np.int64))
 
 
-def hashed(key: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """mixed() of candidate merges, by element."""
-    with np.errstate(over="ignore"):
-        h = key + a.astype(U) * U(K[0]) + b.astype(U) * U(K[1]) + c.astype(U) * U(K[2])
-        h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-        return h ^ (h >> U(31))
-
-
-def together(v: Vocabulary, words: list[str], keys: np.ndarray, below: int) -> list[bytes]:
-    """Words of similar lengths, all at once: each round merges every word's best pair."""
-    count = len(words)
-    long = np.fromiter(map(len, words), np.int64, count)
-    n = int(long.max())
-    sym = np.full((count, n + 2), -1, np.int32)
-    sym[:, :n][np.arange(n) < long[:, None]] = v.char[codes_of("".join(words))]
-    edge = np.minimum(np.arange(n + 3), long[:, None]).astype(np.uint8)
-    out, live = [b""] * count, np.arange(count)
-
-    def costs(left, right, a, b, c, key):
-        to = v.join(left, right)
-        cost = np.full(to.shape, np.inf, np.float32)
-        some = np.flatnonzero(to.ravel() >= 0)
-        flat = lambda m: np.broadcast_to(m, to.shape).ravel()[some]
-        kept = hashed(flat(key), flat(a), flat(b), flat(c)) >= U(below)
-        cost.ravel()[some[kept]] = v.cost[to.ravel()[some[kept]]]
-        return cost
-
-    cost = costs(sym[:, :n], sym[:, 1 : n + 1], edge[:, :n], edge[:, 1 : n + 1], edge[:, 2 : n + 2], keys[:, None])
-    place = np.arange(n + 3)
-    while len(live):
-        row = np.arange(len(live))
+def hashed(x: np.ndarray) -> np.ndarray:
+    """mixed(), by element."""
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+class Graph:
+    """States of the agenda for words of at most `n` characters, a column for each character.
+
+    A symbol stands at its first character. Of a state: its symbols (-1: none), where the next and the one before stand,
+    the cost of merging each with the next (infinite: no piece, or skipped), the salt of its next candidate, the states
+    after merging (0) and after skipping it (1), or, where no candidate is left, the place and number of its ids in `pool`.
+    """
+
+    def __init__(self, v: Vocabulary, n: int):
+        self.v, self.n, self.used, self.filled = v, n, 0, 0
+        self.sym, self.next, self.last = np.empty((1024, n + 1), np.int32), np.empty((1024, n + 1), np.uint8), np.empty((1024, n + 1), np.uint8)
+        self.cost, self.best, self.salt = np.empty((1024, n), np.float32), np.empty(1024, np.int8), np.empty(1024, U)
+        self.after, self.done, self.at, self.size = np.empty((1024, 2), np.int32), np.empty(1024, bool), np.empty(1024, np.int64), np.empty(1024, np.int32)
+        self.pool = np.empty(4096, np.int32)
+
+    def add(self, sym: np.ndarray, next_: np.ndarray, last: np.ndarray, cost: np.ndarray) -> np.ndarray:
+        """New states."""
+        a, b = self.used, self.used + len(sym)
+        self.used = b
+        if b > len(self.salt):
+            for name in ("sym", "next", "last", "cost", "best", "salt", "after", "done", "at", "size"):
+                old = getattr(self, name)
+                wider = np.empty((max(b, 3 * len(old) // 2), *old.shape[1:]), old.dtype)
+                wider[:a] = old[:a]
+                setattr(self, name, wider)
+        row = np.arange(len(sym))
         best = cost.argmin(1)
-        going = cost[row, best] < np.inf
-        if not going.all():
-            done = sym[~going]
-            has = done >= 0
-            ends = np.cumsum(has.sum(1))
-            ids = done[has]
-            if len(ids) and ids.max() >= v.n:
-                found = [v.packed(x) for x in np.split(ids, ends[:-1])]
-            else:
-                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-                found = [raw[a:b] for a, b in zip(at, at[1:])]
-            for k, x in zip(live[~going].tolist(), found, strict=True):
-                out[k] = x
-            live, sym, edge, cost, keys, best = live[going], sym[going], edge[going], cost[going], keys[going], best[going]
-            row = np.arange(len(live))
-            if not len(live):
-                break
-        to = v.join(sym[row, best], sym[row, best + 1])
-        # Symbol and edge at best + 1 and the pair at best go, what follows moves up, and the last column stays.
-        m = sym.shape[1]
-        after = np.minimum(place[:m] + (place[:m] > best[:, None]), m - 1)
-        sym = np.take_along_axis(sym, after, 1)
-        m = edge.shape[1]
-        edge = np.take_along_axis(edge, np.minimum(place[:m] + (place[:m] > best[:, None]), m - 1), 1)
-        m = cost.shape[1]
-        cost = np.take_along_axis(cost, np.minimum(place[:m] + (place[:m] >= best[:, None]), m - 1), 1)
-        cost[:, -1] = np.inf
-        sym[row, best] = to
-        for at in (best - 1, best):
-            ok = np.flatnonzero((at >= 0) & (at < m))
-            a = at[ok]
-            cost[ok, a] = costs(sym[ok, a], sym[ok, a + 1], edge[ok, a], edge[ok, a + 1], edge[ok, a + 2], keys[ok])
-        if (sym[:, -3:] < 0).all() and m > 2:  # fewer symbols are left: narrower matrices
-            sym, edge, cost = sym[:, :-1], edge[:, :-1], cost[:, :-1]
-    return out
+        done = cost[row, best] == np.inf
+        mid = next_[row, best]
+        self.sym[a:b], self.next[a:b], self.last[a:b], self.cost[a:b], self.best[a:b], self.done[a:b], self.after[a:b] = sym, next_, last, cost, best, done, -1
+        self.salt[a:b] = best.astype(U) * U(K[0]) + mid.astype(U) * U(K[1]) + next_[row, mid].astype(U) * U(K[2])
+        if done.any():
+            ends = sym[done]
+            has = ends >= 0
+            size, ids = has.sum(1), ends[has]
+            if len(ids) and ids.max() >= self.v.n:
+                cut = [np.frombuffer(self.v.packed(x), np.int32) for x in np.split(ids, np.cumsum(size)[:-1])]
+                size, ids = np.array([len(x) for x in cut]), np.concatenate(cut)
+            self.at[a:b][done] = self.filled + np.cumsum(size) - size
+            self.size[a:b][done] = size
+            if self.filled + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.filled], np.empty(max(len(self.pool) // 2, len(ids)), np.int32)])
+            self.pool[self.filled : self.filled + len(ids)] = ids
+            self.filled += len(ids)
+        return np.arange(a, b)
+
+    def costs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        to = self.v.join(left, right)
+        return np.where(to >= 0, self.v.cost[to], np.float32(np.inf))
+
+    def roots(self, words: list[str]) -> np.ndarray:
+        """First states of new words."""
+        n, long = self.n, np.fromiter(map(len, words), np.int64, len(words))
+        sym = np.full((len(words), n + 1), -1, np.int32)
+        sym[np.arange(n + 1) < long[:, None]] = self.v.char[codes_of("".join(words))]
+        place = np.broadcast_to(np.arange(n + 1, dtype=np.uint8), sym.shape)
+        return self.add(sym, np.minimum(place + np.uint8(1), long[:, None]).astype(np.uint8), np.maximum(place, 1) - np.uint8(1), self.costs(sym[:, :n], sym[:, 1:]))
+
+    def grow(self, states: np.ndarray, skips: np.ndarray) -> None:
+        """Computes what follows `states` if their candidate is skipped or merged."""
+        sym, next_, last, cost, k = self.sym[states], self.next[states], self.last[states], self.cost[states], self.best[states]
+        cost[np.arange(len(states)), k] = np.inf
+        m = np.nonzero(~skips)[0]
+        k = k[m]
+        mid = next_[m, k]
+        end = next_[m, mid]
+        to = self.v.join(sym[m, k], sym[m, mid])
+        sym[m, k], sym[m, mid], next_[m, k], last[m, end] = to, -1, end, k
+        inside = mid < self.n
+        cost[m[inside], mid[inside]] = np.inf
+        cost[m, k] = self.costs(to, sym[m, end])
+        some = k > 0
+        m, k, to = m[some], k[some], to[some]
+        before = last[m, k]
+        cost[m, before] = self.costs(sym[m, before], to)
+        self.after[states, skips.astype(np.int8)] = self.add(sym, next_, last, cost)
+
+    def walk(self, state: np.ndarray, key: np.ndarray, below: int) -> np.ndarray:
+        """The last state of each occurrence, from the first state of its word."""
+        out, live = np.empty(len(state), np.int64), np.arange(len(state))
+        while len(live):
+            done = self.done[state]
+            if done.any():
+                out[live[done]] = state[done]
+                live, state, key = live[~done], state[~done], key[~done]
+            skips = hashed(key + self.salt[state]) < U(below)
+            step = state * 2 + skips
+            to = self.after.ravel()[step]
+            new = np.nonzero(to < 0)[0]
+            if len(new):
+                step, mark = step[new], -2 - np.arange(len(new), dtype=np.int32)
+                self.after.ravel()[step] = mark
+                one = step[self.after.ravel()[step] == mark]  # each step once
+                self.grow(one >> 1, (one & 1).astype(bool))
+                to[new] = self.after.ravel()[step]
+            state = to.astype(np.int64)
+        return out
 
 
 class Encoder:
-    def __init__(self, path: str, dropout: float, seed: int, variants: int):
-        self.v, self.below, self.seed, self.variants = vocabulary(path), int(dropout * 2**64) if dropout < 1 else MASK, seed, variants if dropout > 0 else 1
-        self.memo: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def learn(self, new: list[set[str]]) -> None:
-        """Adds the words of each variant to its memo."""
-        by_length: dict[int, list[tuple[str, int]]] = {}
-        for variant, words in enumerate(new):
-            for w in words:
-                by_length.setdefault(bisect_left(LENGTHS, len(w)), []).append((w, variant))
-        key = lambda x: xxhash.xxh3_64_intdigest(x[0].encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + x[1] & MASK)
-        for size, own in by_length.items():
-            if size == len(LENGTHS):
-                cut = [agenda(self.v, w, key((w, k)), self.below) for w, k in own]
-            else:
-                cut = []
-                for at in range(0, len(own), 20_000):
-                    some = own[at : at + 20_000]
-                    cut += together(self.v, [w for w, _ in some], np.fromiter(map(key, some), U, len(some)), self.below)
-            for (w, k), x in zip(own, cut, strict=True):
-                self.memo[k][w] = x
+    def __init__(self, path: str, dropout: float, seed: int):
+        self.v, self.below, self.seed = vocabulary(path), int(dropout * 2**64) if dropout < 1 else MASK, seed
+        self.forget()
+
+    def forget(self) -> None:
+        self.graphs = [Graph(self.v, n) for n in LENGTHS]
+        self.memo: dict[str, int] = {}  # a word's first state times 8 plus its graph, or -2 for one to be merged alone
+
+    def learn(self, words: set[str]) -> None:
+        by_length: list[list[str]] = [[] for _ in range(len(LENGTHS) + 1)]
+        for w in words:
+            by_length[bisect_left(LENGTHS, len(w))].append(w)
+        for size, (graph, own) in enumerate(zip(self.graphs, by_length)):
+            for at in range(0, len(own), 50_000):
+                some = own[at : at + 50_000]
+                self.memo.update(zip(some, (graph.roots(some) * 8 + size).tolist(), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        n = self.variants
-        if sum(map(len, self.memo)) > MEMO:
-            self.memo = [{} for _ in range(n)]
+        if sum(g.used for g in self.graphs) > STATES:
+            self.forget()
         cut = [WORD.findall(" " + t) if t else [] for t in texts]
-        first = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"), self.seed & MASK) % n for t in texts]
-        new: list[set[str]] = [set() for _ in range(n)]
-        for words, f in zip(cut, first, strict=True):
-            for r in range(n):
-                new[r].update(words[(r - f) % n :: n])
-        self.learn([words - memo.keys() for words, memo in zip(new, self.memo, strict=True)])
-        out = []
-        for words, f in zip(cut, first, strict=True):
-            got: list = [None] * len(words)
-            for r in range(n):
-                got[(r - f) % n :: n] = map(self.memo[r].__getitem__, words[(r - f) % n :: n])
-            out.append(np.frombuffer(b"".join(got), np.int32))
-        return out
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        words = [w for ws in cut for w in ws]
+        first = np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"), self.seed & MASK) for t in texts), U, len(texts))
+        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = hashed(np.repeat(first, sizes) + place.astype(U) * U(K[0]))
+        self.learn(set(words).difference(self.memo))
+        known = np.fromiter(map(self.memo.get, words, repeat(-2)), np.int64, len(words))
+
+        start, size, pools, filled = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+        for k, graph in enumerate(self.graphs):
+            own = np.nonzero((known >= 0) & (known & 7 == k))[0]
+            if len(own):
+                last = graph.walk(known[own] >> 3, key[own], self.below)
+                start[own], size[own] = graph.at[last] + filled, graph.size[last]
+            pools.append(graph.pool[: graph.filled])
+            filled += graph.filled
+        for i in np.nonzero(known == -2)[0].tolist():
+            ids = np.frombuffer(agenda(self.v, words[i], int(key[i]), self.below), np.int32)
+            pools.append(ids)
+            start[i], size[i] = filled, len(ids)
+            filled += len(ids)
+        ends = np.cumsum(size)
+        ids = np.concatenate([*pools, np.empty(0, np.int32)])[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        return np.split(ids, np.concatenate([[0], ends])[np.cumsum(sizes)][:-1]) if texts else []
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.v.bytes.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, dropout: float = 0.1, seed: int = 1, variants: int = 8) -> DataFrame:
+@lru_cache(maxsize=2)
+def encoder(path: str, dropout: float, seed: int) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path, dropout, seed)
+
+
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """One row per row of `df`: doc_id, n_tokens, ids and lossless (the ids decode to the very text).
 
     A null text has null ids and 0 tokens, and lossless is true; an empty text has no ids. Words of any length and
-    whole texts are encoded; memory is bounded by MEMO words, a slice of texts and the longest text. Nothing is
+    whole texts are encoded; memory is bounded by STATES, a slice of texts and the longest text. Nothing is
     shuffled. Rows with equal texts get equal ids. Other columns are not read. With dropout 0 the result is the
     vocabulary's plain segmentation.
     """
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path, dropout, seed, variants)
+        coder = encoder(path, dropout, seed)
         for b in batches:
             at = 0
             while at < len(b):

@@ -17,7 +17,7 @@ def texts(n=200):
 
 def test_no_dropout_is_the_plain_segmentation():
     model = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    coder = pieces.Encoder(PATH, 0.0, 1, 8)
+    coder = pieces.Encoder(PATH, 0.0, 1)
     plain = [t for t in texts() if "▁" not in t]
     for t, ids in zip(plain, coder.encode(plain)):
         assert ids.tolist() == model.encode(t), t
@@ -25,19 +25,37 @@ def test_no_dropout_is_the_plain_segmentation():
 
 @pytest.mark.parametrize("dropout", [0.1, 0.5, 1.0])
 def test_dropout_is_lossless_and_both_ways_of_merging_agree(dropout, monkeypatch):
-    fast = pieces.Encoder(PATH, dropout, 7, 4)
+    fast = pieces.Encoder(PATH, dropout, 7)
     got = fast.encode(texts())
     assert [fast.decode(i) for i in got] == texts()
     monkeypatch.setattr(pieces, "LENGTHS", ())
-    slow = pieces.Encoder(PATH, dropout, 7, 4)
+    slow = pieces.Encoder(PATH, dropout, 7)
     assert all(np.array_equal(a, b) for a, b in zip(got, slow.encode(texts())))
 
 
 def test_segmentations_vary_and_repeat():
-    same = ["understanding understanding understanding understanding understanding understanding understanding understanding"]
-    a, b, c = (pieces.Encoder(PATH, 0.3, s, 8).encode(same)[0].tolist() for s in (1, 1, 2))
+    same = [" ".join(["understanding"] * 400)]
+    a, b, c = (pieces.Encoder(PATH, 0.3, s).encode(same)[0].tolist() for s in (1, 1, 2))
     assert a == b and a != c
-    assert len({tuple(pieces.Encoder(PATH, 0.3, s, 1).encode(["understanding"])[0].tolist()) for s in range(30)}) > 3
+    coder = pieces.Encoder(PATH, 0.3, 1)
+    ids = coder.encode(same)[0]
+    cuts, at = [[]], 0
+    for i in ids.tolist():  # one list for each occurrence
+        cuts[-1].append(i)
+        at += len(coder.v.bytes[i])
+        if at % len(" understanding") == 0:
+            cuts.append([])
+    assert len(cuts) == 401 and len({tuple(x) for x in cuts[:-1]}) > 40  # no set number of ways to cut a word
+    other = coder.encode(["another text: " + same[0]])[0].tolist()
+    assert other[-len(ids) :] != ids.tolist()
+
+
+def test_states_that_are_forgotten_change_nothing(monkeypatch):
+    want = [x.tolist() for x in pieces.Encoder(PATH, 0.2, 3).encode(texts())]
+    monkeypatch.setattr(pieces, "STATES", 50)
+    coder = pieces.Encoder(PATH, 0.2, 3)
+    assert [coder.encode([t])[0].tolist() for t in texts()] == want
+    assert coder.encode([]) == [] and [x.tolist() for x in coder.encode(["", ""])] == [[], []]
 
 
 def test_rows(spark):

@@ -34,7 +34,7 @@ def test_every_stage_against_brute_force(spark, tmp_path):
     want = {(r.doc_id, r.source): r.copies for r in mixing.mix(spark.createDataFrame(single, docs.schema)).collect() if r.copies}
     assert Counter((r[0], r[3]) for r in mixed) == Counter(want)
     last = corpus_pipeline.STAGES[3][1](spark, spark.createDataFrame(mixed, docs.schema), str(tmp_path)).collect()
-    coder = pieces.Encoder(pieces.default_model(), 0.1, 1, 8)
+    coder = pieces.Encoder(pieces.default_model(), 0.1, 1)
     text = {r[0]: r[1] for r in rows}
     assert len(last) == len(mixed) and all(coder.decode(__import__("numpy").array(r.ids)) == text[r.doc_id] for r in last)
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
