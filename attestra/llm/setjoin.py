@@ -25,12 +25,13 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.llm.components import components
+from attestra.llm.filters import Filter
 from attestra.plans.staging import spent, staged
 
 U = np.uint64
@@ -139,32 +140,31 @@ def sketch(s: np.ndarray) -> bytes:
 def _members(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.slice(at, 500)
-                sets = [shingle_set(t.as_py(), width) for t in part["text"]]
-                n, node, check, bins, items = zip(*[(len(s), *digest(s), sketch(s), s.tobytes()) for s in sets], strict=True)
-                numbers = [pa.array(x, pa.int64()) for x in (n, node, check)]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["h"], *numbers, pa.array(bins, pa.binary()), pa.array(items, pa.binary())], [*MEMBERS])
+            rows = []
+            for t in b["text"]:
+                s = shingle_set(t.as_py(), width)
+                rows.append((len(s), *digest(s)))
+            n, node, check = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], *(pa.array(x, pa.int64()) for x in (n, node, check))], ["doc_id", "h", "n_shingles", "node", "digest"])
 
     return run
 
 
-MEMBERS = {"doc_id": "long", "h": "long", "n_shingles": "long", "node": "long", "digest": "long", "sketch": "binary", "items": "binary"}
-
-
-def _keys(p: int, q: int):
+def _keys(width: int, p: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             keys, nodes, size = [np.empty(0, U)], [np.empty(0, np.int64)], 0
-            for node, items in zip(b["node"].to_pylist(), b["items"], strict=True):
-                if node not in seen:  # equal sets of a task give their keys once
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(node)
-                    keys.append(signatures(np.frombuffer(items.as_buffer(), U), p, q))
-                    nodes.append(np.full(len(keys[-1]), node, np.int64))
-                    size += len(keys[-1])
+            for h, t in zip(b["h"].to_pylist(), b["text"], strict=True):
+                if h in seen:  # equal texts of a task give their keys once
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(h)
+                s = shingle_set(t.as_py(), width)
+                keys.append(signatures(s, p, q))
+                nodes.append(np.full(len(keys[-1]), digest(s)[0], np.int64))
+                size += len(keys[-1])
                 if size > 200_000:
                     yield _pairs(keys, nodes)
                     keys, nodes, size = [np.empty(0, U)], [np.empty(0, np.int64)], 0
@@ -199,6 +199,22 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(v[keep])], ["key", "node"])
 
 
+def _sets(width: int, wanted):
+    """Sets and sketches of texts whose hash may be wanted; equal texts of a batch once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Filter = wanted.value
+        for b in batches:
+            h, first = np.unique(b["h"].to_numpy(zero_copy_only=False), return_index=True)
+            rows = first[known.may_have(h.view(U))]
+            for at in range(0, len(rows), 500):
+                sets = [shingle_set(t.as_py(), width) for t in b["text"].take(pa.array(rows[at : at + 500]))]
+                node, bins, items = zip(*[(digest(s)[0], sketch(s), s.tobytes()) for s in sets], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(bins, pa.binary()), pa.array(items, pa.binary())], ["node", "sketch", "items"])
+
+    return run
+
+
 def commonest_left_out(shared: DataFrame, p: int, q: int) -> DataFrame:
     """`shared` (key, node) without the keys of each node and band that most nodes have, as many as are spare.
 
@@ -235,7 +251,7 @@ def _levels(p: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = b["x"], b["y"]
-            wide = np.stack([pa.compute.binary_length(v).to_numpy(zero_copy_only=False) for v in (x, y)])
+            wide = np.stack([pc.binary_length(v).to_numpy(zero_copy_only=False) for v in (x, y)])
             level = np.full(len(b), 2, np.int32)
             for u, v in np.unique(wide[:, (wide > 0).all(0)], axis=1).T.tolist():
                 every = np.nonzero((wide[0] == u) & (wide[1] == v))[0]
@@ -283,18 +299,36 @@ def linked(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(_verify(p, q), "a long, b long")
 
 
-def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For pivots a and nodes b: the items that only one of the two has."""
-    for b in batches:
-        sets = [(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)) for x, y in zip(b["x"], b["y"], strict=True)]
-        delta = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in sets]
-        for k in range(0, len(sets), 200):
-            d, some = delta[k : k + 200], sets[k : k + 200]
-            ends = np.concatenate([[0], np.cumsum([len(v) for v in d])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(d)))
-            sizes = [pa.array([len(v[j]) for v in some], pa.int64()) for j in (0, 1)]
-            roots = [b[c].slice(k, len(d)) for c in ("a", "b", "root_a", "root_b")]
-            yield pa.RecordBatch.from_arrays([*roots, *sizes, lists], ["a", "b", "root_a", "root_b", "n_a", "n_b", "delta"])
+def _listed(p: int, q: int):
+    """For pivots a and nodes b: the first items that only one of the two has, as many as `apart` asks for.
+
+    Items that the pivot lacks come first, then those that the node lacks, each by hash: one order for all of a pivot.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                b = batch.slice(at, 200)
+                items, number, d, n = [np.empty(0, U)], [], [], []
+                for x, y, inside in zip(b["x"], b["y"], pc.equal(b["root_a"], b["root_b"]).to_pylist(), strict=True):
+                    x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                    own, gone = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+                    n_a, n_b, size = len(x), len(y), len(own) + len(gone)
+                    most = (n_b + n_b * q // p) * (q - p) // (q + p)  # differences allowed to any partner of the node
+                    nearest = (-(-n_b * p // q) + n_a) * (q - p) // (q + p) + 1  # of a node outside to the pivot, at least
+                    length = size + (most - nearest - size) // 2 + 1 if inside else min(size, most + 1)
+                    items.append(np.concatenate([own, gone])[: max(0, length)])
+                    number.append(len(items[-1]))
+                    d.append(size)
+                    n.append(n_b)
+                number = np.array(number)
+                row = np.repeat(np.arange(len(b)), number)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+                left = np.array(d)[row] - place
+                columns = [b["a"].take(pa.array(row)), pa.array(np.concatenate(items).view(np.int64)), b["b"].take(pa.array(row)), b["root_b"].take(pa.array(row))]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v.astype(np.int32)) for v in (np.array(n)[row], np.array(d)[row], left))], ["a", "item", "node", "root", "n", "d", "left"])
+
+    return run
 
 
 def with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -309,8 +343,8 @@ def apart(stars: DataFrame, edges: DataFrame, sets: DataFrame, roots: DataFrame,
 
     With A and B what two nodes differ by from the pivot, they differ from each other by |A| + |B| - 2 |A & B|, so a
     link of nodes in different components needs a common item of A and B, and the more, the farther they are. That
-    is a join of small sets with prefix filtering: rarest items of a pivot first, a node lists as many as it must for
-    any partner. A node outside the pivot's component lists at most D + 1 items; one inside needs to share more than
+    is a join of small sets with prefix filtering: what the pivot lacks comes first, and a node lists as many as it must
+    for any partner. A node outside the pivot's component lists at most D + 1 items; one inside needs to share more than
     half of its own with a node outside, so it lists less than half, mostly items that nobody else has. Positions in the
     lists bound what two nodes can still share.
 
@@ -323,19 +357,8 @@ def apart(stars: DataFrame, edges: DataFrame, sets: DataFrame, roots: DataFrame,
     mixed = kept.groupBy("a").agg(F.min("root_b").alias("r0"), F.max("root_b").alias("r1")).where("r0 <> r1").select("a")
     rows = staged(kept.join(mixed, "a", "left_semi").select("a", "b", "root_a", "root_b"))
     left, right = (sets.select(F.col("node").alias(n), F.col("items").alias(i)) for n, i in (("a", "x"), ("b", "y")))
-    kept = "a long, b long, root_a long, root_b long, n_a long, n_b long, delta array<long>"
-    delta = rows.join(left, "a").join(right, "b").mapInArrow(_deltas, kept)
-
-    d, n = F.size("delta"), F.col("n_b")
-    most = F.floor((n + F.floor(n * q / p)) * (q - p) / (q + p))  # differences allowed to any partner of the node
-    nearest = F.floor((F.ceil(n * p / q) + F.col("n_a")) * (q - p) / (q + p)) + 1  # of a node outside to the pivot, at least
-    inside = d - F.ceil((nearest + d - most) / 2) + 1
-    length = F.when(F.col("root_a") == F.col("root_b"), inside).otherwise(F.least(d, most + 1))
-    items = staged(delta.withColumns({"length": length, "d": d}).where("length > 0").select("a", "b", "root_b", "length", "d", n.alias("n"), F.explode("delta").alias("item")))
-    often = items.groupBy("a", "item").agg(F.count("*").alias("often"))
-    first = F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "item"))
-    listed = items.join(often, ["a", "item"]).withColumn("place", first).where("place <= length and often > 1")
-    listed = staged(listed.select("a", "item", F.col("b").alias("node"), F.col("root_b").alias("root"), "n", "d", (F.col("d") - F.col("place") + 1).alias("left")))
+    listed = rows.join(left, "a").join(right, "b").mapInArrow(_listed(p, q), "a long, item long, node long, root long, n int, d int, left int")
+    listed = staged(listed)
     # An item that only nodes of one component list tells nothing.
     across = listed.groupBy("a", "item").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("a", "item")
     listed = staged(listed.join(across, ["a", "item"], "left_semi"))
@@ -357,15 +380,18 @@ def near_groups(df: DataFrame, width: int = 5, similarity: tuple[int, int] = (80
     """
     p, q = similarity
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    members = staged(docs.withColumn("h", F.xxhash64("text")).mapInArrow(_members(width), ", ".join(f"{c} {t}" for c, t in MEMBERS.items())))
-    keys = members.where("n_shingles > 0").select("node", "items").mapInArrow(_keys(p, q), "key long, node long")
+    hashed = docs.withColumn("h", F.xxhash64("text"))
+    members = staged(hashed.mapInArrow(_members(width), "doc_id long, h long, n_shingles long, node long, digest long"))
+    keys = hashed.select("h", "text").mapInArrow(_keys(width, p, q), "key long, node long")
     every = staged(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long"))
     shared = commonest_left_out(every, p, q)
     spent(every)
 
     nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     weight = shared.groupBy("node").agg(F.count("*").alias("weight"))
-    sets = staged(members.select("node", "sketch", "items").join(weight, "node", "left_semi").dropDuplicates(["node"]))
+    some = df.sparkSession.sparkContext.broadcast(Filter(members.where("n_shingles > 0").join(weight, "node", "left_semi").select("h"), "h"))
+    sets = hashed.select("h", "text").mapInArrow(_sets(width, some), "node long, sketch binary, items binary")
+    sets = staged(sets.join(weight, "node", "left_semi").dropDuplicates(["node"]))
 
     pivot = shared.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"))
     stars = shared.join(pivot, "key").where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("keys"))
