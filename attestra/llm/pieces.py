@@ -32,9 +32,9 @@ MASK = (1 << 64) - 1
 K = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Words of up to so many characters walk a graph, one for each length; longer ones are merged alone.
 LENGTHS = (4, 6, 8, 10, 13, 17, 24)
-STATES = 700_000  # of all graphs of a worker; beyond that it starts anew
+STATES = 400_000  # of all graphs of a worker; beyond that it starts anew
 SLOT_BITS = 20
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 600_000
 WORD = re.compile(r" *[^ \n]+| +|\n")
 SPACE = "▁"
 
