@@ -26,12 +26,13 @@ from math import exp
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.llm import words
 from attestra.llm.components import components
 from attestra.llm.filters import Filter
+from attestra.llm.words import mix
 from attestra.plans.staging import spent, staged
 
 U = np.uint64
@@ -42,24 +43,17 @@ FALSE_COST, SINGLE_COST, COMMON_COST, COMMON = 50, 5, 8, 0.2
 BAND_BITS = 10
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser, by element."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct `width`-word shingles; of all words as one where there are fewer."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return np.empty(0, U)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))
-    n = max(1, len(h) - width + 1)
-    out = np.zeros(n, U)
-    for j in range(min(width, len(h))):
-        out = mix(out * U(0x9E3779B97F4A7C15) + h[j : j + n])
-    return np.unique(out)
+def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """Of each text, the sorted 64-bit hashes of its distinct `width`-word shingles; of all words as one where there are fewer."""
+    for _, some in words.slices(texts):
+        h, n = words.hashes(some)
+        size = np.where(n > 0, np.maximum(1, n - width + 1), 0)
+        start = np.arange(size.sum()) + np.repeat(np.cumsum(n) - n - np.cumsum(size) + size, size)
+        has, out = np.repeat(n, size), np.zeros(len(start), U)
+        for j in range(width):
+            there = np.nonzero(has > j)[0]
+            out[there] = mix(out[there] * U(0x9E3779B97F4A7C15) + h[start[there] + j])
+        yield from map(np.unique, np.split(out, np.cumsum(size)[:-1]))
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -141,8 +135,7 @@ def _members(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t in b["text"]:
-                s = shingle_set(t.as_py(), width)
+            for s in shingle_sets(b["text"], width):
                 rows.append((len(s), *digest(s)))
             n, node, check = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], *(pa.array(x, pa.int64()) for x in (n, node, check))], ["doc_id", "h", "n_shingles", "node", "digest"])
@@ -155,13 +148,12 @@ def _keys(width: int, p: int, q: int):
         seen: set[int] = set()
         for b in batches:
             keys, nodes, size = [np.empty(0, U)], [np.empty(0, np.int64)], 0
-            for h, t in zip(b["h"].to_pylist(), b["text"], strict=True):
+            for h, s in zip(b["h"].to_pylist(), shingle_sets(b["text"], width), strict=True):
                 if h in seen:  # equal texts of a task give their keys once
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(h)
-                s = shingle_set(t.as_py(), width)
                 keys.append(signatures(s, p, q))
                 nodes.append(np.full(len(keys[-1]), digest(s)[0], np.int64))
                 size += len(keys[-1])
@@ -208,7 +200,7 @@ def _sets(width: int, wanted):
             h, first = np.unique(b["h"].to_numpy(zero_copy_only=False), return_index=True)
             rows = first[known.may_have(h.view(U))]
             for at in range(0, len(rows), 500):
-                sets = [shingle_set(t.as_py(), width) for t in b["text"].take(pa.array(rows[at : at + 500]))]
+                sets = shingle_sets(b["text"].take(pa.array(rows[at : at + 500])), width)
                 node, bins, items = zip(*[(digest(s)[0], sketch(s), s.tobytes()) for s in sets], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(bins, pa.binary()), pa.array(items, pa.binary())], ["node", "sketch", "items"])
 
