@@ -10,24 +10,25 @@ Counts cover all training documents, and nothing is left out for being rare in a
 keyed by 64-bit hashes of word sequences, and grows with the corpus. A text's gain over the root is a sum over its word
 sequences: each adds what it stores as a next word, over what its parent gives, and the mass that it leaves as a
 context. So a text needs one look-up for each of its sequences. Tasks hold the frequent ones and a filter of fixed size
-that tells most sequences without entry; the others are found by a join. Both only decide where an entry is found.
+that tells most sequences without entry; the others are listed with the text and found by a join. Both only decide where
+an entry is found.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
-from functools import reduce
+from dataclasses import dataclass
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.plans.staging import staged
+from attestra.llm import words
+from attestra.llm.filters import Filter
+from attestra.plans.staging import spent, staged
 
 U = np.uint64
 LEAST = 3  # occurrences of contexts and stored next words
@@ -36,38 +37,42 @@ DISCOUNT = 0.75
 DEPTH = 3
 HOT_WORD = 5e-7  # words and longer sequences of this share are looked up in tasks, so at most 1 / share of each length
 HOT_SEQUENCE = 1e-6
-SLOTS = 20  # the filter has 2 ** SLOTS longs
 FOLDS, HELD = 7, 2
-END = b""
-HOLD = 300_000
+POSITIONS = 4_000_000  # that a task counts together
 STEP = U(0x9E3779B97F4A7C15)  # odd; the hash of a sequence is that of all but its last word * STEP + that of the last
+END = U(0x51A7E5EE0DD5EED5)  # stands for the hash of the end token
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == HELD
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words, split at ASCII white space with A-Z lower-cased, then the end token."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
+def positions(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, place in its text from 1, and text of each token: the words of each text, then the end."""
+    parts = [words.hashes(some) for _, some in words.slices(texts)] or [(np.empty(0, U), np.empty(0, np.int64))]
+    word, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    sizes = sizes + 1
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(1, len(text) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.full(len(text), END)
+    out[place < sizes[text]] = word
+    return out, place, text
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))
-
-
-END_HASH = int(hashes([END]).view(np.int64)[0])
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found, size = [], 0
 
+    def give() -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate([np.empty(0, U), *found]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-    give = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(hashes(list(seen)).view(np.int64)), pa.array(seen.values(), pa.int64())], ["word", "key", "n"])
     for b in batches:
-        for t in b["text"]:
-            seen.update(tokens(t.as_py()))
-            if len(seen) > HOLD:
+        for k in range(0, len(b), 500):
+            found.append(positions(b["text"].slice(k, 500))[0])
+            size += len(found[-1])
+            if size > POSITIONS:
                 yield give()
-                seen.clear()
+                found, size = [], 0
     yield give()
 
 
@@ -78,23 +83,26 @@ class Sparse:
         codes, first = np.unique(codes, return_index=True)
         self.codes, self.values = np.append(codes, np.int64(2**62)), tuple(np.append(v[first], 0.0) for v in values)
 
+    @cached_property
+    def slots(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """Made where it is used: for the high bits of a mixed code, where one such code is and whether there are more."""
+        bits = max(10, len(self.codes).bit_length() + 1)
+        slot = (self.codes.view(U) * STEP >> U(64 - bits)).astype(np.int64)
+        first = np.zeros(1 << bits, np.int32)
+        first[slot] = np.arange(len(slot))
+        return bits, first, np.bincount(slot, minlength=1 << bits) > 1
+
     def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each code is, and whether it is there."""
-        at = np.minimum(np.searchsorted(self.codes[:-1], codes), len(self.codes) - 1)
-        return at, (self.codes[at] == codes) & (at < len(self.codes) - 1)
-
-
-class Filter:
-    """Which hashes may be in a column: never wrong about those that are. Its size does not depend on theirs."""
-
-    def __init__(self, keys: DataFrame):
-        slot, bit = F.shiftrightunsigned("key", 64 - SLOTS), F.expr("shiftleft(1L, cast(key & 63 AS INT))")
-        rows = keys.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2 ** SLOTS rows at most
-        self.bits = np.zeros(1 << SLOTS, U)
-        self.bits[rows["slot"].to_numpy()] = rows["bits"].to_numpy().view(U)
-
-    def may_have(self, keys: np.ndarray) -> np.ndarray:
-        return (self.bits[keys >> U(64 - SLOTS)] >> (keys & U(63)) & U(1)).astype(bool)
+        bits, first, crowded = self.slots
+        slot = (codes.view(U) * STEP >> U(64 - bits)).astype(np.int64)
+        at = first[slot]
+        ok = self.codes[at] == codes
+        more = np.nonzero(crowded[slot] & ~ok)[0]
+        if len(more):
+            at[more] = np.minimum(np.searchsorted(self.codes[:-1], codes[more]), len(self.codes) - 1)
+            ok[more] = self.codes[at[more]] == codes[more]
+        return at, ok & (at < len(self.codes) - 1)
 
 
 def longer(key: np.ndarray, run: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,71 +114,16 @@ def longer(key: np.ndarray, run: np.ndarray, word: np.ndarray, size: int) -> tup
 
 @dataclass
 class Tree:
-    """Frequent words with their ids and log10 root probabilities, and frequent sequences by their hash.
+    """Frequent words with their log10 root probabilities, and frequent sequences by their hash.
 
     hot has log10 of the mass that a sequence leaves as a context, and of what it adds as a next word to its parent's
-    probability and that mass. nodes[d] has contexts by code: of one word its id, of two 2 ** 21 * (id of the first) +
-    (id of the last).
+    probability and that mass.
     """
 
-    ids: dict[bytes, int]
-    root: np.ndarray
+    root: Sparse
     unit: float  # log10 of the denominator of the root
-    words: np.ndarray  # their hashes
     hot: Sparse | None = None
 
-    @property
-    def nodes(self) -> tuple[Sparse, ...]:
-        keys, mass = self.hot.codes[:-1][self.hot.values[0][:-1] < 0], self.hot.values[0][:-1][self.hot.values[0][:-1] < 0]
-        own = Sparse(self.words.view(np.int64), np.arange(len(self.words), dtype=float))
-        at, one = own.find(keys)
-        last = np.nonzero(one)[0]
-        ids = own.values[0][at[last]].astype(np.int64)
-        out, back = [np.empty(0, np.int64)], [np.empty(0)]
-        for k, u in zip(keys[last].view(U), ids, strict=True):  # a pair's hash tells its first word by its last
-            at, ok = own.find(((keys.view(U) - k) * U(pow(int(STEP), -1, 2**64))).view(np.int64))
-            out.append(own.values[0][at[ok]].astype(np.int64) << 21 | u)
-            back.append(mass[ok])
-        return Sparse(ids, mass[last]), Sparse(np.concatenate(out), np.concatenate(back))
-
-    @property
-    def contexts2(self) -> Sparse:
-        return self.nodes[1]
-
-    def coded(self, texts: list) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-        """Tokens of each text, all ids (-1: not frequent) after two -1 for each text, and where a token stands."""
-        words = [tokens(t) for t in texts]
-        get, flat, real = self.ids.get, [], []
-        for ws in words:
-            flat += [-1, -1]
-            flat += [get(w, -1) for w in ws]
-            real += [False, False] + [True] * len(ws)
-        return words, np.array(flat, np.int64), np.array(real, bool)
-
-    def gain(self, ids: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability in its longest context over its root probability, by `hot` alone."""
-        word = np.where(ids >= 0, self.words[np.maximum(ids, 0)], U(0))
-        place = np.arange(len(ids))
-        run = place - np.maximum.accumulate(np.where(ids < 0, place, -1))
-        out, key, there = np.zeros(len(ids)), word, run >= 1
-        for size in range(1, DEPTH + 2):
-            if size > 1:
-                key, there = longer(key, run, word, size)
-            at, ok = self.hot.find(key.view(np.int64))
-            ok &= there
-            out += np.where(ok, self.hot.values[1][at], 0.0)
-            out[1:] += np.where(ok, self.hot.values[0][at], 0.0)[:-1]
-        return out
-
-
-def _positions(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, place in its text from 1, and text of each token."""
-    words = [tokens(t) for t in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
-    text = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
-    return hashes([w for ws in words for w in ws]), place, text
-
 
 def _counter(filter_of, depth: int):
     """Counts of (context of `depth` words, next); leaves out what has a part that occurs less than LEAST times."""
@@ -185,9 +138,8 @@ def _counter(filter_of, depth: int):
             return pa.RecordBatch.from_arrays([pa.array(context[first].view(np.int64)), pa.array(word[first].view(np.int64)), pa.array(n.astype(np.int64))], ["context", "next", "n"])
 
         for b in batches:
-            texts = b["text"].to_pylist()
-            for k in range(0, len(texts), 500):
-                word, place, _ = _positions(texts[k : k + 500])
+            for k in range(0, len(b), 500):
+                word, place, _ = positions(b["text"].slice(k, 500))
                 key = word
                 for d in range(2, depth + 1):
                     key, _ = longer(key, place, word, d)
@@ -195,7 +147,7 @@ def _counter(filter_of, depth: int):
                 here = np.nonzero((place[1:] > depth) & often[:-1] & often[1:])[0] + 1
                 found.append((key[here - 1], word[here]))
                 size += len(here)
-                if size > 2_000_000:
+                if size > POSITIONS:
                     yield give()
                     found, size = [], 0
         yield give()
@@ -223,83 +175,78 @@ def _tested(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     better = F.sum(F.col("n") * (F.col("own") - F.col("under"))) + (F.first("c") - F.sum("n")) * F.log10(F.first("rest"))
     kept = grams.groupBy("context").agg((better * math.log(10) >= DIVERGENCE * F.first("c")).alias("kept"), F.log10(F.first("rest")).alias("mass"))
     kept = staged(kept.where("kept").select(F.col("context").alias("key"), "mass"))
+    first = grams
     grams = grams.join(kept.withColumnRenamed("key", "context"), "context", "left")
     value, delta = F.when(F.col("mass").isNull(), F.col("under")).otherwise(F.col("own")), F.coalesce(F.col("own") - F.col("under") - F.col("mass"), F.lit(0.0))
-    return kept, staged(grams.select("key", "parent_key", "next", "n", "root", value.alias("value"), delta.alias("delta")))
+    grams = staged(grams.select("key", "parent_key", "next", "n", "root", value.alias("value"), delta.alias("delta")))
+    spent(first)
+    return kept, grams
 
 
-def grow(docs: DataFrame) -> tuple[Tree, DataFrame, DataFrame, int, int]:
-    """The frequent part, all sequences (key, n, mass, delta), and words, tokens and distinct tokens as of `learn`."""
+def grow(docs: DataFrame) -> tuple[Tree, DataFrame, DataFrame, int]:
+    """The frequent part, all sequences (key, n, mass, delta, hot), the tokens with counts, and their total in `docs` (text)."""
     spark = docs.sparkSession
-    words = staged(docs.mapInArrow(_count_words, "word binary, key long, n long").groupBy("word", "key").agg(F.sum("n").alias("n")))
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    table = staged(docs.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    total, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     unit = math.log10(total + distinct + 1)
-    often = words.where(F.col("n") >= max(LEAST, HOT_WORD * total)).orderBy("word").toArrow()  # 1 / HOT_WORD rows at most
-    tree = Tree({w: k for k, w in enumerate(often["word"].to_pylist())}, np.log10(often["n"].to_numpy() + 1.0) - unit, unit, often["key"].to_numpy().view(U))
+    often = table.where(F.col("n") >= max(LEAST, HOT_WORD * total)).toArrow()  # 1 / HOT_WORD rows at most
+    tree = Tree(Sparse(often["key"].to_numpy(), np.log10(often["n"].to_numpy() + 1.0) - unit), unit)
     zero = F.lit(0.0)
-    before = words.where(F.col("n") >= LEAST).select("key", F.lit(0).cast("long").alias("parent_key"), F.col("key").alias("next"), "n", (F.log10(F.col("n") + 1) - unit).alias("root"), zero.alias("value"), zero.alias("delta"))
-    sequences = []
+    before = table.where(F.col("n") >= LEAST).select("key", F.lit(0).cast("long").alias("parent_key"), F.col("key").alias("next"), "n", (F.log10(F.col("n") + 1) - unit).alias("root"), zero.alias("value"), zero.alias("delta"))
+    sequences, parts = [], []
     for depth in range(1, DEPTH + 1):
         sent = spark.sparkContext.broadcast(Filter(before))
         nexts = docs.mapInArrow(_counter(sent, depth), "context long, next long, n long").groupBy("context", "next").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-        contexts = before.where(F.col("next") != END_HASH).select(F.col("key").alias("context"), F.col("parent_key").alias("parent"), F.col("n").alias("c"))
+        contexts = before.where(F.col("next") != int(END.view(np.int64))).select(F.col("key").alias("context"), F.col("parent_key").alias("parent"), F.col("n").alias("c"))
         grams = nexts.join(contexts, "context").mapInArrow(_keyed, "context long, next long, n long, parent long, c long, key long, parent_key long")
         kept, grams = _tested(grams.join(before.select(F.col("key").alias("parent_key"), "root", F.col("value").alias("under")), "parent_key"))
         sequences.append(before.join(kept, "key", "left").select("key", "n", F.coalesce("mass", zero).alias("mass"), "delta", F.lit(depth).alias("size")))
         before = grams
+        parts += [kept, grams]
     sequences = reduce(DataFrame.unionByName, [*sequences, before.select("key", "n", zero.alias("mass"), "delta", F.lit(DEPTH + 1).alias("size"))])
     sequences = staged(sequences)
+    spent(*parts)
     hot = F.col("n") >= F.when(F.col("size") == 1, max(LEAST, HOT_WORD * total)).otherwise(max(LEAST, HOT_SEQUENCE * total))
     sequences = sequences.withColumn("hot", hot)
     held = sequences.where("hot").select("key", "mass", "delta").toArrow()
     tree.hot = Sparse(held["key"].to_numpy(), held["mass"].to_numpy(), held["delta"].to_numpy())
-    return tree, sequences, words, total, distinct
+    return tree, sequences, table, total
 
 
-def learn(docs: DataFrame) -> tuple[Tree, DataFrame, int, int]:
-    """The tree, the table of words with counts, and the numbers of tokens and of distinct tokens of `docs` (text)."""
-    tree, _, words, total, distinct = grow(docs)
-    return tree, words, total, distinct
+SCORED = "doc_id long, n_tokens long, n_known long, base double, gain double, keys array<long>"
 
 
 def _score(sent_):
+    """Sums by what tasks hold, and the keys of each text that may have an entry elsewhere, as often as they occur."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, cold = sent_.value
-        order = np.argsort(tree.words.view(np.int64))
-        root = Sparse(tree.words.view(np.int64)[order], tree.root[order])
+        root = tree.root
         value = tree.hot.values[0] + tree.hot.values[1]
         for b in batches:
-            ids_, hs, texts = b["doc_id"].to_pylist(), b["h"].to_pylist(), b["text"].to_pylist()
-            for k in range(0, len(texts), 500):
-                word, place, text = _positions(texts[k : k + 500])
-                docs = len(texts[k : k + 500])
-                base, gain, known, rows = np.zeros(docs), np.zeros(docs), np.zeros(docs, np.int64), []
-                key = word
+            for k in range(0, len(b), 500):
+                word, place, text = positions(b["text"].slice(k, 500))
+                docs = len(b["text"].slice(k, 500))
+                gain, asked, key = np.zeros(docs), [], word
                 for size in range(1, DEPTH + 2):
-                    here = np.arange(len(word))
                     if size > 1:
-                        key, there = longer(key, place, word, size)
-                        here = np.nonzero(there)[0]
-                    found, which = np.unique(key[here], return_inverse=True)
+                        key, _ = longer(key, place, word, size)
+                    here = np.nonzero(place >= size)[0]
+                    found = key[here]
                     at, ok = tree.hot.find(found.view(np.int64))
-                    gain += np.bincount(text[here], np.where(ok, value[at], 0.0)[which], docs)
+                    gain += np.bincount(text[here[ok]], value[at[ok]], docs)
                     if size == 1:  # a word below LEAST has no entry in `hot`, but a root probability
                         at, ok = root.find(found.view(np.int64))
-                        base += np.bincount(text[here], np.where(ok, root.values[0][at], -tree.unit)[which], docs)
-                        known += np.bincount(text[here], ok[which], docs).astype(np.int64)
-                        asked = ~ok
-                    else:
-                        asked = ~ok & cold.may_have(found)
-                    asked = asked[which]
-                    pair, n = np.unique(text[here][asked] * len(found) + which[asked], return_counts=True)
-                    rows.append((pair // max(1, len(found)), found[pair % max(1, len(found))].view(np.int64), n))
-                own = hashes([str(x).encode() for x in zip(ids_[k : k + docs], hs[k : k + docs], strict=True)]).view(np.int64)
-                doc, keys, n = (np.concatenate(x) for x in zip((np.arange(docs), own, np.zeros(docs, np.int64)), *rows, strict=True))
-                more = len(doc) - docs
-                sums = [np.ones(docs, np.int64), np.bincount(text, minlength=docs), known, base, gain]
-                sums = [pa.array(np.concatenate([x, np.zeros(more, x.dtype)])) for x in sums]
-                where = pa.array(doc + k)
-                yield pa.RecordBatch.from_arrays([b["doc_id"].take(where), b["h"].take(where), pa.array(keys), pa.array(n), *sums], ["doc_id", "h", "key", "n", "rows", "n_tokens", "n_known", "base_score", "gain"])
+                        base = np.bincount(text, np.where(ok, root.values[0][at], -tree.unit), docs)
+                        known = np.bincount(text[ok], minlength=docs)
+                    more = np.nonzero(~ok & cold.may_have(found))[0]
+                    asked.append((text[here[more]], found[more]))
+                doc, keys = (np.concatenate(x) for x in zip(*asked, strict=True))
+                order = np.argsort(doc, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=docs))])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[order].view(np.int64)))
+                numbers = [pa.array(x) for x in (np.bincount(text, minlength=docs), known, base, gain)]
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(k, docs), *numbers, lists], ["doc_id", "n_tokens", "n_known", "base", "gain", "keys"])
 
     return run
 
@@ -313,23 +260,20 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     empty table gives no rows. Other columns are not read.
     """
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    tree, sequences, words, total, distinct = grow(docs.where(~held_out(F.col("doc_id"))).select("text"))
+    tree, sequences, table, total = grow(docs.where(~held_out(F.col("doc_id"))).select("text"))
     cold = sequences.where("not hot and mass + delta <> 0")
-    sent = df.sparkSession.sparkContext.broadcast((replace(tree, ids={}), Filter(cold.where("size > 1"))))
-    parts = docs.withColumn("h", F.xxhash64("text")).mapInArrow(_score(sent), "doc_id long, h long, key long, n long, rows long, n_tokens long, n_known long, base_score double, gain double")
-    rare = words.where(F.col("n") < max(LEAST, HOT_WORD * total)).select("key", F.lit(1).alias("known"), F.log10(F.col("n") + 1).alias("base"), F.lit(0.0).alias("value"))
+    rare = table.where(F.col("n") < max(LEAST, HOT_WORD * total)).select("key", F.lit(1).alias("known"), (F.log10(F.col("n") + 1)).alias("base"), F.lit(0.0).alias("value"))
     entries = rare.unionByName(cold.select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), (F.col("mass") + F.col("delta")).alias("value")))
-    # A document's own row has a key of its own, so that those rows spread over all tasks of the join.
-    parts = parts.join(entries.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("known", "base", "value")]), "key", "left")
-    here = lambda c: F.col("n") * F.coalesce(F.col(c), F.lit(0))
-    sums = parts.groupBy("doc_id", "h").agg(
-        F.sum("rows").alias("rows"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + here("known")).alias("n_known"),
-        F.sum(F.col("base_score") + here("base")).alias("base_score"), F.sum(F.col("gain") + here("value")).alias("gain"),
-    )
-    each = F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int")))
-    return sums.withColumn("_", each).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), (F.col("n_tokens") / F.col("rows")).cast("long").alias("n_tokens"), (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") / F.col("rows")).alias("base_score"), ((F.col("base_score") + F.col("gain")) / F.col("rows")).alias("score"),
+    sent = df.sparkSession.sparkContext.broadcast((tree, Filter(entries)))
+    parts = staged(docs.mapInArrow(_score(sent), SCORED).withColumn("row", F.monotonically_increasing_id()))
+    asked = parts.select("row", F.explode("keys").alias("key")).join(entries.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("known", "base", "value")]), "key")
+    more = staged(asked.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("value").alias("more_gain")))
+    spent(table, sequences)
+    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+    base = plus("base", "more_base")
+    return parts.join(more, "row", "left").select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", plus("n_known", "more_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        base.alias("base_score"), (base + plus("gain", "more_gain")).alias("score"),
     )
 
 

@@ -1,7 +1,7 @@
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -21,12 +21,69 @@ def corpus(n=500):
     return rows + [(1000, None), (1001, ""), (1002, "unseen words only"), (3, "a second text of this id"), (5, "twice"), (5, "twice"), (None, "w1 w2"), (1003, "w1 W2 " * 5000)]
 
 
+END = b""
+
+
+def tokens(text):
+    return [*(text or "").encode().lower().split(), END]
+
+
+class Brute:
+    """The tree by its definition: contexts as tuples of words."""
+
+    def __init__(self, texts):
+        self.n = [Counter() for _ in range(st.DEPTH + 1)]
+        for t in texts:
+            ws = tokens(t)
+            for d in range(st.DEPTH + 1):
+                self.n[d].update(tuple(ws[i - d : i + 1]) for i in range(d, len(ws)))
+        self.total, self.distinct = sum(self.n[0].values()), len(self.n[0])
+        self.kept = {}
+        for d in range(1, st.DEPTH + 1):
+            nexts = defaultdict(dict)
+            for gram, n in self.n[d].items():
+                if n >= st.LEAST:
+                    nexts[gram[:-1]][gram[-1]] = n
+            for context, found in nexts.items():
+                c = self.n[d - 1][context]
+                rest = max(1e-12, 1 - sum((n - st.DISCOUNT) / c for n in found.values()))
+                own = {w: (n - st.DISCOUNT) / c + rest * self.p(context[1:], w) for w, n in found.items()}
+                better = sum(n * math.log(own[w] / self.p(context[1:], w)) for w, n in found.items()) + (c - sum(found.values())) * math.log(rest)
+                if better >= st.DIVERGENCE * c:
+                    self.kept[context] = (own, rest)
+
+    def p(self, context, word):
+        if not context:
+            return (self.n[0][(word,)] + 1) / (self.total + self.distinct + 1)
+        if context not in self.kept:
+            return self.p(context[1:], word)
+        own, rest = self.kept[context]
+        return own[word] if word in own else rest * self.p(context[1:], word)
+
+    def score(self, text):
+        ws = tokens(text)
+        return sum(math.log10(self.p(tuple(ws[max(0, i - st.DEPTH) : i]), w)) for i, w in enumerate(ws))
+
+
+def test_score_is_that_of_the_tree_by_its_definition(spark):
+    rows = [(i, t) for i, t in corpus() if i is not None] + [(2000 + i, "q1 q2 q3 q4 q5") for i in range(6)]
+    brute = Brute([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2])
+    assert {len(c) for c in brute.kept} == {1, 2, 3}
+    for context in random.Random(1).sample(sorted(brute.kept), 20):  # a distribution: all known words, and one unseen word
+        assert sum(brute.p(context, w) for (w,) in brute.n[0]) + brute.p(context, b"never seen") == pytest.approx(1, abs=1e-9)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_tokens, r.score) for r in st.score_texts(df).collect())
+    want = sorted((i, len(tokens(t)), brute.score(t)) for i, t in rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-9)
+
+
 def test_base_score_counts_and_gain(spark):
     rows = corpus()
     out = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
-    counts = Counter(w for (_, t), o in zip(rows, out) if not o for w in st.tokens(t))
+    counts = Counter(w for (_, t), o in zip(rows, out) if not o for w in tokens(t))
     total, distinct = sum(counts.values()), len(counts)
-    want = sorted((-1 if i is None else i, o, len(st.tokens(t)), sum(counts[w] > 0 for w in st.tokens(t)), total, round(sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in st.tokens(t)), 6)) for (i, t), o in zip(rows, out))
+    want = sorted((-1 if i is None else i, o, len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), total, round(sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in tokens(t)), 6)) for (i, t), o in zip(rows, out))
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, word string").repartition(3)
     got = st.score_texts(df).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
@@ -36,26 +93,6 @@ def test_base_score_counts_and_gain(spark):
     assert better > 0.5  # three followers of equal chance against 41 words
 
 
-def test_every_context_is_a_distribution(spark):
-    docs = spark.createDataFrame([(t,) for _, t in corpus(200)], "text string")
-    tree, words, total, distinct = st.learn(docs)
-    probs = {bytes(r.word): math.log10((r.n + 1) / (total + distinct + 1)) for r in words.collect()}
-    names = list(tree.ids)
-    kept = tree.nodes[0].codes[:-1].tolist()
-    assert kept and len(tree.nodes[1].codes) > 1
-    rare = sum(10**p for w, p in probs.items() if w not in tree.ids) + 1 / (total + distinct + 1)
-    for context in [[names[kept[0]].decode()], [names[kept[-1]].decode()], *([names[int(c) >> 21].decode(), names[int(c) & (2**21 - 1)].decode()] for c in tree.contexts2.codes[:3])]:
-        mass = 0.0
-        for w in names:
-            ws = [*context, w.decode()] if w != st.END else context
-            _, ids, real = tree.coded([" ".join(ws)])
-            at = 2 + len(context)
-            mass += 10 ** (tree.root[tree.ids[w]] + tree.gain(ids)[at])
-        _, ids, _ = tree.coded([" ".join([*context, "never-seen"])])
-        mass += rare * 10 ** tree.gain(ids)[2 + len(context)]
-        assert mass == pytest.approx(1, abs=1e-6)
-
-
 def test_no_training_rows_and_empty_table(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     df = spark.createDataFrame([(held, "a b")], "doc_id long, text string")
