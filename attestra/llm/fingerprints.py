@@ -11,14 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.plans.staging import in_groups
+from attestra.plans.staging import staged
 
 BINS = 128
 BITS = 8
 WIDTH = 5
 SPACES = " \t\n\x0b\f\r"
-ROWS_PER_BUCKET = 4_000
-SPLITS = 128  # a side of the table of bucket borders, so SPLITS ** 2 buckets at most
+#: Documents of a bucket of neighbouring ids, on average; of 2 ** 31 documents on, so many that borders, which each task
+#: holds, are no more than 2 ** 21 (64 MB).
+ROWS_PER_BUCKET = 1_024
+BORDERS = 1 << 21
 
 
 def add_fingerprint(df: DataFrame, text: str, name: str, width: int = WIDTH) -> DataFrame:
@@ -57,15 +59,29 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(F.greatest(F.lit(0.0), (same - chance) / (1 - chance)))
 
 
-def _place(id_: Column, splits: list[int]) -> Column:
-    """The number of `splits` (sorted) that are not above an id; looked up in a table of SPLITS by SPLITS borders."""
-    if not splits:
-        return F.lit(0)
-    rows = [splits[k : k + SPLITS] for k in range(0, len(splits), SPLITS)]
-    below = lambda xs: F.coalesce(F.size(F.filter(xs, lambda s: s <= id_)), F.lit(0))
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    row = F.greatest(below(longs([r[0] for r in rows])) - 1, F.lit(0))
-    return F.when(id_.isNull(), F.lit(-1)).otherwise(row * SPLITS + below(F.get(F.array(*[longs(r) for r in rows]), row)))
+def with_buckets(docs: DataFrame) -> DataFrame:
+    """`docs` (doc_id, h and others) with bucket: numbers in the order of (doc_id, h), null first.
+
+    Borders are rows of the table itself, sampled by hash. A row looks its bucket up in two steps: among the first
+    borders of all groups of borders, then within one group. `tie` splits rows that are equal in id and text.
+    """
+    n, = docs.agg(F.count("*")).first()
+    rate = max(ROWS_PER_BUCKET, n // BORDERS)
+    at = F.struct("doc_id", "h", "tie")
+    docs = docs.withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))
+    borders = staged(docs.where(F.pmod(F.xxhash64("doc_id", "h", "tie"), F.lit(rate)) == 0).select(at.alias("border")).distinct())
+    many = borders.count()
+    if not many:
+        return docs.withColumn("bucket", F.lit(0).cast("long"))
+    per_group = max(1, round(many**0.5))
+    place = F.row_number().over(Window.orderBy("border")) - 1  # a row for each border
+    groups = borders.withColumn("place", place).groupBy(F.floor(F.col("place") / per_group).alias("group")).agg(F.sort_array(F.collect_list("border")).alias("borders"))
+    groups = staged(groups)
+    firsts = groups.agg(F.sort_array(F.collect_list(F.element_at("borders", 1))).alias("firsts")).select(F.lit(0).alias("one"), "firsts")
+    below = lambda xs: F.size(F.filter(xs, lambda x: x <= at)).cast("long")
+    docs = docs.withColumn("one", F.lit(0)).join(F.broadcast(firsts), "one").withColumn("group", below(F.col("firsts")) - 1).drop("one", "firsts")
+    docs = docs.join(F.broadcast(groups), "group", "left")
+    return docs.withColumn("bucket", F.when(F.col("group") < 0, F.lit(0)).otherwise(F.col("group") * per_group + below(F.col("borders")))).drop("group", "borders")
 
 
 def with_next(docs: DataFrame, *carried: str) -> DataFrame:
@@ -74,23 +90,17 @@ def with_next(docs: DataFrame, *carried: str) -> DataFrame:
     The last row's next is the first. Rows go once to hashed buckets of neighbouring ids; the first row of each
     bucket also goes, as a guest, to the bucket before it. Null ids come last.
     """
-    n, = docs.agg(F.count("doc_id")).first()
-    buckets = min(SPLITS * SPLITS, in_groups(n, ROWS_PER_BUCKET))
-    splits: list[int] = []
-    if buckets > 1:
-        found, = docs.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 10 * buckets)).first()
-        splits = sorted(set(found))
-    docs = docs.withColumn("bucket", _place(F.col("doc_id"), splits))
-    heads = docs.groupBy("bucket").agg(F.max(F.struct("doc_id", "h")).alias("head"))  # a row for each bucket
+    docs = with_buckets(docs)
+    heads = docs.groupBy("bucket").agg(F.max(F.struct("doc_id", "h", "tie")).alias("head"))  # a row for each bucket
     order = Window.orderBy(F.col("bucket").desc())
     last = F.min("bucket").over(Window.partitionBy())
-    heads = heads.select("bucket", "head", F.coalesce(F.lag("bucket").over(order), last).alias("before"))
-    is_head = F.struct("doc_id", "h").eqNullSafe(F.col("head"))
+    heads = staged(heads.select("bucket", "head", F.coalesce(F.lag("bucket").over(order), last).alias("before")))
+    is_head = F.struct("doc_id", "h", "tie").eqNullSafe(F.col("head"))
     stay, visit = F.struct(F.col("bucket"), F.lit(False).alias("guest")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest"))
     sent = docs.join(F.broadcast(heads), "bucket").withColumn("to", F.explode(F.when(is_head, F.array(stay, visit)).otherwise(F.array(stay))))
-    line = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("h").desc())
-    sent = sent.select("to.bucket", "to.guest", "doc_id", "h", *carried)
-    return sent.withColumns({f"next_{c}": F.lead(c).over(line) for c in carried}).where("not guest").drop("bucket", "guest")
+    line = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("h").desc(), F.col("tie").desc())
+    sent = sent.select("to.bucket", "to.guest", "doc_id", "h", "tie", *carried)
+    return sent.withColumns({f"next_{c}": F.lead(c).over(line) for c in carried}).where("not guest").drop("bucket", "guest", "tie")
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

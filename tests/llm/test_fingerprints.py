@@ -22,7 +22,6 @@ def ordered(rows, h):
 
 def test_edits_likeness_and_order(spark, monkeypatch):
     monkeypatch.setattr(fp, "ROWS_PER_BUCKET", 7)
-    monkeypatch.setattr(fp, "SPLITS", 5)
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     h = {(r.doc_id, r.text): r.h for r in df.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) h").collect()}
@@ -47,6 +46,19 @@ def test_edits_likeness_and_order(spark, monkeypatch):
     assert prints[15] == prints[16]
 
 
+def test_buckets_split_null_ids_repeated_ids_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(fp, "ROWS_PER_BUCKET", 50)
+    rows = [(None, f"t{k}") for k in range(700)] + [(5, f"u{k}") for k in range(700)] + [(9, "same")] * 700
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) h")
+    sizes = fp.with_buckets(df).groupBy("doc_id", "bucket").count().collect()
+    for i in (None, 5, 9):
+        own = [r["count"] for r in sizes if r.doc_id == i]
+        assert sum(own) == 700 and max(own) < 400
+    nexts = fp.with_next(df, "text").collect()
+    line = sorted(((r.doc_id is not None, r.doc_id or 0, r.h, r.text) for r in df.collect()), reverse=True)
+    assert sorted((r.text, r.next_text) for r in nexts) == sorted((a[3], b[3]) for a, b in zip(line, line[1:] + line[:1]))
+
+
 def test_copies_one_row_and_empty_table(spark):
     df = spark.createDataFrame([(4, "a b c d e f", 1), (4, "a b c d e f", 2), (4, "a b c d e f", 3)], "doc_id long, text string, h int")
     assert [r.near_next for r in fp.fingerprints(df).collect()] == [1.0] * 3
