@@ -3,15 +3,15 @@
 Every document of a source starts with the same number of copies, target over size. The whole part is taken at once.
 The fractions are rounded in pairs: words move at random from one document of the pair to the other until one of
 them holds a whole number, with chances that keep each document's expectation and, at every step, the source's words.
-A task rounds one hashed chunk of a source and leaves one fractional document; these meet in a tree of groups of
-FAN_IN chunks, and the last one of a source is rounded alone. So a source misses its target by less than one document.
+A task rounds one hashed chunk of a source, of ROWS_PER_CHUNK documents on average, and leaves one fractional document;
+these meet in a tree of groups of FAN_IN chunks, and the last one of a source is rounded alone. So a source misses its target by less than one document.
 """
 
 from __future__ import annotations
 
 import struct
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,10 +22,10 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
 SEED = 20240607
-ROWS_PER_CHUNK = 4_000
+ROWS_PER_CHUNK = 1_000
 FAN_IN = 256
 WORDS = r"[^\x20\x09-\x0D]+"
-STATE = "source string, chunk long, doc_id long, h long, size long, whole int, part double"
+STATE = "source string, chunks long, chunk long, doc_id long, h long, size long, whole int, part double"
 
 
 def words(text: Column) -> Column:
@@ -33,7 +33,7 @@ def words(text: Column) -> Column:
 
 
 def targets(slim: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """source, source_size and target of every source. The windows hold a row for each source, not for each document.
+    """source, source_rows, source_size and target of every source. The windows hold a row for each source, not for each document.
 
     Weights go round over the sources by code point, null last. Targets in proportion to the weights share `share`
     of all words; those above `cap` times their source stop there and the others share the excess: the sources are
@@ -41,14 +41,14 @@ def targets(slim: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
     """
     every = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(every) - 1, F.lit(len(weights))) + 1).cast("int"))
-    table = slim.groupBy("source").agg(F.sum("size").alias("source_size")).withColumns({"weight": weight, "most": F.col("source_size") * cap})
+    table = slim.groupBy("source").agg(F.count("*").alias("source_rows"), F.sum("size").alias("source_size")).withColumns({"weight": weight, "most": F.col("source_size") * cap})
     order = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
     full, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum("source_size").over(whole) * share - F.coalesce(F.sum("most").over(full), F.lit(0.0))) / F.sum("weight").over(rest)
     fits = F.when(level * F.col("weight") <= F.col("most"), F.struct(F.row_number().over(order).alias("place"), level.alias("level")))
     table = table.withColumn("fits", fits).withColumn("level", F.min("fits").over(whole)["level"])
-    return table.select("source", "source_size", F.least(F.coalesce(F.col("level") * F.col("weight"), F.col("most")), F.col("most")).alias("target"))
+    return table.select("source", "source_rows", "source_size", F.least(F.coalesce(F.col("level") * F.col("weight"), F.col("most")), F.col("most")).alias("target"))
 
 
 def chance(seed: int, *ids: int) -> float:
@@ -76,14 +76,14 @@ def pivotal(part: list[float], size: list[int], ids: list[tuple[int, int]], seed
     return part
 
 
-def _round(seed: int, last: bool = False):
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "h", "size"], kind="stable", ignore_index=True)
-        ids = list(zip(rows["doc_id"].fillna(-1).astype("int64").tolist(), rows["h"].tolist(), strict=True))
-        part = pivotal(rows["part"].tolist(), rows["size"].tolist(), ids, seed)
-        if last:
+def _round(seed: int):
+    def group(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending"), ("h", "ascending"), ("size", "ascending")])
+        ids = [(-1 if i is None else i, h) for i, h in zip(rows["doc_id"].to_pylist(), rows["h"].to_pylist(), strict=True)]
+        part = pivotal(rows["part"].to_pylist(), rows["size"].to_pylist(), ids, seed)
+        if rows["chunks"][0].as_py() == 1:  # all of the source
             part = [float(chance(seed, *ids[k]) < p) if 0 < p < 1 else p for k, p in enumerate(part)]
-        return rows.assign(part=part)
+        return rows.set_column(rows.schema.get_field_index("part"), "part", pa.array(part, pa.float64()))
 
     return group
 
@@ -98,19 +98,20 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """
     slim = staged(df.select(df[id_col].cast("long").alias("doc_id"), df[source_col].cast("string").alias("source"), F.xxhash64(df[text_col]).alias("h"), words(df[text_col]).alias("size")))
     goal = staged(targets(slim, **kind))
-    chunks = in_groups(slim.count(), ROWS_PER_CHUNK)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate).cast("int")
     rows = slim.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    rows = rows.select("source", F.pmod(F.xxhash64("doc_id", "h"), F.lit(chunks)).alias("chunk"), "doc_id", "h", "size", F.when(F.col("size") > 0, whole).otherwise(F.lit(0)).alias("whole"), F.when(F.col("size") > 0, rate - whole).otherwise(F.lit(0.0)).alias("part"))
+    rows = rows.withColumn("chunks", F.ceil(F.col("source_rows") / ROWS_PER_CHUNK).cast("long"))
+    rows = rows.select("source", "chunks", F.pmod(F.xxhash64("doc_id", "h"), "chunks").alias("chunk"), "doc_id", "h", "size", F.when(F.col("size") > 0, whole).otherwise(F.lit(0)).alias("whole"), F.when(F.col("size") > 0, rate - whole).otherwise(F.lit(0.0)).alias("part"))
 
-    now, settled = staged(rows.groupBy("source", "chunk").applyInPandas(_round(seed, chunks == 1), STATE)), None
+    now, settled = staged(rows.groupBy("source", "chunk").applyInArrow(_round(seed), STATE)), None
     open_ = (F.col("part") > 0) & (F.col("part") < 1)
+    chunks = in_groups(goal.agg(F.coalesce(F.max("source_rows"), F.lit(0))).first()[0], ROWS_PER_CHUNK)
     while chunks > 1:
         chunks = in_groups(chunks, FAN_IN)
         settled = now.where(~open_) if settled is None else settled.unionByName(now.where(~open_))
-        up = now.where(open_).withColumn("chunk", F.pmod("chunk", F.lit(chunks)))
-        now = staged(up.groupBy("source", "chunk").applyInPandas(_round(seed, chunks == 1), STATE))
+        up = now.where(open_).withColumn("chunks", F.ceil(F.col("chunks") / FAN_IN).cast("long")).withColumn("chunk", F.pmod("chunk", "chunks"))
+        now = staged(up.groupBy("source", "chunk").applyInArrow(_round(seed), STATE))
     settled = now if settled is None else settled.unionByName(now)
     copies = (F.col("whole") + F.col("part")).cast("int")
     return settled.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select(
@@ -123,13 +124,12 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     Equal rows (id, source and text) share their copies out evenly. Rows without words are not taken.
     """
-    got = mix(docs, seed=seed).groupBy("doc_id", "source", "h").agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows")).where("_sum > 0")
-    got = got.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("h").alias("_h"), "_sum", "_rows")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    rows = keyed.join(got, (F.col("_key") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    turn = F.row_number().over(Window.partitionBy("_key", "doc_id", "source").orderBy("_key"))
-    times = F.floor(F.col("_sum") / F.col("_rows")) + (turn <= F.col("_sum") % F.col("_rows")).cast("int")
-    return rows.withColumn("_times", times.cast("int")).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*docs.columns)
+    got = mix(docs, seed=seed).groupBy("doc_id", "source", "h").agg(F.sum("copies").alias("sum"), F.count("*").alias("rows")).where("sum > 0")
+    keyed = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("id"), docs["source"].cast("string").alias("from"), F.xxhash64(docs["text"]).alias("key"))
+    rows = keyed.join(got, (F.col("key") == F.col("h")) & F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")))
+    turn = F.row_number().over(Window.partitionBy("key", "id", "from").orderBy("key"))
+    times = F.floor(F.col("sum") / F.col("rows")) + (turn <= F.col("sum") % F.col("rows")).cast("int")
+    return rows.withColumn("times", times.cast("int")).select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

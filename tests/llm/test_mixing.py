@@ -55,6 +55,16 @@ def test_rounding_keeps_expectation():
     assert all(abs(a / 4000 - b) < 0.04 for a, b in zip(sums, part))
 
 
+def test_large_ids_beside_null_ones_and_clashing_names(spark):
+    rows = [(2**60 + 1, "a b c d e", "s", 1, "k", 7), (None, "f g", "s", 2, "k", 7), *((2**60 + 2 * k, "x y z", "s", 3, "k", 7) for k in range(1, 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _copy int, _key string, h int")
+    got = mixing.mix(df).collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows}
+    out = [tuple(r) for r in mixing.mixed(df).collect()]
+    assert mixing.mixed(df).columns == df.columns and set(out) <= set(rows)
+    assert sorted(map(repr, out)) == sorted(repr(x) for r in got for x in rows if x[0] == r.doc_id for _ in range(r.copies))
+
+
 def test_mixed_rows_and_empty_table(spark):
     rows = documents(60)
     docs = spark.createDataFrame(rows, SCHEMA)
