@@ -424,10 +424,10 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similarity: tuple[int, in
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
     one = groups.groupBy("root", alone.alias("alone"), *own).agg(least.alias("first"))
     keep = one.select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    kept = keyed.join(keep, (F.col("_key") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    turn = F.row_number().over(Window.partitionBy("_key", "doc_id").orderBy("_key"))
-    return kept.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("key"))
+    kept = keyed.join(keep, (F.col("key") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("key", "id").orderBy("key"))
+    return kept.withColumn("turn", turn).where("turn = 1").select("row.*")
 
 
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -96,6 +96,26 @@ def test_one_stays_of_each_group_where_ids_are_null_or_repeated(spark):
     assert len(stays([(None, text("a")), (None, text("a") + " end"), (None, ""), (None, None), (7, "")])) == 4
 
 
+def test_what_stays_keeps_columns_with_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text, "mine", 7), (2, text + " end", "mine", 8), (3, None, "mine", 9)], "doc_id long, text string, _key string, turn int")
+    out = setjoin.one_of_each_group(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [(1, text, "mine", 7), (3, None, "mine", 9)]
+
+
+def test_bounds_of_sketches_are_bounds(spark):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(setjoin.mix(rng.integers(1, 1 << 62, n).astype(np.uint64))) for n in (1, 5, 40, 300, 2000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], setjoin.mix(rng.integers(1, 1 << 62, 1 + len(s) // 12).astype(np.uint64))])) for s in sets]
+    pairs = [(x, y) for x in range(len(sets)) for y in range(x)]
+    table = spark.createDataFrame([(k, bytearray(setjoin.sketch(s))) for k, s in enumerate(sets)], "node long, sketch binary")
+    got = {(r.a, r.b): r.level for r in setjoin.with_levels(spark.createDataFrame(pairs, "a long, b long"), table, 80, 100).collect()}
+    for x, y in pairs:
+        j = Fraction(len(np.intersect1d(sets[x], sets[y])), len(np.union1d(sets[x], sets[y])))
+        assert got[x, y] >= (2 if j >= Fraction(4, 5) else 1 if j >= Fraction(3, 5) else 0)
+    assert sum(v == 0 for v in got.values()) > len(pairs) // 2
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(500, 100 + i) for i in range(50)] + [(7, 7), (900, 901), (901, 900)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
