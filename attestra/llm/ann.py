@@ -1,29 +1,32 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard.
 
 Equal vectors are one node, with the few least ids that any answer can need, so copies do not crowd a graph. Nodes are
-dealt to shards by hash, SHARD of them on average; a task builds a shard's graph and stores it as flat neighbour
-arrays, a row for each node. Blocks of queries meet every shard, each graph search gives the shard's nearest, and the
-results of the shards are merged by exact distance.
+dealt to shards by hash. Shards grow with the square root of the number of nodes, and so does their number. A task
+builds a shard's graph and stores it as flat neighbour arrays, a row for each node. Every query goes to every shard once:
+a task loads a graph and streams the queries through it. Each search gives the shard's nearest, and the results of the
+shards are merged by exact distance. Graphs hold single precision; distances are taken of the given vectors, in double.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestra.plans.staging import in_groups, staged
 
-SHARD = 4096
-BLOCK = 2048
+SHARD = 24  # nodes of a shard on average, times the square root of all; LEAST_SHARD at least
+LEAST_SHARD = 4096
+BLOCK = 500_000  # queries that stream through a graph in one task
 LINKS = 12  # of a node in an upper layer; twice as many in the lowest
 BUILD_EF = 64
 SEARCH_EF = 96
-INDEX = "dim int, shard int, node int, embedding array<float>, ids array<long>, links array<int>"
 
 
 class Graph:
@@ -137,40 +140,82 @@ class Graph:
         g.entry = int(np.argmax(heights)) if n else -1
         return g
 
-    def nearest(self, q: np.ndarray, k: int, ef: int = SEARCH_EF) -> np.ndarray:
+    def near(self, q: np.ndarray, k: int, ef: int = SEARCH_EF) -> np.ndarray:
+        """Nodes among which to look for the k nearest by exact distance: the ef nearest found, or all of a small graph."""
         if len(self.x) <= 2 * max(ef, k):
-            return np.argsort(self.away(q, np.arange(len(self.x))), kind="stable")[:k]
+            return np.arange(len(self.x))
         at = [(float(self.away(q, np.array([self.entry]))[0]), self.entry)]
         for level in range(len(self.layers) - 1, 0, -1):
             at = self.layer(q, at, 1, level)
-        return np.array([n for _, n in self.layer(q, at, max(ef, k), 0)[:k]])
+        return np.array([n for _, n in self.layer(q, at, max(ef, k), 0)])
 
 
-def _build(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("order", kind="stable", ignore_index=True)
-    x = np.stack(rows["embedding"].to_list()).astype(np.float32)
-    return pd.DataFrame({"dim": rows["dim"], "shard": rows["shard"], "node": np.arange(len(rows), dtype=np.int32), "embedding": rows["embedding"], "ids": rows["ids"], "links": Graph(x).build().flat()})
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """A matrix of a column of lists of one length."""
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The graphs of a task's shard, one for each dimension."""
+    rows = list(batches)
+    if not sum(map(len, rows)):
+        return
+    rows = pa.Table.from_batches(rows).sort_by([("dim", "ascending"), ("order", "ascending")])
+    dims = rows["dim"].to_numpy()
+    for dim in np.unique(dims):
+        own = rows.slice(int(np.searchsorted(dims, dim)), int((dims == dim).sum()))
+        flat = Graph(_vectors(own["embedding"]).astype(np.float32)).build().flat()
+        ends = np.concatenate([[0], np.cumsum([len(f) for f in flat])])
+        links = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
+        out = own.drop_columns(["order"]).append_column("node", pa.array(np.arange(len(own), dtype=np.int32))).append_column("links", links)
+        yield from out.combine_chunks().to_batches(2_000)
 
 
 def _search(k: int):
-    def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(index) and len(queries):
-            index = index.sort_values("node", ignore_index=True)
-            x = np.stack(index["embedding"].to_list())
-            graph = Graph.of(x.astype(np.float32), index["links"].to_list())
-            exact, ids = x.astype(np.float64), index["ids"].to_list()
-            for query, number, vector in zip(queries["query_id"], queries["number"], queries["embedding"], strict=True):
-                v = np.asarray(vector, np.float64)
-                got = graph.nearest(v.astype(np.float32), k + 1)
-                far = np.sqrt(((exact[got] - v) ** 2).sum(1))
-                hits = sorted((d, i) for d, n in zip(far.tolist(), got.tolist(), strict=True) for i in ids[n].tolist() if i != query)[:k]
-                out += [(query, number, i, d) for d, i in hits]
-        return pd.DataFrame(out, columns=["query_id", "number", "vec_id", "score"]).astype({"query_id": "int64", "number": "int64", "vec_id": "int64", "score": "float64"})
+    """Of rows sorted by shard, those of the index before queries: the nearest that each query has in the shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, graph = None, [], None
+        for b in batches:
+            where = np.stack([b[c].to_numpy(zero_copy_only=False) for c in ("dim", "shard", "block", "query")])
+            cuts = np.concatenate([[0], np.nonzero((where[:, 1:] != where[:, :-1]).any(0))[0] + 1, [len(b)]]) if len(b) else [0]
+            for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+                part, here = b.slice(at, end - at), tuple(where[:3, at].tolist())
+                if here != shard:
+                    shard, held, graph = here, [], None
+                if not where[3, at]:
+                    held.append(part)
+                    continue
+                if graph is None and held:
+                    index = pa.Table.from_batches(held)
+                    exact, ids = _vectors(index["embedding"]).astype(np.float64), index["ids"].to_pylist()
+                    graph, held = Graph.of(exact.astype(np.float32), [np.asarray(x, np.int32) for x in index["links"].to_numpy()]), []
+                if graph is None:
+                    continue
+                out = []
+                asked = _vectors(pa.chunked_array([part["embedding"]])).astype(np.float64)
+                for query, number, v in zip(part["query_id"].to_pylist(), part["number"].to_pylist(), asked, strict=True):
+                    got = graph.near(v.astype(np.float32), k + 1)
+                    far = np.sqrt(((exact[got] - v) ** 2).sum(1))
+                    best = np.argsort(far, kind="stable")
+                    best = best[far[best] <= far[best[min(k, len(best) - 1)]]]  # the k + 1 nearest and their equals
+                    got, far = got[best], far[best]
+                    hits = sorted((d, i) for d, n in zip(far.tolist(), got.tolist(), strict=True) for i in ids[n] if i != query)[:k]
+                    out += [(query, number, i, d) for d, i in hits]
+                if out:
+                    query, number, i, d = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (query, number, i)), pa.array(d, pa.float64())], ["query_id", "number", "vec_id", "score"])
 
     return run
 
 
+def vectors(df: DataFrame, column: str) -> Column:
+    """The vectors of a column, as single or double numbers as they are given."""
+    single = df.schema[column].dataType.elementType == T.FloatType()
+    return df[column].cast("array<float>" if single else "array<double>")
+
+
 def usable(vector: Column) -> Column:
     """Not null or all zero, and without null or non-finite components."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -178,19 +223,22 @@ def usable(vector: Column) -> Column:
 
 
 def build_index(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The graphs of all usable vectors of `df`, a row for each distinct vector: INDEX.
+    """The graphs of all usable vectors of `df`, a row for each distinct vector: dim, shard, embedding, ids, node and links.
 
     ids are the vector's k + 1 least ids, an id as often as it is repeated (k times at most): an answer to k nearest
     can hold no others. Every vector is in a graph; vectors of other dimensions are in other shards.
     """
-    rows = df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast("array<float>").alias("embedding"))
+    rows = df.select(df[id_col].cast("long").alias("vec_id"), vectors(df, vector_col).alias("embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).groupBy("embedding", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
     first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("rank") <= k + 1)
     nodes = first.groupBy("embedding").agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat("vec_id", F.col("times"))))).alias("ids"))
     nodes = staged(nodes.withColumn("order", F.xxhash64("embedding")))
-    shards = in_groups(nodes.count(), SHARD)
+    many = nodes.count()
+    shards = in_groups(many, max(LEAST_SHARD, round(SHARD * many**0.5)))
+    kind = nodes.schema["embedding"].dataType.simpleString()
     nodes = nodes.select(F.size("embedding").alias("dim"), F.pmod("order", F.lit(shards)).cast("int").alias("shard"), "order", "embedding", "ids")
-    return staged(nodes.groupBy("dim", "shard").applyInPandas(_build, INDEX))
+    built = nodes.repartitionById(shards, "shard").mapInArrow(_build, f"dim int, shard int, embedding {kind}, ids array<long>, node int, links array<int>")
+    return staged(built)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -201,14 +249,17 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     the index lacks, and an empty index or query table, give no rows.
     """
     # A number for each query that any recomputation gives again.
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), vectors(queries, "embedding").alias("embedding"))
     asked = asked.where(F.col("query_id").isNotNull() & usable(F.col("embedding"))).distinct().withColumn("number", F.xxhash64("query_id", "embedding"))
     asked = staged(asked.withColumn("dim", F.size("embedding")))
     blocks = in_groups(asked.count(), BLOCK)
-    every = index.select("dim", (F.col("shard") + 0).alias("shard")).distinct().withColumnRenamed("dim", "_dim")
-    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", F.pmod("number", F.lit(blocks)).cast("int")).join(every, F.col("dim") == F.col("_dim")).drop("_dim")
-    found = left.groupBy("dim", "shard", "block").cogroup(right.groupBy("dim", "shard", "block")).applyInPandas(_search(k), "query_id long, number long, vec_id long, score double")
+    shards = index.agg(F.coalesce(F.max("shard") + 1, F.lit(1))).first()[0]
+    doubles = F.col("embedding").cast("array<double>").alias("embedding")
+    none = lambda t, n: F.lit(None).cast(t).alias(n)
+    left = index.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("query"), "node", doubles, "ids", "links", none("long", "query_id"), none("long", "number"))
+    right = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod("number", F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("query"), none("int", "node"), doubles, none("array<long>", "ids"), none("array<int>", "links"), "query_id", "number")
+    rows = left.unionByName(right).repartitionById(shards * blocks, (F.col("shard") * blocks + F.col("block")).cast("int"))
+    found = rows.sortWithinPartitions("dim", "shard", "block", "query", "node").mapInArrow(_search(k), "query_id long, number long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "number").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

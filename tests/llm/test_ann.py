@@ -15,7 +15,8 @@ def brute(rows, queries, k):
 
 
 def test_recall_ties_copies_and_bad_vectors(spark, monkeypatch):
-    monkeypatch.setattr(ann, "SHARD", 500)
+    monkeypatch.setattr(ann, "SHARD", 1)
+    monkeypatch.setattr(ann, "LEAST_SHARD", 500)
     monkeypatch.setattr(ann, "BLOCK", 8)
     rng = np.random.default_rng(1)
     rows = [(i, v.tolist()) for i, v in enumerate((rng.normal(size=(1600, 16)) + rng.integers(0, 3, (1600, 1))).astype(np.float32))]
@@ -41,6 +42,14 @@ def test_recall_ties_copies_and_bad_vectors(spark, monkeypatch):
     assert [f[2] for f in got[0]] == [2000 + i for i in range(10)]
 
 
+def test_scores_are_of_the_vectors_as_given(spark):
+    near = [(k, [1.0 + k * 1e-9, 2.0]) for k in range(20)]
+    df = spark.createDataFrame(near, "vec_id long, embedding array<double>")
+    got = ann.search(ann.build_index(df, 10), df.where("vec_id = 0").withColumnRenamed("vec_id", "query_id")).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == list(range(1, 11))
+    assert all(r.score == math.dist(near[0][1], near[r.vec_id][1]) > 0 for r in got)
+
+
 def test_few_rows_repeated_ids_and_empty_tables(spark):
     schema = "vec_id long, embedding array<float>"
     df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.5, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [2.0, 0.0, 1.0])], schema)
