@@ -1,11 +1,13 @@
 """URL filter: host and path rules first, then a weighted vocabulary counted by Aho-Corasick.
 
 A strict term carries the whole rejection weight, a soft term a part of it; a url is rejected when the weights of
-its distinct terms reach REJECT_AT. A term counts only where no letter or digit touches it on either side.
+its distinct terms reach REJECT_AT. A term counts only where no letter, mark or digit touches it on either side, in the
+url as it is written; A-Z are lower-cased for the comparison alone.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -13,8 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STRICT = ("casino", "porn", "porno", "pills", "viagra", "xxx", "escort", "warez", "malware", "phishing")
-SOFT = ("ads", "bet", "bets", "bonus", "cheap", "crack", "deal", "farm", "free", "loan", "loans", "poker", "promo", "sex", "slots", "spam", "track", "win", "winner")
+STRICT = (
+    "casino", "casinos", "kasino", "escort", "escorts", "gambling", "hentai", "malware", "phishing", "pills", "porn", "porno", "pornos", "pornografia", "pornographie", "ransomware",
+    "spielbank", "viagra", "warez", "xxx", "xvideos", "cialis", "nude", "nudes", "keygen",
+)
+SOFT = (
+    "ads", "adult", "apuestas", "bet", "bets", "betting", "bonus", "cam", "cams", "cheap", "crack", "deal", "deals", "erotic", "erotik", "farm", "free", "gratis", "gratuit", "kredit", "loan", "loans",
+    "lottery", "lotto", "poker", "premios", "prestamos", "promo", "rabatt", "sex", "sexe", "sexo", "slots", "spam", "torrent", "track", "win", "winner", "wetten",
+)
 REJECT_AT = 2
 WEIGHTS = {t: REJECT_AT for t in STRICT} | {t: 1 for t in SOFT}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,6 +56,9 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 def vocabulary_hits(url: Column, weights: dict[str, int] = WEIGHTS) -> Column:
     """Struct of strict_terms, soft_terms (distinct) and occurrences of a url's vocabulary terms."""
 
+    lower = str.maketrans(UPPER, LOWER)  # keeps the length, unlike lower()
+    joins = lambda c: c.isalnum() or unicodedata.category(c)[0] == "M"
+
     @F.pandas_udf("strict_terms int, soft_terms int, occurrences int")
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         machine = ahocorasick.Automaton()
@@ -57,10 +68,10 @@ def vocabulary_hits(url: Column, weights: dict[str, int] = WEIGHTS) -> Column:
         for urls in batches:
             rows = []
             for u in urls:
-                u, seen, n = (u or "").lower(), set(), 0
-                for end, t in machine.iter(u):
+                u, seen, n = u or "", set(), 0
+                for end, t in machine.iter(u.translate(lower)):
                     a, b = end - len(t), end + 1
-                    if (a < 0 or not u[a].isalnum()) and (b == len(u) or not u[b].isalnum()):
+                    if (a < 0 or not joins(u[a])) and (b == len(u) or not joins(u[b])):
                         seen.add(t)
                         n += 1
                 strict = sum(weights[t] >= REJECT_AT for t in seen)
@@ -77,15 +88,18 @@ def judge_urls(df: DataFrame, url: str = "url", rules=RULES, weights: dict[str,
     and path, no rule, and is judged by the vocabulary alone (null: allow). Columns of `df` with the names of added
     ones are replaced. Repeated rows are judged alike; an empty table gives an empty one.
     """
+    own = (*df.columns, "")
+    name = max(own, key=len) + "_"  # of no column of df
     host, path = split_url(df[url])
-    out = df.withColumns({"host": host, "path": path, "_hits": vocabulary_hits(df[url], weights)})
+    out = df.withColumns({"host": host, "path": path, name: vocabulary_hits(df[url], weights)})
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    score = F.col("_hits.strict_terms") * REJECT_AT + F.col("_hits.soft_terms")
+    hit = lambda c: F.col(name)[c]
+    score = hit("strict_terms") * REJECT_AT + hit("soft_terms")
     return out.withColumns({
         "rule": rule,
         "verdict": F.coalesce(verdict, F.when(score >= REJECT_AT, F.lit("block")).otherwise(F.lit("allow"))),
-        "strict_terms": F.col("_hits.strict_terms"), "soft_terms": F.col("_hits.soft_terms"), "occurrences": F.col("_hits.occurrences"),
-    }).drop("_hits")
+        **{c: hit(c) for c in ("strict_terms", "soft_terms", "occurrences")},
+    }).drop(name)
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
@@ -94,12 +108,12 @@ def op9_url_filter(spark, sf_dir: str) -> DataFrame:
 
 
 def _seen(terms) -> str:
-    return " + ".join(f"CAST(regexp_matches(u, '(^|[^\\pL\\pN]){t}($|[^\\pL\\pN])') AS INT)" for t in terms)
+    return " + ".join(f"CAST(regexp_matches(u, '(^|[^\\pL\\pM\\pN]){t}($|[^\\pL\\pM\\pN])') AS INT)" for t in terms)
 
 
 SQL = f"""
 WITH a AS (
-  SELECT page_id, lower(coalesce(url, '')) AS u, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+  SELECT page_id, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS u, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), b AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
     {_seen(STRICT)} AS strict_terms, {_seen(SOFT)} AS soft_terms FROM a

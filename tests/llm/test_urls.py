@@ -12,3 +12,13 @@ def test_rules_terms_and_odd_rows(spark):
     assert [g[4] for g in got] == ["allow", "block", "allow", "allow", "block", "allow", "block", "allow", "allow", "block", "block", "allow"]
     assert got[2][1:4] == ("", "", None) and got[7][1:4] == ("x.com", "", None) and got[6][3] == "net/es/" and got[11][3] == "com/"
     assert urls.judge_urls(spark.createDataFrame([], "url string")).collect() == []
+
+
+def test_terms_stand_alone_in_the_url_as_written(spark):
+    shut = ["http://x.org/İcasino", "http://x.org/casinoİ", "http://x.org/i\u0307casino", "http://x.org/casino\u0301", "http://x.org/9casino", "http://x.org/éCASINO"]
+    open_ = ["http://x.org/CASINO", "http://x.org/İ/casino", "http://x.org/_casino_", "http://x.org/ß.casino"]
+    df = spark.createDataFrame([(k, u, "mine") for k, u in enumerate(shut + open_)], "page_id long, url string, _hits string")
+    got = urls.judge_urls(df)
+    assert [r.strict_terms for r in got.orderBy("page_id").collect()] == [0] * len(shut) + [1] * len(open_)
+    assert [r.strict_terms for r in urls.judge_urls(df.select("url")).where("url like '%CASINO'").collect()] == [0, 1]
+    assert {r._hits for r in got.collect()} == {"mine"}
