@@ -89,21 +89,34 @@ class Model:
     trust: np.ndarray | None = None  # of voters, after correlations
     weights: np.ndarray | None = None
 
-    def votes(self, terms, counts, bangs: int, shouts: int, words: int) -> list[int]:
-        own = set(terms)
-        return [int(not v.isdisjoint(own)) for v in self.voters] + [int(bangs > 0), int(shouts > 0), int(max(counts, default=0) > 1), int(100 * sum(counts) >= words > 0 and sum(counts) > 0)]
+    def flat(self, f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, term and count of all hits of rows with FEATURES."""
+        row = np.repeat(np.arange(len(f)), [len(t) for t in f["terms"]])
+        both = [np.concatenate([np.empty(0, np.int64), *f[c]]).astype(np.int64) for c in ("terms", "counts")]
+        return row, *both
+
+    def votes(self, f: pd.DataFrame) -> np.ndarray:
+        row, term, count = self.flat(f)
+        own = np.array([[t in v for v in self.voters] for t in range(len(self.terms))], dtype=np.int64).reshape(len(self.terms), len(self.voters))
+        out = np.zeros((len(f), len(self.voters) + len(PATTERNS)), np.int64)
+        np.add.at(out[:, : len(self.voters)], row, own[term])
+        total, most, words = np.bincount(row, count, len(f)), np.zeros(len(f)), f["words"].to_numpy()
+        np.maximum.at(most, row, count)
+        out[:, len(self.voters) :] = np.stack([f["bangs"] > 0, f["shouts"] > 0, most > 1, (100 * total >= words) & (words > 0) & (total > 0)], axis=1)
+        return np.minimum(out, 1)
 
     def log_odds(self, v: np.ndarray) -> np.ndarray:
         clean, toxic = self.hit
         each = v * np.log(toxic / clean) + (1 - v) * np.log((1 - toxic) / (1 - clean))
         return np.log(self.prior / (1 - self.prior)) + each @ self.trust
 
-    def vector(self, terms, counts, bangs: int, shouts: int, words: int) -> np.ndarray:
-        x = np.zeros(len(self.terms) + 7)
-        if len(terms):
-            x[np.asarray(terms, dtype=int)] = np.log1p(np.asarray(counts, dtype=float))
-        total = sum(counts)
-        x[-7:] = 1, np.log1p(total), np.log1p(len(terms)), min(1.0, 100 * total / max(words, 1)), np.log1p(bangs), np.log1p(shouts), total > 0
+    def vectors(self, f: pd.DataFrame) -> np.ndarray:
+        """What the classifier sees of each row."""
+        row, term, count = self.flat(f)
+        x = np.zeros((len(f), len(self.terms) + 7))
+        x[row, term] = np.log1p(count)
+        total, words = np.bincount(row, count, len(f)), np.maximum(f["words"].to_numpy(), 1)
+        x[:, -7:] = np.stack([np.ones(len(f)), np.log1p(total), np.log1p(np.bincount(row, minlength=len(f))), np.minimum(1.0, 100 * total / words), np.log1p(f["bangs"].to_numpy()), np.log1p(f["shouts"].to_numpy()), total > 0], axis=1)
         return x
 
 
@@ -189,25 +202,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     voters = [frozenset(at[t] for t in ts) for ts in LEXICONS.values()] + [frozenset(at[t] for t in mined[k::MINED_VOTERS]) for k in range(MINED_VOTERS)]
     model = Model(terms, voters)
     table = staged(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), features(F.col("text"), terms).alias("f")))
-    rows = table.where("not held_out").join(F.broadcast(known), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "f.*", "known")
+    rows = table.where("not held_out").join(F.broadcast(known), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "f", "known")
 
     @F.pandas_udf("array<int>")
-    def vote(t: pd.Series, c: pd.Series, b: pd.Series, s: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series([model.votes(*r) for r in zip(t, c, b, s, w, strict=True)])
+    def vote(f: pd.DataFrame) -> pd.Series:
+        return pd.Series(list(model.votes(f)))
 
-    voted = rows.withColumn("votes", vote("terms", "counts", "bangs", "shouts", "words"))
+    voted = rows.withColumn("votes", vote("f"))
     # As many rows at most as there are vote patterns: two to the number of voters.
     table_of = voted.groupBy("votes").agg(F.count_if(F.col("known").isNull()).alias("u"), F.count_if(F.col("known") == 0).alias("c"), F.count_if(F.col("known") == 1).alias("t")).toPandas()
     k = len(voters) + len(PATTERNS)
     votes = np.array(table_of["votes"].tolist(), dtype=float).reshape(-1, k)
     fit_label_model(model, votes, table_of[["u", "c", "t"]].to_numpy(float))
 
-    seen = rows.orderBy(F.col("known").isNull(), F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).toPandas()
+    seen = rows.orderBy(F.col("known").isNull(), F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("f.*", "known").toPandas()
     if len(seen):
-        each = list(zip(seen["terms"], seen["counts"], seen["bangs"], seen["shouts"], seen["words"], strict=True))
-        odds = model.log_odds(np.array([model.votes(*r) for r in each], dtype=float))
+        odds = model.log_odds(model.votes(seen).astype(float))
         odds += np.where(seen["known"].isna(), 0, np.where(seen["known"] > 0, 1, -1)) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-        model.weights = fit_linear(np.array([model.vector(*r) for r in each]), sigmoid(odds))
+        model.weights = fit_linear(model.vectors(seen), sigmoid(odds))
     else:
         model.weights = np.zeros(len(terms) + 7)
     return model, table
@@ -218,8 +230,7 @@ def score(f: Column, model: Model) -> Column:
 
     @F.pandas_udf("double")
     def of(rows: pd.DataFrame) -> pd.Series:
-        each = zip(rows["terms"], rows["counts"], rows["bangs"], rows["shouts"], rows["words"], strict=True)
-        return pd.Series([float(sigmoid(model.vector(*r) @ model.weights)) for r in each], dtype="float64")
+        return pd.Series(sigmoid(model.vectors(rows) @ model.weights), dtype="float64")
 
     return of(f)
 
@@ -239,7 +250,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the model does not predict to be toxic, with all their columns. Text is read twice."""
     model, _ = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
-    return docs.withColumn("_score", score(features(F.col("text"), model.terms), model)).where("_score < 0.5").drop("_score")
+    rows = docs.select(F.struct("*").alias("row"), score(features(docs["text"], model.terms), model).alias("score"))
+    return rows.where("score < 0.5").select("row.*")
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

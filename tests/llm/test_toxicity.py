@@ -77,3 +77,27 @@ def test_correlated_voters_are_trusted_less():
     toxicity.fit_label_model(model, pats, counts)
     assert model.trust[2] < 0.75 and model.trust[3] < 0.75 and model.trust[0] > 0.85
     assert abs(model.hit[1][0] - 0.7) < 0.1 and abs(model.hit[0][0] - 0.1) < 0.05
+
+
+def test_votes_and_vectors_of_a_batch_are_those_of_each_row():
+    import numpy as np
+    import pandas as pd
+
+    terms = ["a", "b", "c", "d"]
+    model = toxicity.Model(terms, [frozenset({0, 1}), frozenset({2}), frozenset()])
+    rows = [([0, 2], [1, 3], 0, 1, 50), ([], [], 2, 0, 0), ([1], [1], 0, 0, 1000), ([0, 1, 2, 3], [1, 1, 1, 1], 1, 1, 4)]
+    f = pd.DataFrame(rows, columns=["terms", "counts", "bangs", "shouts", "words"])
+    for r, votes, x in zip(rows, model.votes(f).tolist(), model.vectors(f), strict=True):
+        t, c, bangs, shouts, words = r
+        total = sum(c)
+        assert votes == [int(bool(v & set(t))) for v in model.voters] + [int(bangs > 0), int(shouts > 0), int(max(c, default=0) > 1), int(100 * total >= words > 0 and total > 0)]
+        want = [np.log1p(dict(zip(t, c)).get(k, 0)) for k in range(4)] + [1, np.log1p(total), np.log1p(len(t)), min(1, 100 * total / max(words, 1)), np.log1p(bangs), np.log1p(shouts), total > 0]
+        assert np.allclose(x, want)
+    assert model.votes(f[:0]).shape == (0, 7) and model.vectors(f[:0]).shape == (0, 11)
+
+
+def test_clean_rows_keep_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a calm text", 9, "mine"), (2, None, 8, "mine")], "doc_id long, text string, score int, _score string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    out = toxicity.clean(docs, labels)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(1, "a calm text", 9, "mine"), (2, None, 8, "mine")]
