@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -225,25 +224,25 @@ def outbox_route(outbox: DataFrame) -> DataFrame:
 
 
 def apply_publications(requests: DataFrame) -> DataFrame:
-    """Outcome of publish requests (doc_id, version_id, operation_id, order, expected) against each document's pointer.
+    """Outcome of publish requests (doc_id, version_id, operation_id, order, expected) against each document's pointer,
+    and the version that is current after all of them.
 
     A request is applied if the current version is the expected one, else it is a conflict; an operation that was
-    applied before is a replay. Each request depends on those before it, so a document is folded in order in one task;
-    documents are spread, and a document's requests are few.
+    applied before is a replay. Each request depends on those before it, so a document's requests, which are few, are
+    folded in order as one array.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("order", ignore_index=True)
-        current, done, out = None, set(), []
-        for version, operation, expected in zip(rows["version_id"].tolist(), rows["operation_id"].tolist(), rows["expected"], strict=True):
-            if operation in done:
-                out.append("replay")
-            elif (None if pd.isna(expected) else int(expected)) == current:
-                current = version
-                done.add(operation)
-                out.append("applied")
-            else:
-                out.append("conflict")
-        return pd.DataFrame({"doc_id": rows["doc_id"], "operation_id": rows["operation_id"], "outcome": out, "current": current}).astype({"current": "Int64"})
-
-    return requests.groupBy("doc_id").applyInPandas(fold, "doc_id long, operation_id long, outcome string, current long")
+    items = F.array_sort(F.collect_list(F.struct("order", "operation_id", "version_id", "expected")))
+    zero = F.struct(F.lit(None).cast("long").alias("current"), F.array().cast("array<bigint>").alias("done"), F.array().cast("array<struct<operation_id:bigint,outcome:string>>").alias("out"))
+
+    def step(s, x):
+        again = F.array_contains(s["done"], x["operation_id"])
+        applied = ~again & x["expected"].eqNullSafe(s["current"])
+        outcome = F.when(again, "replay").when(applied, "applied").otherwise("conflict")
+        return F.struct(
+            F.when(applied, x["version_id"]).otherwise(s["current"]).alias("current"), F.when(applied, F.array_append(s["done"], x["operation_id"])).otherwise(s["done"]).alias("done"),
+            F.array_append(s["out"], F.struct(x["operation_id"].alias("operation_id"), outcome.alias("outcome"))).alias("out"),
+        )
+
+    longs = [F.col(c).cast("long").alias(c) for c in ("doc_id", "order", "operation_id", "version_id", "expected")]
+    folded = requests.select(*longs).groupBy("doc_id").agg(items.alias("xs")).select("doc_id", F.aggregate("xs", zero, step).alias("s"))
+    return folded.select("doc_id", F.inline("s.out"), "s.current").select("doc_id", "operation_id", "outcome", "current")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,19 +13,17 @@ from attestra.plans.staging import staged
 def pack_evidence(candidates: DataFrame, most_units: int = 72, most_tokens: int = 5000) -> DataFrame:
     """Candidates (query_id, rank, units, tokens) of each query that a pack takes: greedily by rank, whole ones only; one
     that does not fit is left out and the next is tried. A query's candidates are bounded by the ranking (20 by
-    default), so each query is folded in one small group."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank", ignore_index=True)
-        units = tokens = 0
-        taken = []
-        for u, t in zip(rows["units"].tolist(), rows["tokens"].tolist(), strict=True):
-            fits = units + u <= most_units and tokens + t <= most_tokens
-            units, tokens = (units + u, tokens + t) if fits else (units, tokens)
-            taken.append(fits)
-        return pd.DataFrame({"query_id": rows["query_id"], "rank": rows["rank"], "taken": taken})
-
-    return candidates.select("query_id", "rank", "units", "tokens").groupBy("query_id").applyInPandas(fold, "query_id long, rank int, taken boolean")
+    default), so each query is folded as one small array."""
+    items = F.array_sort(F.collect_list(F.struct("rank", F.col("units").cast("long").alias("u"), F.col("tokens").cast("long").alias("t"))))
+    zero = F.struct(F.lit(0).cast("long").alias("u"), F.lit(0).cast("long").alias("t"), F.array().cast("array<struct<rank:int,taken:boolean>>").alias("out"))
+
+    def step(s, x):
+        fits = (s["u"] + x["u"] <= most_units) & (s["t"] + x["t"] <= most_tokens)
+        plus = lambda c: (s[c] + F.when(fits, x[c]).otherwise(0)).alias(c)
+        return F.struct(plus("u"), plus("t"), F.array_append(s["out"], F.struct(x["rank"].alias("rank"), fits.alias("taken"))).alias("out"))
+
+    folded = candidates.select("query_id", F.col("rank").cast("int").alias("rank"), "units", "tokens").groupBy("query_id").agg(items.alias("xs"))
+    return folded.select("query_id", F.inline(F.aggregate("xs", zero, step, lambda s: s["out"])))
 
 
 def pack_manifest(units: DataFrame, namespace: str = "6ba7b811-9dad-11d1-80b4-00c04fd430c8") -> DataFrame:

@@ -32,42 +32,37 @@ def classify_headings(df: DataFrame, col: str = "text") -> DataFrame:
 
 
 def assign_parents(lines: DataFrame) -> DataFrame:
-    """Parent line of every classified line (doc_id, line, kind, number) of a document, and a warning where its number
-    has no parent or repeats.
+    """Parent line (0: the document) of every classified line (doc_id, line from 1, kind, number), and a warning where
+    its number has no parent or repeats.
 
-    What a line hangs from depends on all open headings and numbers before it, so a document is folded in order in
-    one task; documents are independent, and a document's lines are bounded by the parser's limits.
+    A heading closes the lower ones and all numbers, an appendix closes everything: so an open heading is the last one
+    of its kind if nothing that closes it came later. Dotted numbers find their stem among the numbers of the same
+    stretch between closing lines, where numbers and stems are sorted together. Two windows, no fold.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("line", ignore_index=True)
-        scope, heads, numbered, clause = 0, {}, {}, None
-        parents, warnings = [], []
-        for line, kind, number in zip(rows["line"].tolist(), rows["kind"], rows["number"], strict=True):
-            around = heads.get("article", heads.get("chapter", heads.get("section", scope)))
-            parent, warning = around, None
-            if kind == "appendix":
-                parent, scope, heads, numbered, clause = 0, line, {}, {}, None
-            elif kind in ("section", "chapter", "article"):
-                above = {"section": [], "chapter": ["section"], "article": ["chapter", "section"]}[kind]
-                parent = next((heads[h] for h in above if h in heads), 0 if kind == "section" else scope)
-                for lower in {"section": ("chapter", "article"), "chapter": ("article",), "article": ()}[kind]:
-                    heads.pop(lower, None)
-                heads[kind], numbered, clause = line, {}, None
-            elif kind in ("clause", "subclause"):
-                stem = number.rpartition(".")[0]
-                parent = numbered.get(stem, around) if stem else around
-                warning = "UNRESOLVED_NUMBER_PARENT" if stem and stem not in numbered else "REPEATED_NUMBER_IN_SCOPE" if number in numbered else None
-                numbered[number] = clause = line
-            elif clause is not None:
-                parent = clause
-            elif kind == "footnote":
-                parent = scope
-            parents.append(parent)
-            warnings.append(warning)
-        return pd.DataFrame({"doc_id": rows["doc_id"], "line": rows["line"], "parent": parents, "warning": warnings})
-
-    return lines.select("doc_id", "line", "kind", "number").groupBy("doc_id").applyInPandas(fold, "doc_id long, line long, parent long, warning string")
+    before = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda *kinds: F.coalesce(F.last(F.when(F.col("kind").isin(*kinds), F.col("line")), ignorenulls=True).over(before), F.lit(0)).cast("long")
+    seen = {"scope": last("appendix"), "section": last("section"), "chapter": last("chapter"), "article": last("article"), "clause": last("clause", "subclause")}
+    rows = lines.select("doc_id", F.col("line").cast("long").alias("line"), "kind", "number").withColumns(seen)
+    c = F.col
+    rows = rows.withColumn("stretch", F.greatest("scope", "section", "chapter", "article"))
+    open_ = lambda name, *over: F.when(c(name) > F.greatest(F.lit(0).cast("long"), *over), c(name))
+    section, chapter, article = open_("section", "scope"), open_("chapter", "scope", "section"), open_("article", "scope", "section", "chapter")
+    stem = F.when(c("number").contains("."), F.regexp_replace("number", r"\.[^.]*$", ""))
+    numbered = c("kind").isin("clause", "subclause")
+
+    keys = rows.where(numbered).select("doc_id", "line", "stretch", F.explode(F.array(F.struct(c("number").alias("key"), F.lit(True).alias("own")), F.struct(stem.alias("key"), F.lit(False).alias("own")))).alias("k"))
+    same = Window.partitionBy("doc_id", "stretch", "k.key").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    keys = keys.where("k.key is not null").withColumn("found", F.last(F.when(c("k.own"), c("line")), ignorenulls=True).over(same))
+    keys = keys.groupBy("doc_id", "line").agg(F.max(F.when(c("k.own"), c("found"))).alias("twin"), F.max(F.when(~c("k.own"), c("found"))).alias("stem_line"))
+
+    rows = rows.join(keys, ["doc_id", "line"], "left")
+    around = F.coalesce(article, chapter, section, c("scope"))
+    parent = (
+        F.when(c("kind").isin("appendix", "section"), F.lit(0).cast("long")).when(c("kind") == "chapter", F.coalesce(section, c("scope"))).when(c("kind") == "article", F.coalesce(chapter, section, c("scope")))
+        .when(numbered, F.coalesce("stem_line", around)).when(c("clause") > c("stretch"), c("clause")).when(c("kind") == "footnote", c("scope")).otherwise(around)
+    )
+    warning = F.when(numbered & stem.isNotNull() & c("stem_line").isNull(), "UNRESOLVED_NUMBER_PARENT").when(numbered & c("twin").isNotNull(), "REPEATED_NUMBER_IN_SCOPE")
+    return rows.select("doc_id", "line", parent.alias("parent"), warning.alias("warning"))
 
 
 def tree_paths(nodes: DataFrame, most_levels: int = 100) -> DataFrame:

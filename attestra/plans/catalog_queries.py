@@ -349,7 +349,16 @@ def kinds(rows):
     return rows.withColumn("kind", kind)
 
 
-@query("r1_job_state")
+#: States of aggregates by recursion over their events.
+STATES = """
+WITH RECURSIVE e AS (SELECT {agg} AS aggregate_id, row_number() OVER (PARTITION BY {agg} ORDER BY sequence) AS k, sequence, CASE event_type WHEN 'signup' THEN 'created' WHEN 'view' THEN 'started' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'progress' END AS kind FROM log),
+m AS (SELECT * FROM (VALUES ('created', 'new', 'created'), ('started', 'created', 'running'), ('started', 'running', 'running'), ('progress', 'running', 'running'), ('completed', 'running', 'completed'), ('failed', 'created', 'failed'), ('failed', 'running', 'failed')) AS t(kind, before, after)),
+r AS (SELECT aggregate_id, CAST(0 AS BIGINT) AS k, 'new' AS status, CAST(0 AS BIGINT) AS sequence, CAST(0 AS BIGINT) AS applied, CAST(0 AS BIGINT) AS rejected FROM e WHERE k = 1
+  UNION ALL SELECT e.aggregate_id, e.k, coalesce(m.after, r.status), e.sequence, r.applied + CASE WHEN m.after IS NULL THEN 0 ELSE 1 END, r.rejected + CASE WHEN m.after IS NULL THEN 1 ELSE 0 END FROM r JOIN e ON e.aggregate_id = r.aggregate_id AND e.k = r.k + 1 LEFT JOIN m ON m.kind = e.kind AND m.before = r.status)
+SELECT aggregate_id, max_by(status, k) AS status, max(sequence) AS sequence, max(applied) AS applied, max(rejected) AS rejected FROM r GROUP BY 1"""
+
+
+@query("r1_job_state", STATES.format(agg="aggregate_id"))
 def job_state(spark, sf):
     return ev.job_state(kinds(fx.log(spark, sf)))
 

@@ -14,7 +14,12 @@ def sized(spark, sf):
     return fx.chunks(spark, sf).select("doc_id", "ordinal", F.size("words").cast("long").alias("tokens"), F.octet_length(F.array_join("words", " ")).cast("long").alias("bytes"))
 
 
-@query("s5_greedy_batches")
+@query("s5_greedy_batches", """
+WITH RECURSIVE s AS (SELECT doc_id, ordinal, len(words) AS t, strlen(array_to_string(words, ' ')) AS b, len(words) > 150 OR strlen(array_to_string(words, ' ')) > 900 AS over FROM chunks),
+r AS (SELECT doc_id, ordinal, CASE WHEN over THEN NULL ELSE 0 END AS batch, 0 AS cur, CASE WHEN over THEN 0 ELSE 1 END AS items, CASE WHEN over THEN 0 ELSE t END AS tokens, CASE WHEN over THEN 0 ELSE b END AS size FROM s WHERE ordinal = 0
+  UNION ALL SELECT doc_id, ordinal, CASE WHEN NOT over THEN cur + cut END, CASE WHEN over THEN cur ELSE cur + cut END, CASE WHEN over THEN items WHEN cut = 1 THEN 1 ELSE items + 1 END, CASE WHEN over THEN tokens WHEN cut = 1 THEN t ELSE tokens + t END, CASE WHEN over THEN size WHEN cut = 1 THEN b ELSE size + b END
+  FROM (SELECT s.*, r.cur, r.items, r.tokens, r.size, CASE WHEN r.items > 0 AND (r.items + 1 > 4 OR r.tokens + s.t > 150 OR r.size + s.b > 900) THEN 1 ELSE 0 END AS cut FROM r JOIN s ON s.doc_id = r.doc_id AND s.ordinal = r.ordinal + 1))
+SELECT doc_id, ordinal, CAST(batch AS BIGINT) AS batch FROM r""")
 def greedy_batches(spark, sf):
     return bt.greedy_batches(sized(spark, sf), "doc_id", "ordinal", 4, 150, 900)
 
@@ -25,23 +30,30 @@ def batch_prints(spark, sf):
     return bt.batch_prints(fx.chunks(spark, sf).select("doc_id", "ordinal", F.size("words").alias("n")), ["doc_id"], "ordinal", "n")
 
 
-@query("s9_encode_evidence")
+@query("s9_encode_evidence", """
+WITH v AS (SELECT pack_id, excerpt, row_number() OVER (PARTITION BY pack_id ORDER BY min(row * 5 + col)) - 1 AS number FROM units GROUP BY 1, 2)
+SELECT pack_id, '{"fields":["number","evidence_id"],"values":[' || (SELECT string_agg('"' || excerpt || '"', ',' ORDER BY number) FROM v WHERE v.pack_id = u.pack_id) || '],"rows":[' || string_agg('{"position":' || (row * 5 + col) || ',"number":' || v.number || ',"evidence_id":"' || evidence_id || '"}', ',' ORDER BY row * 5 + col) || ']}' AS encoded
+FROM units u JOIN v USING (pack_id, excerpt) GROUP BY 1""")
 def encode_evidence(spark, sf):
     rows = fx.units(spark, sf).withColumn("position", F.col("row") * 5 + F.col("col"))
     return bt.encode_evidence(rows, ["evidence_id"], "excerpt")
 
 
-@query("e9_pack_evidence")
+@query("e9_pack_evidence", """
+WITH RECURSIVE c AS (SELECT doc_id AS query_id, CAST(ordinal + 1 AS INTEGER) AS rank, (ordinal * 7919) % 90 + 1 AS t FROM chunks),
+r AS (SELECT query_id, rank, true AS taken, 1 AS units, t AS tokens FROM c WHERE rank = 1
+  UNION ALL SELECT c.query_id, c.rank, r.units < 12 AND r.tokens + c.t <= 300, r.units + CASE WHEN r.units < 12 AND r.tokens + c.t <= 300 THEN 1 ELSE 0 END, r.tokens + CASE WHEN r.units < 12 AND r.tokens + c.t <= 300 THEN c.t ELSE 0 END FROM r JOIN c ON c.query_id = r.query_id AND c.rank = r.rank + 1)
+SELECT query_id, rank, taken FROM r""")
 def pack_evidence(spark, sf):
     rows = sized(spark, sf).select(F.col("doc_id").alias("query_id"), (F.col("ordinal") + 1).cast("int").alias("rank"), F.lit(1).alias("units"), ((F.col("ordinal") * 7919) % 90 + 1).alias("tokens"))
     return evd.pack_evidence(rows, 12, 300)
 
 
 @query("e10_pack_manifest", """
-WITH e AS (SELECT pack_id, '{"alias":"E' || lpad(CAST(row_number() OVER (PARTITION BY pack_id ORDER BY row, col) AS VARCHAR), 3, '0') || '","hash":"' || sha256(excerpt) || '"}' AS entry FROM units WHERE row < 8)
+WITH e AS (SELECT pack_id, '{"alias":"E' || lpad(CAST(row_number() OVER (PARTITION BY pack_id ORDER BY row, col) AS VARCHAR), 3, '0') || '","hash":"' || sha256(excerpt) || '"}' AS entry FROM units)
 SELECT pack_id, count(*) AS units, sha256('[' || string_agg(entry, ',' ORDER BY entry) || ']') AS manifest_hash FROM e GROUP BY 1""")
 def pack_manifest(spark, sf):
-    rows = fx.units(spark, sf).where("row < 8").withColumn("position", F.col("row") * 5 + F.col("col"))
+    rows = fx.units(spark, sf).withColumn("position", F.col("row") * 5 + F.col("col"))
     return evd.pack_manifest(rows).drop("uuid")
 
 

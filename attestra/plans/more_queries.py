@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestra.operators import catalog as ct, lines as ln, tree as tr, verify as vf
 from attestra.plans import fixtures as fx
 from attestra.plans.book import query
-from attestra.plans.catalog_queries import NOW, now
+from attestra.plans.catalog_queries import NOW, STATES, now
 from attestra.streaming import events as ev
 
 
@@ -160,13 +160,17 @@ def artifact_lineage(spark, sf):
     return vf.artifact_lineage(e.select(F.col("event_id").alias("artifact_id"), F.col("user_id").alias("run_id"), F.col("event_type").alias("status"), F.array("parent").alias("parents")), "error").select(F.col("artifact_id").alias("event_id"), "fault")
 
 
-@query("r2_run_state")
+@query("r2_run_state", STATES.format(agg="(aggregate_id * 10 + event_id % 3)"))
 def run_state(spark, sf):
     kind = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "view", "started").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("progress")
     return ev.job_state(fx.log(spark, sf).withColumns({"kind": kind, "aggregate_id": F.col("aggregate_id") * 10 + F.col("event_id") % 3}))
 
 
-@query("l2_apply_publications")
+@query("l2_apply_publications", """
+WITH RECURSIVE q AS (SELECT doc_id, version_id, row_number() OVER w AS k, CASE WHEN version_id % 6 = 0 THEN -1 ELSE lag(version_id) OVER w END AS expected FROM versions WINDOW w AS (PARTITION BY doc_id ORDER BY created_at, version_id)),
+r AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS version_id, CAST(NULL AS BIGINT) AS current, '' AS outcome FROM q WHERE k = 1
+  UNION ALL SELECT q.doc_id, q.k, q.version_id, CASE WHEN q.expected IS NOT DISTINCT FROM r.current THEN q.version_id ELSE r.current END, CASE WHEN q.expected IS NOT DISTINCT FROM r.current THEN 'applied' ELSE 'conflict' END FROM r JOIN q ON q.doc_id = r.doc_id AND q.k = r.k + 1)
+SELECT doc_id, version_id AS operation_id, outcome, first_value(current) OVER (PARTITION BY doc_id ORDER BY k DESC) AS current FROM r QUALIFY k > 0""")
 def apply_publications(spark, sf):
     v = fx.versions(spark, sf)
     w = Window.partitionBy("doc_id").orderBy("created_at", "version_id")
@@ -184,7 +188,11 @@ def recheck_columns(spark, sf):
     return lo.recheck_columns(flagged, b, owned)
 
 
-@query("e2_anchor_closure")
+@query("e2_anchor_closure", """
+WITH RECURSIVE n AS (SELECT node_id, doc_id, ordinal FROM nodes WHERE ordinal > 0),
+r AS (SELECT node_id, doc_id, ordinal, 0 AS round FROM n WHERE ordinal % 12 = 0
+  UNION ALL SELECT n.node_id, n.doc_id, n.ordinal, round + 1 FROM r JOIN n ON n.doc_id = r.doc_id AND n.ordinal = r.ordinal // 2 WHERE r.ordinal % 4 = 0 AND round < 8)
+SELECT node_id, CAST(min(round) AS INTEGER) AS round FROM r GROUP BY 1""")
 def anchor_closure(spark, sf):
     from attestra.operators import evidence as evd
 

