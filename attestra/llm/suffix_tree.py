@@ -23,7 +23,7 @@ from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.llm import words
@@ -31,12 +31,11 @@ from attestra.llm.filters import Filter
 from attestra.plans.staging import spent, staged
 
 U = np.uint64
-LEAST = 3  # occurrences of contexts and stored next words
+LEAST = 5  # occurrences of contexts and stored next words
 DIVERGENCE = 0.01  # nats
 DISCOUNT = 0.75
 DEPTH = 3
-HOT_WORD = 5e-7  # words and longer sequences of this share are looked up in tasks, so at most 1 / share of each length
-HOT_SEQUENCE = 1e-6
+HOT_WORDS, HOT_SEQUENCES = 1_000_000, 2_000_000  # so many of the most frequent are looked up in tasks, at most
 FOLDS, HELD = 7, 2
 POSITIONS = 4_000_000  # that a task counts together
 STEP = U(0x9E3779B97F4A7C15)  # odd; the hash of a sequence is that of all but its last word * STEP + that of the last
@@ -112,6 +111,14 @@ def longer(key: np.ndarray, run: np.ndarray, word: np.ndarray, size: int) -> tup
     return out, run >= size
 
 
+def frequent(table: DataFrame, most: int, least: int) -> int:
+    """The least n, `least` at least, that no more than `most` rows of `table` reach."""
+    by_n = table.where(F.col("n") >= least).groupBy("n").agg(F.count("*").alias("rows"))
+    above = Window.orderBy(F.col("n").desc())  # a row for each count that occurs
+    fits = by_n.withColumn("upto", F.sum("rows").over(above)).where(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    return least if fits is None and by_n.isEmpty() else (fits or 2**62)
+
+
 @dataclass
 class Tree:
     """Frequent words with their log10 root probabilities, and frequent sequences by their hash.
@@ -183,13 +190,15 @@ def _tested(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, grams
 
 
-def grow(docs: DataFrame) -> tuple[Tree, DataFrame, DataFrame, int]:
-    """The frequent part, all sequences (key, n, mass, delta, hot), the tokens with counts, and their total in `docs` (text)."""
+def grow(docs: DataFrame) -> tuple[Tree, DataFrame, DataFrame, int, tuple[DataFrame, ...]]:
+    """The frequent part, all sequences (key, n, mass, delta, hot), the tokens (key, n, hot), their total in `docs` (text),
+    and the tables to delete in the end."""
     spark = docs.sparkSession
     table = staged(docs.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     total, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     unit = math.log10(total + distinct + 1)
-    often = table.where(F.col("n") >= max(LEAST, HOT_WORD * total)).toArrow()  # 1 / HOT_WORD rows at most
+    hot_word = frequent(table, HOT_WORDS, 1)
+    often = table.where(F.col("n") >= hot_word).toArrow()
     tree = Tree(Sparse(often["key"].to_numpy(), np.log10(often["n"].to_numpy() + 1.0) - unit), unit)
     zero = F.lit(0.0)
     before = table.where(F.col("n") >= LEAST).select("key", F.lit(0).cast("long").alias("parent_key"), F.col("key").alias("next"), "n", (F.log10(F.col("n") + 1) - unit).alias("root"), zero.alias("value"), zero.alias("delta"))
@@ -204,13 +213,12 @@ def grow(docs: DataFrame) -> tuple[Tree, DataFrame, DataFrame, int]:
         before = grams
         parts += [kept, grams]
     sequences = reduce(DataFrame.unionByName, [*sequences, before.select("key", "n", zero.alias("mass"), "delta", F.lit(DEPTH + 1).alias("size"))])
-    sequences = staged(sequences)
+    whole = staged(sequences)
     spent(*parts)
-    hot = F.col("n") >= F.when(F.col("size") == 1, max(LEAST, HOT_WORD * total)).otherwise(max(LEAST, HOT_SEQUENCE * total))
-    sequences = sequences.withColumn("hot", hot)
-    held = sequences.where("hot").select("key", "mass", "delta").toArrow()
+    sequences = whole.withColumn("hot", F.col("n") >= frequent(whole.where("mass + delta <> 0"), HOT_SEQUENCES, LEAST))
+    held = sequences.where("hot and mass + delta <> 0").select("key", "mass", "delta").toArrow()
     tree.hot = Sparse(held["key"].to_numpy(), held["mass"].to_numpy(), held["delta"].to_numpy())
-    return tree, sequences, table, total
+    return tree, sequences, table.withColumn("hot", F.col("n") >= hot_word), total, (table, whole)
 
 
 SCORED = "doc_id long, n_tokens long, n_known long, base double, gain double, keys array<long>"
@@ -235,11 +243,13 @@ def _score(sent_):
                     found = key[here]
                     at, ok = tree.hot.find(found.view(np.int64))
                     gain += np.bincount(text[here[ok]], value[at[ok]], docs)
+                    missing = ~ok
                     if size == 1:  # a word below LEAST has no entry in `hot`, but a root probability
                         at, ok = root.find(found.view(np.int64))
                         base = np.bincount(text, np.where(ok, root.values[0][at], -tree.unit), docs)
                         known = np.bincount(text[ok], minlength=docs)
-                    more = np.nonzero(~ok & cold.may_have(found))[0]
+                        missing |= ~ok
+                    more = np.nonzero(missing & cold.may_have(found))[0]
                     asked.append((text[here[more]], found[more]))
                 doc, keys = (np.concatenate(x) for x in zip(*asked, strict=True))
                 order = np.argsort(doc, kind="stable")
@@ -260,15 +270,15 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     empty table gives no rows. Other columns are not read.
     """
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    tree, sequences, table, total = grow(docs.where(~held_out(F.col("doc_id"))).select("text"))
+    tree, sequences, table, total, tables = grow(docs.where(~held_out(F.col("doc_id"))).select("text"))
     cold = sequences.where("not hot and mass + delta <> 0")
-    rare = table.where(F.col("n") < max(LEAST, HOT_WORD * total)).select("key", F.lit(1).alias("known"), (F.log10(F.col("n") + 1)).alias("base"), F.lit(0.0).alias("value"))
+    rare = table.where("not hot").select("key", F.lit(1).alias("known"), (F.log10(F.col("n") + 1)).alias("base"), F.lit(0.0).alias("value"))
     entries = rare.unionByName(cold.select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), (F.col("mass") + F.col("delta")).alias("value")))
     sent = df.sparkSession.sparkContext.broadcast((tree, Filter(entries)))
     parts = staged(docs.mapInArrow(_score(sent), SCORED).withColumn("row", F.monotonically_increasing_id()))
     asked = parts.select("row", F.explode("keys").alias("key")).join(entries.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("known", "base", "value")]), "key")
     more = staged(asked.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("value").alias("more_gain")))
-    spent(table, sequences)
+    spent(*tables)
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     base = plus("base", "more_base")
     return parts.join(more, "row", "left").select(

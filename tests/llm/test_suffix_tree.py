@@ -102,11 +102,12 @@ def test_no_training_rows_and_empty_table(spark):
 
 
 def test_rare_contexts_of_a_large_corpus_are_kept_and_found(spark, monkeypatch):
-    texts = ["q1 q2 q3 q4 q5"] * 4 + [" ".join(f"f{i}" for i in range(k, k + 200)) for k in range(0, 2000, 200)]
+    texts = ["q1 q2 q3 q4 q5"] * 7 + [" ".join(f"f{i}" for i in range(k, k + 200)) for k in range(0, 2000, 200)]
     docs = spark.createDataFrame([(next(i for i in range(20 * k, 20 * k + 20) if zlib.crc32(str(i).encode()) % 7 != 2), t) for k, t in enumerate(texts)], "doc_id long, text string")
     want = {r.doc_id: r.score for r in st.score_texts(docs).collect()}
-    for name in ("HOT_WORD", "HOT_SEQUENCE", "MIN_WORD", "MIN_CONTEXT", "MIN_ENTRY"):  # as if the corpus were so large
-        monkeypatch.setattr(st, name, 0.5, raising=False)
-    got = {r.doc_id: (r.score, r.base_score) for r in st.score_texts(docs).collect()}
-    assert {i: s for i, (s, _) in got.items()} == pytest.approx(want)
-    assert sum(s > b + 2 for s, b in got.values()) == 4
+    for hot in ((0, 0), (3, 0), (0, 3), (3, 40)):  # as if the corpus were so large
+        monkeypatch.setattr(st, "HOT_WORDS", hot[0])
+        monkeypatch.setattr(st, "HOT_SEQUENCES", hot[1])
+        got = {r.doc_id: (r.score, r.base_score) for r in st.score_texts(docs).collect()}
+        assert {i: s for i, (s, _) in got.items()} == pytest.approx(want)
+        assert sum(s > b + 2 for s, b in got.values()) == 7
