@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What may stand between the thousands of a number, phrases that open a limit, and how OCR is distrusted.
-THOUSANDS = "[ \u00a0\u202f\u2009'\u2019]"
+THOUSANDS = "[ \u00a0\u202f\u2009'’]"
 LIMIT_PHRASES = ("не более", "не менее", "до ", "от ", "свыше ")
 CRITICAL_OCR = "[0-9+\u2212\u00b1\u00b3\u00b2=%<>]"
 NUMBER = rf"(?<!\d)[+-]?(?:\d{{1,3}}(?:{THOUSANDS}\d{{3}})+(?:[,.]\d+)?|\d+(?:[,.]\d+)?)(?!\d)"
@@ -17,12 +17,13 @@ NUMBER = rf"(?<!\d)[+-]?(?:\d{{1,3}}(?:{THOUSANDS}\d{{3}})+(?:[,.]\d+)?|\d+(?:[,
 PLAIN_NUMBER = r"[+-]?\d+(?:[,.]\d+)?"
 
 
-def normalised(col: Column, form: str = "NFC") -> Column:
-    """Unicode normal form, in Arrow batches: Spark has no function for it. Null stays null."""
+def normalised(col: Column, form: str = "NFC", fold: bool = False) -> Column:
+    """Unicode normal form, and full case folding if asked, in Arrow batches: Spark has no function for them. Null stays null."""
 
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))
+        plain = lambda t: t if t.isascii() else unicodedata.normalize(form, t)
+        return texts.map(lambda t: t if t is None else plain(t).casefold() if fold else plain(t))
 
     return of(col)
 
@@ -39,8 +40,8 @@ def prepare_query(col: Column, most: int = 4000) -> Column:
 
 
 def subject(col: Column, form: str = "NFC") -> Column:
-    """A row subject for comparison: lower case, ё as е, single spaces, no punctuation at the edges."""
-    return F.btrim(F.regexp_replace(F.translate(F.lower(normalised(col, form)), "ё", "е"), r"(?U)\s+", " "), F.lit(" \t\r\n.,;:()[]{}"))
+    """A row subject for comparison: case folded, ё as е, single spaces, no punctuation at the edges."""
+    return F.btrim(F.regexp_replace(F.translate(normalised(col, form, fold=True), "ё", "е"), r"(?U)\s+", " "), F.lit(" \t\r\n.,;:()[]{}"))
 
 
 def word_prefix(a: Column, b: Column) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed value: lines that begin like this are list items or notes, never boilerplate.
+from attestra.functions.text import normalised
+
+# Lines that begin like this are list items or notes, never boilerplate; words that make a table a form.
 NOT_BOILERPLATE = r"(?iU)^(?:\d+[).]\s|[*†‡]|Примечани[ея]\b|Сноска\b)"
 FORM_CUE = r"(?iU)\b(?:форма|бланк|шаблон|form|template)\b"
 
@@ -17,17 +22,20 @@ def clip_box(df: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataF
     return df.withColumns({n: F.when(some, v) for n, v in (("cx0", a), ("cy0", b), ("cx1", c), ("cy1", d))})
 
 
-def boilerplate(blocks: DataFrame, height: float = 800.0, width: float = 600.0, band: float = 0.09, share: float = 0.6, least: int = 3, most_chars: int = 500) -> DataFrame:
-    """Blocks of repeated headers and footers: the same text, digits aside, in the same place of enough pages.
+def boilerplate(blocks: DataFrame, height: float = 800.0, width: float = 600.0, band: float = 0.09, share: float = 0.6, least: int = 3, most_chars: int = 500, owned: DataFrame | None = None) -> DataFrame:
+    """Blocks of repeated headers and footers: the same text in normal form, digits aside, in the same place (rounded
+    half to even) of enough pages. Blocks that tables own (`owned`: block_id) never qualify.
 
     Documents of fewer than `least` pages have none; a text needs max(least, ceil(share * pages)) distinct pages.
     """
     pages = blocks.groupBy("doc_id").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= least)
     place = F.when(F.col("y1") <= height * band, "repeated_header").when(F.col("y0") >= height * (1 - band), "repeated_footer")
-    text = F.trim("text")
-    sign = F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"\d+", "#")
-    fit = blocks.where((text != "") & (F.char_length(text) <= most_chars) & ~text.rlike(NOT_BOILERPLATE)).withColumns({"reason": place, "sign": sign, "px": F.round(F.col("x0") / width * 100), "py": F.round(F.col("y0") / height * 100)})
-    fit = fit.where("reason is not null").join(pages, "doc_id")
+    text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    fit = blocks.withColumn("reason", place).where(F.col("reason").isNotNull() & (text != "") & (F.char_length(text) <= most_chars) & ~text.rlike(NOT_BOILERPLATE))
+    if owned is not None:
+        fit = fit.join(owned.select("block_id").distinct(), "block_id", "left_anti")
+    sign = F.regexp_replace(F.regexp_replace(normalised(text), r"(?U)\s+", " "), r"(?U)\d+", "#")
+    fit = fit.withColumns({"sign": sign, "px": F.bround(F.col("x0") / width * 100), "py": F.bround(F.col("y0") / height * 100)}).join(pages, "doc_id")
     key = ["doc_id", "reason", "sign", "px", "py"]
     enough = fit.groupBy(*key, "pages").agg(F.count_distinct("page").alias("on")).where(F.col("on") >= F.greatest(F.lit(least), F.ceil(F.col("pages") * share)))
     return fit.join(enough.select(*key, "on"), key).select("doc_id", "block_id", "reason", F.col("on").alias("pages"))
@@ -105,12 +113,69 @@ def box_overlap(primary: DataFrame, candidate: DataFrame) -> DataFrame:
     return keep(primary, lost_a, "primary").unionByName(keep(candidate, lost_b, "candidate"))
 
 
-def grid_edges(boxes: DataFrame, key: str, position: str, gap: float = 0.5) -> DataFrame:
-    """Clusters of edges of a table no more than `gap` apart in a chain: index, and their mean position."""
-    w = Window.partitionBy(key).orderBy(position)
-    edges = boxes.select(key, position).distinct().withColumn("new", F.when(F.col(position) - F.lag(position).over(w) <= gap, 0).otherwise(1))
-    edges = edges.withColumn("edge", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return edges.groupBy(key, "edge").agg(F.round(F.avg(position), 6).alias("place"), F.count("*").alias("members"))
+def grid_edges(edges: DataFrame, key: str, position: str, gap: float = 0.5) -> DataFrame:
+    """Boundaries of each table (key, bounds): an edge opens a new one if it is more than `gap` beyond the edge that
+    opened the last. A table's edges are few and are folded in order as one array."""
+    every = edges.where(F.col(position).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(F.col(position).cast("double"))).alias("xs"))
+    opens = lambda bs, x: F.when((F.size(bs) == 0) | (x - F.element_at(bs, -1) > gap), F.array_append(bs, x)).otherwise(bs)
+    return every.select(key, F.aggregate("xs", F.array().cast("array<double>"), opens).alias("bounds"))
+
+
+def grid_from_boxes(boxes: DataFrame, gap: float = 0.5) -> DataFrame:
+    """Row, column and spans of the boxes (table_id, box_id, x0, y0, x1, y1) of each table: the numbers of the nearest
+    boundaries of its edges, the lower of two that are as near."""
+    out = boxes
+    for axis in ("x", "y"):
+        edges = boxes.select("table_id", F.explode(F.array(f"{axis}0", f"{axis}1")).alias("at"))
+        out = out.join(grid_edges(edges, "table_id", "at", gap).withColumnRenamed("bounds", axis), "table_id")
+    near = lambda v, bounds: F.array_min(F.transform(bounds, lambda b, i: F.struct(F.abs(F.col(v) - b).alias("far"), i.alias("i"))))["i"]
+    left, right, top, bottom = near("x0", "x"), near("x1", "x"), near("y0", "y"), near("y1", "y")
+    return out.select("table_id", "box_id", top.alias("row"), left.alias("col"), (bottom - top).alias("row_span"), (right - left).alias("col_span"))
+
+
+WRAPPED = "table_id long, cell_id long, row int"
+
+
+def coalesce_wrapped(cells: DataFrame) -> DataFrame:
+    """New row of each cell (table_id, cell_id, row, col, row_span, col_span, y0, y1, text, header) where a row is split.
+
+    A row joins the one above it if both have text, in different columns, with neither headers nor cells over several
+    rows, its texts are all numbers, and their middles lie inside the height of one label (a text with a letter) of the
+    row above. Blank cells of joined rows go. A joined row may take the next row too. Each step depends on those before,
+    so a table, whose rows are few, is worked through in order.
+    """
+    letter, number = re.compile(r"[^\W\d_]"), re.compile(r"[\s\d.,+±−%-]+")
+
+    def plain(cs: list[dict]) -> bool:
+        return all(not c["header"] and c["row_span"] == 1 for c in cs)
+
+    def joins(upper: list[dict], lower: list[dict]) -> bool:
+        columns = [{k for c in cs for k in range(c["col"], c["col"] + c["col_span"])} for cs in (upper, lower)]
+        if not upper or not lower or columns[0] & columns[1] or not plain(upper + lower):
+            return False
+        if any(c["y0"] is None or not number.fullmatch(c["text"]) for c in lower):
+            return False
+        middles = [(c["y0"] + c["y1"]) / 2 for c in lower]
+        labels = [c for c in upper if c["y0"] is not None and letter.search(c["text"])]
+        return any(c["y0"] < min(middles) and max(middles) < c["y1"] for c in labels)
+
+    def table(rows: pa.Table) -> pa.Table:
+        by_row: dict[int, list[dict]] = {}
+        for c in rows.to_pylist():
+            by_row.setdefault(c["row"], []).append(c | {"blank": not (c["text"] or "").strip()})
+        out, joined, open_row, above = [], 0, None, []
+        for r in sorted(by_row):
+            said = [c for c in by_row[r] if not c["blank"]]
+            if open_row is not None and r - joined == open_row + 1 and joins([c for c in above if not c["blank"]], said):
+                joined, above = joined + 1, [c for c in above if not c["blank"]] + said
+            else:
+                out += [(c, open_row) for c in above]
+                open_row, above = r - joined, by_row[r]
+        out += [(c, open_row) for c in above]
+        return pa.table({"table_id": [c["table_id"] for c, _ in out], "cell_id": [c["cell_id"] for c, _ in out], "row": pa.array([r for _, r in out], pa.int32())})
+
+    columns = ["table_id", "cell_id", "row", "col", "row_span", "col_span", "y0", "y1", "text", "header"]
+    return cells.select(*columns).groupBy("table_id").applyInArrow(table, WRAPPED)
 
 
 def header_rows(cells: DataFrame) -> DataFrame:

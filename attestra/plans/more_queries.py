@@ -9,6 +9,7 @@ from attestra.operators import catalog as ct, lines as ln, tree as tr, verify as
 from attestra.plans import fixtures as fx
 from attestra.plans.book import query
 from attestra.plans.catalog_queries import NOW, STATES, now
+from attestra.plans.structure_queries import COLUMNS
 from attestra.streaming import events as ev
 
 
@@ -83,7 +84,10 @@ def chunk_template(spark, sf):
     return ln.chunk_template(fx.cells(spark, sf).withColumn("text", F.when(keep, F.col("text")).otherwise(F.lit(""))))
 
 
-@query("d20_routing_descriptors")
+@query("d20_routing_descriptors", """
+WITH RECURSIVE up AS (SELECT node_id AS leaf, node_id, parent_id FROM nodes UNION ALL SELECT u.leaf, n.node_id, n.parent_id FROM up u JOIN nodes n ON n.node_id = u.parent_id),
+f AS (SELECT u.node_id, min_by(l.text, l.ordinal) AS intro FROM up u JOIN nodes l ON l.node_id = u.leaf WHERE trim(l.text, ' ') <> '' GROUP BY 1)
+SELECT n.node_id, left(coalesce(f.intro, ''), 60) AS intro FROM nodes n LEFT JOIN f USING (node_id) WHERE n.kind IN ('document', 'section')""")
 def routing_descriptors(spark, sf):
     n = fx.nodes(spark, sf)
     return ln.routing_descriptors(tr.tree_paths(n), n, ("document", "section"), 60)
@@ -177,7 +181,13 @@ def apply_publications(spark, sf):
     return ct.apply_publications(v.select("doc_id", "version_id", F.col("version_id").alias("operation_id"), F.row_number().over(w).alias("order"), F.when(F.col("version_id") % 6 == 0, F.lit(-1)).otherwise(F.lag("version_id").over(w)).alias("expected")))
 
 
-@query("d28_recheck_columns")
+def _two(name: str, cols: str) -> str:
+    return f"""{name}_pairs AS (SELECT l.doc_id, l.page, (l.y0 + l.y1) / 2 AS y FROM {cols} l JOIN {cols} r ON r.doc_id = l.doc_id AND r.page = l.page AND r.x0 > 282 AND l.x1 < 318 AND l.x0 < 240 AND r.x0 - l.x1 > 18 AND least(l.y1, r.y1) - greatest(l.y0, r.y0) > 4
+  WHERE NOT EXISTS (SELECT 1 FROM {cols} o WHERE o.doc_id = l.doc_id AND o.page = l.page AND o.block_id NOT IN (l.block_id, r.block_id) AND o.x0 < r.x0 AND o.x1 > l.x1 AND least(o.y1, l.y1) - greatest(o.y0, l.y0) > 0.4 * (least(l.y1, r.y1) - greatest(l.y0, r.y0)))),
+{name} AS (SELECT doc_id, page FROM (SELECT doc_id, page, y, lag(y) OVER (PARTITION BY doc_id, page ORDER BY y) AS b FROM (SELECT DISTINCT doc_id, page, y FROM {name}_pairs)) WHERE b IS NULL OR y - b > 6 GROUP BY 1, 2 HAVING count(*) >= 3)"""
+
+
+@query("d28_recheck_columns", f"WITH {COLUMNS}, free AS (SELECT * FROM cols WHERE line % 3 <> 0), {_two('all_pages', 'cols')}, {_two('free_pages', 'free')} SELECT doc_id, page FROM all_pages JOIN free_pages USING (doc_id, page)")
 def recheck_columns(spark, sf):
     from attestra.operators import layout as lo
     from attestra.plans.structure_queries import columns

@@ -110,12 +110,37 @@ def chars_in_cells(spark, sf):
     return lo.chars_in_cells(chars, cells)
 
 
-@query("d8_grid_from_boxes", """
-SELECT key, edge, round(avg(x), 6) AS place, count(*) AS members FROM (SELECT key, x, CAST(sum(fresh) OVER (PARTITION BY key ORDER BY x) - 1 AS BIGINT) AS edge FROM (SELECT key, x, CASE WHEN x - lag(x) OVER (PARTITION BY key ORDER BY x) <= 0.5 THEN 0 ELSE 1 END AS fresh FROM (
-  SELECT DISTINCT l_suppkey AS key, l_quantity + CAST(l_partkey % 3 AS DOUBLE) / 4 AS x FROM lineitem))) GROUP BY 1, 2""")
+BOXES = """boxes AS (SELECT l_suppkey AS table_id, l_orderkey * 10 + l_linenumber AS box_id, l_quantity + CAST(l_partkey % 3 AS DOUBLE) / 4 AS x0, l_quantity + CAST(l_partkey % 3 AS DOUBLE) / 4 + l_linenumber AS x1,
+  CAST(l_orderkey % 50 AS DOUBLE) / 4 AS y0, CAST(l_orderkey % 50 AS DOUBLE) / 4 + 2 AS y1 FROM lineitem)"""
+BOUNDS = """{a}e AS (SELECT table_id, x, row_number() OVER (PARTITION BY table_id ORDER BY x) AS k FROM (SELECT DISTINCT table_id, unnest([{a}0, {a}1]) AS x FROM boxes)),
+{a}r AS (SELECT table_id, k, x AS opened FROM {a}e WHERE k = 1 UNION ALL SELECT e.table_id, e.k, CASE WHEN e.x - r.opened > 0.5 THEN e.x ELSE r.opened END FROM {a}r r JOIN {a}e e ON e.table_id = r.table_id AND e.k = r.k + 1),
+{a}b AS (SELECT table_id, opened, row_number() OVER (PARTITION BY table_id ORDER BY opened) - 1 AS i FROM (SELECT DISTINCT table_id, opened FROM {a}r)),
+{a}n AS (SELECT table_id, v, arg_min(i, abs(v - opened) * 1000000 + i) AS i FROM (SELECT DISTINCT table_id, unnest([{a}0, {a}1]) AS v FROM boxes) JOIN {a}b USING (table_id) GROUP BY 1, 2)"""
+
+
+@query("d8_grid_from_boxes", f"""
+WITH RECURSIVE {BOXES}, {BOUNDS.format(a="x")}, {BOUNDS.format(a="y")}
+SELECT b.table_id, box_id, CAST(t.i AS INTEGER) AS row, CAST(l.i AS INTEGER) AS col, CAST(o.i - t.i AS INTEGER) AS row_span, CAST(r.i - l.i AS INTEGER) AS col_span FROM boxes b
+JOIN xn l ON l.table_id = b.table_id AND l.v = b.x0 JOIN xn r ON r.table_id = b.table_id AND r.v = b.x1 JOIN yn t ON t.table_id = b.table_id AND t.v = b.y0 JOIN yn o ON o.table_id = b.table_id AND o.v = b.y1""")
 def grid_from_boxes(spark, sf):
-    rows = fx.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("key"), (F.col("l_quantity") + (F.col("l_partkey") % 3).cast("double") / 4).alias("x"))
-    return lo.grid_edges(rows, "key", "x")
+    x0, y0 = F.col("l_quantity") + (F.col("l_partkey") % 3).cast("double") / 4, (F.col("l_orderkey") % 50).cast("double") / 4
+    rows = fx.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("table_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("box_id"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_linenumber")).alias("x1"), (y0 + 2).alias("y1"))
+    return lo.grid_from_boxes(rows)
+
+
+@query("d14_coalesce_wrapped", """
+WITH i AS (SELECT l_orderkey AS table_id, row, l_returnflag = 'N' AS wrapped, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY row) AS joined FROM items)
+SELECT table_id, row * 4 AS cell_id, CAST(2 * (row - 1) - joined + CASE WHEN wrapped THEN 1 ELSE 0 END AS INTEGER) AS row FROM i UNION ALL SELECT table_id, row * 4 + 1, CAST(2 * row - 1 - joined AS INTEGER) FROM i
+UNION ALL SELECT table_id, row * 4 + 2, CAST(2 * row - 1 - joined AS INTEGER) FROM i WHERE NOT wrapped""")
+def coalesce_wrapped(spark, sf):
+    """Two rows for each line item: a tall label, then its quantity, which lies within the label's height for some, and a blank."""
+    c = fx.cells(spark, sf).where("row > 0 and col in (0, 1)")
+    flags = fx.cells(spark, sf).where("row > 0 and col = 4").select("table_id", "row", (F.col("text") == "N").alias("wrapped"))
+    rows = c.join(flags, ["table_id", "row"]).withColumn("y", F.col("row") * 40.0)
+    lower, low = F.col("col") == 1, F.when(F.col("wrapped"), F.col("y") + 10).otherwise(F.col("y") + 32)
+    at = rows.select("table_id", (F.col("row") * 4 + F.col("col")).alias("cell_id"), (2 * (F.col("row") - 1) + F.col("col")).cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.when(lower, low).otherwise(F.col("y")).alias("y0"), F.when(lower, low + 6).otherwise(F.col("y") + 30).alias("y1"), "text")
+    blank = rows.where(lower).select("table_id", (F.col("row") * 4 + 2).alias("cell_id"), (2 * F.col("row") - 1).cast("int").alias("row"), F.lit(2).alias("col"), low.alias("y0"), (low + 6).alias("y1"), F.lit(" ").alias("text"))
+    return lo.coalesce_wrapped(at.unionByName(blank).withColumns({"row_span": F.lit(1), "col_span": F.lit(1), "header": F.lit(False)}))
 
 
 @query("d9_header_rows", """

@@ -16,7 +16,8 @@ def prepare_query(spark, sf):
     return fx.table(spark, sf, "benchmark").select("item_id", text.prepare_query(F.col("text")).alias("search_text"))
 
 
-@query("p10_subject_normalise")
+@query("p10_subject_normalise", r"""
+SELECT block_id, trim(regexp_replace(translate(replace(lower(nfc_normalize(text)), 'ß', 'ss'), 'ςё', 'σе'), '[\s\x0B\x{85}\p{Z}]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13) || '.,;:()[]{}') AS subject FROM blocks""")
 def subject_normalise(spark, sf):
     return fx.blocks(spark, sf).select("block_id", text.subject(F.col("text")).alias("subject"))
 
