@@ -246,3 +246,43 @@ def apply_publications(requests: DataFrame) -> DataFrame:
     longs = [F.col(c).cast("long").alias(c) for c in ("doc_id", "order", "operation_id", "version_id", "expected")]
     folded = requests.select(*longs).groupBy("doc_id").agg(items.alias("xs")).select("doc_id", F.aggregate("xs", zero, step).alias("s"))
     return folded.select("doc_id", F.inline("s.out"), "s.current").select("doc_id", "operation_id", "outcome", "current")
+
+
+def apply_retirements(documents: DataFrame, pointers: DataFrame, commands: DataFrame) -> DataFrame:
+    """State of each document (doc_id, archived, revoked) after retirement commands (doc_id, command: revoke, archive or
+    deactivate): its outcome, whether it may be searched, and the publication that stays current.
+
+    A revocation outranks archiving, and both outrank deactivation, which alone clears the pointer (doc_id,
+    publication_id). Commands for unknown documents change nothing; repeated ones count once.
+    """
+    said = lambda name: F.coalesce(F.bool_or(F.col("command") == name), F.lit(False)).alias(f"said_{name}")
+    asked = commands.groupBy("doc_id").agg(said("revoke"), said("archive"), said("deactivate"))
+    rows = documents.select("doc_id", "archived", "revoked").join(asked, "doc_id", "left").join(pointers.select("doc_id", "publication_id"), "doc_id", "left")
+    either = lambda state, name: F.coalesce(F.col(state), F.lit(False)) | F.coalesce(F.col(f"said_{name}"), F.lit(False))
+    outcome = F.when(either("revoked", "revoke"), "revoked").when(either("archived", "archive"), "archived").when(F.coalesce("said_deactivate", F.lit(False)), "deactivated").otherwise("kept")
+    rows = rows.withColumn("outcome", outcome)
+    return rows.select("doc_id", "outcome", (F.col("outcome") == "kept").alias("searchable"), F.when(F.col("outcome") != "deactivated", F.col("publication_id")).alias("publication_id"))
+
+
+#: What a user reads where a stage failed.
+MESSAGES = {"parse": "The document could not be read.", "index": "The document could not be indexed."}
+
+
+def job_view(jobs: DataFrame, documents: DataFrame) -> DataFrame:
+    """Jobs (version_id, doc_id, parse_status, index_status, progress) as their owner may see them: title, the message of
+    the first stage that failed, the stage that it is in, and progress, which revoked documents hide."""
+    rows = jobs.join(documents.select("doc_id", "title", "revoked"), "doc_id")
+    message, stage = F.lit(None).cast("string"), F.lit("done")
+    for name in ("index", "parse"):
+        failed, status = F.col(f"{name}_status") == "failed", F.col(f"{name}_status")
+        message, stage = F.when(failed, MESSAGES[name]).otherwise(message), F.when(status != "ready", name).otherwise(stage)
+    return rows.select("version_id", "title", message.alias("message"), stage.alias("stage"), F.when(~F.col("revoked"), F.col("progress")).alias("progress"))
+
+
+def document_detail(documents: DataFrame, versions: DataFrame, publications: DataFrame) -> DataFrame:
+    """Documents with the numbers of their versions and of those ready, failed and in work, and their latest publication."""
+    state = F.when((F.col("parse_status") == "failed") | (F.col("index_status") == "failed"), "failed").when(F.col("index_status") == "ready", "ready").otherwise("working")
+    count = versions.select("doc_id", state.alias("state")).groupBy("doc_id").agg(F.count("*").alias("versions"), *[F.count_if(F.col("state") == s).alias(s) for s in ("ready", "failed", "working")])
+    last = publications.groupBy("doc_id").agg(F.max("publication_id").alias("publication"))
+    rows = documents.select("doc_id", "title").join(count, "doc_id", "left").join(last, "doc_id", "left")
+    return rows.select("doc_id", "title", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("versions", "ready", "failed", "working")], "publication")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from attestra.operators import records, retrieval as rt, verify as vf
 from attestra.plans import fixtures as fx
 from attestra.plans.book import query
+from attestra.plans.staging import staged
 
 NUM = "[+-]?\\d+(?:[,.]\\d+)?"
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
@@ -73,45 +74,77 @@ def bounded_terms(spark, sf):
     return text_queries(spark, sf)
 
 
+def lexical_hits(spark, sf):
+    asked = text_queries(spark, sf)
+    terms = rt.weighted_terms(fx.chunks(spark, sf), {"A": F.array("lang", "source"), "C": F.col("words")}, asked.select(F.explode("terms").alias("term")))
+    return rt.lexical_topk(asked, terms)
+
+
 @query("t2_lexical_topk", f"WITH {TERMS}, {ASKED}, {LEXICAL} SELECT * FROM lexical")
 def lexical_topk(spark, sf):
-    return rt.lexical_topk(text_queries(spark, sf), chunk_terms(spark, sf))
+    return lexical_hits(spark, sf)
 
 
 def channels(spark, sf):
-    """Two channels for each benchmark query: lexical hits, and the same hits of the next query as a second opinion."""
-    hits = rt.lexical_topk(text_queries(spark, sf), chunk_terms(spark, sf)).select("query_id", "chunk_id", "rank")
-    shifted = hits.withColumn("query_id", F.col("query_id") + 1)
-    return hits.withColumn("channel", F.lit("lexical")).unionByName(shifted.withColumn("channel", F.lit("other")))
+    """Two channels for each benchmark question: lexical hits, and the first chunks of the documents whose vectors are
+    nearest to the vector of the question's number. Written once, as two things read them."""
+    items = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
+    asked = vectors(spark, sf).join(F.broadcast(items.distinct()) if items.count() <= rt.FEW_TERMS else items.distinct(), F.col("chunk_id") == F.col("query_id"))
+    dense = rt.dense_topk(asked.select("query_id", "embedding"), vectors(spark, sf), 20).select("query_id", (F.col("chunk_id") * 1000).alias("chunk_id"), "rank")
+    both = lexical_hits(spark, sf).select("query_id", "chunk_id", "rank").withColumn("channel", F.lit("lexical")).unionByName(dense.withColumn("channel", F.lit("dense")))
+    return staged(both.withColumn("generation_id", F.floor(F.col("chunk_id") / 1000) % 3))
 
 
-CHANNELS = """channels AS (SELECT query_id, chunk_id, rank, 'lexical' AS channel FROM lexical UNION ALL SELECT query_id + 1, chunk_id, rank, 'other' FROM lexical)"""
+CHANNELS = f"""dense AS (SELECT query_id, chunk_id * 1000 AS chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(1 - {DOT.format(a="q.embedding", b="c.embedding")} / (sqrt({DOT.format(a="q.embedding", b="q.embedding")}) * sqrt({DOT.format(a="c.embedding", b="c.embedding")})), 9) AS distance
+  FROM embeddings q, embeddings c WHERE q.vec_id IN (SELECT item_id FROM benchmark))) WHERE rank <= 20),
+channels AS (SELECT query_id, chunk_id, rank, 'lexical' AS channel FROM lexical UNION ALL SELECT query_id, chunk_id, rank, 'dense' FROM dense)"""
 
 
 @query("n1_rrf_fuse", f"""
 WITH {TERMS}, {ASKED}, {LEXICAL}, {CHANNELS}
-SELECT query_id, chunk_id, score, channels, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(chunk_id AS VARCHAR)) AS rank FROM (
-    SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score, count(*) AS channels FROM channels GROUP BY 1, 2)) WHERE rank <= 20""")
+SELECT query_id, chunk_id, generation_id, score, channels, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(chunk_id AS VARCHAR), CAST(generation_id AS VARCHAR)) AS rank FROM (
+    SELECT query_id, chunk_id, (chunk_id // 1000) % 3 AS generation_id, round(sum(1.0 / (60 + rank)), 9) AS score, count(*) AS channels FROM channels GROUP BY 1, 2)) WHERE rank <= 20""")
 def rrf_fuse(spark, sf):
-    return rt.rrf_fuse(channels(spark, sf))
+    return rt.rrf_fuse(channels(spark, sf), keys=("chunk_id", "generation_id"))
 
 
 @query("e14_stage_counts", f"""
 WITH {TERMS}, {ASKED}, {LEXICAL}, {CHANNELS}
-SELECT query_id, count(*) FILTER (WHERE channel = 'lexical') AS lexical, count(*) FILTER (WHERE channel = 'other') AS other FROM channels GROUP BY 1""")
+SELECT query_id, count(*) FILTER (WHERE channel = 'lexical') AS lexical, count(*) FILTER (WHERE channel = 'dense') AS dense FROM channels GROUP BY 1""")
 def stage_counts(spark, sf):
     both = channels(spark, sf)
-    return rt.stage_counts(lexical=both.where("channel = 'lexical'"), other=both.where("channel = 'other'"))
+    return rt.stage_counts(lexical=both.where("channel = 'lexical'"), dense=both.where("channel = 'dense'"))
+
+
+def common_words(questions: list[str], texts: list[str]) -> list[float]:
+    """A stand-in for a reranker: distinct words that a question and a text share, less five; five texts at once at most."""
+    if len(texts) > 5:
+        raise rt.TokenOverflow
+    return [len(set(q.split()) & set(t.split())) - 5.0 for q, t in zip(questions, texts, strict=True)]
 
 
 @query("t4_rerank_topk", f"""
 WITH {TERMS}, {ASKED}, {LEXICAL}
 SELECT query_id, chunk_id, score, rank FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
-  SELECT query_id, chunk_id, (chunk_id * 7919 + query_id * 104729) % 1000 AS score FROM lexical)) WHERE rank <= 6""")
+  SELECT query_id, chunk_id, round(1 / (1 + exp(5.0 - len(list_intersect(a.terms, list_transform(c.words, lambda x: lower(x)))))), 9) AS score FROM lexical JOIN asked a USING (query_id) JOIN chunks c USING (chunk_id))) WHERE rank <= 6""")
 def rerank_topk(spark, sf):
-    hits = rt.lexical_topk(text_queries(spark, sf), chunk_terms(spark, sf)).select("query_id", "chunk_id")
-    return rt.rerank_topk(hits, (F.col("chunk_id") * 7919 + F.col("query_id") * 104729) % 1000)
+    hits = lexical_hits(spark, sf).select("query_id", "chunk_id")
+    questions = text_queries(spark, sf).select("query_id", F.array_join("terms", " ").alias("question"))
+    texts = fx.chunks(spark, sf).select("chunk_id", F.lower(F.array_join("words", " ")).alias("text"))
+    rows = hits.join(questions, "query_id").join(texts, "chunk_id")
+    return rt.rerank_topk(rows, F.round(rt.rerank_score(F.col("question"), F.col("text"), common_words), 9)).select("query_id", "chunk_id", "score", "rank")
+
+
+def word_counts(texts: list[str]) -> list[list[float]]:
+    """A stand-in for an embedder."""
+    return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+@query("u3_embed", "SELECT chunk_id, [CAST(length(t) AS FLOAT), CAST(len(words) - 1 AS FLOAT)] AS embedding FROM (SELECT chunk_id, words, array_to_string(words, ' ') AS t FROM chunks)")
+def embed_chunks(spark, sf):
+    return fx.chunks(spark, sf).select("chunk_id", rt.embed(F.array_join("words", " "), word_counts).alias("embedding"))
 
 
 @query("j1_chunks_in_snapshot", """

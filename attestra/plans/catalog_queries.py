@@ -367,7 +367,7 @@ def job_state(spark, sf):
 SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'revoked' WHEN doc_id % 6 = 0 THEN 'archived' WHEN doc_id % 5 = 0 THEN 'deactivated' ELSE 'kept' END AS outcome, NOT (doc_id % 11 = 0 OR doc_id % 6 = 0 OR doc_id % 5 = 0) AS searchable,
   CASE WHEN doc_id % 5 = 0 AND doc_id % 11 <> 0 AND doc_id % 6 <> 0 THEN NULL ELSE publication_id END AS publication_id FROM (SELECT d.doc_id, max(p.publication_id) AS publication_id FROM catalog d LEFT JOIN publications p USING (doc_id) GROUP BY 1)""")
 def apply_retirements(spark, sf):
+    d = fx.documents(spark, sf)
     pointer = fx.publications(spark, sf).groupBy("doc_id").agg(F.max("publication_id").alias("publication_id"))
-    rows = fx.documents(spark, sf).join(pointer, "doc_id", "left")
-    outcome = F.when(F.col("revoked"), "revoked").when(F.col("archived"), "archived").when(F.col("doc_id") % 5 == 0, "deactivated").otherwise("kept")
-    return rows.select("doc_id", outcome.alias("outcome"), (outcome == "kept").alias("searchable"), F.when(outcome != "deactivated", F.col("publication_id")).alias("publication_id"))
+    commands = d.where("doc_id % 5 = 0").select("doc_id", F.lit("deactivate").alias("command")).unionByName(d.where("doc_id % 66 = 0").select("doc_id", F.lit("archive").alias("command")))
+    return ct.apply_retirements(d, pointer, commands)

@@ -101,9 +101,10 @@ def diagnostics_page(spark, sf):
 
 
 @query("l6_materialise_evidence", """
-SELECT u.pack_id, u.evidence_id, sha256(u.excerpt) AS hash FROM units u WHERE u.pack_id % 3 = 0 AND EXISTS (SELECT 1 FROM claims c WHERE c.pack_id = u.pack_id AND list_contains(c.evidence_ids, u.evidence_id))""")
+SELECT u.pack_id, u.evidence_id, sha256(u.excerpt) AS hash FROM units u JOIN orders o ON o.o_orderkey = u.pack_id WHERE o.o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM claims c WHERE c.pack_id = u.pack_id AND list_contains(c.evidence_ids, u.evidence_id))""")
 def materialise_evidence(spark, sf):
-    used = vf.cited(fx.claims(spark, sf).where("pack_id % 3 = 0")).select("pack_id", "evidence_id").distinct()
+    done = fx.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("pack_id"))
+    used = vf.cited(fx.claims(spark, sf).join(done, "pack_id", "left_semi")).select("pack_id", "evidence_id").distinct()
     return fx.units(spark, sf).join(used, ["pack_id", "evidence_id"], "left_semi").select("pack_id", "evidence_id", F.sha2("excerpt", 256).alias("hash"))
 
 
@@ -124,18 +125,17 @@ def cleanup_candidates(spark, sf):
 
 
 @query("l10_job_view", """
-SELECT v.version_id, d.title, CASE WHEN v.parse_status = 'failed' THEN 'The document could not be read.' END AS message, CASE WHEN d.revoked THEN NULL ELSE v.version_id % 101 END AS progress FROM versions v JOIN catalog d USING (doc_id)""")
+SELECT v.version_id, d.title, CASE WHEN v.parse_status = 'failed' THEN 'The document could not be read.' END AS message, CASE WHEN v.parse_status <> 'ready' THEN 'parse' WHEN v.index_status <> 'ready' THEN 'index' ELSE 'done' END AS stage,
+  CASE WHEN d.revoked THEN NULL ELSE v.version_id % 101 END AS progress FROM versions v JOIN catalog d USING (doc_id)""")
 def job_view(spark, sf):
-    rows = fx.versions(spark, sf).join(fx.documents(spark, sf), "doc_id")
-    return rows.select("version_id", "title", F.when(F.col("parse_status") == "failed", "The document could not be read.").alias("message"), F.when(~F.col("revoked"), F.col("version_id") % 101).alias("progress"))
+    return ct.job_view(fx.versions(spark, sf).withColumn("progress", F.col("version_id") % 101), fx.documents(spark, sf))
 
 
 @query("l11_document_detail", """
-SELECT d.doc_id, d.title, count(v.version_id) AS versions, count(*) FILTER (WHERE v.index_status = 'ready') AS ready, max(p.publication_id) AS publication FROM catalog d LEFT JOIN versions v USING (doc_id) LEFT JOIN publications p ON p.publication_id = v.version_id GROUP BY 1, 2""")
+SELECT d.doc_id, d.title, count(v.version_id) AS versions, count(*) FILTER (WHERE parse_status <> 'failed' AND v.index_status = 'ready') AS ready, count(*) FILTER (WHERE parse_status = 'failed') AS failed,
+  count(*) FILTER (WHERE parse_status <> 'failed' AND index_status <> 'ready') AS working, max(p.publication_id) AS publication FROM catalog d LEFT JOIN versions v USING (doc_id) LEFT JOIN publications p ON p.publication_id = v.version_id GROUP BY 1, 2""")
 def document_detail(spark, sf):
-    v = fx.versions(spark, sf).join(fx.publications(spark, sf).select(F.col("publication_id").alias("version_id"), F.col("publication_id")), "version_id", "left")
-    of = v.groupBy("doc_id").agg(F.count("*").alias("versions"), F.count_if(F.col("index_status") == "ready").alias("ready"), F.max("publication_id").alias("publication"))
-    return fx.documents(spark, sf).join(of, "doc_id", "left").select("doc_id", "title", F.coalesce("versions", F.lit(0)).alias("versions"), F.coalesce("ready", F.lit(0)).alias("ready"), "publication")
+    return ct.document_detail(fx.documents(spark, sf), fx.versions(spark, sf), fx.publications(spark, sf))
 
 
 @query("v14_repair_targets", """
@@ -236,20 +236,20 @@ def expand_hits(spark, sf):
 
 
 @query("v6_variant_groups", """
-SELECT a.table_id, a.subject AS base, list_sort(list(DISTINCT b.subject)) AS refined FROM (SELECT DISTINCT l_orderkey % 500 AS table_id, 'limit ' || l_returnflag AS subject FROM lineitem) a
-JOIN (SELECT DISTINCT l_orderkey % 500 AS table_id, 'upper limit ' || l_returnflag || ' line ' || l_linenumber AS subject FROM lineitem) b ON a.table_id = b.table_id AND contains(' ' || lower(b.subject) || ' ', ' ' || lower(a.subject) || ' ') GROUP BY 1, 2""")
+SELECT a.table_id, a.subject AS base, list_sort(list(DISTINCT b.subject)) AS refined FROM (SELECT DISTINCT l_orderkey AS table_id, 'limit ' || l_returnflag AS subject FROM lineitem) a
+JOIN (SELECT DISTINCT l_orderkey AS table_id, 'upper limit ' || l_returnflag || ' line ' || l_linenumber AS subject FROM lineitem) b ON a.table_id = b.table_id AND contains(' ' || lower(b.subject) || ' ', ' ' || lower(a.subject) || ' ') GROUP BY 1, 2""")
 def variant_groups(spark, sf):
     rows = fx.table(spark, sf, "lineitem")
-    k = (F.col("l_orderkey") % 500).alias("table_id")
+    k = F.col("l_orderkey").alias("table_id")
     options = rows.select(k, F.concat(F.lit("limit "), "l_returnflag").alias("subject")).unionByName(rows.select(k, F.concat(F.lit("upper limit "), "l_returnflag", F.lit(" line "), F.col("l_linenumber").cast("string")).alias("subject"))).distinct()
     return vf.variant_groups(options)
 
 
 @query("v8_missing_variants", """
-SELECT c.pack_id, c.claim_id, list_sort(list_filter([c.claim_id || '-0', c.claim_id || '-1', c.claim_id || '-2', c.claim_id || '-3'], lambda x: NOT list_contains(c.evidence_ids, x))) AS missing FROM claims c JOIN orders o ON o.o_orderkey = c.pack_id WHERE o.o_orderkey % 2 = 0""")
+SELECT c.pack_id, c.claim_id, list_sort(list_filter([c.claim_id || '-0', c.claim_id || '-1', c.claim_id || '-2', c.claim_id || '-3'], lambda x: NOT list_contains(c.evidence_ids, x))) AS missing FROM claims c JOIN orders o ON o.o_orderkey = c.pack_id WHERE o.o_orderstatus <> 'O'""")
 def missing_variants(spark, sf):
     options = vf.row_options(fx.units(spark, sf))
-    asked = fx.table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("pack_id"))
+    asked = fx.table(spark, sf, "orders").where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("pack_id"))
     return vf.missing_variants(fx.claims(spark, sf).join(asked, "pack_id", "left_semi"), options)
 
 
