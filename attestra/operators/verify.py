@@ -60,9 +60,9 @@ def row_options(cells: DataFrame) -> DataFrame:
 
 def numeric_table_context(claims: DataFrame, units: DataFrame, groups: DataFrame) -> DataFrame:
     """Claims that state a number of a cited table cell without citing the context that the cell needs."""
-    own = claims.select("pack_id", "claim_id", "evidence_ids", numeric_literals(F.col("text")).alias("numbers"))
-    cell = groups.join(units.select("pack_id", F.col("evidence_id").alias("trigger"), numeric_literals(F.col("excerpt")).alias("cell_numbers")), ["pack_id", "trigger"])
-    hit = own.withColumn("trigger", F.explode("evidence_ids")).join(cell, ["pack_id", "trigger"]).where(F.arrays_overlap("numbers", "cell_numbers"))
+    asked = claims.select("pack_id", "claim_id", "evidence_ids", "text", F.explode("evidence_ids").alias("trigger"))
+    cited_cells = asked.join(groups.select("pack_id", "trigger", "required"), ["pack_id", "trigger"]).join(units.select("pack_id", F.col("evidence_id").alias("trigger"), "excerpt"), ["pack_id", "trigger"])
+    hit = cited_cells.where(F.arrays_overlap(numeric_literals(F.col("text")), numeric_literals(F.col("excerpt"))))
     return hit.withColumn("missing", F.array_sort(F.array_except("required", "evidence_ids"))).where(F.size("missing") > 0).select("pack_id", "claim_id", "trigger", "missing")
 
 

@@ -222,7 +222,7 @@ def numeric_support(spark, sf):
     return vf.numeric_support(fx.claims(spark, sf), fx.units(spark, sf))
 
 
-GROUPS = """groups AS (SELECT pack_id, evidence_id AS trigger, row, col, list_sort(['0-' || col] || CASE WHEN col > 0 THEN [row || '-0'] ELSE [] END) AS required FROM units WHERE row > 0 AND regexp_matches(excerpt, '\\d'))"""
+GROUPS = """groups AS MATERIALIZED (SELECT pack_id, evidence_id AS trigger, row, col, list_sort(['0-' || col] || CASE WHEN col > 0 THEN [row || '-0'] ELSE [] END) AS required FROM units WHERE row > 0 AND regexp_matches(excerpt, '\\d'))"""
 
 
 @query("v4_citation_groups", f"WITH {GROUPS} SELECT * FROM groups")
@@ -243,7 +243,7 @@ WITH {GROUPS}, hit AS (
   WHERE list_has_any(regexp_extract_all(c.text, '{NUM}'), regexp_extract_all(u.excerpt, '{NUM}')))
 SELECT pack_id, claim_id, trigger, list_sort(list_filter(required, lambda x: NOT list_contains(evidence_ids, x))) AS missing FROM hit WHERE len(list_filter(required, lambda x: NOT list_contains(evidence_ids, x))) > 0""")
 def numeric_table_context(spark, sf):
-    units = fx.units(spark, sf)
+    units = staged(fx.units(spark, sf))
     return vf.numeric_table_context(fx.claims(spark, sf), units, vf.citation_groups(units))
 
 

@@ -138,10 +138,12 @@ def test_originals_and_artifacts(spark, tmp_path):
     got = batches.scan_originals(spark, f"{tmp_path}/*.pdf", spark.createDataFrame(reg, "key string, size long, sha256 string")).collect()
     assert {r.key: r.verdict for r in got} == {"a.pdf": "ok", "b.pdf": "sha256", "c.pdf": "not_pdf", "d.pdf": "missing"}
     (tmp_path / "art").mkdir()
-    (tmp_path / "art/x.json").write_text(json.dumps({"doc_id": "d", "pages": [{"pdf_page": 1, "width": 600, "height": 800}], "blocks": [{"block_id": "b", "pdf_page": 1, "text": "t", "bbox": [0, 0, 1, 1]}], "nodes": []}))
+    digest = hashlib.sha256(b'[{"block_id":"b","pdf_page":1,"text":"t","bbox":[0.0,0.0,1.0,1.0]}]').hexdigest()
+    (tmp_path / "art/z.json").write_text(json.dumps({"doc_id": "e", "pages": [], "blocks": [], "nodes": []}))  # without a digest
+    (tmp_path / "art/x.json").write_text(json.dumps({"doc_id": "d", "digest": digest, "pages": [{"pdf_page": 1, "width": 600, "height": 800}], "blocks": [{"block_id": "b", "pdf_page": 1, "text": "t", "bbox": [0, 0, 1, 1]}], "nodes": []}))
     (tmp_path / "art/y.json").write_text("not json")
     parts = batches.scan_artifacts(spark, f"{tmp_path}/art/*.json")
-    assert parts["blocks"].count() == 1 and parts["pages"].first().width == 600 and parts["rejected"].count() == 1
+    assert parts["blocks"].count() == 1 and parts["pages"].first().width == 600 and parts["rejected"].count() == 2
 
 
 def test_commands_replay_and_leases(spark):
@@ -170,3 +172,70 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sorted(r.event_id for r in twice.collect()) == sorted(r[0] for r in rows)
     metrics = events.run_available(events.stage_metrics(stream(), "1 minute"), "metrics", f"{tmp_path}/c3", "complete").collect()
     assert sorted(map(tuple, metrics)) == sorted(map(tuple, events.stage_metrics(df, "1 minute").collect()))
+
+
+def test_grids_open_at_first_edges_and_snap(spark):
+    edges = spark.createDataFrame([("t", x) for x in (0.0, 0.4, 0.8, 1.2, 5.0)], "k string, x double")
+    assert [r.bounds for r in layout.grid_edges(edges, "k", "x").collect()] == [[0.0, 0.8, 5.0]]
+    boxes = [(1, 1, 0.0, 0.0, 10.0, 5.0), (1, 2, 10.3, 0.2, 20.0, 5.1), (1, 3, 0.1, 5.0, 20.1, 9.0)]
+    got = layout.grid_from_boxes(spark.createDataFrame(boxes, "table_id long, box_id long, x0 double, y0 double, x1 double, y1 double")).orderBy("box_id").collect()
+    assert [(r.row, r.col, r.row_span, r.col_span) for r in got] == [(0, 0, 1, 1), (0, 1, 1, 1), (1, 0, 1, 2)]
+
+
+def test_boilerplate_rounds_half_to_even_and_compares_normal_forms(spark):
+    # 2.5 and 1.6 per cent of the width are one place (2), 3.5 is another (4)
+    rows = [(1, p, f"b{p}", t, x, 10.0, x + 50, 20.0) for p, t, x in ((1, "Caf\u00e9 p 1", 15.0), (2, "Cafe\u0301  p 22", 9.6), (3, "Caf\u00e9\u00a0p 3", 15.0), (4, "Caf\u00e9 p 4", 21.0), (5, "body", 15.0))]
+    df = spark.createDataFrame(rows, "doc_id int, page int, block_id string, text string, x0 double, y0 double, x1 double, y1 double")
+    assert {r.block_id for r in layout.boilerplate(df).collect()} == {"b1", "b2", "b3"}
+    assert layout.boilerplate(df, owned=spark.createDataFrame([("b1",)], "block_id string")).collect() == []
+
+
+def test_wrapped_rows(spark):
+    def rows(cells):
+        df = spark.createDataFrame([(1, k, *c) for k, c in enumerate(cells)], "table_id long, cell_id long, row int, col int, row_span int, col_span int, y0 double, y1 double, text string, header boolean")
+        return {r.cell_id: r.row for r in layout.coalesce_wrapped(df).collect()}
+
+    label, low = (0, 0, 1, 1, 0.0, 30.0, "length of pipe", False), (1, 1, 1, 1, 10.0, 16.0, "3,5", False)
+    assert rows([label, low, (2, 0, 1, 1, 40.0, 50.0, "next", False)]) == {0: 0, 1: 0, 2: 1}
+    assert rows([label, low, (2, 2, 1, 1, 18.0, 24.0, "−7", False), (1, 3, 1, 1, 10.0, 16.0, " ", False)]) == {0: 0, 1: 0, 2: 0}  # one after the other; blanks go
+    for other in ((1, 0, 1, 1, 10.0, 16.0, "3", False), (1, 1, 1, 1, 28.0, 40.0, "3", False), (1, 1, 1, 1, 10.0, 16.0, "3 m", False), (1, 1, 2, 1, 10.0, 16.0, "3", False), (1, 1, 1, 1, 10.0, 16.0, "3", True), (1, 1, 1, 1, None, None, "3", False)):
+        assert rows([label, other]) == {0: 0, 1: 1}
+    assert rows([(0, 0, 1, 1, 0.0, 30.0, "12", False), low]) == {0: 0, 1: 1}  # no label
+
+
+def test_model_hooks(spark):
+    def model(questions, texts):
+        if sum(map(len, texts)) > 6:
+            raise retrieval.TokenOverflow
+        return [float(len(t)) for t in texts]
+
+    df = spark.createDataFrame([(k, "q", "x" * (k % 4)) for k in range(9)] + [(20, "q", None), (21, None, "x")], "k int, q string, t string").coalesce(1)
+    got = {r.k: r.s for r in df.select("k", retrieval.rerank_score(F.col("q"), F.col("t"), model, 4).alias("s")).collect()}
+    import math
+
+    assert got[20] is None and got[21] is None and all(got[k] == pytest.approx(1 / (1 + math.exp(-(k % 4)))) for k in range(9))
+    with pytest.raises(Exception, match="TokenOverflow"):
+        spark.createDataFrame([("q", "x" * 9)], "q string, t string").select(retrieval.rerank_score(F.col("q"), F.col("t"), model)).collect()
+    vectors = {r.k: r.v for r in df.select("k", retrieval.embed(F.col("t"), lambda ts: [[len(t), 1] for t in ts], 3).alias("v")).collect()}
+    assert vectors[20] is None and all(vectors[k] == [k % 4, 1.0] for k in range(9))
+
+
+def test_subjects_fold_case(spark):
+    assert one(spark, text.subject, "STRASSE") == one(spark, text.subject, " straße.") == "strasse" and one(spark, text.subject, "ΛΟΓΟΣ") == one(spark, text.subject, "λογος")
+
+
+def test_retirements_by_strength(spark):
+    docs = spark.createDataFrame([(k, False, k == 5) for k in range(1, 6)], "doc_id long, archived boolean, revoked boolean")
+    commands = spark.createDataFrame([(2, "deactivate"), (3, "deactivate"), (3, "archive"), (4, "revoke"), (4, "archive"), (9, "revoke"), (2, "deactivate")], "doc_id long, command string")
+    pointers = spark.createDataFrame([(k, 10 + k) for k in range(1, 6)], "doc_id long, publication_id long")
+    got = {r.doc_id: (r.outcome, r.searchable, r.publication_id) for r in catalog.apply_retirements(docs, pointers, commands).collect()}
+    assert got == {1: ("kept", True, 11), 2: ("deactivated", False, None), 3: ("archived", False, 13), 4: ("revoked", False, 14), 5: ("revoked", False, 15)}
+
+
+def test_replayed_publications_and_late_events(spark):
+    rows = [(1, 10, 100, 1, None), (1, 11, 101, 2, 10), (1, 10, 100, 3, None), (1, 12, 102, 4, 10), (1, 12, 103, 5, 11)]
+    got = catalog.apply_publications(spark.createDataFrame(rows, "doc_id long, version_id long, operation_id long, order int, expected long"))
+    assert sorted((r.operation_id, r.outcome, r.current) for r in got.collect()) == [(100, "applied", 12), (100, "replay", 12), (101, "applied", 12), (102, "conflict", 12), (103, "applied", 12)]
+    log = [(1, 1, "created"), (1, 2, "completed"), (1, 3, "started"), (1, 3, "started"), (1, 4, "completed"), (1, 5, "progress"), (2, 1, "odd")]
+    states = {r.aggregate_id: tuple(r)[1:] for r in events.job_state(spark.createDataFrame(log, "aggregate_id long, sequence long, kind string")).collect()}
+    assert states == {1: ("completed", 5, 3, 3), 2: ("new", 1, 0, 1)}
