@@ -41,6 +41,15 @@ def boilerplate(blocks: DataFrame, height: float = 800.0, width: float = 600.0,
     return fit.join(enough.select(*key, "on"), key).select("doc_id", "block_id", "reason", F.col("on").alias("pages"))
 
 
+def same_band(a: DataFrame, b: DataFrame, keys: list[str], ya: tuple[str, str], yb: tuple[str, str], width: float) -> DataFrame:
+    """Rows of a page whose heights `ya` and `yb` (closed) meet, by bands of `width`: a pair is found once, in the band
+    where the later of the two begins, so a page's rows do not all meet each other."""
+    bands = lambda y: F.explode(F.sequence(F.floor(F.col(y[0]) / width), F.floor(F.greatest(*y) / width)))
+    both = a.withColumn("_band", bands(ya)).join(b.withColumn("_band", bands(yb)), [*keys, "_band"])
+    later = F.greatest(ya[0], yb[0])
+    return both.where((F.floor(later / width) == F.col("_band")) & (later <= F.least(F.greatest(*ya), F.greatest(*yb)))).drop("_band")
+
+
 def column_pairs(blocks: DataFrame, width: float = 600.0, height: float = 800.0) -> DataFrame:
     """Blocks of a left and a right column, side by side on a page with nothing between them."""
     body = blocks.where((F.col("y0") >= height * 0.1) & (F.col("y1") <= height * 0.9)).select("doc_id", "page", "block_id", "x0", "y0", "x1", "y1")
@@ -48,11 +57,12 @@ def column_pairs(blocks: DataFrame, width: float = 600.0, height: float = 800.0)
     left = named(body.where((F.col("x1") < width * 0.53) & (F.col("x0") < width * 0.4)), "l")
     right = named(body.where(F.col("x0") > width * 0.47), "r")
     overlap = F.least("l_y1", "r_y1") - F.greatest("l_y0", "r_y0")
-    pairs = left.join(right, ["doc_id", "page"]).withColumn("overlap", overlap)
+    beside = lambda a, b, p, q: same_band(a, b, ["doc_id", "page"], (f"{p}_y0", f"{p}_y1"), (f"{q}_y0", f"{q}_y1"), height / 40)
+    pairs = beside(left, right, "l", "r").withColumn("overlap", overlap)
     pairs = pairs.where((F.col("r_x0") - F.col("l_x1") > width * 0.03) & (F.col("overlap") > 0.4 * F.least(F.col("l_y1") - F.col("l_y0"), F.col("r_y1") - F.col("r_y0"))))
     other = named(body, "o")
     between = (F.col("o_x0") < F.col("r_x0")) & (F.col("o_x1") > F.col("l_x1")) & (F.least("o_y1", "l_y1") - F.greatest("o_y0", "l_y0") > 0.4 * F.col("overlap"))
-    blocked = pairs.join(other, ["doc_id", "page"]).where(~F.col("o_block_id").isin(F.col("l_block_id"), F.col("r_block_id")) & between)
+    blocked = beside(pairs, other, "l", "o").where(~F.col("o_block_id").isin(F.col("l_block_id"), F.col("r_block_id")) & between)
     return pairs.join(blocked.select("l_block_id", "r_block_id").distinct(), ["l_block_id", "r_block_id"], "left_anti").select("doc_id", "page", "l_block_id", "r_block_id", ((F.col("l_y0") + F.col("l_y1")) / 2).alias("y"))
 
 
@@ -96,7 +106,8 @@ def fallback_pages(pages: DataFrame, critical: DataFrame) -> DataFrame:
 
 def chars_in_cells(chars: DataFrame, cells: DataFrame) -> DataFrame:
     """Owner of each character by its centre: the cell if there is exactly one, else a diagnostic (half-open boxes)."""
-    inside = chars.join(cells, ["doc_id", "page"], "left").where((F.col("cx") >= F.col("x0")) & (F.col("cx") < F.col("x1")) & (F.col("cy") >= F.col("y0")) & (F.col("cy") < F.col("y1")))
+    at = chars.withColumns({"_c0": F.col("cy"), "_c1": F.col("cy")})
+    inside = same_band(at, cells, ["doc_id", "page"], ("_c0", "_c1"), ("y0", "y1"), 20.0).where((F.col("cx") >= F.col("x0")) & (F.col("cx") < F.col("x1")) & (F.col("cy") >= F.col("y0")) & (F.col("cy") < F.col("y1")))
     owner = inside.groupBy("char_id").agg(F.count("*").alias("owners"), F.min("cell_id").alias("cell_id"))
     rows = chars.select("char_id", "blank").join(owner, "char_id", "left")
     n = F.coalesce("owners", F.lit(0))
@@ -106,7 +117,7 @@ def chars_in_cells(chars: DataFrame, cells: DataFrame) -> DataFrame:
 def box_overlap(primary: DataFrame, candidate: DataFrame) -> DataFrame:
     """Tables of two detectors on a page: a valid primary wins over candidates that it overlaps; else they replace it."""
     named = lambda df, p: df.select("doc_id", "page", F.col("table_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("x0", "y0", "x1", "y1")], *([F.col("valid")] if p == "a" else []))
-    hit = named(primary, "a").join(named(candidate, "b"), ["doc_id", "page"]).where("a_x0 < b_x1 and b_x0 < a_x1 and a_y0 < b_y1 and b_y0 < a_y1")
+    hit = same_band(named(primary, "a"), named(candidate, "b"), ["doc_id", "page"], ("a_y0", "a_y1"), ("b_y0", "b_y1"), 50.0).where("a_x0 < b_x1 and b_x0 < a_x1 and a_y0 < b_y1 and b_y0 < a_y1")
     lost_b = hit.where("valid").select(F.col("b_id").alias("table_id")).distinct()
     lost_a = hit.where("not valid").select(F.col("a_id").alias("table_id")).distinct()
     keep = lambda df, lost, name: df.join(lost, "table_id", "left_anti").select("table_id", F.lit(name).alias("detector"))

@@ -83,8 +83,11 @@ def nearest_context(tables: DataFrame, blocks: DataFrame, height: float = 800.0)
 
 def typography_anchors(chars: DataFrame) -> DataFrame:
     """Nearest character to the left on the same baseline within two sizes (doc_id, page, char_id, x, y, size)."""
-    left = chars.select("doc_id", "page", F.col("char_id").alias("left_id"), F.col("x").alias("lx"), F.col("y").alias("ly"))
-    near = chars.join(left, ["doc_id", "page"]).where((F.col("lx") < F.col("x")) & (F.abs(F.col("ly") - F.col("y")) < 0.5) & (F.col("x") - F.col("lx") <= 2 * F.col("size")))
+    left = chars.select("doc_id", "page", F.col("char_id").alias("left_id"), F.col("x").alias("lx"), F.col("y").alias("ly"), F.floor("y").alias("_row"), F.floor(F.col("x") / 32).alias("_band"))
+    rows = F.explode(F.sequence(F.floor(F.col("y") - 0.5), F.floor(F.col("y") + 0.5)))
+    bands = F.explode(F.sequence(F.floor((F.col("x") - 2 * F.col("size")) / 32), F.floor(F.col("x") / 32)))
+    near = chars.withColumn("_row", rows).withColumn("_band", bands).join(left, ["doc_id", "page", "_row", "_band"])
+    near = near.where((F.col("lx") < F.col("x")) & (F.abs(F.col("ly") - F.col("y")) < 0.5) & (F.col("x") - F.col("lx") <= 2 * F.col("size")))
     return near.groupBy("char_id").agg(F.max_by("left_id", F.struct("lx", "left_id")).alias("left_id"))
 
 
