@@ -371,3 +371,10 @@ def apply_retirements(spark, sf):
     pointer = fx.publications(spark, sf).groupBy("doc_id").agg(F.max("publication_id").alias("publication_id"))
     commands = d.where("doc_id % 5 = 0").select("doc_id", F.lit("deactivate").alias("command")).unionByName(d.where("doc_id % 66 = 0").select("doc_id", F.lit("archive").alias("command")))
     return ct.apply_retirements(d, pointer, commands)
+
+
+@query("s8_event_log_source", "SELECT event_type, count(*) AS events, count(DISTINCT event_id) AS ids, max(event_id) AS last FROM events GROUP BY 1")
+def event_log_source(spark, sf):
+    kind = fx.table(spark, sf, "events").schema
+    stream = ev.event_log_source(spark, f"{sf}/event[s].parquet", kind, 4)  # a pattern, as a stream reads no single file by its name
+    return ev.landed(stream.select("event_id", "event_type")).groupBy("event_type").agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"), F.max("event_id").alias("last"))

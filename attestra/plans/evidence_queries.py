@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from attestra.operators import evidence as evd
 from attestra.plans import fixtures as fx
 from attestra.plans.book import query
+from attestra.plans.staging import shared_dir
 from attestra.sources import batches as bt
 
 
@@ -30,6 +33,18 @@ def batch_prints(spark, sf):
     return bt.batch_prints(fx.chunks(spark, sf).select("doc_id", "ordinal", F.size("words").alias("n")), ["doc_id"], "ordinal", "n")
 
 
+@query("s6_write_index_batches", """
+SELECT doc_id AS batch_id, count(*) AS rows, CASE doc_id % 3 WHEN 0 THEN 'replay' WHEN 1 THEN 'conflict' ELSE 'written' END AS outcome FROM chunks GROUP BY 1""")
+def write_index_batches(spark, sf):
+    """The chunks of a document are a batch; the ledger knows a third of them as they are and a third as they were."""
+    rows = fx.chunks(spark, sf).select(F.col("doc_id").alias("batch_id"), "ordinal", F.size("words").alias("n"))
+    own = f"{shared_dir(spark)}/attestra-{uuid.uuid4().hex}"
+    k = F.col("batch_id") % 3
+    known = bt.batch_prints(rows.where(k < 2), ["batch_id"], "ordinal", "n")
+    known.select("batch_id", F.when(k == 0, F.col("print")).otherwise(F.sha2("print", 256)).alias("known")).write.parquet(f"{own}/ledger")
+    return bt.write_index_batches(rows.repartition("batch_id"), f"{own}/ledger", f"{own}/rows", "ordinal", "n")
+
+
 @query("s9_encode_evidence", """
 WITH v AS (SELECT pack_id, excerpt, row_number() OVER (PARTITION BY pack_id ORDER BY min(row * 5 + col)) - 1 AS number FROM units GROUP BY 1, 2)
 SELECT pack_id, '{"fields":["number","evidence_id"],"values":[' || (SELECT string_agg('"' || excerpt || '"', ',' ORDER BY number) FROM v WHERE v.pack_id = u.pack_id) || '],"rows":[' || string_agg('{"position":' || (row * 5 + col) || ',"number":' || v.number || ',"evidence_id":"' || evidence_id || '"}', ',' ORDER BY row * 5 + col) || ']}' AS encoded

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestra.plans.staging import shared_dir
+
 TERMINAL = ("completed", "failed", "cancelled", "refused")
 #: Which states an event may follow; a terminal state takes no more events.
 NEXT = {"created": ("new",), "started": ("created", "running"), "progress": ("running",), "completed": ("running",), "failed": ("created", "running")}
@@ -114,6 +117,15 @@ def job_state(events: DataFrame) -> DataFrame:
     return events.select("aggregate_id", "sequence", "kind").groupBy("aggregate_id").applyInPandasWithState(step, STATE, "status string, sequence long, applied long, rejected long", "update", "NoTimeout")
 
 
+def landed(stream: DataFrame) -> DataFrame:
+    """What a stream has in its source, written once to the shared folder and read again: file sink, append mode."""
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/attestra-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what its source has and gives the rows that it emitted (memory sink: for tests)."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
