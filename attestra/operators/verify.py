@@ -36,16 +36,40 @@ def numeric_support(claims: DataFrame, units: DataFrame) -> DataFrame:
     return own.join(has, ["pack_id", "claim_id"], "left").select("pack_id", "claim_id", F.array_sort(missing).alias("missing"), (F.size(missing) == 0).alias("supported"))
 
 
-def citation_groups(cells: DataFrame) -> DataFrame:
-    """Per numeric data cell, the units that must be cited with it: its column's header and the row's subjects to its
-    left. cells: pack_id, evidence_id, row, col, excerpt; row 0 is the header."""
-    data = cells.where((F.col("row") > 0) & numeric_value(F.col("excerpt"))).select("pack_id", F.col("evidence_id").alias("trigger"), "row", "col")
-    head = cells.where("row = 0").select("pack_id", "col", F.col("evidence_id").alias("head"))
-    subject = cells.where((F.col("row") > 0) & textual_subject(F.col("excerpt"))).select("pack_id", "row", F.col("col").alias("_c"), F.col("evidence_id").alias("subject"))
-    left = data.join(subject, ["pack_id", "row"]).where("_c < col").groupBy("pack_id", "trigger").agg(F.collect_set("subject").alias("subjects"))
-    rows = data.join(head, ["pack_id", "col"], "left").join(left, ["pack_id", "trigger"], "left")
-    needed = F.array_union(F.array_compact(F.array("head")), F.coalesce("subjects", F.array().cast("array<string>")))
-    return rows.select("pack_id", "trigger", "row", "col", F.array_sort(needed).alias("required"))
+def citation_groups(cells: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
+    """Per data cell with text, the units that must be cited with it, in the pack's order; cells that need none are left out.
+
+    These are: all headers and units of measure above it in one of its columns; the textual subjects of its row that
+    stand wholly to its left; and the deepest of `scopes` (pack_id, evidence_id, position, path) whose path the table's
+    path goes on from. cells: pack_id, evidence_id, row, col, excerpt, and where they differ from the defaults table_id
+    (0), role (row 0: header, else data), row_span and col_span (1), position (by row and column) and path (none).
+    """
+    has = cells.columns
+    given = lambda name, default: F.col(name) if name in has else default
+    none = F.array().cast("array<string>")
+    rows = cells.select(
+        "pack_id", given("table_id", F.lit(0)).alias("table_id"), "evidence_id", "row", "col", "excerpt", given("role", F.when(F.col("row") == 0, "header").otherwise("data")).alias("role"),
+        given("row_span", F.lit(1)).alias("row_span"), given("col_span", F.lit(1)).alias("col_span"), given("position", F.col("row") * 100_000 + F.col("col")).alias("position"), given("path", none).alias("path"),
+    )
+    said = (F.col("role") == "data") & (F.trim("excerpt") != "")
+    table, unit = ["pack_id", "table_id"], F.struct("position", "evidence_id").alias("unit")
+    over = lambda at, span: F.explode(F.sequence(F.col(at), F.col(at) + F.col(span) - 1))
+    data = rows.where(said).select(*table, F.col("evidence_id").alias("trigger"), F.col("row").alias("data_row"), F.col("col").alias("data_col"), "col_span", "path")
+
+    heads = rows.where(F.col("role").isin("header", "unit")).select(*table, over("col", "col_span").alias("column"), F.col("row").alias("head_row"), unit)
+    above = data.withColumn("column", over("data_col", "col_span")).join(heads, [*table, "column"]).where("head_row < data_row").select(*table, "trigger", "unit")
+    left = rows.where(said & textual_subject(F.col("excerpt"))).select(*table, over("row", "row_span").alias("data_row"), (F.col("col") + F.col("col_span")).alias("right"), unit)
+    beside = data.join(left, [*table, "data_row"]).where("right <= data_col and unit.evidence_id <> trigger").select(*table, "trigger", "unit")
+    needed = above.unionByName(beside)
+    if scopes is not None:
+        about = scopes.select("pack_id", unit, F.col("path").alias("scope"))
+        tables = data.select(*table, "path").distinct().join(about, "pack_id").where((F.size("scope") < F.size("path")) & (F.slice("path", 1, F.size("scope")) == F.col("scope")))
+        deepest = tables.groupBy(*table, "path").agg(F.max(F.size("scope")).alias("depth"))
+        around = tables.join(deepest, [*table, "path"]).where(F.size("scope") == F.col("depth")).select(*table, "path", "unit")
+        needed = needed.unionByName(data.join(around, [*table, "path"]).select(*table, "trigger", "unit"))
+    required = F.array_distinct(F.transform(F.array_sort(F.collect_set("unit")), lambda u: u["evidence_id"]))
+    needed = needed.groupBy(*table, "trigger").agg(required.alias("required"))
+    return data.join(needed, [*table, "trigger"]).select("pack_id", "trigger", F.col("data_row").alias("row"), F.col("data_col").alias("col"), "required")
 
 
 def row_options(cells: DataFrame) -> DataFrame:

@@ -222,7 +222,7 @@ def numeric_support(spark, sf):
     return vf.numeric_support(fx.claims(spark, sf), fx.units(spark, sf))
 
 
-GROUPS = """groups AS MATERIALIZED (SELECT pack_id, evidence_id AS trigger, row, col, list_sort(['0-' || col] || CASE WHEN col > 0 THEN [row || '-0'] ELSE [] END) AS required FROM units WHERE row > 0 AND regexp_matches(excerpt, '\\d'))"""
+GROUPS = """groups AS MATERIALIZED (SELECT pack_id, evidence_id AS trigger, row, col, list_sort(['0-' || col] || CASE WHEN col > 0 THEN [row || '-0'] ELSE [] END) AS required FROM units WHERE row > 0)"""
 
 
 @query("v4_citation_groups", f"WITH {GROUPS} SELECT * FROM groups")

@@ -239,3 +239,32 @@ def test_replayed_publications_and_late_events(spark):
     log = [(1, 1, "created"), (1, 2, "completed"), (1, 3, "started"), (1, 3, "started"), (1, 4, "completed"), (1, 5, "progress"), (2, 1, "odd")]
     states = {r.aggregate_id: tuple(r)[1:] for r in events.job_state(spark.createDataFrame(log, "aggregate_id long, sequence long, kind string")).collect()}
     assert states == {1: ("completed", 5, 3, 3), 2: ("new", 1, 0, 1)}
+
+
+def test_citation_groups_with_spans_several_headers_and_scopes(spark):
+    cells = [
+        ("h0", 0, 0, 1, 1, "Pipe", "header", 1), ("h1", 0, 1, 1, 2, "Load", "header", 2), ("h2", 1, 1, 1, 1, "dry", "header", 3), ("u2", 1, 2, 1, 1, "kN", "unit", 4),
+        ("s", 2, 0, 2, 1, "steel", "data", 5), ("a", 2, 1, 1, 1, "5", "data", 6), ("b", 2, 2, 1, 1, "7", "data", 7), ("c", 3, 1, 1, 2, "9", "data", 8), ("e", 3, 3, 1, 1, " ", "data", 9), ("h3", 4, 1, 1, 1, "later", "header", 10),
+    ]
+    df = spark.createDataFrame([(1, e, r, c, rs, cs, t, role, p, ["doc", "part", "table"]) for e, r, c, rs, cs, t, role, p in cells], "pack_id int, evidence_id string, row int, col int, row_span int, col_span int, excerpt string, role string, position int, path array<string>")
+    scopes = spark.createDataFrame([(1, "top", 0, ["doc"]), (1, "near", 11, ["doc", "part"]), (1, "own", 12, ["doc", "part", "table"]), (1, "other", 13, ["doc", "x"]), (2, "far", 0, ["doc", "part"])], "pack_id int, evidence_id string, position int, path array<string>")
+    got = {r.trigger: r.required for r in verify.citation_groups(df, scopes).collect()}
+    assert got == {"s": ["h0", "near"], "a": ["h1", "h2", "s", "near"], "b": ["h1", "u2", "s", "near"], "c": ["h1", "h2", "u2", "s", "near"]}
+    assert {r.trigger: r.required for r in verify.citation_groups(df).collect()}["b"] == ["h1", "u2", "s"]
+
+
+def test_normal_text_maps_back_to_its_source(spark):
+    from attestra.operators import lines
+
+    rows = [(1, "  Cafe\u0301 \n\t is  open "), (2, None), (3, " \n "), (4, "plain"), (5, "\u00e9\u0323x")]
+    got = {r.node_id: r for r in lines.normalise_text(spark.createDataFrame(rows, "node_id long, text string")).collect()}
+    assert [got[k].text for k in range(1, 6)] == ["Caf\u00e9 is open", "", "", "plain", "\u1eb9\u0301x"] and got[2].segments == [] == got[3].segments
+    for k, source in rows:
+        at = 0
+        for s in got[k].segments:
+            assert s.start == at and s.end > s.start
+            at = s.end
+            if s.kind == "exact":
+                assert source[s.source_start : s.source_end] == got[k].text[s.start : s.end]
+        assert at == len(got[k].text)
+    assert [(s.kind, s.source_start, s.source_end) for s in got[1].segments] == [("exact", 2, 5), ("normalized_group", 5, 7), ("normalized_group", 7, 11), ("exact", 11, 13), ("normalized_group", 13, 15), ("exact", 15, 19)]
