@@ -32,9 +32,9 @@ MASK = (1 << 64) - 1
 K = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Words of up to so many characters walk a graph, one for each length; longer ones are merged alone.
 LENGTHS = (4, 6, 8, 10, 13, 17, 24)
-STATES = 400_000  # of all graphs of a worker; beyond that it starts anew
+STATES = 250_000  # of all graphs of a worker; beyond that it starts anew
 SLOT_BITS = 20
-SLICE_CHARS = 600_000
+SLICE_CHARS = 400_000
 WORD = re.compile(r" *[^ \n]+| +|\n")
 SPACE = "▁"
 
@@ -296,12 +296,6 @@ class Encoder:
         return b"".join(map(self.v.bytes.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, dropout: float, seed: int) -> Encoder:
-    """One for all tasks of a worker."""
-    return Encoder(path, dropout, seed)
-
-
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """One row per row of `df`: doc_id, n_tokens, ids and lossless (the ids decode to the very text).
 
@@ -313,7 +307,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, dropout, seed)
+        coder = Encoder(path, dropout, seed)  # of one task: an idle worker holds no graphs
         for b in batches:
             at = 0
             while at < len(b):

@@ -151,7 +151,7 @@ def _keys(width: int, p: int, q: int):
             for h, s in zip(b["h"].to_pylist(), shingle_sets(b["text"], width), strict=True):
                 if h in seen:  # equal texts of a task give their keys once
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(h)
                 keys.append(signatures(s, p, q))
