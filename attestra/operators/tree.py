@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import unicodedata
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -142,40 +145,71 @@ def merge_paragraphs(lines: DataFrame) -> DataFrame:
     return whole.select("doc_id", "first", "lines", F.array_join(F.transform("ts", lambda t: t["text"]), " ").alias("text"))
 
 
-def chunk_body(nodes: DataFrame, most_tokens: int = 512, count_tokens=None) -> DataFrame:
-    """Zero-overlap chunks of node texts (node_id, text) within a token budget: (node_id, ordinal, start, end, text).
+# Where a text may be cut, best first, and words that are not left at the end of a piece.
+PARAGRAPH, SENTENCE, SPACE = r"\n[ \t]*\n|\n", r"(?<=[.!?;])\s+", r"\s+"
+INTRODUCERS = ("не", "если", "при условии", "за исключением")
+JOINERS = "\ufe0e\ufe0f\u200d"  # variation selectors and the zero-width joiner
+SKIN_TONES = ("\U0001f3fb", "\U0001f3ff")
 
-    Breaks after a paragraph if one fits, else a sentence, else a word, else between code points (never before a
-    combining mark). Chunks of a node concatenate to its text. Null and empty texts give no chunks.
+
+def cut_points(text: str, atomic: Sequence[tuple[int, int]] = ()) -> list[int]:
+    """Offsets where a text may be cut: never inside a combining sequence, a joined or coloured emoji, or a range of `atomic`."""
+
+    def joined(k: int) -> bool:
+        c = text[k]
+        return bool(unicodedata.combining(c)) or c in JOINERS or text[k - 1] == JOINERS[-1] or SKIN_TONES[0] <= c <= SKIN_TONES[1]
+
+    inside = {k for s, e in atomic for k in range(s + 1, e)}
+    return [k for k in range(1, len(text)) if k not in inside and not joined(k)] + [len(text)]
+
+
+def split_text(text: str, fits: Callable[[str], bool], atomic: Sequence[tuple[int, int]] = ()) -> Iterator[tuple[int, int]]:
+    """Zero-overlap pieces of a text that fit: each as long as it may be, ended at a paragraph, else a sentence, else a
+    space, else between whole characters. A piece does not end in an introducing word if something is left before it,
+    and takes trailing white space with it if all of that fits. What can not be cut is a piece even if it does not fit.
+    """
+    points = cut_points(text, atomic)
+    allowed = set(points)
+    breaks = [[m.end() for m in re.finditer(p, text) if m.end() in allowed] for p in (PARAGRAPH, SENTENCE, SPACE)]
+    dangling = re.compile(rf"\b(?:{'|'.join(INTRODUCERS)})\s*$", re.IGNORECASE)
+    start = 0
+    while start < len(text):
+        rest = points[bisect_right(points, start) :]
+        end = rest[max(0, bisect_left(rest, True, key=lambda e: not fits(text[start:e])) - 1)]
+        if end < len(text):
+            near = (bs[bisect_right(bs, end) - 1] for bs in breaks if bisect_right(bs, end) > bisect_right(bs, start))
+            end = next((e for e in near if fits(text[start:e])), end)
+            lone = dangling.search(text[start:end])
+            before = [p for p in points[bisect_right(points, start) : bisect_right(points, start + lone.start())]] if lone and lone.start() else []
+            if before and fits(text[start : before[-1]]):
+                end = before[-1]
+        if text[end:].isspace() and fits(text[start:]):
+            end = len(text)
+        yield start, end
+        start = end
+
+
+def chunk_body(nodes: DataFrame, most_tokens: int = 512, count_tokens: Callable[[str], int] | None = None) -> DataFrame:
+    """Zero-overlap chunks of node texts (node_id, text, and atomic: ranges of a text that stay whole, if there are any)
+    within a token budget: (node_id, ordinal, start, end, text), as `split_text` cuts them.
+
+    `count_tokens` is the caller's; words are counted by default. Chunks of a node concatenate to its text. Null and
+    blank texts give no chunks.
     """
     count = count_tokens or (lambda t: len(t.split()))
-
-    def pieces(text: str) -> Iterator[tuple[int, int]]:
-        import re
-        import unicodedata
-
-        breaks = [[m.end() for m in re.finditer(p, text)] for p in (r"\n\s*\n", r"[.!?…]\s+|\n", r"\s+")]
-        start = 0
-        while start < len(text):
-            lo, hi = start + 1, len(text)
-            while lo < hi:  # the longest prefix within the budget
-                mid = (lo + hi + 1) // 2
-                lo, hi = (mid, hi) if count(text[start:mid]) <= most_tokens else (lo, mid - 1)
-            end = lo
-            if end < len(text):
-                inner = next((b for bs in breaks if (b := max((x for x in bs if start < x <= end), default=0))), end)
-                end = inner
-                while end < len(text) and unicodedata.combining(text[end]) and end > start + 1:
-                    end -= 1
-            yield start, end
-            start = end
+    atomic = F.col("atomic") if "atomic" in nodes.columns else F.lit(None)
+    ranges = atomic.cast("array<struct<start:int,end:int>>").alias("atomic")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(n, k, s, e, t[s:e]) for n, t in zip(b["node_id"], b["text"], strict=True) if t for k, (s, e) in enumerate(pieces(t))]
+            rows = []
+            for node, text, whole in zip(b["node_id"], b["text"], b["atomic"], strict=True):
+                if text and text.strip():
+                    own = [] if whole is None else [(r["start"], r["end"]) for r in whole]
+                    rows += [(node, k, s, e, text[s:e]) for k, (s, e) in enumerate(split_text(text, lambda t: count(t) <= most_tokens, own))]
             yield pd.DataFrame(rows, columns=["node_id", "ordinal", "start", "end", "text"])
 
-    return nodes.select("node_id", "text").mapInPandas(split, "node_id long, ordinal int, start int, end int, text string")
+    return nodes.select("node_id", "text", ranges).mapInPandas(split, "node_id long, ordinal int, start int, end int, text string")
 
 
 def label_of(kind: Column, text: Column, chars: int = 30) -> Column:

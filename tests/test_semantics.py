@@ -268,3 +268,25 @@ def test_normal_text_maps_back_to_its_source(spark):
                 assert source[s.source_start : s.source_end] == got[k].text[s.start : s.end]
         assert at == len(got[k].text)
     assert [(s.kind, s.source_start, s.source_end) for s in got[1].segments] == [("exact", 2, 5), ("normalized_group", 5, 7), ("normalized_group", 7, 11), ("exact", 11, 13), ("normalized_group", 13, 15), ("exact", 15, 19)]
+
+
+def test_where_texts_are_cut():
+    pieces = lambda t, n, atomic=(): [t[s:e] for s, e in tree.split_text(t, lambda x: len(x) <= n, atomic)]
+    assert pieces("one two\nthree; four five", 14) == ["one two\n", "three; ", "four five"]
+    assert pieces("a\n\nb c d e", 6) == ["a\n\n", "b c d ", "e"]
+    assert pieces("можно, если очень", 13) == ["можно, ", "если очень"]  # not left behind: если
+    assert pieces("если очень", 6) == ["если ", "очень"]
+    assert pieces("abcde   ", 8) == ["abcde   "] and pieces("abcde fg  ", 8) == ["abcde ", "fg  "]
+    family, hand = "\U0001f469\u200d\U0001f467", "\U0001f44d\U0001f3fd"
+    assert pieces("x" + family + hand, 3) == ["x", family, hand] and pieces("e\u0301e\u0301", 3) == ["e\u0301"] * 2
+    assert pieces("ab" + "c" * 5 + "d", 4, [(2, 7)]) == ["ab", "ccccc", "d"]  # atomic, even over the budget
+    rng = random.Random(2)
+    for _ in range(200):
+        t = "".join(rng.choice(["word", " ", ". ", "\n", "; ", "\u200d", "\u0301", "не ", "\U0001f3fb"]) for _ in range(rng.randint(1, 60)))
+        assert "".join(pieces(t, rng.randint(1, 20))) == t
+
+
+def test_chunks_keep_atomic_ranges(spark):
+    df = spark.createDataFrame([(1, "aa bb cc", [(1, 7)]), (2, "aa bb", None), (3, "  ", None)], "node_id long, text string, atomic array<struct<start:int,end:int>>")
+    got = sorted((r.node_id, r.ordinal, r.text) for r in tree.chunk_body(df, 3, len).collect())
+    assert got == [(1, 0, "a"), (1, 1, "a bb c"), (1, 2, "c"), (2, 0, "aa "), (2, 1, "bb")]
