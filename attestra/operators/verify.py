@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.text import numeric_literals, numeric_value, textual_subject
+from attestra.plans.staging import staged
 
 SAFE_ISSUES = ("missing_condition", "incomplete_support")
 SAFE_REASONS = ("MISSING_CONDITION", "INCOMPLETE_SUPPORT")
@@ -175,21 +176,26 @@ def contrast_rows(subjects: DataFrame) -> DataFrame:
     return near.where(word_prefix(F.col("subject"), F.col("next_subject"))).select("pack_id", "row", "next_row")
 
 
-def citation_closure(edges: DataFrame, most: int = 10) -> DataFrame:
-    """(pack_id, trigger, id): everything that a trigger requires, directly or through others (edges pack_id, a, b).
+def citation_closure(edges: DataFrame, triggers: DataFrame | None = None, most: int = 10) -> DataFrame:
+    """(pack_id, trigger, id): everything that a trigger requires, directly or through others (edges pack_id, a, b), to
+    the end of each chain. Closures of more than `most` ids are dropped whole. Without `triggers` (pack_id, trigger),
+    which are the units with a number, every unit that requires something is one.
 
-    A round joins the ids reached last with their own requirements; ids reached before are left out, so loops end.
+    A round joins the ids reached last with their own requirements; ids reached before are left out, so loops end. A
+    trigger that still reaches something after `most` rounds has more than `most` ids, so no more rounds are needed.
     """
-    from attestra.plans.staging import staged
-
-    out = front = staged(edges.select("pack_id", F.col("a").alias("trigger"), F.col("b").alias("id")).distinct())
-    for _ in range(most - 1):
+    start = edges.select("pack_id", F.col("a").alias("trigger"), F.col("b").alias("id")).distinct()
+    if triggers is not None:
+        start = start.join(triggers.select("pack_id", "trigger").distinct(), ["pack_id", "trigger"], "left_semi")
+    out = front = staged(start)
+    for _ in range(most):
         step = front.join(edges.select("pack_id", F.col("a").alias("id"), F.col("b").alias("_to")), ["pack_id", "id"]).select("pack_id", "trigger", F.col("_to").alias("id")).distinct()
         front = staged(step.join(out, ["pack_id", "trigger", "id"], "left_anti"))
         if front.isEmpty():
             break
         out = out.unionByName(front)
-    return out
+    long = out.groupBy("pack_id", "trigger").agg(F.count("*").alias("ids")).where(F.col("ids") > most)
+    return out.join(long, ["pack_id", "trigger"], "left_anti")
 
 
 def artifact_lineage(artifacts: DataFrame, failed: str) -> DataFrame:

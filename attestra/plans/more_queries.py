@@ -149,12 +149,12 @@ def repair_targets(spark, sf):
 
 
 @query("v12_citation_closure", """
-WITH RECURSIVE e AS (SELECT pack_id, row || '-' || col AS a, row || '-' || (col - 1) AS b FROM units WHERE col > 0), c AS (SELECT pack_id, a AS trigger, b AS id, 1 AS steps FROM e UNION SELECT c.pack_id, c.trigger, e.b, steps + 1 FROM c JOIN e ON e.pack_id = c.pack_id AND e.a = c.id WHERE steps < 10)
+WITH RECURSIVE e AS (SELECT pack_id, row || '-' || col AS a, row || '-' || (col - 1) AS b, regexp_matches(excerpt, '\\d') AS numeric FROM units WHERE col > 0), c AS (SELECT pack_id, a AS trigger, b AS id, 1 AS steps FROM e WHERE numeric UNION SELECT c.pack_id, c.trigger, e.b, steps + 1 FROM c JOIN e ON e.pack_id = c.pack_id AND e.a = c.id WHERE steps < 10)
 SELECT DISTINCT pack_id, trigger, id FROM c""")
 def citation_closure(spark, sf):
     u = fx.units(spark, sf).where("col > 0")
     edges = u.select("pack_id", F.col("evidence_id").alias("a"), F.concat_ws("-", "row", F.col("col") - 1).alias("b"))
-    return vf.citation_closure(edges)
+    return vf.citation_closure(edges, u.where(F.col("excerpt").rlike(r"\d")).select("pack_id", F.col("evidence_id").alias("trigger")))
 
 
 @query("v18_artifact_lineage", """

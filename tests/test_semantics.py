@@ -290,3 +290,15 @@ def test_chunks_keep_atomic_ranges(spark):
     df = spark.createDataFrame([(1, "aa bb cc", [(1, 7)]), (2, "aa bb", None), (3, "  ", None)], "node_id long, text string, atomic array<struct<start:int,end:int>>")
     got = sorted((r.node_id, r.ordinal, r.text) for r in tree.chunk_body(df, 3, len).collect())
     assert got == [(1, 0, "a"), (1, 1, "a bb c"), (1, 2, "c"), (2, 0, "aa "), (2, 1, "bb")]
+
+
+def test_closures_follow_chains_and_long_ones_are_dropped(spark):
+    chain = [(1, f"n{k}", f"n{k + 1}") for k in range(12)] + [(2, "a", "b"), (2, "b", "a"), (2, "b", "c"), (3, "x", "y")]
+    edges = spark.createDataFrame(chain, "pack_id int, a string, b string")
+    got = {}
+    for r in verify.citation_closure(edges).collect():
+        got.setdefault((r.pack_id, r.trigger), set()).add(r.id)
+    assert (1, "n1") not in got and got[1, "n2"] == {f"n{k}" for k in range(3, 13)}  # 11 ids are too many, 10 are not
+    assert got[2, "a"] == {"a", "b", "c"} and got[3, "x"] == {"y"}
+    only = spark.createDataFrame([(2, "b")], "pack_id int, trigger string")
+    assert {(r.trigger, r.id) for r in verify.citation_closure(edges, only).collect()} == {("b", "a"), ("b", "b"), ("b", "c")}
