@@ -101,3 +101,43 @@ def test_clean_rows_keep_columns_with_clashing_names(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     out = toxicity.clean(docs, labels)
     assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(1, "a calm text", 9, "mine"), (2, None, 8, "mine")]
+
+
+def test_label_model_equals_a_row_by_row_version():
+    import math
+
+    rng = random.Random(7)
+    k, rows = 4, []
+    for _ in range(400):
+        toxic = rng.random() < 0.3
+        v = [int(rng.random() < p) for p in ((0.8, 0.6, 0.5, 0.4) if toxic else (0.05, 0.1, 0.1, 0.3))]
+        v[1] = v[0] if rng.random() < 0.5 else v[1]  # two voters that agree beyond the class
+        rows.append((tuple(v), rng.choice([None, None, int(toxic)])))
+    patterns = sorted({v for v, _ in rows})
+    counts = np.array([[sum(v == p and known == s for v, known in rows) for s in (None, 0, 1)] for p in patterns], float)
+    model = toxicity.Model([], [])
+    toxicity.fit_label_model(model, np.array(patterns, float), counts, rounds=5)
+
+    known = [s for _, s in rows if s is not None]
+    prior = sum(known) / len(known)
+    hit = [[(sum(v[j] for v, s in rows if s == c) + 0.5) / (known.count(c) + 1) for j in range(k)] for c in (0, 1)]
+    trust = [1.0] * k
+    for _ in range(5):
+        mass = []
+        for v, s in rows:
+            odds = math.log(prior / (1 - prior)) + sum(t * math.log(hit[1][j] / hit[0][j] if x else (1 - hit[1][j]) / (1 - hit[0][j])) for j, (x, t) in enumerate(zip(v, trust)))
+            q = 1 / (1 + math.exp(-odds)) if s is None else s
+            mass.append((1 - q, q))
+        total = [sum(m[c] for m in mass) for c in (0, 1)]
+        prior = min(total[1] / sum(total), 0.5)
+        hit = [[(sum(m[c] * v[j] for m, (v, _) in zip(mass, rows)) + 0.5) / (total[c] + 1) for j in range(k)] for c in (0, 1)]
+        shared = [[0.0] * k for _ in range(k)]
+        for c in (0, 1):
+            for i in range(k):
+                for j in range(k):
+                    if i != j:
+                        cov = sum(m[c] * (v[i] - hit[c][i]) * (v[j] - hit[c][j]) for m, (v, _) in zip(mass, rows)) / max(total[c], 1)
+                        shared[i][j] += cov / math.sqrt(hit[c][i] * (1 - hit[c][i]) * hit[c][j] * (1 - hit[c][j])) / 2
+        trust = [1 / (1 + sum(min(1.0, max(0.0, x)) for x in r)) for r in shared]
+    assert abs(model.prior - prior) < 1e-9 and np.allclose(model.hit, hit) and np.allclose(model.trust, trust)
+    assert trust[0] < 0.85 and trust[3] > 0.9
