@@ -333,6 +333,13 @@ def stage_metrics(spark, sf):
     return ev.stage_metrics(fx.table(spark, sf, "events"))
 
 
+@query("r9_stage_latency", """
+SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS runs, round(avg(millis), 3) AS mean_millis, max(millis) AS most_millis FROM (
+  SELECT ts, greatest((epoch_us(nt) - epoch_us(ts)) // 1000, 0) AS millis FROM (SELECT *, lead(event_type) OVER w AS nk, lead(ts) OVER w AS nt FROM log WHERE event_type IN ('view', 'purchase') WINDOW w AS (PARTITION BY aggregate_id ORDER BY sequence)) WHERE event_type = 'view' AND nk = 'purchase') GROUP BY 1""")
+def stage_latency(spark, sf):
+    return ev.stage_latency(fx.log(spark, sf), "view", "purchase")
+
+
 @query("r10_catalogue_changes", """
 SELECT event_id, aggregate_id, event_type, row_number() OVER (PARTITION BY aggregate_id ORDER BY sequence) AS epoch FROM log WHERE event_type IN ('purchase', 'signup')""")
 def catalogue_changes(spark, sf):

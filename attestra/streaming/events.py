@@ -67,6 +67,17 @@ def stage_metrics(events: DataFrame, width: str = "1 hour", watermark: str = "10
     return out.select(F.col("w.start").alias("start"), "event_type", "events", "total")
 
 
+def stage_latency(events: DataFrame, begin: str, end: str, width: str = "1 hour") -> DataFrame:
+    """Runs of a stage by the window of event time in which they began: how many, their mean and longest milliseconds.
+
+    A start counts with the next end of its aggregate, as in `stage_duration`; starts without one are left out.
+    """
+    began = events.select("aggregate_id", "sequence", "ts")
+    rows = stage_duration(events, begin, end).join(began, ["aggregate_id", "sequence"])
+    out = rows.groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("runs"), F.round(F.avg("millis"), 3).alias("mean_millis"), F.max("millis").alias("most_millis"))
+    return out.select(F.col("w.start").alias("start"), "runs", "mean_millis", "most_millis")
+
+
 def catalogue_changes(events: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """The change feed: events of the named kinds, with an epoch that counts them for each aggregate."""
     w = Window.partitionBy("aggregate_id").orderBy("sequence")
