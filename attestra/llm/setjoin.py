@@ -341,7 +341,8 @@ def apart(stars: DataFrame, edges: DataFrame, sets: DataFrame, roots: DataFrame,
     lists bound what two nodes can still share.
 
     Jaccard distance is a metric: a node linked with the pivot is linked with none that is more than twice as far from
-    the pivot (level 0), so linked nodes list nothing where all nodes outside are so far.
+    the pivot (level 0), so linked nodes list nothing where all nodes outside are so far. stars: a, b and level, null
+    for nodes that were connected with the pivot before they were compared with it.
     """
     rows = with_roots(stars.join(edges.select("a", "b", F.lit(True).alias("linked")), ["a", "b"], "left"), roots)
     close = F.max(F.when(F.col("linked").isNull() & (F.col("root_a") != F.col("root_b")), F.col("level")))
@@ -387,21 +388,23 @@ def near_groups(df: DataFrame, width: int = 5, similarity: tuple[int, int] = (80
 
     pivot = shared.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"))
     stars = shared.join(pivot, "key").where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("keys"))
-    stars = staged(with_levels(stars, sets, p, q))
+    stars = staged(stars)
     spent(shared)
     # First each node against its commonest pivot, then against those that it is not connected with already.
-    near = stars.where("level = 2")
-    first = near.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b")
-    edges = staged(linked(first, sets, p, q))
+    first = stars.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b")
+    levels = staged(with_levels(first, sets, p, q))
+    edges = staged(linked(levels.where("level = 2").select("a", "b"), sets, p, q))
     roots = staged(components(edges))
-    other = with_roots(near.join(first, ["a", "b"], "left_anti"), roots).where("root_a <> root_b").select("a", "b")
-    edges = edges.unionByName(staged(linked(other, sets, p, q)))
+    other = with_roots(stars.join(levels, ["a", "b"], "left_anti"), roots).where("root_a <> root_b").select("a", "b")
+    other = staged(with_levels(other, sets, p, q))
+    edges = edges.unionByName(staged(linked(other.where("level = 2").select("a", "b"), sets, p, q)))
     roots = staged(components(edges))
+    stars = stars.select("a", "b").join(levels.unionByName(other), ["a", "b"], "left")
 
     more = staged(linked(apart(stars, edges, sets, roots, p, q), sets, p, q))
     if not more.isEmpty():
         roots = staged(components(edges.unionByName(more)))
-    spent(sets, stars)
+    spent(sets)
 
     whole = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))
