@@ -1,6 +1,6 @@
 """The queries of this package and their SQL, by name."""
 
-from attestra.llm import ann, chat, fingerprints, mixing, pieces, setjoin, sharding, suffix_tree, toxicity, urls
+from attestra.llm import ann, chat, fingerprints, lines, manifest, middle, mixing, pieces, setjoin, sharding, suffix_tree, toxicity, urls
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -13,9 +13,15 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_url_filter": urls.op9_url_filter,
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "op11_line_dedup": lines.op11_line_dedup,
+    "op12_fill_in_middle": middle.op12_fill_in_middle,
+    "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 ORACLE = {
     "op1_chat_format": chat.SQL,
     "op7_ngram_jaccard": setjoin.SQL,
     "op9_url_filter": urls.SQL,
+    "op11_line_dedup": lines.SQL,
+    "op12_fill_in_middle": middle.SQL,
+    "op13_merkle_manifest": manifest.SQL,
 }
