@@ -41,7 +41,8 @@ def write_index_batches(spark, sf):
     own = f"{shared_dir(spark)}/attestra-{uuid.uuid4().hex}"
     k = F.col("batch_id") % 3
     known = bt.batch_prints(rows.where(k < 2), ["batch_id"], "ordinal", "n")
-    known.select("batch_id", F.when(k == 0, F.col("print")).otherwise(F.sha2("print", 256)).alias("known")).write.parquet(f"{own}/ledger")
+    known = known.select("batch_id", "rows", F.lit("written").alias("outcome"), F.when(k == 0, F.col("print")).otherwise(F.sha2("print", 256)).alias("print"))
+    known.write.parquet(f"{own}/ledger/write=before")
     return bt.write_index_batches(rows.repartition("batch_id"), f"{own}/ledger", f"{own}/rows", "ordinal", "n")
 
 

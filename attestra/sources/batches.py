@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.plans.staging import staged
+from attestra.plans.staging import spent, staged
+
+BUCKETS = 64
+LEDGER = "batch_id long, rows long, outcome string, print string, write string"
 
 
 def scan_originals(spark: SparkSession, path: str, registry: DataFrame) -> DataFrame:
@@ -60,26 +65,69 @@ def batch_prints(df: DataFrame, keys: list[str], order: str, payload: str) -> Da
     return rows.select(*keys, F.sha2(F.to_json("xs"), 256).alias("print"), F.size("xs").cast("long").alias("rows"))
 
 
+def _known(spark: SparkSession, ledger_path: str, write: str) -> DataFrame:
+    """Prints of the batches that the ledger has from other writes."""
+    try:
+        ledger = spark.read.schema(LEDGER).parquet(ledger_path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        ledger = spark.createDataFrame([], LEDGER)
+    return ledger.where((F.col("outcome") == "written") & (F.col("write") != write)).select("batch_id", F.col("print").alias("known"))
+
+
+def commit_batches(df: DataFrame, ledger_path: str, out_path: str, order: str, payload: str, write: str) -> None:
+    """Writes the batches (batch_id) of `df` that no other write has to out_path, and then all their outcomes to the
+    ledger: written, replay (known with the same payload) or conflict.
+
+    Both are folders of their own for each `write`, so a write that failed halfway replaces what it left when it runs
+    again under its name, and `committed` sees rows only once their ledger is there. Within a write rows lie in BUCKETS
+    folders by a hash of the batch, however many batches there are. A batch comes whole within one write.
+    """
+    rows = batch_prints(df, ["batch_id"], order, payload).join(_known(df.sparkSession, ledger_path, write), "batch_id", "left")
+    outcome = F.when(F.col("known").isNull(), "written").when(F.col("known") == F.col("print"), "replay").otherwise("conflict")
+    rows = staged(rows.select("batch_id", "rows", outcome.alias("outcome"), "print"))
+    fresh = df.join(rows.where("outcome = 'written'").select("batch_id"), "batch_id", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("batch_id"), F.lit(BUCKETS)).cast("int"))
+    fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out_path}/write={write}")
+    rows.write.mode("overwrite").parquet(f"{ledger_path}/write={write}")
+    spent(rows)
+
+
+def committed(spark: SparkSession, ledger_path: str, out_path: str) -> DataFrame:
+    """The rows of all batches that the ledger has as written."""
+    ledger = spark.read.schema(LEDGER).parquet(ledger_path).where("outcome = 'written'").select("batch_id", "write")
+    rows = spark.read.parquet(out_path).withColumn("write", F.col("write").cast("string"))
+    return rows.join(ledger, ["batch_id", "write"], "left_semi").drop("write", "bucket")
+
+
 def write_index_batches(df: DataFrame, ledger_path: str, out_path: str, order: str, payload: str) -> DataFrame:
-    """Appends the batches (batch_id) that the ledger lacks and gives the outcome of each: written, replay or conflict.
+    """`commit_batches` of a whole table, and the outcome of each of its batches.
 
-    The data is appended before the ledger; a batch whose ledger row is missing after a failure is written again under
-    its own batch_id partition, replacing what is there.
+    The write is named by a digest of the batches, so that the same table written again after a failure replaces what
+    the first attempt left.
     """
-    spark = df.sparkSession
     prints = batch_prints(df, ["batch_id"], order, payload)
-    try:
-        ledger = spark.read.parquet(ledger_path)
+    a, b, n = prints.agg(*[F.coalesce(F.bit_xor(F.xxhash64(F.lit(k), "batch_id", "print")), F.lit(0)) for k in (1, 2)], F.count("*")).first()
+    name = f"w{a & (2**64 - 1):016x}{b & (2**64 - 1):016x}{n:x}"
+    mine = f"{ledger_path}/write={name}"
+    try:  # committed before: its batches are replays now
+        done = df.sparkSession.read.parquet(mine)
+        done.count()
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        ledger = spark.createDataFrame([], "batch_id long, known string")
-    rows = prints.join(ledger, "batch_id", "left").withColumn("outcome", F.when(F.col("known").isNull(), "written").when(F.col("known") == F.col("print"), "replay").otherwise("conflict"))
-    rows = staged(rows.select("batch_id", "rows", "outcome", "print"))  # before the ledger changes
-    fresh = rows.where("outcome = 'written'").select("batch_id", F.col("print").alias("known"))
-    df.join(fresh.select("batch_id"), "batch_id", "left_semi").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_path)
-    fresh.write.mode("append").parquet(ledger_path)
-    return rows.select("batch_id", "rows", "outcome")
+        commit_batches(df, ledger_path, out_path, order, payload, name)
+        return df.sparkSession.read.parquet(mine).select("batch_id", "rows", "outcome")
+    return done.select("batch_id", "rows", F.when(F.col("outcome") == "written", "replay").otherwise(F.col("outcome")).alias("outcome"))
+
+
+def index_sink(ledger_path: str, out_path: str, order: str, payload: str) -> Callable[[DataFrame, int], None]:
+    """`commit_batches` for foreachBatch: a micro-batch is a write, which a restarted stream repeats under its number."""
+
+    def write(df: DataFrame, number: int) -> None:
+        commit_batches(df, ledger_path, out_path, order, payload, f"m{number:010d}")
+
+    return write
 
 
 def encode_evidence(units: DataFrame, fields: list[str], interned: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestra.plans.staging import shared_dir
+from attestra.streaming.ordered import ChangeFeed, StagePairs, in_order
 
 TERMINAL = ("completed", "failed", "cancelled", "refused")
 #: Which states an event may follow; a terminal state takes no more events.
@@ -52,12 +53,20 @@ def dedupe_events(events: DataFrame, watermark: str = "10 minutes") -> DataFrame
     return events.dropDuplicates(["event_id"])
 
 
-def stage_duration(events: DataFrame, begin: str, end: str) -> DataFrame:
-    """Milliseconds from an aggregate's `begin` event to its next `end` event, each end used once."""
+def stage_duration(events: DataFrame, begin: str, end: str, within: int | None = None, watermark: str = "10 minutes") -> DataFrame:
+    """Milliseconds from an aggregate's `begin` event to its next `end` event, each end used once, with the start's time.
+
+    An end more than `within` seconds after its start does not count; None: however late. A stream gives each pair once,
+    when its end has come and all rows before it, and forgets a start when the watermark is `within` seconds past it.
+    """
+    if events.isStreaming:
+        pairs = in_order(events, "aggregate_id", StagePairs(begin, end, within), watermark)
+        return pairs.select("aggregate_id", "sequence", F.timestamp_micros("began").alias("ts"), "millis")
     w = Window.partitionBy("aggregate_id").orderBy("sequence")
     marks = events.where(F.col("event_type").isin(begin, end)).withColumns({"_next": F.lead("event_type").over(w), "_at": F.lead("ts").over(w)})
-    pairs = marks.where((F.col("event_type") == begin) & (F.col("_next") == end))
-    return pairs.select("aggregate_id", "sequence", F.greatest(F.floor((F.unix_micros(F.col("_at").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1000), F.lit(0)).alias("millis"))
+    took = F.unix_micros(F.col("_at").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    pairs = marks.where((F.col("event_type") == begin) & (F.col("_next") == end) & (F.lit(True) if within is None else took <= within * 1_000_000))
+    return pairs.select("aggregate_id", "sequence", "ts", F.greatest(F.floor(took / 1000), F.lit(0)).alias("millis"))
 
 
 def stage_metrics(events: DataFrame, width: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
@@ -67,21 +76,21 @@ def stage_metrics(events: DataFrame, width: str = "1 hour", watermark: str = "10
     return out.select(F.col("w.start").alias("start"), "event_type", "events", "total")
 
 
-def stage_latency(events: DataFrame, begin: str, end: str, width: str = "1 hour") -> DataFrame:
-    """Runs of a stage by the window of event time in which they began: how many, their mean and longest milliseconds.
-
-    A start counts with the next end of its aggregate, as in `stage_duration`; starts without one are left out.
-    """
-    began = events.select("aggregate_id", "sequence", "ts")
-    rows = stage_duration(events, begin, end).join(began, ["aggregate_id", "sequence"])
-    out = rows.groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("runs"), F.round(F.avg("millis"), 3).alias("mean_millis"), F.max("millis").alias("most_millis"))
+def stage_latency(pairs: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Runs of a stage (rows of `stage_duration`) by the window of event time in which they began: how many, their mean
+    and longest milliseconds. A stream of pairs gives the windows in complete mode."""
+    out = pairs.groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("runs"), F.round(F.avg("millis"), 3).alias("mean_millis"), F.max("millis").alias("most_millis"))
     return out.select(F.col("w.start").alias("start"), "runs", "mean_millis", "most_millis")
 
 
-def catalogue_changes(events: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """The change feed: events of the named kinds, with an epoch that counts them for each aggregate."""
+def catalogue_changes(events: DataFrame, kinds: tuple[str, ...], watermark: str = "10 minutes") -> DataFrame:
+    """The change feed (event_id, aggregate_id, sequence, event_type, epoch): events of the named kinds, with an epoch that
+    counts them for each aggregate. A stream gives each once, as soon as all rows before it have come."""
+    if events.isStreaming:
+        return in_order(events, "aggregate_id", ChangeFeed(kinds), watermark).select("event_id", "aggregate_id", "sequence", "event_type", "epoch")
     w = Window.partitionBy("aggregate_id").orderBy("sequence")
-    return events.where(F.col("event_type").isin(*kinds)).withColumn("epoch", F.row_number().over(w).cast("long"))
+    rows = events.where(F.col("event_type").isin(*kinds)).withColumn("epoch", F.row_number().over(w).cast("long"))
+    return rows.select("event_id", "aggregate_id", "sequence", "event_type", "epoch")
 
 
 def fold(state: tuple, rows: list[tuple[int, str]]) -> tuple:

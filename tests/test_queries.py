@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from attestra.plans import answer_queries, book, catalog_queries, evidence_queries, more_queries, structure_queries, text_queries  # noqa: F401
+from attestra.plans import answer_queries, book, catalog_queries, evidence_queries, more_queries, stream_queries, structure_queries, text_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
