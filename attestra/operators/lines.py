@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -12,49 +15,46 @@ from pyspark.sql import functions as F
 SEGMENT = "node_id long, text string, segments array<struct<start:int,end:int,source_start:int,source_end:int,kind:string>>"
 
 
+@functools.cache
+def _spots(composed: bool) -> re.Pattern:
+    """What normal text may change: white space, and characters with marks where a text is not composed yet."""
+    if composed:
+        return re.compile(r"\s+")
+    marks = "".join(c for c in map(chr, range(0x300, sys.maxunicode + 1)) if unicodedata.combining(c))
+    return re.compile(rf"\s+|\S[{marks}]*")
+
+
+def _changes(text: str) -> list[tuple[int, int, str]]:
+    """Spans of a stripped text that normal text changes, each with what takes its place."""
+    found = ((m.span(), m[0], " " if m[0].isspace() else unicodedata.normalize("NFC", m[0])) for m in _spots(unicodedata.is_normalized("NFC", text)).finditer(text))
+    return [(*span, new) for span, old, new in found if new != old]
+
+
+def _normal(text: str) -> tuple[str, list[tuple[int, int, int, int, str]]]:
+    bare, lead = text.strip(), len(text) - len(text.lstrip())
+    changes = _changes(bare)
+    kept = zip([0, *(e for _, e, _ in changes)], [*(s for s, _, _ in changes), len(bare)], strict=True)  # between the changes
+    pieces = [((s, e, bare[s:e], "exact"), (*c, "normalized_group")) for (s, e), c in zip(kept, [*changes, (0, 0, "")], strict=True)]
+    line = [p for pair in pieces for p in pair if p[0] < p[1]]
+    ends = [0]
+    for p in line:
+        ends.append(ends[-1] + len(p[2]))
+    return "".join(p[2] for p in line), [(a, b, s + lead, e + lead, kind) for a, b, (s, e, _, kind) in zip(ends, ends[1:], line, strict=False)]
+
+
 def normalise_text(blocks: DataFrame) -> DataFrame:
     """Normal text of blocks (node_id, text) with a reversible map to the source.
 
-    Combining clusters take normal form C, white space runs become one space, edges are trimmed; spelling stays.
-    Segments are contiguous: `exact` ones have equal lengths on both sides, `normalized_group` ones are atomic. A null
-    text gives empty text without segments.
+    Characters with their combining marks take normal form C, white space runs become one space, edges are trimmed;
+    spelling stays. Segments are contiguous: `exact` ones have equal lengths on both sides, `normalized_group` ones are
+    atomic. A null text gives empty text without segments.
     """
 
-    def groups(text: str) -> Iterator[tuple[str, int, int]]:
-        at, n = 0, len(text)
-        while at < n:
-            end = at + 1
-            if text[at].isspace():
-                while end < n and text[end].isspace():
-                    end += 1
-                yield " ", at, end
-            else:
-                while end < n and unicodedata.combining(text[end]):
-                    end += 1
-                yield unicodedata.normalize("NFC", text[at:end]), at, end
-            at = end
-
-    def one(text: str | None) -> tuple[str, list[dict]]:
-        parts = list(groups(text or ""))
-        while parts and parts[0][0] == " ":
-            parts.pop(0)
-        while parts and parts[-1][0] == " ":
-            parts.pop()
-        out, segments = "", []
-        for new, s, e in parts:
-            kind = "exact" if new == (text or "")[s:e] else "normalized_group"
-            last = segments[-1] if segments else None
-            if kind == "exact" and last and last["kind"] == "exact" and last["source_end"] == s:
-                last["end"], last["source_end"] = len(out) + len(new), e
-            else:
-                segments.append({"start": len(out), "end": len(out) + len(new), "source_start": s, "source_end": e, "kind": kind})
-            out += new
-        return out, segments
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.split(":")[0] for f in SEGMENT.partition("array<struct<")[2].rstrip(">").split(",")]
         for b in batches:
-            done = [one(t) for t in b["text"]]
-            yield pd.DataFrame({"node_id": b["node_id"], "text": [d[0] for d in done], "segments": [d[1] for d in done]})
+            done = [_normal(t or "") for t in b["text"]]
+            yield pd.DataFrame({"node_id": b["node_id"], "text": [d[0] for d in done], "segments": [[dict(zip(names, x, strict=True)) for x in d[1]] for d in done]})
 
     return blocks.select("node_id", "text").mapInPandas(run, SEGMENT)
 

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,71 +141,119 @@ def merge_paragraphs(lines: DataFrame) -> DataFrame:
     return whole.select("doc_id", "first", "lines", F.array_join(F.transform("ts", lambda t: t["text"]), " ").alias("text"))
 
 
-# Where a text may be cut, best first, and words that are not left at the end of a piece.
-PARAGRAPH, SENTENCE, SPACE = r"\n[ \t]*\n|\n", r"(?<=[.!?;])\s+", r"\s+"
-INTRODUCERS = ("не", "если", "при условии", "за исключением")
-JOINERS = "\ufe0e\ufe0f\u200d"  # variation selectors and the zero-width joiner
-SKIN_TONES = ("\U0001f3fb", "\U0001f3ff")
-
-
-def cut_points(text: str, atomic: Sequence[tuple[int, int]] = ()) -> list[int]:
-    """Offsets where a text may be cut: never inside a combining sequence, a joined or coloured emoji, or a range of `atomic`."""
-
-    def joined(k: int) -> bool:
-        c = text[k]
-        return bool(unicodedata.combining(c)) or c in JOINERS or text[k - 1] == JOINERS[-1] or SKIN_TONES[0] <= c <= SKIN_TONES[1]
-
-    inside = {k for s, e in atomic for k in range(s + 1, e)}
-    return [k for k in range(1, len(text)) if k not in inside and not joined(k)] + [len(text)]
-
-
-def split_text(text: str, fits: Callable[[str], bool], atomic: Sequence[tuple[int, int]] = ()) -> Iterator[tuple[int, int]]:
-    """Zero-overlap pieces of a text that fit: each as long as it may be, ended at a paragraph, else a sentence, else a
-    space, else between whole characters. A piece does not end in an introducing word if something is left before it,
-    and takes trailing white space with it if all of that fits. What can not be cut is a piece even if it does not fit.
+# Words that are not left at the end of a piece, of one part and of two.
+INTRODUCERS, PAIRS = ("не", "если"), (("при", "условии"), ("за", "исключением"))
+#: What does not begin a piece: marks, variation selectors, the zero-width joiner, skin tones.
+CLINGS = r"^[\p{M}\x{FE0E}\x{FE0F}\x{200D}\x{1F3FB}-\x{1F3FF}]"
+#: A part: a word with the white space after it, up to the end of a line and an empty line; or white space alone.
+PART = r"(?U)\S*[^\S\n]*\n(?:[ \t]*\n)?|\S+[^\S\n]*|[^\S\n]+"
+TOO_LONG = "ATOMIC_CONTEXT_OR_TEXT_TOO_LONG"
+_MARK = "struct<at:int,tokens:bigint,chars:bigint>"
+_RANKS = ("paragraph", "sentence", "space", "letter")  # ends of parts, best first
+
+#: White space by its Unicode property.
+BLANKS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+COUNTERS: dict[str, Callable[[Column], Column]] = {
+    "words": lambda part: F.when(F.ascii(part).isin(*map(ord, BLANKS)), 0).otherwise(1).cast("long"),  # a part begins with its word
+    "code points": lambda part: F.char_length(part).cast("long"),
+}
+
+
+def parts_of(text: Column, budget: int, count: Callable[[Column], Column]) -> Column:
+    """The parts of a text as structs: part, tokens, chars, rank of its end (0: no cut) and back, the parts of an
+    introducer that ends here. A part over the budget is given in extended grapheme clusters."""
+    words = F.regexp_extract_all(text, F.lit(PART), F.lit(0))
+    small = F.flatten(F.transform(words, lambda p: F.when(count(p) > budget, F.regexp_extract_all(p, F.lit(r"\X"), F.lit(0))).otherwise(F.array(p))))
+    word = lambda p: F.lower(F.ltrim(F.btrim(p, F.lit(BLANKS)), F.lit("(«[\"")))
+
+    def described(all_parts: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            clings = (F.ascii(F.get(all_parts, i + 1)) >= 0x300) & F.get(all_parts, i + 1).rlike(CLINGS)
+            plain = p.endswith(" ") & ~p.endswith("  ") & ~p.endswith("\t ") & ~p.endswith("\u00a0 ")  # the commonest ends, without a pattern
+            stop = p.endswith(". ") | p.endswith("; ") | p.endswith("! ") | p.endswith("? ")
+            odd = F.when(p.rlike(r"(?U)[.!?;]\s+$"), 2).when(p.rlike(r"(?U)\s$"), 3).otherwise(4)
+            rank = F.when(clings | p.endswith("\u200d"), 0).when(p.endswith("\n"), 1).when(plain & stop, 2).when(plain, 3).otherwise(odd)
+            back = F.when(word(p).isin(*INTRODUCERS), 1)
+            for x, y in PAIRS:
+                back = back.when((word(p) == y) & (F.coalesce(word(F.get(all_parts, i - 1)), F.lit("")) == x), 2)
+            back = F.when((F.octet_length(p) <= 40) & (F.octet_length(p) > F.char_length(p)), F.coalesce(back, F.lit(0))).otherwise(0)
+            return F.struct(p.alias("part"), count(p).alias("tokens"), F.char_length(p).cast("long").alias("chars"), rank.alias("rank"), back.alias("back"))
+
+        return F.transform(all_parts, one)
+
+    return F.element_at(F.transform(F.array(small), described), 1)  # binds the parts, so that they are made once
+
+
+def cuts_of(parts: Column, budget: int, atomic: Column | None = None) -> Column:
+    """Ends of the pieces of a text as structs (at: parts, chars, over), by one fold over its parts.
+
+    The fold keeps the running tokens and, of each rank, the last place in the open piece where a cut may be. When a
+    part does not fit, the piece ends at the best of these places, or before the introducer that would end it, until the
+    part fits. A piece without such a place runs on over the budget. `atomic`: ranges in which no cut may be.
     """
-    points = cut_points(text, atomic)
-    allowed = set(points)
-    breaks = [[m.end() for m in re.finditer(p, text) if m.end() in allowed] for p in (PARAGRAPH, SENTENCE, SPACE)]
-    dangling = re.compile(rf"\b(?:{'|'.join(INTRODUCERS)})\s*$", re.IGNORECASE)
-    start = 0
-    while start < len(text):
-        rest = points[bisect_right(points, start) :]
-        end = rest[max(0, bisect_left(rest, True, key=lambda e: not fits(text[start:e])) - 1)]
-        if end < len(text):
-            near = (bs[bisect_right(bs, end) - 1] for bs in breaks if bisect_right(bs, end) > bisect_right(bs, start))
-            end = next((e for e in near if fits(text[start:e])), end)
-            lone = dangling.search(text[start:end])
-            before = [p for p in points[bisect_right(points, start) : bisect_right(points, start + lone.start())]] if lone and lone.start() else []
-            if before and fits(text[start : before[-1]]):
-                end = before[-1]
-        if text[end:].isspace() and fits(text[start:]):
-            end = len(text)
-        yield start, end
-        start = end
-
-
-def chunk_body(nodes: DataFrame, most_tokens: int = 512, count_tokens: Callable[[str], int] | None = None) -> DataFrame:
+    none = F.lit(None).cast(_MARK)
+    zero = F.struct(
+        F.lit(0).alias("at"), *[F.lit(0).cast("long").alias(c) for c in ("tokens", "chars")], F.lit(0).alias("begin"), F.lit(0).cast("long").alias("begin_tokens"),
+        *[none.alias(r) for r in _RANKS], F.array().cast("array<struct<at:int,chars:bigint,over:boolean>>").alias("out"),
+    )
+
+    def end_piece(s: Column, x: Column) -> Column:
+        best = F.coalesce(*[s[r] for r in _RANKS])
+
+        def cut(m: Column) -> Column:
+            one, two = F.get(parts, m["at"] - 1), F.get(parts, m["at"] - 2)  # an introducer, and its first word
+            back = F.when(m["at"] - one["back"] > s["begin"], one["back"]).otherwise(0)
+            less = lambda c: m[c] - F.when(back == 2, one[c] + two[c]).when(back == 1, one[c]).otherwise(0)
+            at, tokens = m["at"] - back, less("tokens")
+            done = F.struct(at.alias("at"), less("chars").alias("chars"), (tokens - s["begin_tokens"] > budget).alias("over"))
+            return F.struct(
+                *[s[c].alias(c) for c in ("at", "tokens", "chars")], at.alias("begin"), tokens.alias("begin_tokens"),
+                *[F.when(s[r]["at"] > at, s[r]).alias(r) for r in _RANKS], F.array_append(s["out"], done).alias("out"),
+            )
+
+        full = (s["tokens"] + x["tokens"] - s["begin_tokens"] > budget) & best.isNotNull()
+        return F.when(full, F.element_at(F.transform(F.array(best), cut), 1)).otherwise(s)
+
+    def step(s: Column, x: Column) -> Column:
+        def add(s: Column) -> Column:
+            at, tokens, chars = s["at"] + 1, s["tokens"] + x["tokens"], s["chars"] + x["chars"]
+            mark = F.struct(at.alias("at"), tokens.alias("tokens"), chars.alias("chars"))
+            free = F.lit(True) if atomic is None else ~F.coalesce(F.exists(atomic, lambda r: (r["start"] < chars) & (chars < r["end"])), F.lit(False))
+            return F.struct(
+                at.alias("at"), tokens.alias("tokens"), chars.alias("chars"), s["begin"].alias("begin"), s["begin_tokens"].alias("begin_tokens"),
+                *[F.when((x["rank"] == k) & free, mark).otherwise(s[r]).alias(r) for k, r in enumerate(_RANKS, 1)], s["out"].alias("out"),
+            )
+
+        # a cut uses up a place; there are two for each rank at most
+        fitted = F.aggregate(F.sequence(F.lit(1), F.lit(2 * len(_RANKS))), s, lambda t, _: end_piece(t, x))
+        full = s["tokens"] + x["tokens"] - s["begin_tokens"] > budget
+        return F.when(full, F.element_at(F.transform(F.array(fitted), add), 1)).otherwise(add(s))
+
+    last = lambda s: F.struct(s["at"].alias("at"), s["chars"].alias("chars"), (s["tokens"] - s["begin_tokens"] > budget).alias("over"))
+    return F.aggregate(parts, zero, step, lambda s: F.array_append(s["out"], last(s)))
+
+
+def chunk_body(nodes: DataFrame, most_tokens: int = 512, count: str | Callable[[Column], Column] = "words") -> DataFrame:
     """Zero-overlap chunks of node texts (node_id, text, and atomic: ranges of a text that stay whole, if there are any)
-    within a token budget: (node_id, ordinal, start, end, text), as `split_text` cuts them.
+    within a token budget: node_id, ordinal, start, end, text and fault.
 
-    `count_tokens` is the caller's; words are counted by default. Chunks of a node concatenate to its text. Null and
-    blank texts give no chunks.
+    Each chunk is as long as it may be, and ends at the end of a line, else of a sentence, else of a word, else of an
+    extended grapheme cluster. It does not end in an introducing word if something is left before it. Chunks of a node
+    concatenate to its text. `fault` tells of a chunk over the budget, as nothing in it may be cut, and of a blank one.
+    `count` is one of COUNTERS or gives the tokens of a column of parts of text, such as a caller's model by an Arrow
+    UDF; a chunk counts as the sum of its parts. Null and blank texts give no chunks.
     """
-    count = count_tokens or (lambda t: len(t.split()))
-    atomic = F.col("atomic") if "atomic" in nodes.columns else F.lit(None)
-    ranges = atomic.cast("array<struct<start:int,end:int>>").alias("atomic")
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for node, text, whole in zip(b["node_id"], b["text"], b["atomic"], strict=True):
-                if text and text.strip():
-                    own = [] if whole is None else [(r["start"], r["end"]) for r in whole]
-                    rows += [(node, k, s, e, text[s:e]) for k, (s, e) in enumerate(split_text(text, lambda t: count(t) <= most_tokens, own))]
-            yield pd.DataFrame(rows, columns=["node_id", "ordinal", "start", "end", "text"])
-
-    return nodes.select("node_id", "text", ranges).mapInPandas(split, "node_id long, ordinal int, start int, end int, text string")
+    has = "atomic" in nodes.columns
+    rows = nodes.select("node_id", "text", *[F.col("atomic").cast("array<struct<start:bigint,end:bigint>>").alias("atomic")] * has).where(F.col("text").rlike(r"(?U)\S"))
+    rows = rows.withColumn("parts", parts_of(F.col("text"), most_tokens, COUNTERS[count] if isinstance(count, str) else count))
+    rows = rows.withColumn("cuts", cuts_of(F.col("parts"), most_tokens, F.col("atomic") if has else None))
+    before = lambda i, c: F.coalesce(F.get(F.col("cuts"), i - 1)[c], F.lit(0))
+    text = lambda x, i: F.array_join(F.transform(F.slice("parts", before(i, "at") + 1, x["at"] - before(i, "at")), lambda p: p["part"]), "")
+    pieces = F.transform("cuts", lambda x, i: F.struct(i.alias("ordinal"), before(i, "chars").cast("int").alias("start"), x["chars"].cast("int").alias("end"), text(x, i).alias("text"), x["over"].alias("over")))
+    rows = rows.select("node_id", F.inline(pieces))
+    fault = F.when(F.col("over") | ~F.col("text").rlike(r"(?U)\S"), TOO_LONG)
+    return rows.select("node_id", "ordinal", "start", "end", "text", fault.alias("fault"))
 
 
 def label_of(kind: Column, text: Column, chars: int = 30) -> Column:

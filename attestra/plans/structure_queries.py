@@ -294,7 +294,7 @@ def merge_paragraphs(spark, sf):
 
 @query("d17_chunk_body")
 def chunk_body(spark, sf):
-    return tr.chunk_body(fx.table(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text"), 120)
+    return tr.chunk_body(fx.spread(fx.table(spark, sf, "documents")).select(F.col("doc_id").alias("node_id"), "text"), 120)
 
 
 @query("d22_projection_gate", """

@@ -270,26 +270,65 @@ def test_normal_text_maps_back_to_its_source(spark):
     assert [(s.kind, s.source_start, s.source_end) for s in got[1].segments] == [("exact", 2, 5), ("normalized_group", 5, 7), ("normalized_group", 7, 11), ("exact", 11, 13), ("normalized_group", 13, 15), ("exact", 15, 19)]
 
 
-def test_where_texts_are_cut():
-    pieces = lambda t, n, atomic=(): [t[s:e] for s, e in tree.split_text(t, lambda x: len(x) <= n, atomic)]
-    assert pieces("one two\nthree; four five", 14) == ["one two\n", "three; ", "four five"]
-    assert pieces("a\n\nb c d e", 6) == ["a\n\n", "b c d ", "e"]
-    assert pieces("можно, если очень", 13) == ["можно, ", "если очень"]  # not left behind: если
-    assert pieces("если очень", 6) == ["если ", "очень"]
-    assert pieces("abcde   ", 8) == ["abcde   "] and pieces("abcde fg  ", 8) == ["abcde ", "fg  "]
+def pieces(spark, text, budget, atomic=None, count="code points"):
+    df = spark.createDataFrame([(1, text, atomic)], "node_id long, text string, atomic array<struct<start:int,end:int>>")
+    return [(r.text, r.fault is not None) for r in tree.chunk_body(df, budget, count).orderBy("ordinal").collect()]
+
+
+def test_where_texts_are_cut(spark):
+    cut = lambda *a: [t for t, fault in pieces(spark, *a) if not fault]
+    assert cut("one two\nthree; four five", 14) == ["one two\n", "three; ", "four five"]
+    assert cut("a\n\nb c d e", 6) == ["a\n\n", "b c d ", "e"]
+    assert cut("можно, если очень", 13) == ["можно, ", "если очень"]  # not left behind: если
+    assert cut("так при условии того", 17) == ["так ", "при условии того"]
+    assert cut("если очень", 6) == ["если ", "очень"]
+    assert cut("abcde   ", 8) == ["abcde   "] and cut("abcde fg  ", 8) == ["abcde ", "fg  "]
     family, hand = "\U0001f469\u200d\U0001f467", "\U0001f44d\U0001f3fd"
-    assert pieces("x" + family + hand, 3) == ["x", family, hand] and pieces("e\u0301e\u0301", 3) == ["e\u0301"] * 2
-    assert pieces("ab" + "c" * 5 + "d", 4, [(2, 7)]) == ["ab", "ccccc", "d"]  # atomic, even over the budget
+    assert cut("x" + family + hand, 3) == ["x", family, hand] and cut("e\u0301e\u0301", 3) == ["e\u0301"] * 2
+    assert pieces(spark, "ab" + "c" * 5 + "d", 4, [(2, 7)]) == [("ab", False), ("ccccc", True), ("d", False)]  # atomic, over the budget
+    assert pieces(spark, "abcd" + " " * 9, 6)[-1][1]  # a blank chunk
+
+
+def by_hand(text, budget, count):
+    """The rule read aloud: the longest run of parts that fits, back to its best end, or before an introducer."""
+    import re
+
+    parts = re.findall(r"\S*[^\S\n]*\n(?:[ \t]*\n)?|\S+[^\S\n]*|[^\S\n]+", text)
+    parts = [x for p in parts for x in (list(p) if count(p) > budget else [p])]
+    rank = [1 if p.endswith("\n") else 2 if re.search(r"[.!?;]\s+$", p) else 3 if p[-1].isspace() else 4 for p in parts]
+    out = []
+    while parts:
+        n = len(parts)
+        while sum(map(count, parts[:n])) > budget:
+            n -= 1
+        if n < len(parts):
+            n = max(k + 1 for k in range(n) if rank[k] == min(rank[:n]))
+            if n > 1 and parts[n - 1].strip().lower() in ("не", "если"):
+                n -= 1
+        out.append("".join(parts[:n]))
+        parts, rank = parts[n:], rank[n:]
+    return out
+
+
+def test_chunks_against_the_rule_by_hand(spark):
     rng = random.Random(2)
-    for _ in range(200):
-        t = "".join(rng.choice(["word", " ", ". ", "\n", "; ", "\u200d", "\u0301", "не ", "\U0001f3fb"]) for _ in range(rng.randint(1, 60)))
-        assert "".join(pieces(t, rng.randint(1, 20))) == t
+    bits = ["word", " ", " ", ". ", "\n", "; ", "не ", "Если ", "wider", "\n\n", "\t", "longestword"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 80))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "node_id long, text string")
+    for name, count in (("words", lambda p: int(bool(p.strip()))), ("code points", len)):
+        for budget in (4, 11):
+            got = {}
+            for r in tree.chunk_body(df, budget, name).orderBy("node_id", "ordinal").collect():
+                assert texts[r.node_id][r.start : r.end] == r.text
+                got.setdefault(r.node_id, []).append(r.text)
+            for k, t in enumerate(texts):
+                assert got.get(k, []) == (by_hand(t, budget, count) if t.strip() else []), (name, budget, t)
 
 
 def test_chunks_keep_atomic_ranges(spark):
     df = spark.createDataFrame([(1, "aa bb cc", [(1, 7)]), (2, "aa bb", None), (3, "  ", None)], "node_id long, text string, atomic array<struct<start:int,end:int>>")
-    got = sorted((r.node_id, r.ordinal, r.text) for r in tree.chunk_body(df, 3, len).collect())
-    assert got == [(1, 0, "a"), (1, 1, "a bb c"), (1, 2, "c"), (2, 0, "aa "), (2, 1, "bb")]
+    got = sorted((r.node_id, r.ordinal, r.text) for r in tree.chunk_body(df, 3, "code points").collect())
+    assert got == [(1, 0, "aa bb cc"), (2, 0, "aa "), (2, 1, "bb")]
 
 
 def test_closures_follow_chains_and_long_ones_are_dropped(spark):
