@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.plans.staging import staged
+
 from attestra.functions.text import normalised
 
 # Lines that begin like this are list items or notes, never boilerplate; words that make a table a form.
@@ -189,11 +191,39 @@ def coalesce_wrapped(cells: DataFrame) -> DataFrame:
     return cells.select(*columns).groupBy("table_id").applyInArrow(table, WRAPPED)
 
 
+# A cell that holds a value, and units of measure within a header.
+VALUE = r"(?i)^(?:(?:от|до|свыше|более|менее)\s+)?[+−±-]?\d+(?:[.,]\d+)?(?:\s|$)"
+UNIT = r"(?iu)(?:%|‰|(?<![\p{L}\d_])(?:кг|мг|км|мм|см|м|руб[\p{L}\d_]*|тонн[\p{L}\d_]*|штук|сут[\p{L}\d_]*|год[\p{L}\d_]*)(?![\p{L}\d_])|[²³])"
+NO_HEADER, NO_TEXT, NOT_COVERED = "TABLE_REQUIRED_HEADER_MISSING", "TABLE_ROW_WITHOUT_OWNED_TEXT", "TABLE_CONTEXT_COVERAGE_INCOMPLETE"
+
+
+def header_bands(cells: DataFrame) -> DataFrame:
+    """Rows of tables (table_id, row) with first_value, the first row that holds a value (a cell that begins with a number),
+    and header: is it above that row, or a later band?
+
+    A table without values has its header above its first row that is quite empty, not counting the first; without such
+    a row it is all header. A later band is a full row without values that repeats a text of the first row in its column
+    and has a row with a value right below it.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = cells.withColumns({"_text": text, "_value": F.trim(text).rlike(VALUE), "_short": F.regexp_replace(text, r"(?U)\s+", "")})
+    head = F.max(F.when(F.col("row") == 0, F.col("_short"))).over(Window.partitionBy("table_id", "col"))
+    rows = rows.withColumn("_again", F.col("_short") == head).groupBy("table_id", "row").agg(
+        F.bool_or("_value").alias("_values"), F.bool_and(F.col("_text") == "").alias("_empty"), F.bool_and((F.col("_text") != "") & ~F.col("_value")).alias("_named"), F.bool_or(F.coalesce("_again", F.lit(False))).alias("_again"),
+    )
+    table, line = Window.partitionBy("table_id"), Window.partitionBy("table_id").orderBy("row")
+    first = lambda test: F.min(F.when(test, F.col("row"))).over(table)
+    end = F.max("row").over(table) + 1
+    rows = rows.withColumn("_below", F.coalesce(F.lead("_values").over(line), F.lit(False)))
+    rows = rows.withColumn("first_value", F.coalesce(first(F.col("_values")), first(F.col("_empty") & (F.col("row") > 0)), end))
+    header = (F.col("row") < F.col("first_value")) | ((F.col("row") > F.col("first_value")) & F.col("_named") & F.col("_again") & F.col("_below"))
+    return rows.select("table_id", "row", "first_value", header.alias("header"))
+
+
 def header_rows(cells: DataFrame) -> DataFrame:
-    """Number of header rows of each table: those before the first row with a number, one at least if there is any."""
-    row = cells.groupBy("table_id", "row").agg(F.bool_or(F.col("text").rlike(r"\d")).alias("numeric"))
-    first = row.groupBy("table_id").agg(F.min(F.when(F.col("numeric"), F.col("row"))).alias("first"), F.count("*").alias("rows"))
-    return first.select("table_id", F.coalesce("first", "rows").alias("header_rows"), "rows")
+    """Of each table the header rows at its top, those of later bands, and all its rows."""
+    top = F.col("header") & (F.col("row") < F.col("first_value"))
+    return header_bands(cells).groupBy("table_id").agg(F.count_if(top).alias("header_rows"), F.count_if(F.col("header") & ~top).alias("later_rows"), F.count("*").alias("rows"))
 
 
 def header_scope(cells: DataFrame) -> DataFrame:
@@ -211,11 +241,43 @@ def grid_check(cells: DataFrame) -> DataFrame:
     return size.select("table_id", (F.col("covered") - F.col("different")).alias("overlaps"), (F.col("grid") - F.col("different")).alias("holes"))
 
 
+def _in_roles(cells: DataFrame) -> DataFrame:
+    """Cells with row_span, col_span, header, first_value, scope (start of the header rows that apply) and role: header, note
+    (a cell as wide as its table, below the header: it names the rows after it) or data."""
+    spans = {c: (F.col(c) if c in cells.columns else F.lit(1)) for c in ("row_span", "col_span")}
+    bands = header_bands(cells)
+    bands = bands.join(header_scope(bands), ["table_id", "row"])
+    out = cells.withColumns(spans).withColumn("text", F.coalesce("text", F.lit(""))).join(bands, ["table_id", "row"])
+    width = F.max(F.col("col") + F.col("col_span")).over(Window.partitionBy("table_id"))
+    wide = (F.col("col_span") == width) & (F.col("row") >= F.col("first_value"))
+    return out.withColumn("role", F.when(F.col("header"), "header").when(wide, "note").otherwise("data"))
+
+
+def _texts(cells: DataFrame, *by: str) -> DataFrame:
+    """`texts` of cells that are not blank, by row and column."""
+    pairs = F.array_sort(F.collect_list(F.struct("row", "col", "text")))
+    return cells.where(F.trim("text") != "").groupBy(*by).agg(F.transform(pairs, lambda x: x["text"]).alias("texts"))
+
+
 def row_context(cells: DataFrame) -> DataFrame:
-    """Every data row with the header texts above it in column order (row 0) and its own subject, the first cell."""
-    head = cells.where("row = 0").groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda x: x["text"]).alias("headers"))
-    rows = cells.where("row > 0").groupBy("table_id", "row").agg(F.min_by("text", "col").alias("subject"))
-    return rows.join(head, "table_id").select("table_id", "row", "subject", F.array_join("headers", " | ").alias("headers"))
+    """Every row with data (table_id, row) with its subject, the text of its first cell, and what stands for it elsewhere:
+    headers (texts of the header rows that apply, by row and column), units (those headers that name a unit of measure),
+    scope (texts of cells above that span into the row) and section (the note above it). A row without header has none.
+
+    Cells: table_id, row, col, text, and row_span and col_span where they differ from 1.
+    """
+    cells = staged(_in_roles(cells))
+    data = cells.where("role = 'data'").groupBy("table_id", "row", "scope").agg(F.min_by("text", "col").alias("subject"))
+    heads = _texts(cells.where("role = 'header'"), "table_id", "scope").withColumnRenamed("texts", "headers")
+    spans = cells.where("role = 'data' and row_span > 1").withColumn("at", F.explode(F.sequence(F.col("row") + 1, F.col("row") + F.col("row_span") - 1)))
+    spans = _texts(spans, "table_id", "at").select("table_id", F.col("at").alias("row"), F.col("texts").alias("scoped"))
+    notes = cells.where("role = 'note'").select("table_id", "row", F.col("text").alias("note"))
+    out = data.join(heads, ["table_id", "scope"], "left").join(spans, ["table_id", "row"], "left")
+    line = Window.partitionBy("table_id").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.unionByName(notes, allowMissingColumns=True).withColumn("section", F.last("note", ignorenulls=True).over(line)).where("note is null")
+    none = F.array().cast("array<string>")
+    headers = F.coalesce("headers", none)
+    return out.select("table_id", "row", "subject", headers.alias("headers"), F.filter(headers, lambda h: h.rlike(UNIT)).alias("units"), F.coalesce("scoped", none).alias("scope"), F.when(F.trim("section") != "", F.col("section")).alias("section"))
 
 
 def blank_template(cells: DataFrame, context: DataFrame) -> DataFrame:
@@ -232,11 +294,28 @@ def blank_template(cells: DataFrame, context: DataFrame) -> DataFrame:
 
 
 def chunk_table_rows(cells: DataFrame) -> DataFrame:
-    """One chunk for each data row: header context, then its cells joined by a spaced pipe in column order."""
-    line = lambda df: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda x: x["text"]), " | ")
-    head = cells.where("row = 0").groupBy("table_id").agg(line(cells).alias("header"))
-    rows = cells.where("row > 0").groupBy("table_id", "row").agg(line(cells).alias("body"))
-    return rows.join(head, "table_id").select("table_id", "row", F.concat("header", F.lit("\n"), "body").alias("chunk"))
+    """A chunk for each row with data (table_id, row, chunk, fault): a line for each of its section, headers, units and scope
+    that there are, then its cells joined by a spaced pipe in column order.
+
+    `fault` tells of rows that no header applies to and of rows without text; they have no chunk. A table with headers or
+    notes that stand for no row has a fault row of its own, with a null row, so that nothing is lost in silence.
+    """
+    context = staged(row_context(cells))
+    roles = staged(_in_roles(cells))
+    body = roles.where("role = 'data'").groupBy("table_id", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda x: x["text"]), " | ").alias("body"), F.bool_and(F.col("text") == "").alias("blank"))
+    rows = context.join(body, ["table_id", "row"])
+    several = lambda c: F.when(F.size(c) > 0, F.array_join(c, " | "))
+    fault = F.when(F.size("headers") == 0, NO_HEADER).when(F.col("blank"), NO_TEXT)
+    chunk = F.concat_ws("\n", "section", several("headers"), several("units"), several("scope"), "body")
+    out = rows.withColumn("fault", fault).select("table_id", "row", F.when(F.col("fault").isNull(), chunk).alias("chunk"), "fault")
+
+    used = roles.where("role = 'data'").select("table_id", "scope").distinct()
+    loose = roles.where("role = 'header' and trim(text) <> ''").join(used, ["table_id", "scope"], "left_anti").select("table_id")
+    line = Window.partitionBy("table_id").orderBy("row")
+    marks = roles.where("role <> 'header'").groupBy("table_id", "row").agg(F.bool_or(F.col("role") == "note").alias("note"), F.bool_or((F.col("role") == "note") & (F.trim("text") != "")).alias("said"))
+    alone = marks.where("said or not note").withColumn("next", F.lead("note").over(line)).where("said and coalesce(next, true)").select("table_id")
+    lost = loose.unionByName(alone).distinct().select("table_id", F.lit(None).cast(cells.schema["row"].dataType).alias("row"), F.lit(None).cast("string").alias("chunk"), F.lit(NOT_COVERED).alias("fault"))
+    return out.unionByName(lost)
 
 
 def table_window(cells: DataFrame, start: int, limit: int) -> DataFrame:

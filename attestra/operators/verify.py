@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.functions.text import numeric_literals, numeric_value, textual_subject
+from attestra.functions.text import normalised, numeric_literals, numeric_value, textual_subject
 from attestra.plans.staging import staged
 
 SAFE_ISSUES = ("missing_condition", "incomplete_support")
@@ -176,26 +176,49 @@ def contrast_rows(subjects: DataFrame) -> DataFrame:
     return near.where(word_prefix(F.col("subject"), F.col("next_subject"))).select("pack_id", "row", "next_row")
 
 
-def citation_closure(edges: DataFrame, triggers: DataFrame | None = None, most: int = 10) -> DataFrame:
-    """(pack_id, trigger, id): everything that a trigger requires, directly or through others (edges pack_id, a, b), to
-    the end of each chain. Closures of more than `most` ids are dropped whole. Without `triggers` (pack_id, trigger),
-    which are the units with a number, every unit that requires something is one.
+DIGIT = r"[\p{Nd}\u00b2\u00b3\u00b9\u2070-\u2079\u2080-\u2089]"
 
-    A round joins the ids reached last with their own requirements; ids reached before are left out, so loops end. A
-    trigger that still reaches something after `most` rounds has more than `most` ids, so no more rounds are needed.
+
+def citation_closures(units: DataFrame, groups: DataFrame, options: DataFrame | None = None, most: int = 10) -> DataFrame:
+    """Sets of citations that go together (pack_id, start, ids): what a numeric trigger, or a row of `options`, requires.
+
+    A trigger is a unit of the pack that has a group and a digit in its excerpt. A closure has its start, all that is
+    required by the triggers among its ids, and so on: only triggers lead further, other ids end the way. Ids come in
+    the order of the pack, those that are subjects of a trigger's row first, other triggers next. Closures of more than
+    `most` ids, the start counted, are dropped whole, and so are those without a trigger; equal ones are given once,
+    under the first start, triggers before rows. units: pack_id, evidence_id, excerpt, position; groups: pack_id,
+    trigger, required and, where there are any, subjects; options: pack_id, row, values, complete.
+
+    A round joins the ids reached last with their own requirements; ids reached before are left out, so loops end, and
+    closures that are too long already are given up.
     """
-    start = edges.select("pack_id", F.col("a").alias("trigger"), F.col("b").alias("id")).distinct()
-    if triggers is not None:
-        start = start.join(triggers.select("pack_id", "trigger").distinct(), ["pack_id", "trigger"], "left_semi")
+    known = staged(units.select("pack_id", F.col("evidence_id").alias("id"), "position", F.col("excerpt").rlike(DIGIT).alias("digit")))
+    id_of = lambda df, name: df.join(known.select("pack_id", F.col("id").alias(name), F.col("position").alias(f"_{name}_at"), F.col("digit").alias(f"_{name}_digit")), ["pack_id", name])
+    groups = staged(id_of(groups, "trigger").where("_trigger_digit").withColumn("subjects", F.col("subjects") if "subjects" in groups.columns else F.array().cast("array<string>")))
+    triggers = groups.select("pack_id", F.col("trigger").alias("id"), F.col("_trigger_at").alias("at")).distinct()
+    edges = staged(id_of(groups.select("pack_id", "trigger", F.explode("required").alias("to")), "to").select("pack_id", F.col("trigger").alias("id"), "to").distinct())
+
+    start = triggers.select("pack_id", F.lit(0).alias("kind"), F.col("at").cast("long").alias("at"), F.col("id").alias("start"), "id")
+    if options is not None:
+        rows = options.select("pack_id", "row", "complete", F.explode("values").alias("id")).join(triggers, ["pack_id", "id"], "left_semi").select("pack_id", "row", "complete").distinct()
+        rows = id_of(rows.select("pack_id", "row", F.explode("complete").alias("id")), "id")
+        start = start.unionByName(rows.select("pack_id", F.lit(1).alias("kind"), F.col("row").cast("long").alias("at"), F.concat(F.lit("row "), F.col("row").cast("string")).alias("start"), "id").distinct())
+    key = ["pack_id", "kind", "at", "start"]
     out = front = staged(start)
     for _ in range(most):
-        step = front.join(edges.select("pack_id", F.col("a").alias("id"), F.col("b").alias("_to")), ["pack_id", "id"]).select("pack_id", "trigger", F.col("_to").alias("id")).distinct()
-        front = staged(step.join(out, ["pack_id", "trigger", "id"], "left_anti"))
+        short = out.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") <= most).select(*key)
+        step = front.join(short, key, "left_semi").join(edges, ["pack_id", "id"]).select(*key, F.col("to").alias("id")).distinct()
+        front = staged(step.join(out, [*key, "id"], "left_anti"))
         if front.isEmpty():
             break
         out = out.unionByName(front)
-    long = out.groupBy("pack_id", "trigger").agg(F.count("*").alias("ids")).where(F.col("ids") > most)
-    return out.join(long, ["pack_id", "trigger"], "left_anti")
+
+    subject = out.join(groups.select("pack_id", F.col("trigger").alias("id"), "subjects"), ["pack_id", "id"]).select(*key, F.explode("subjects").alias("id")).distinct().withColumn("subject", F.lit(0))
+    rows = out.join(subject, [*key, "id"], "left").join(triggers.select("pack_id", "id", F.lit(1).alias("numeric")), ["pack_id", "id"], "left").join(known.select("pack_id", "id", "position"), ["pack_id", "id"])
+    rank = F.coalesce("subject", "numeric", F.lit(2))
+    whole = rows.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "position", "id"))), lambda x: x["id"]).alias("ids"), F.count("numeric").alias("numbers"))
+    first = Window.partitionBy("pack_id", "ids").orderBy("kind", "at", "start")
+    return whole.where((F.size("ids") <= most) & (F.col("numbers") > 0)).withColumn("n", F.row_number().over(first)).where("n = 1").select("pack_id", "start", "ids")
 
 
 def artifact_lineage(artifacts: DataFrame, failed: str) -> DataFrame:
@@ -206,27 +229,63 @@ def artifact_lineage(artifacts: DataFrame, failed: str) -> DataFrame:
     return rows.join(up, "parent", "left").select("artifact_id", fault.alias("fault")).where("fault is not null")
 
 
+def plain_words(text: Column) -> Column:
+    """The words of a text in compatibility form, case folded, ё as е."""
+    return F.regexp_extract_all(comparable(text), F.lit(r"(?U)\w+"), F.lit(0))
+
+
+def comparable(text: Column) -> Column:
+    return F.translate(normalised(text, "NFKC", fold=True), "ё", "е")
+
+
+BUCKET = ("source", "path", "table_id", "columns")
+
+
 def variant_groups(options: DataFrame) -> DataFrame:
-    """Per table (table_id, subject), base subjects with those whose words contain the base's as a run.
+    """Per pack, row options (option, subject) whose words hold those of a shorter one, the base, as a run: base and
+    members, the base among them.
 
-    Candidates share the base's first word: each subject is listed under every one of its words, so the join is on
-    (table, word), not on all pairs. Subjects of one word are no base; a base inside another base's group is left out.
+    Only options of one source, path, table and set of value columns (those of BUCKET that `options` has) are compared.
+    Subjects of one word are no base, and neither is a member of another base's group. Candidates share the base's first
+    word: each subject is listed under every one of its words, so the join is on (bucket, word), not on all pairs.
     """
-    words = F.array_remove(F.split(F.lower("subject"), r"(?U)\W+"), "")
-    rows = options.select("table_id", "subject", words.alias("w")).where(F.size("w") >= 2)
-    base = rows.select("table_id", F.col("subject").alias("base"), F.col("w").alias("bw"), F.col("w")[0].alias("word"))
-    listed = rows.select("table_id", "subject", "w", F.explode(F.array_distinct("w")).alias("word"))
+    bucket = ["pack_id", *[c for c in BUCKET if c in options.columns]]
+    rows = staged(options.select(*bucket, "option", plain_words(F.col("subject")).alias("w")).where(F.size("w") >= 2))
+    base = rows.select(*bucket, F.col("option").alias("base"), F.col("w").alias("bw"), F.col("w")[0].alias("word"))
+    listed = rows.select(*bucket, "option", "w", F.explode(F.array_distinct("w")).alias("word"))
     run = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    hit = base.join(listed, ["table_id", "word"]).where((F.size("w") > F.size("bw")) & F.contains(run("w"), run("bw")))
-    inner = hit.select("table_id", F.col("subject").alias("base")).distinct()
-    return hit.join(inner, ["table_id", "base"], "left_anti").groupBy("table_id", "base").agg(F.array_sort(F.collect_set("subject")).alias("refined"))
+    hit = base.join(listed, [*bucket, "word"]).where((F.size("w") > F.size("bw")) & F.contains(run("w"), run("bw")))
+    inner = hit.select("pack_id", F.col("option").alias("base")).distinct()
+    groups = hit.join(inner, ["pack_id", "base"], "left_anti").groupBy("pack_id", "base").agg(F.collect_set("option").alias("refined"))
+    return groups.select("pack_id", "base", F.array_sort(F.array_append("refined", F.col("base"))).alias("members"))
 
 
-def missing_variants(claims: DataFrame, options: DataFrame) -> DataFrame:
-    """Claims that touch a table row (the row of their number) without citing its complete set, with what is missing."""
-    need = options.select("pack_id", F.col("row").alias("claim_id"), "complete")
-    rows = claims.join(need, ["pack_id", "claim_id"]).withColumn("missing", F.array_sort(F.array_except("complete", "evidence_ids")))
-    return rows.where(F.size("missing") > 0).select("pack_id", "claim_id", "missing")
+def missing_variants(questions: DataFrame, claims: DataFrame, options: DataFrame, groups: DataFrame, most: int = 12) -> DataFrame:
+    """What an answer lacks of the table rows that its question selects: pack_id, number, row and the ids to cite.
+
+    A group counts if the answer cites a value of one of its members. Of its members the question (pack_id, question)
+    selects those whose subject it quotes, and those, but for the base, that have words no other member has, all of which
+    the question has too; if there are none, all count. A member whose complete set is not cited lacks its uncited
+    subjects and values, or else the rest of the set. The first `most` of a pack are given, by group and member.
+    options: pack_id, option, row, subject, subjects, values, complete; groups: as `variant_groups` gives them.
+    """
+    none = F.array().cast("array<string>")
+    cited = claims.groupBy("pack_id").agg(F.array_distinct(F.flatten(F.collect_list("evidence_ids"))).alias("cited"))
+    asked = questions.select("pack_id", plain_words(F.col("question")).alias("asked"), F.regexp_extract_all(comparable(F.col("question")), F.lit('["«“](.*?)["»”]'), F.lit(1)).alias("quoted"))
+    rows = groups.where(F.size("members") > 1).select("pack_id", "base", F.explode("members").alias("option")).join(options, ["pack_id", "option"])
+    rows = rows.withColumns({"words": F.array_distinct(plain_words(F.col("subject"))), "said": comparable(F.col("subject"))}).join(cited, "pack_id").join(asked, "pack_id")
+    group = Window.partitionBy("pack_id", "base")
+    rows = staged(rows.withColumn("touched", F.max(F.arrays_overlap("cited", "values")).over(group)).where("touched"))
+    own = rows.select("pack_id", "base", "option", F.explode("words").alias("word")).withColumn("n", F.count("*").over(Window.partitionBy("pack_id", "base", "word"))).where("n = 1")
+    own = own.groupBy("pack_id", "base", "option").agg(F.collect_list("word").alias("own"))
+    rows = rows.join(own, ["pack_id", "base", "option"], "left").withColumn("own", F.coalesce("own", none))
+    by_words = (F.col("option") != F.col("base")) & (F.size("own") > 0) & (F.size(F.array_except("own", "asked")) == 0)
+    chosen = F.coalesce(((F.col("said") != "") & F.array_contains("quoted", F.col("said"))) | by_words, F.lit(False))
+    rows = rows.withColumn("chosen", chosen).withColumn("some", F.max("chosen").over(group)).where("chosen or not some")
+    lacks, rest = F.array_except(F.concat("subjects", "values"), "cited"), F.array_except("complete", "cited")
+    rows = rows.withColumn("missing", F.when(F.size(rest) == 0, none).when(F.size(lacks) > 0, lacks).otherwise(rest)).where(F.size("missing") > 0)
+    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("pack_id").orderBy("base", "option")))
+    return rows.where(F.col("number") <= most).select("pack_id", "number", "row", "missing")
 
 
 def refusal_check(results: DataFrame, artifacts: DataFrame, packs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from attestra.operators import catalog as ct, lines as ln, tree as tr, verify as
 from attestra.plans import fixtures as fx
 from attestra.plans.book import query
 from attestra.plans.catalog_queries import NOW, STATES, now
+from attestra.plans.staging import staged
 from attestra.plans.structure_queries import COLUMNS
 from attestra.streaming import events as ev
 
@@ -149,12 +150,20 @@ def repair_targets(spark, sf):
 
 
 @query("v12_citation_closure", """
-WITH RECURSIVE e AS (SELECT pack_id, row || '-' || col AS a, row || '-' || (col - 1) AS b, regexp_matches(excerpt, '\\d') AS numeric FROM units WHERE col > 0), c AS (SELECT pack_id, a AS trigger, b AS id, 1 AS steps FROM e WHERE numeric UNION SELECT c.pack_id, c.trigger, e.b, steps + 1 FROM c JOIN e ON e.pack_id = c.pack_id AND e.a = c.id WHERE steps < 10)
-SELECT DISTINCT pack_id, trigger, id FROM c""")
+WITH RECURSIVE o AS (SELECT pack_id, evidence_id, row, row * 5 + col AS position FROM units),
+e AS (SELECT pack_id, row || '-' || col AS a, unnest(CASE WHEN col > 0 THEN ['0-' || col, row || '-0'] ELSE ['0-' || col] END) AS b FROM units WHERE row > 0 AND regexp_matches(excerpt, '[0-9]')),
+s AS (SELECT DISTINCT e.pack_id, 0 AS kind, p.position AS at1, a AS start, a AS id FROM e JOIN o p ON p.pack_id = e.pack_id AND p.evidence_id = e.a UNION ALL SELECT pack_id, 1, row, 'row ' || row, unnest([row || '-0', row || '-1', row || '-2', row || '-3', '0-1', '0-2']) FROM units WHERE row > 0 AND col = 0),
+c AS (SELECT * FROM s UNION SELECT c.pack_id, c.kind, c.at1, c.start, e.b FROM c JOIN e ON e.pack_id = c.pack_id AND e.a = c.id),
+w AS (SELECT c.pack_id, kind, at1, start, list(c.id ORDER BY CASE WHEN o.position % 5 = 0 AND o.row > 0 THEN 0 WHEN o.row > 0 AND EXISTS (SELECT 1 FROM e WHERE e.pack_id = c.pack_id AND e.a = c.id) THEN 1 ELSE 2 END, o.position) AS ids FROM c JOIN o ON o.pack_id = c.pack_id AND o.evidence_id = c.id GROUP BY 1, 2, 3, 4)
+SELECT pack_id, start, ids FROM w WHERE len(ids) <= 8 QUALIFY row_number() OVER (PARTITION BY pack_id, ids ORDER BY kind, at1, start) = 1""")
 def citation_closure(spark, sf):
-    u = fx.units(spark, sf).where("col > 0")
-    edges = u.select("pack_id", F.col("evidence_id").alias("a"), F.concat_ws("-", "row", F.col("col") - 1).alias("b"))
-    return vf.citation_closure(edges, u.where(F.col("excerpt").rlike(r"\d")).select("pack_id", F.col("evidence_id").alias("trigger")))
+    """Cells need the header above and the subject of their row; rows are cited whole, with two of their headers."""
+    u = staged(fx.units(spark, sf).withColumn("position", F.col("row") * 5 + F.col("col")))
+    head, side = F.concat(F.lit("0-"), F.col("col").cast("string")), F.concat(F.col("row").cast("string"), F.lit("-0"))
+    beside = F.when(F.col("col") > 0, F.array(side)).otherwise(F.array().cast("array<string>"))
+    groups = u.where("row > 0").select("pack_id", F.col("evidence_id").alias("trigger"), F.concat(F.array(head), beside).alias("required"), beside.alias("subjects"))
+    options = vf.row_options(u).withColumn("complete", F.concat("complete", F.array(F.lit("0-1"), F.lit("0-2"))))
+    return vf.citation_closures(u, groups, options, 8)
 
 
 @query("v18_artifact_lineage", """
@@ -235,22 +244,48 @@ def expand_hits(spark, sf):
     return evd.expand_hits(n.where("ordinal % 9 = 4").select("node_id"), n, tr.ancestry(n, n.where("ordinal % 9 = 4").select("node_id")), ("paragraph",))
 
 
-@query("v6_variant_groups", """
-SELECT a.table_id, a.subject AS base, list_sort(list(DISTINCT b.subject)) AS refined FROM (SELECT DISTINCT l_orderkey AS table_id, 'limit ' || l_returnflag AS subject FROM lineitem) a
-JOIN (SELECT DISTINCT l_orderkey AS table_id, 'upper limit ' || l_returnflag || ' line ' || l_linenumber AS subject FROM lineitem) b ON a.table_id = b.table_id AND contains(' ' || lower(b.subject) || ' ', ' ' || lower(a.subject) || ' ') GROUP BY 1, 2""")
-def variant_groups(spark, sf):
-    rows = fx.table(spark, sf, "lineitem")
-    k = F.col("l_orderkey").alias("table_id")
-    options = rows.select(k, F.concat(F.lit("limit "), "l_returnflag").alias("subject")).unionByName(rows.select(k, F.concat(F.lit("upper limit "), "l_returnflag", F.lit(" line "), F.col("l_linenumber").cast("string")).alias("subject"))).distinct()
-    return vf.variant_groups(options)
+#: The rows of an order as options: a limit, its refinements by part, and rows of another table or path.
+OPTIONS = """options AS (SELECT l_orderkey AS pack_id, row AS option, row, row % 4 // 3 AS table_id, CASE WHEN row % 5 = 4 THEN 'annex' ELSE 'body' END AS path,
+    CASE WHEN row = 1 THEN 'Limit of ПРИЁМ ' WHEN row % 3 = 0 THEN 'The limit of прием, part ' || row ELSE 'limit of прием for part ' || row END AS subject, [row || '-0'] AS subjects, [row || '-1', row || '-2'] AS values, [row || '-0', row || '-1', row || '-2', '0-1'] AS complete FROM items),
+said AS (SELECT *, replace(replace(lower(subject), 'ё', 'е'), ',', '') AS plain FROM options), worded AS (SELECT *, list_filter(string_split(plain, ' '), lambda x: x <> '') AS w FROM said),
+hits AS (SELECT a.pack_id, a.option AS base, b.option FROM worded a JOIN worded b ON b.pack_id = a.pack_id AND b.table_id = a.table_id AND b.path = a.path AND len(b.w) > len(a.w) AND contains(' ' || array_to_string(b.w, ' ') || ' ', ' ' || array_to_string(a.w, ' ') || ' ')),
+variants AS (SELECT pack_id, base, list_sort(list(DISTINCT option) || [base]) AS members FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits i WHERE i.pack_id = h.pack_id AND i.option = h.base) GROUP BY 1, 2)"""
+
 
+def variant_options(spark, sf):
+    row = F.col("row")
+    rows = fx.cells(spark, sf).where("row > 0 and col = 0").select(F.col("table_id").alias("pack_id"), "row")
+    part = row.cast("string")
+    subject = F.when(row == 1, "Limit of ПРИЁМ ").when(row % 3 == 0, F.concat(F.lit("The limit of прием, part "), part)).otherwise(F.concat(F.lit("limit of прием for part "), part))
+    unit = lambda c: F.concat(part, F.lit(f"-{c}"))
+    return rows.select(
+        "pack_id", row.alias("option"), "row", F.floor(row % 4 / 3).alias("table_id"), F.when(row % 5 == 4, "annex").otherwise("body").alias("path"), subject.alias("subject"),
+        F.array(unit(0)).alias("subjects"), F.array(unit(1), unit(2)).alias("values"), F.array(unit(0), unit(1), unit(2), F.lit("0-1")).alias("complete"),
+    )
 
-@query("v8_missing_variants", """
-SELECT c.pack_id, c.claim_id, list_sort(list_filter([c.claim_id || '-0', c.claim_id || '-1', c.claim_id || '-2', c.claim_id || '-3'], lambda x: NOT list_contains(c.evidence_ids, x))) AS missing FROM claims c JOIN orders o ON o.o_orderkey = c.pack_id WHERE o.o_orderstatus <> 'O'""")
+
+@query("v6_variant_groups", f"WITH {OPTIONS} SELECT * FROM variants")
+def variant_groups(spark, sf):
+    return vf.variant_groups(variant_options(spark, sf))
+
+
+@query("v8_missing_variants", f"""
+WITH {OPTIONS}, cited AS (SELECT pack_id, list_distinct(flatten(list(evidence_ids))) AS cited FROM claims GROUP BY 1),
+asked AS (SELECT o_orderkey AS pack_id, CASE o_orderkey % 4 WHEN 0 THEN 'What is the limit of прием for part 2?' WHEN 1 THEN 'Is "Limit of приём " in force?' WHEN 2 THEN 'The limit, part 3' ELSE 'And?' END AS question FROM orders),
+m AS (SELECT v.pack_id, v.base, unnest(v.members) AS option FROM variants v WHERE len(v.members) > 1),
+x AS (SELECT m.base, w.*, c.cited, a.question, list_distinct(regexp_extract_all(lower(a.question), '[\\pL\\d]+')) AS q FROM m JOIN worded w ON w.pack_id = m.pack_id AND w.option = m.option JOIN cited c ON c.pack_id = m.pack_id JOIN asked a ON a.pack_id = m.pack_id),
+t AS (SELECT *, bool_or(list_has_any(cited, values)) OVER (PARTITION BY pack_id, base) AS touched FROM x),
+words AS (SELECT pack_id, base, option, word, count(*) OVER (PARTITION BY pack_id, base, word) AS n FROM (SELECT pack_id, base, option, unnest(list_distinct(w)) AS word FROM t)),
+own AS (SELECT pack_id, base, option, list(word) AS own FROM words WHERE n = 1 GROUP BY 1, 2, 3),
+s AS (SELECT t.*, (pack_id % 4 = 1 AND plain = 'limit of прием ') OR (option <> base AND own IS NOT NULL AND len(list_filter(own, lambda k: NOT list_contains(q, k))) = 0) AS chosen FROM t LEFT JOIN own USING (pack_id, base, option) WHERE touched),
+r AS (SELECT *, bool_or(chosen) OVER (PARTITION BY pack_id, base) AS any_chosen FROM s),
+l AS (SELECT pack_id, base, option, row, list_filter(list_concat(subjects, values), lambda k: NOT list_contains(cited, k)) AS lacks, list_filter(complete, lambda k: NOT list_contains(cited, k)) AS rest FROM r WHERE chosen OR NOT any_chosen)
+SELECT pack_id, number, row, missing FROM (SELECT *, CAST(row_number() OVER (PARTITION BY pack_id ORDER BY base, option) AS INTEGER) AS number, CASE WHEN len(lacks) > 0 THEN lacks ELSE rest END AS missing FROM l WHERE len(rest) > 0) WHERE number <= 12""")
 def missing_variants(spark, sf):
-    options = vf.row_options(fx.units(spark, sf))
-    asked = fx.table(spark, sf, "orders").where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("pack_id"))
-    return vf.missing_variants(fx.claims(spark, sf).join(asked, "pack_id", "left_semi"), options)
+    options, k = variant_options(spark, sf), F.col("o_orderkey")
+    question = F.when(k % 4 == 0, "What is the limit of прием for part 2?").when(k % 4 == 1, 'Is "Limit of приём " in force?').when(k % 4 == 2, "The limit, part 3").otherwise("And?")
+    questions = fx.table(spark, sf, "orders").select(k.alias("pack_id"), question.alias("question"))
+    return vf.missing_variants(questions, fx.claims(spark, sf), options, vf.variant_groups(options))
 
 
 @query("v16_refusal_check", """

@@ -143,10 +143,40 @@ def coalesce_wrapped(spark, sf):
     return lo.coalesce_wrapped(at.unionByName(blank).withColumns({"row_span": F.lit(1), "col_span": F.lit(1), "header": F.lit(False)}))
 
 
-@query("d9_header_rows", """
-SELECT table_id, coalesce(min(CASE WHEN n THEN row END), count(*)) AS header_rows, count(*) AS rows FROM (SELECT table_id, row, bool_or(regexp_matches(text, '\\d')) AS n FROM cells GROUP BY 1, 2) GROUP BY 1""")
+#: The cells of an order's table in odd forms: years in a header, units, a later band, a row that names those after it, a
+#: cell over two rows, no header at all, no numbers and an empty row.
+GRIDS = """grids AS (SELECT * FROM (SELECT table_id, CASE WHEN table_id % 5 = 0 THEN row - 1 ELSE row END AS row, col, CASE WHEN table_id % 8 = 2 AND row = 1 AND col = 4 THEN 2 ELSE 1 END AS row_span, CASE WHEN table_id % 6 = 1 AND row = 2 THEN 5 ELSE 1 END AS col_span,
+    CASE WHEN table_id % 11 = 3 AND row = 2 THEN '' WHEN table_id % 11 = 3 AND row > 0 AND col IN (1, 2, 3) THEN 'n/a' WHEN row = 0 AND col = 1 AND table_id % 7 = 0 THEN 'Quantity 2024' WHEN row = 0 AND col = 2 AND table_id % 3 = 0 THEN 'Price, %' WHEN table_id % 6 = 1 AND row = 2 THEN 'Group ' || table_id
+      WHEN table_id % 4 = 0 AND row = 3 THEN ['Item', 'Amount', 'Price now', 'Rate', 'Kind'][col + 1] ELSE text END AS text
+  FROM cells WHERE NOT (table_id % 5 = 0 AND row = 0) AND NOT (table_id % 6 = 1 AND row = 2 AND col > 0) AND NOT (table_id % 8 = 2 AND row = 2 AND col = 4)))"""
+BANDS = GRIDS + """, marked AS (SELECT *, regexp_matches(trim(text), '(?i)^((от|до|свыше|более|менее)\\s+)?[+−±-]?\\d+([.,]\\d+)?(\\s|$)') AS value, replace(text, ' ', '') = max(CASE WHEN row = 0 THEN replace(text, ' ', '') END) OVER (PARTITION BY table_id, col) AS again FROM grids),
+lines AS (SELECT table_id, row, bool_or(value) AS vals, bool_and(text = '') AS empty, bool_and(text <> '' AND NOT value) AS named, bool_or(coalesce(again, false)) AS again FROM marked GROUP BY 1, 2),
+firsts AS (SELECT table_id, coalesce(min(CASE WHEN vals THEN row END), min(CASE WHEN empty AND row > 0 THEN row END), max(row) + 1) AS first_value FROM lines GROUP BY 1),
+bands AS (SELECT l.table_id, l.row, first_value, l.row < first_value OR (l.row > first_value AND named AND again AND coalesce(lead(vals) OVER (PARTITION BY l.table_id ORDER BY l.row), false)) AS header FROM lines l JOIN firsts USING (table_id)),
+starts AS (SELECT table_id, row FROM (SELECT *, coalesce(lag(header) OVER (PARTITION BY table_id ORDER BY row), false) AS before FROM bands) WHERE header AND NOT before),
+roles AS (SELECT g.*, b.header, CASE WHEN b.header THEN 'header' WHEN g.col_span = max(g.col + g.col_span) OVER (PARTITION BY g.table_id) AND g.row >= b.first_value THEN 'note' ELSE 'data' END AS role, (SELECT max(s.row) FROM starts s WHERE s.table_id = g.table_id AND s.row <= g.row) AS scope FROM grids g JOIN bands b USING (table_id, row)),
+data AS (SELECT table_id, row, any_value(scope) AS scope, min_by(text, col) AS subject, string_agg(text, ' | ' ORDER BY col) AS body, bool_and(text = '') AS blank FROM roles WHERE role = 'data' GROUP BY 1, 2),
+context AS (SELECT d.*, coalesce((SELECT list(h.text ORDER BY h.row, h.col) FROM roles h WHERE h.table_id = d.table_id AND h.role = 'header' AND h.row >= d.scope AND h.row <= d.row AND trim(h.text) <> ''), []) AS headers,
+  coalesce((SELECT list(s.text ORDER BY s.row, s.col) FROM roles s WHERE s.table_id = d.table_id AND s.role = 'data' AND s.row < d.row AND d.row < s.row + s.row_span AND trim(s.text) <> ''), []) AS scopes,
+  nullif((SELECT max_by(n.text, n.row) FROM roles n WHERE n.table_id = d.table_id AND n.role = 'note' AND n.row <= d.row), '') AS section FROM data d)"""
+
+
+def grids(spark, sf):
+    k, row, col, rows = F.col("table_id"), F.col("row"), F.col("col"), fx.cells(spark, sf)
+    rows = rows.where(~((k % 5 == 0) & (row == 0)) & ~((k % 6 == 1) & (row == 2) & (col > 0)) & ~((k % 8 == 2) & (row == 2) & (col == 4)))
+    band = F.element_at(F.array(*[F.lit(x) for x in ("Item", "Amount", "Price now", "Rate", "Kind")]), (col + 1).cast("int"))
+    text = (
+        F.when((k % 11 == 3) & (row == 2), "").when((k % 11 == 3) & (row > 0) & col.isin(1, 2, 3), "n/a").when((row == 0) & (col == 1) & (k % 7 == 0), "Quantity 2024")
+        .when((row == 0) & (col == 2) & (k % 3 == 0), "Price, %").when((k % 6 == 1) & (row == 2), F.concat(F.lit("Group "), k)).when((k % 4 == 0) & (row == 3), band).otherwise(F.col("text"))
+    )
+    spans = {"row_span": F.when((k % 8 == 2) & (row == 1) & (col == 4), 2).otherwise(1), "col_span": F.when((k % 6 == 1) & (row == 2), 5).otherwise(1)}
+    return rows.withColumns({"text": text, **spans}).withColumn("row", F.when(k % 5 == 0, row - 1).otherwise(row))
+
+
+@query("d9_header_rows", f"""
+WITH {BANDS} SELECT table_id, count(*) FILTER (WHERE header AND row < first_value) AS header_rows, count(*) FILTER (WHERE header AND row > first_value) AS later_rows, count(*) AS rows FROM bands GROUP BY 1""")
 def header_rows(spark, sf):
-    return lo.header_rows(fx.cells(spark, sf))
+    return lo.header_rows(grids(spark, sf))
 
 
 @query("w14_header_scope", """
@@ -164,10 +194,10 @@ def grid_check(spark, sf):
     return lo.grid_check(c.withColumns({"row_span": F.when((F.col("row") % 4 == 0) & (F.col("col") == 1), 2).otherwise(1), "col_span": F.lit(1)}))
 
 
-@query("d12_row_context", """
-SELECT table_id, row, min_by(text, col) AS subject, 'Item | Quantity | Price | Discount | Flag' AS headers FROM cells WHERE row > 0 GROUP BY 1, 2""")
+@query("d12_row_context", f"""
+WITH {BANDS} SELECT table_id, row, subject, headers, list_filter(headers, lambda h: contains(h, '%')) AS units, scopes AS scope, section FROM context""")
 def row_context(spark, sf):
-    return lo.row_context(fx.cells(spark, sf))
+    return lo.row_context(grids(spark, sf))
 
 
 @query("d13_blank_template", """
@@ -180,10 +210,13 @@ def blank_template(spark, sf):
     return lo.blank_template(c.withColumn("text", F.when(empty, " ").otherwise(F.col("text"))), cues)
 
 
-@query("d18_chunk_table_rows", """
-SELECT table_id, row, 'Item | Quantity | Price | Discount | Flag' || chr(10) || string_agg(text, ' | ' ORDER BY col) AS chunk FROM cells WHERE row > 0 GROUP BY 1, 2""")
+@query("d18_chunk_table_rows", f"""
+WITH {BANDS}, said AS (SELECT *, CASE WHEN len(headers) = 0 THEN 'TABLE_REQUIRED_HEADER_MISSING' WHEN blank THEN 'TABLE_ROW_WITHOUT_OWNED_TEXT' END AS fault, list_filter(headers, lambda h: contains(h, '%')) AS units FROM context)
+SELECT table_id, row, CASE WHEN fault IS NULL THEN coalesce(section || chr(10), '') || array_to_string(headers, ' | ') || CASE WHEN len(units) > 0 THEN chr(10) || array_to_string(units, ' | ') ELSE '' END || CASE WHEN len(scopes) > 0 THEN chr(10) || array_to_string(scopes, ' | ') ELSE '' END || chr(10) || body END AS chunk, fault FROM said
+UNION ALL SELECT DISTINCT table_id, NULL, NULL, 'TABLE_CONTEXT_COVERAGE_INCOMPLETE' FROM roles r WHERE trim(text) <> '' AND ((role = 'header' AND NOT EXISTS (SELECT 1 FROM data d WHERE d.table_id = r.table_id AND d.scope = r.scope))
+  OR (role = 'note' AND NOT EXISTS (SELECT 1 FROM data d WHERE d.table_id = r.table_id AND d.row > r.row AND NOT EXISTS (SELECT 1 FROM roles n WHERE n.table_id = r.table_id AND n.role = 'note' AND n.row > r.row AND n.row <= d.row))))""")
 def chunk_table_rows(spark, sf):
-    return lo.chunk_table_rows(fx.cells(spark, sf))
+    return lo.chunk_table_rows(grids(spark, sf))
 
 
 @query("t8_table_window", "SELECT table_id, row, col, text FROM cells WHERE row < 4 AND row + CASE WHEN col = 0 THEN 2 ELSE 1 END > 2")

@@ -331,13 +331,62 @@ def test_chunks_keep_atomic_ranges(spark):
     assert got == [(1, 0, "aa bb cc"), (2, 0, "aa "), (2, 1, "bb")]
 
 
-def test_closures_follow_chains_and_long_ones_are_dropped(spark):
-    chain = [(1, f"n{k}", f"n{k + 1}") for k in range(12)] + [(2, "a", "b"), (2, "b", "a"), (2, "b", "c"), (3, "x", "y")]
-    edges = spark.createDataFrame(chain, "pack_id int, a string, b string")
-    got = {}
-    for r in verify.citation_closure(edges).collect():
-        got.setdefault((r.pack_id, r.trigger), set()).add(r.id)
-    assert (1, "n1") not in got and got[1, "n2"] == {f"n{k}" for k in range(3, 13)}  # 11 ids are too many, 10 are not
-    assert got[2, "a"] == {"a", "b", "c"} and got[3, "x"] == {"y"}
-    only = spark.createDataFrame([(2, "b")], "pack_id int, trigger string")
-    assert {(r.trigger, r.id) for r in verify.citation_closure(edges, only).collect()} == {("b", "a"), ("b", "b"), ("b", "c")}
+def closures(spark, units, groups, options=None, most=10):
+    u = spark.createDataFrame([(1, i, x, k) for k, (i, x) in enumerate(units)], "pack_id int, evidence_id string, excerpt string, position int")
+    g = spark.createDataFrame([(1, *x) for x in groups], "pack_id int, trigger string, required array<string>, subjects array<string>")
+    o = options and spark.createDataFrame([(1, *x) for x in options], "pack_id int, row int, values array<string>, complete array<string>")
+    return {r.start: r.ids for r in verify.citation_closures(u, g, o or None, most).collect()}
+
+
+def test_closures_grow_through_numbers_only(spark):
+    units = [("h", "Head"), ("n1", "1"), ("x", "word"), ("y", "far"), ("s", "Part"), ("n2", "m²"), ("loop", "3")]
+    groups = [("n1", ["h", "x", "n2", "gone"], ["s"]), ("x", ["y"], []), ("n2", ["s"], ["s"]), ("loop", ["n1", "loop"], []), ("h", ["y"], [])]
+    got = closures(spark, units, groups)
+    assert got == {"n1": ["s", "n1", "n2", "h", "x"], "n2": ["s", "n2"], "loop": ["s", "n1", "n2", "loop", "h", "x"]}  # y is behind a word
+    rows = closures(spark, units, groups, [(1, ["n2"], ["s", "n2"]), (2, ["n2"], ["y", "n2"]), (3, ["x"], ["x", "n2"])])
+    assert rows == got | {"row 2": ["s", "n2", "y"]}  # row 1 is n2's own, row 3 has no value with a number
+
+
+def test_long_closures_are_dropped_whole(spark):
+    units = [(f"n{k}", str(k)) for k in range(14)] + [(f"w{k}", "w") for k in range(12)]
+    got = closures(spark, units, [("n0", [f"w{k}" for k in range(10)], []), ("n1", [f"w{k}" for k in range(9)], []), *[(f"n{k}", [f"n{k + 1}"], []) for k in range(2, 13)]])
+    assert "n0" not in got and len(got["n1"]) == 10  # the trigger counts
+    assert sorted(got) == sorted(["n1", *[f"n{k}" for k in range(4, 13)]])
+
+
+def test_variants_that_a_question_selects(spark):
+    rows = [(1, 0, "Приём"), (1, 1, "Лимит приёма"), (1, 2, "лимит ПРИЕМА воды"), (1, 3, "Общий лимит приема соли"), (1, 4, "Лимит"), (1, 5, "x лимит приема воды y")]
+    options = spark.createDataFrame([(p, k, k + 10, t, [f"s{k}"], [f"v{k}"], [f"s{k}", f"v{k}", f"h{k}"]) for p, k, t in rows], "pack_id int, option int, row int, subject string, subjects array<string>, values array<string>, complete array<string>")
+    groups = verify.variant_groups(options)
+    assert [(r.base, r.members) for r in groups.collect()] == [(1, [1, 2, 3, 5])]
+
+    def lacks(question, cited, most=12):
+        q, c = spark.createDataFrame([(1, question)], "pack_id int, question string"), spark.createDataFrame([(1, cited)], "pack_id int, evidence_ids array<string>")
+        return [(r.number, r.row, r.missing) for r in verify.missing_variants(q, c, options, groups, most).orderBy("number").collect()]
+
+    assert lacks("Какой общий лимит соли?", ["v1"]) == [(1, 13, ["s3", "v3"])]  # its own words: общий, соли
+    assert lacks("Что такое «лимит приема»?", ["v1", "s1"]) == [(1, 11, ["h1"])]
+    assert [r for _, r, _ in lacks("Какой?", ["v2"])] == [11, 12, 13, 15] and [r for _, r, _ in lacks("Какой?", ["v2"], 2)] == [11, 12]
+    assert lacks("Какой?", ["v4"]) == []  # no member's value is cited
+    assert lacks("общий соли", ["s3", "v3", "h3"]) == []
+
+
+def test_header_bands_contexts_and_faults(spark):
+    def grid(table, *rows):
+        return [(table, r, c, t, 1, 1) for r, row in enumerate(rows) for c, t in enumerate(row) if t is not None]
+
+    cells = grid(1, ["Form 2024 edition", "Size, мм"], ["Part", "Width"], ["a", "12"], ["b", "до 13"], ["Part", "Size, мм"], ["c", "5"])
+    cells += grid(2, ["1", "2"], ["3", "4"])  # no header
+    cells += grid(3, ["Name", "Sign"], ["", ""], ["x", "y"])  # no value: the empty row ends the header
+    cells += grid(4, ["Name", "No"], ["a", "1"], ["Name", "Other"])  # a band without a value below is data
+    cells += [(5, 0, 0, "Head", 1, 1), (5, 0, 1, "No", 1, 1), (5, 1, 0, "tall", 2, 1), (5, 1, 1, "1", 1, 1), (5, 2, 1, "2", 1, 1), (5, 3, 0, "Group", 1, 2), (5, 4, 0, "b", 1, 1), (5, 4, 1, "3", 1, 1), (5, 5, 0, "End", 1, 2)]
+    df = spark.createDataFrame(cells, "table_id int, row int, col int, text string, row_span int, col_span int")
+    assert {r.table_id: (r.header_rows, r.later_rows, r.rows) for r in layout.header_rows(df).collect()} == {1: (2, 1, 6), 2: (0, 0, 2), 3: (1, 0, 3), 4: (1, 0, 3), 5: (1, 0, 6)}
+    context = {(r.table_id, r.row): (r.headers, r.units, r.scope, r.section) for r in layout.row_context(df).collect()}
+    top = ["Form 2024 edition", "Size, мм", "Part", "Width"]
+    assert context[1, 2] == (top, ["Size, мм"], [], None) and context[1, 5] == (["Part", "Size, мм"], ["Size, мм"], [], None) and context[2, 0] == ([], [], [], None)
+    assert context[5, 2] == (["Head", "No"], [], ["tall"], None) and context[5, 4] == (["Head", "No"], [], [], "Group") and (5, 3) not in context
+    chunks = {(r.table_id, r.row): (r.chunk, r.fault) for r in layout.chunk_table_rows(df).collect()}
+    assert chunks[2, 0] == chunks[2, 1] == (None, layout.NO_HEADER) and chunks[3, 1] == (None, layout.NO_TEXT)
+    assert chunks[5, 4] == ("Group\nHead | No\nb | 3", None) and chunks[5, None] == (None, layout.NOT_COVERED)
+    assert chunks[1, 5] == ("Part | Size, мм\nSize, мм\nc | 5", None) and (1, None) not in chunks
