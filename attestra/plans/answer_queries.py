@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attestra.functions import stems as st
 from attestra.operators import records, retrieval as rt, verify as vf
 from attestra.plans import fixtures as fx
 from attestra.plans.book import query
@@ -44,20 +45,41 @@ def vector_check(spark, sf):
     return rt.vector_check(fx.table(spark, sf, "embeddings"), "embedding", 64).select("vec_id", "vector_ok")
 
 
-def chunk_terms(spark, sf):
-    return rt.weighted_terms(fx.chunks(spark, sf), {"A": F.array("lang", "source"), "C": F.col("words")})
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшыюз"
+
+
+def chunk_words(spark, sf):
+    """Chunks; those of every third document have Cyrillic words."""
+    word = lambda w: F.when(F.col("doc_id") % 3 == 0, F.translate(F.lower(w), LATIN, CYRILLIC)).otherwise(w)
+    return fx.chunks(spark, sf).withColumn("words", F.transform("words", word))
 
 
 def text_queries(spark, sf):
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    """Benchmark questions; every third is Cyrillic."""
+    plain = F.when(F.col("query_id") % 3 == 0, F.translate(F.lower("text"), LATIN, CYRILLIC)).otherwise(F.col("text"))
+    words = F.filter(F.split(plain, r"\s+"), lambda w: w != "")
     return rt.bounded_terms(fx.table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id"), words)
 
 
-TERMS = """terms AS (
-  SELECT chunk_id, lower(word) AS term, weight, count(*) AS n FROM (
-    SELECT chunk_id, unnest([lang, source]) AS word, 1.0 AS weight FROM chunks UNION ALL SELECT chunk_id, unnest(words), 0.2 FROM chunks) GROUP BY ALL)"""
+def _without(x: str, pattern: str, keeps: bool = True) -> str:
+    return f"regexp_replace({x}, '{pattern}', '{chr(92) + '1' if keeps else ''}')"
+
+
+#: Stems of all words, step by step; asked: the terms of each question, as they are and as stems.
+STEMS = f"""worded AS (SELECT chunk_id, lang, source, CASE WHEN doc_id % 3 = 0 THEN list_transform(words, lambda x: translate(lower(x), '{LATIN}', '{CYRILLIC}')) ELSE words END AS words FROM chunks),
+questions AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(CASE WHEN item_id % 3 = 0 THEN translate(lower(text), '{LATIN}', '{CYRILLIC}') ELSE text END, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM benchmark),
+st0 AS (SELECT DISTINCT lower(word) AS word FROM (SELECT unnest(words) AS word FROM worded UNION ALL SELECT unnest([lang, source]) FROM worded UNION ALL SELECT unnest(w) FROM questions)),
+st1 AS (SELECT word, replace(word, 'ё', 'е') AS w, regexp_extract(replace(word, 'ё', 'е'), '{st.TO_FIRST_VOWEL}') AS head, length(regexp_extract(replace(word, 'ё', 'е'), '{st.TO_SECOND_REGION}')) AS second FROM st0 WHERE regexp_matches(word, '{st.CYRILLIC}')),
+st2 AS (SELECT *, substr(w, length(head) + 1) AS r FROM st1), st3 AS (SELECT *, {_without("r", st.GERUND)} AS g, {_without("r", st.REFLEXIVE, False)} AS f FROM st2),
+st4 AS (SELECT *, {_without("f", st.ADJECTIVAL)} AS a, {_without("f", st.VERB)} AS v, {_without("f", st.NOUN, False)} AS n FROM st3),
+st5 AS (SELECT *, regexp_replace(CASE WHEN g <> r THEN g WHEN a <> f THEN a WHEN v <> f THEN v ELSE n END, 'и$', '') AS x FROM st4),
+st6 AS (SELECT *, CASE WHEN regexp_matches(x, 'ость?$') AND second > 0 AND length(head || regexp_replace(x, 'ость?$', '')) >= second THEN regexp_replace(x, 'ость?$', '') ELSE x END AS y FROM st5),
+stems AS (SELECT word, CASE WHEN head = '' THEN w ELSE head || CASE WHEN regexp_matches(y, 'ейше?$|нн$') THEN regexp_replace(regexp_replace(y, 'ейше?$', ''), 'нн$', 'н') ELSE regexp_replace(y, 'ь$', '') END END AS stem FROM st6 UNION ALL SELECT word, word FROM st0 WHERE NOT regexp_matches(word, '{st.CYRILLIC}'))"""
+TERMS = f"""{STEMS}, tokens AS (SELECT chunk_id, lower(word) AS word, head FROM (SELECT chunk_id, unnest([lang, source]) AS word, true AS head FROM worded UNION ALL SELECT chunk_id, unnest(words), false FROM worded)),
+lexed AS (SELECT chunk_id, word, stem, head FROM tokens JOIN stems USING (word)),
+terms AS (SELECT chunk_id, term, weight, count(*) AS n FROM (SELECT chunk_id, stem AS term, 1.0 AS weight FROM lexed UNION ALL SELECT chunk_id, word, 1.0 FROM lexed WHERE head UNION ALL SELECT chunk_id, word, 0.4 FROM lexed UNION ALL SELECT chunk_id, stem, 0.4 FROM lexed WHERE NOT head UNION ALL SELECT chunk_id, word, 0.2 FROM lexed WHERE NOT head) GROUP BY ALL)"""
 ASKED = """asked AS (
-  SELECT item_id AS query_id, list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), lambda x: lower(x)))) AS terms FROM benchmark)"""
+  SELECT q.query_id, list_sort(list_distinct(list(lower(q.word)) || list(s.stem))) AS terms FROM (SELECT query_id, unnest(w) AS word FROM questions) q JOIN stems s ON s.word = lower(q.word) GROUP BY 1 UNION ALL SELECT query_id, [] FROM questions WHERE len(w) = 0)"""
 LEXICAL = """lexical AS (
   SELECT query_id, chunk_id, score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
@@ -66,17 +88,17 @@ LEXICAL = """lexical AS (
 
 @query("d24_weighted_terms", f"WITH {TERMS} SELECT chunk_id, term, CAST(weight AS DOUBLE) AS weight, n FROM terms")
 def weighted_terms(spark, sf):
-    return chunk_terms(spark, sf)
+    return rt.weighted_terms(chunk_words(spark, sf), rt.search_parts(F.array("lang", "source"), F.col("words")))
 
 
-@query("t9_bounded_terms", f"WITH {ASKED} SELECT query_id, terms, len(terms) > 128 AS too_many FROM asked")
+@query("t9_bounded_terms", f"WITH {STEMS}, {ASKED} SELECT query_id, terms, len(terms) > 128 AS too_many FROM asked")
 def bounded_terms(spark, sf):
     return text_queries(spark, sf)
 
 
 def lexical_hits(spark, sf):
     asked = text_queries(spark, sf)
-    terms = rt.weighted_terms(fx.chunks(spark, sf), {"A": F.array("lang", "source"), "C": F.col("words")}, asked.select(F.explode("terms").alias("term")))
+    terms = rt.search_weights(chunk_words(spark, sf), F.array("lang", "source"), F.col("words"), asked.select(F.explode("terms").alias("term")))
     return rt.lexical_topk(asked, terms)
 
 
@@ -85,6 +107,23 @@ def lexical_topk(spark, sf):
     return lexical_hits(spark, sf)
 
 
+@query("t2_cover_density", """
+WITH p AS (SELECT chunk_id, lower(word) AS term, pos, CASE WHEN lower(word) <> word THEN 1.0 ELSE 0.2 END AS weight FROM (SELECT chunk_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM chunks)),
+q AS (SELECT item_id AS query_id, list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')[2:4], lambda x: lower(x)))) AS terms FROM benchmark),
+a AS (SELECT query_id, unnest(terms) AS term, len(terms) AS terms FROM q),
+h AS (SELECT * FROM (SELECT query_id, chunk_id, term, pos, weight, terms, count(DISTINCT term) OVER (PARTITION BY query_id, chunk_id) AS found FROM p JOIN a USING (term)) WHERE found = terms),
+l AS (SELECT e.query_id, e.chunk_id, e.pos AS q, t.term, max(t.pos) AS last, any_value(e.terms) AS terms FROM h e JOIN h t ON t.query_id = e.query_id AND t.chunk_id = e.chunk_id AND t.pos <= e.pos GROUP BY 1, 2, 3, 4),
+w AS (SELECT query_id, chunk_id, p, min(q) AS q FROM (SELECT query_id, chunk_id, q, min(last) AS p FROM l GROUP BY 1, 2, 3 HAVING count(*) = any_value(terms)) GROUP BY 1, 2, 3),
+d AS (SELECT w.query_id, w.chunk_id, w.p, (count(*) / sum(1 / CAST(h.weight AS DOUBLE))) / (1 + (w.q - w.p) - (count(*) - 1)) AS density FROM w JOIN h ON h.query_id = w.query_id AND h.chunk_id = w.chunk_id AND h.pos BETWEEN w.p AND w.q GROUP BY 1, 2, 3, w.q)
+SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, round(sum(density), 9) AS score FROM d GROUP BY 1, 2)) WHERE rank <= 20""")
+def cover_density(spark, sf):
+    """Three words of each question that must all be there; words with a capital weigh more."""
+    words = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 2, 3)
+    asked = rt.bounded_terms(fx.table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id"), words)
+    rows = fx.chunks(spark, sf).select("chunk_id", F.posexplode("words").alias("pos", "word"))
+    return rt.cover_topk(asked, rows.select("chunk_id", F.lower("word").alias("term"), "pos", F.when(F.lower("word") != F.col("word"), 1.0).otherwise(0.2).alias("weight")))
+
+
 def channels(spark, sf):
     """Two channels for each benchmark question: lexical hits, and the first chunks of the documents whose vectors are
     nearest to the vector of the question's number. Written once, as two things read them."""
@@ -128,11 +167,11 @@ def common_words(questions: list[str], texts: list[str]) -> list[float]:
 @query("t4_rerank_topk", f"""
 WITH {TERMS}, {ASKED}, {LEXICAL}
 SELECT query_id, chunk_id, score, rank FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
-  SELECT query_id, chunk_id, round(1 / (1 + exp(5.0 - len(list_intersect(a.terms, list_transform(c.words, lambda x: lower(x)))))), 9) AS score FROM lexical JOIN asked a USING (query_id) JOIN chunks c USING (chunk_id))) WHERE rank <= 6""")
+  SELECT query_id, chunk_id, round(1 / (1 + exp(5.0 - len(list_intersect(a.terms, list_transform(c.words, lambda x: lower(x)))))), 9) AS score FROM lexical JOIN asked a USING (query_id) JOIN worded c USING (chunk_id))) WHERE rank <= 6""")
 def rerank_topk(spark, sf):
     hits = lexical_hits(spark, sf).select("query_id", "chunk_id")
     questions = text_queries(spark, sf).select("query_id", F.array_join("terms", " ").alias("question"))
-    texts = fx.chunks(spark, sf).select("chunk_id", F.lower(F.array_join("words", " ")).alias("text"))
+    texts = chunk_words(spark, sf).select("chunk_id", F.lower(F.array_join("words", " ")).alias("text"))
     rows = hits.join(questions, "query_id").join(texts, "chunk_id")
     return rt.rerank_topk(rows, F.round(rt.rerank_score(F.col("question"), F.col("text"), common_words), 9)).select("query_id", "chunk_id", "score", "rank")
 
