@@ -4,7 +4,9 @@ Equal vectors are one node, with the few least ids that any answer can need, so
 dealt to shards by hash. Shards grow with the square root of the number of nodes, and so does their number. A task
 builds a shard's graph and stores it as flat neighbour arrays, a row for each node. Every query goes to every shard once:
 a task loads a graph and streams the queries through it. Each search gives the shard's nearest, and the results of the
-shards are merged by exact distance. Graphs hold single precision; distances are taken of the given vectors, in double.
+shards are merged by exact distance. Graphs hold single precision, of a shard's vectors less their mean and divided by the
+largest component that is left, so that neither an offset that all share nor their size costs precision; distances are
+taken of the given vectors, in double.
 """
 
 from __future__ import annotations
@@ -33,7 +35,14 @@ class Graph:
     """Vectors and, for each layer, a matrix of neighbours (-1: none)."""
 
     def __init__(self, x: np.ndarray, links: int = LINKS):
-        self.x, self.norm = np.ascontiguousarray(x, np.float32), np.einsum("ij,ij->i", x, x).astype(np.float32)
+        largest = lambda y: float(np.abs(y).max(initial=0)) or 1.0
+        self.size = largest(x)
+        x = x.astype(np.float64) / self.size
+        self.mean = x.mean(0) if len(x) else 0.0
+        x -= self.mean
+        self.spread = largest(x)
+        x /= self.spread
+        self.x, self.norm = x.astype(np.float32), np.einsum("ij,ij->i", x, x).astype(np.float32)
         self.links, self.layers, self.used, self.entry = links, [], [], -1
         self.stamp, self.now = np.zeros(len(x), np.int64), 0
 
@@ -144,6 +153,7 @@ class Graph:
         """Nodes among which to look for the k nearest by exact distance: the ef nearest found, or all of a small graph."""
         if len(self.x) <= 2 * max(ef, k):
             return np.arange(len(self.x))
+        q = ((q / self.size - self.mean) / self.spread).astype(np.float32)
         at = [(float(self.away(q, np.array([self.entry]))[0]), self.entry)]
         for level in range(len(self.layers) - 1, 0, -1):
             at = self.layer(q, at, 1, level)
@@ -165,7 +175,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     dims = rows["dim"].to_numpy()
     for dim in np.unique(dims):
         own = rows.slice(int(np.searchsorted(dims, dim)), int((dims == dim).sum()))
-        flat = Graph(_vectors(own["embedding"]).astype(np.float32)).build().flat()
+        flat = Graph(_vectors(own["embedding"])).build().flat()
         ends = np.concatenate([[0], np.cumsum([len(f) for f in flat])])
         links = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
         out = own.drop_columns(["order"]).append_column("node", pa.array(np.arange(len(own), dtype=np.int32))).append_column("links", links)
@@ -190,13 +200,13 @@ def _search(k: int):
                 if graph is None and held:
                     index = pa.Table.from_batches(held)
                     exact, ids = _vectors(index["embedding"]).astype(np.float64), index["ids"].to_pylist()
-                    graph, held = Graph.of(exact.astype(np.float32), [np.asarray(x, np.int32) for x in index["links"].to_numpy()]), []
+                    graph, held = Graph.of(exact, [np.asarray(x, np.int32) for x in index["links"].to_numpy()]), []
                 if graph is None:
                     continue
                 out = []
                 asked = _vectors(pa.chunked_array([part["embedding"]])).astype(np.float64)
                 for query, number, v in zip(part["query_id"].to_pylist(), part["number"].to_pylist(), asked, strict=True):
-                    got = graph.near(v.astype(np.float32), k + 1)
+                    got = graph.near(v, k + 1)
                     far = np.sqrt(((exact[got] - v) ** 2).sum(1))
                     best = np.argsort(far, kind="stable")
                     best = best[far[best] <= far[best[min(k, len(best) - 1)]]]  # the k + 1 nearest and their equals

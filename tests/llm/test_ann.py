@@ -59,3 +59,17 @@ def test_few_rows_repeated_ids_and_empty_tables(spark):
     none = df.limit(0)
     assert ann.search(ann.build_index(none, 10), queries).collect() == []
     assert ann.search(ann.build_index(df, 10), queries.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("offset", "scale"), [(0, 1), (1e3, 1), (1e4, 1), (0, 1e20), (3e7, 1e-3)])
+def test_recall_of_vectors_with_a_common_offset_or_of_great_size(spark, offset, scale):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1200, 16)) * scale + offset
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    queries = df.where("vec_id % 40 = 0").withColumnRenamed("vec_id", "query_id")
+    got = {}
+    for r in ann.search(ann.build_index(df, 10), queries, 10).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(rows, [r for r in rows if r[0] % 40 == 0], 10)
+    assert sum(len(got[q] & {i for _, i in near}) for q, near in want.items()) >= 0.95 * 10 * len(want)
