@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.hashing import canonical_json, sha256, uuid5
+from attestra.functions.text import subject
 from attestra.operators.intervals import islands, overlap_join
+from attestra.operators.layout import in_roles
+from attestra.operators.verify import contrast_rows
 from attestra.plans.staging import staged
 
+TOO_LARGE, LIMIT = "ATOMIC_CONTEXT_TOO_LARGE", "EXPANSION_LIMIT"
+
 
 def pack_evidence(candidates: DataFrame, most_units: int = 72, most_tokens: int = 5000) -> DataFrame:
     """Candidates (query_id, rank, units, tokens) of each query that a pack takes: greedily by rank, whole ones only; one
-    that does not fit is left out and the next is tried. A query's candidates are bounded by the ranking (20 by
-    default), so each query is folded as one small array."""
+    that does not fit is left out and the next is tried. `fault` tells of queries none of whose candidates fits. A query's
+    candidates are bounded by the ranking (20 by default), so each query is folded as one small array."""
     items = F.array_sort(F.collect_list(F.struct("rank", F.col("units").cast("long").alias("u"), F.col("tokens").cast("long").alias("t"))))
     zero = F.struct(F.lit(0).cast("long").alias("u"), F.lit(0).cast("long").alias("t"), F.array().cast("array<struct<rank:int,taken:boolean>>").alias("out"))
 
@@ -23,7 +28,9 @@ def pack_evidence(candidates: DataFrame, most_units: int = 72, most_tokens: int
         return F.struct(plus("u"), plus("t"), F.array_append(s["out"], F.struct(x["rank"].alias("rank"), fits.alias("taken"))).alias("out"))
 
     folded = candidates.select("query_id", F.col("rank").cast("int").alias("rank"), "units", "tokens").groupBy("query_id").agg(items.alias("xs"))
-    return folded.select("query_id", F.inline(F.aggregate("xs", zero, step, lambda s: s["out"])))
+    folded = folded.select("query_id", F.aggregate("xs", zero, step, lambda s: s["out"]).alias("out"))
+    fault = F.when(~F.exists("out", lambda x: x["taken"]), TOO_LARGE)
+    return folded.select("query_id", fault.alias("fault"), F.inline("out")).select("query_id", "rank", "taken", "fault")
 
 
 def pack_manifest(units: DataFrame, namespace: str = "6ba7b811-9dad-11d1-80b4-00c04fd430c8") -> DataFrame:
@@ -69,21 +76,29 @@ def coalesce_units(fragments: DataFrame) -> DataFrame:
     return whole.select("owner", "start", "end", "chunk_ids", F.aggregate("fs", zero, stitch).alias("s")).select("owner", "start", "end", "chunk_ids", "s.text", "s.agrees")
 
 
-def anchor_closure(seeds: DataFrame, spans: DataFrame, refs: DataFrame, depth: int = 8) -> DataFrame:
-    """(node_id, round): seeds and, round by round, the nodes whose spans hold what found nodes refer to.
+def anchor_closure(seeds: DataFrame, spans: DataFrame, refs: DataFrame, depth: int = 8, most: int = 128) -> DataFrame:
+    """(query_id, node_id, round, fault): the seeds of each query and, round by round, the nodes whose spans hold what found
+    nodes refer to.
 
-    spans: node_id, block_key, start, end. refs: node_id, block_key, start_b, end_b. Nodes seen before are left out of
-    a round, so loops end; each round is one interval join, and its result is staged.
+    A query that finds more than `most` nodes, or still finds some in round `depth`, has one row instead, with a fault:
+    it must not go on with a part. seeds: query_id, node_id; spans: node_id, block_key, start, end; refs: node_id,
+    block_key, start_b, end_b. Nodes that the query has are left out of a round, so loops end, and queries over the limit
+    are given up. Each round is one interval join, and its result is staged.
     """
-    out = front = staged(seeds.select("node_id", F.lit(0).alias("round")).distinct())
+    out = front = staged(seeds.select("query_id", "node_id", F.lit(0).alias("round")).distinct())
     for k in range(1, depth + 1):
-        asked = refs.join(front.select("node_id"), "node_id", "left_semi").select("block_key", "start_b", "end_b").distinct()
-        hit = overlap_join(spans.select("block_key", "start", "end", "node_id"), asked, ["block_key"]).select("node_id").distinct()
-        front = staged(hit.join(out.select("node_id"), "node_id", "left_anti").withColumn("round", F.lit(k)))
+        few = out.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("query_id")
+        asked = refs.join(front.join(few, "query_id", "left_semi").select("query_id", "node_id"), "node_id").select("block_key", "start_b", "end_b", "query_id").distinct()
+        hit = overlap_join(spans.select("block_key", "start", "end", "node_id"), asked, ["block_key"]).select("query_id", "node_id").distinct()
+        front = staged(hit.join(out.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").withColumn("round", F.lit(k)))
         if front.isEmpty():
             break
         out = out.unionByName(front)
-    return out
+    count = out.groupBy("query_id").agg(F.count("*").alias("n"), F.max("round").alias("last"))
+    over = count.where((F.col("n") > most) | (F.col("last") == depth)).select("query_id", F.lit(LIMIT).alias("fault"))
+    none = lambda kind: F.lit(None).cast(kind)
+    whole = out.join(over, "query_id", "left_anti").withColumn("fault", none("string"))
+    return whole.unionByName(over.select("query_id", none(out.schema["node_id"].dataType).alias("node_id"), none("int").alias("round"), "fault"))
 
 
 def reference_ranges(anchors: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,3 +117,29 @@ def expand_hits(hits: DataFrame, nodes: DataFrame, above: DataFrame, notes: tupl
     first = scope.unionByName(side).groupBy("hit_id", "node_id").agg(F.min("rank").alias("rank"))
     names = F.array(*[F.lit(n) for n in ("hit", "scope", "note")])
     return first.select("hit_id", "node_id", F.element_at(names, F.col("rank") + 1).alias("relation"))
+
+
+def expand_rows(hits: DataFrame, cells: DataFrame) -> DataFrame:
+    """What stands for hits on rows of tables (hit_id, table_id, row): hit_id, table_id, row, col and relation of the cells
+    with text that go with them.
+
+    These are: the row's own data (hit); that of the rows next to it whose subject begins like its own, or goes on where
+    it ends (table); cells above that span into one of these rows (scope); and all headers and notes of the table. A cell
+    that comes in several ways keeps the first of these. cells: as for `row_context`.
+    """
+    roles = staged(in_roles(cells).select("table_id", "row", "col", "row_span", "text", "role"))
+    subjects = roles.where("role = 'data'").groupBy("table_id", "row").agg(subject(F.min_by("text", "col")).alias("subject"))
+    pairs = contrast_rows(subjects.withColumnRenamed("table_id", "pack_id"))
+    beside = pairs.select(F.col("pack_id").alias("table_id"), "row", F.col("next_row").alias("other")).unionByName(pairs.select(F.col("pack_id").alias("table_id"), F.col("next_row").alias("row"), F.col("row").alias("other")))
+    own = hits.select("hit_id", "table_id", "row").distinct()
+    near = own.join(beside, ["table_id", "row"]).select("hit_id", "table_id", F.col("other").alias("row"))
+    chosen = staged(own.withColumn("rank", F.lit(0)).unionByName(near.withColumn("rank", F.lit(1))))
+    said = roles.where(F.trim("text") != "")
+    data = said.where("role = 'data'").drop("role")
+    spans = data.where("row_span > 1").withColumn("at", F.explode(F.sequence(F.col("row") + 1, F.col("row") + F.col("row_span") - 1)))
+    spans = spans.select("table_id", F.col("at").alias("_row"), "row", "col").join(chosen.select("hit_id", "table_id", F.col("row").alias("_row")), ["table_id", "_row"]).select("hit_id", "table_id", "row", "col", F.lit(2).alias("rank"))
+    around = said.where("role <> 'data'").join(own.select("hit_id", "table_id").distinct(), "table_id").select("hit_id", "table_id", "row", "col", F.when(F.col("role") == "header", 3).otherwise(4).alias("rank"))
+    found = chosen.join(data, ["table_id", "row"]).select("hit_id", "table_id", "row", "col", "rank").unionByName(spans).unionByName(around)
+    names = F.array(*[F.lit(n) for n in ("hit", "table", "scope", "header", "note")])
+    first = found.groupBy("hit_id", "table_id", "row", "col").agg(F.min("rank").alias("rank"))
+    return first.select("hit_id", "table_id", "row", "col", F.element_at(names, F.col("rank") + 1).alias("relation"))

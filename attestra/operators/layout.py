@@ -241,7 +241,7 @@ def grid_check(cells: DataFrame) -> DataFrame:
     return size.select("table_id", (F.col("covered") - F.col("different")).alias("overlaps"), (F.col("grid") - F.col("different")).alias("holes"))
 
 
-def _in_roles(cells: DataFrame) -> DataFrame:
+def in_roles(cells: DataFrame) -> DataFrame:
     """Cells with row_span, col_span, header, first_value, scope (start of the header rows that apply) and role: header, note
     (a cell as wide as its table, below the header: it names the rows after it) or data."""
     spans = {c: (F.col(c) if c in cells.columns else F.lit(1)) for c in ("row_span", "col_span")}
@@ -266,7 +266,7 @@ def row_context(cells: DataFrame) -> DataFrame:
 
     Cells: table_id, row, col, text, and row_span and col_span where they differ from 1.
     """
-    cells = staged(_in_roles(cells))
+    cells = staged(in_roles(cells))
     data = cells.where("role = 'data'").groupBy("table_id", "row", "scope").agg(F.min_by("text", "col").alias("subject"))
     heads = _texts(cells.where("role = 'header'"), "table_id", "scope").withColumnRenamed("texts", "headers")
     spans = cells.where("role = 'data' and row_span > 1").withColumn("at", F.explode(F.sequence(F.col("row") + 1, F.col("row") + F.col("row_span") - 1)))
@@ -301,7 +301,7 @@ def chunk_table_rows(cells: DataFrame) -> DataFrame:
     notes that stand for no row has a fault row of its own, with a null row, so that nothing is lost in silence.
     """
     context = staged(row_context(cells))
-    roles = staged(_in_roles(cells))
+    roles = staged(in_roles(cells))
     body = roles.where("role = 'data'").groupBy("table_id", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda x: x["text"]), " | ").alias("body"), F.bool_and(F.col("text") == "").alias("blank"))
     rows = context.join(body, ["table_id", "row"])
     several = lambda c: F.when(F.size(c) > 0, F.array_join(c, " | "))

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.operators.tree import fitting_prefix
+
 SEGMENT = "node_id long, text string, segments array<struct<start:int,end:int,source_start:int,source_end:int,kind:string>>"
 
 
@@ -131,8 +133,23 @@ def chunk_template(cells: DataFrame) -> DataFrame:
     return whole.select("table_id", F.concat(F.array_join(F.flatten(F.transform("rs", lambda r: r["labels"])), " | "), F.lit("\n"), F.array_join(F.transform("rs", lambda r: r["grid"]), "/")).alias("chunk"))
 
 
-def routing_descriptors(paths: DataFrame, nodes: DataFrame, kinds: tuple[str, ...], most_chars: int) -> DataFrame:
-    """Per node of a routing kind: the first text of its own or of a descendant, in document order, cut to `most_chars`."""
-    below = paths.select("node_id", F.explode("path").alias("ancestor")).join(nodes.select("node_id", "ordinal", "text"), "node_id").where(F.trim("text") != "")
-    first = below.groupBy("ancestor").agg(F.min_by("text", "ordinal").alias("intro"))
-    return nodes.where(F.col("kind").isin(*kinds)).join(first, F.col("node_id") == F.col("ancestor"), "left").select(nodes["node_id"], F.left(F.coalesce("intro", F.lit("")), F.lit(most_chars)).alias("intro"))
+INTRO_TOO_LONG = "ROUTING_ATOMIC_SOURCE_TOO_LONG"
+
+
+def routing_descriptors(paths: DataFrame, nodes: DataFrame, kinds: tuple[str, ...], budget: int, count="words", chunks: DataFrame | None = None) -> DataFrame:
+    """Per node of a routing kind with any text in it (doc_id, node_id): source_id, the node itself if it has text, else the
+    first of its descendants that has, in document order; and intro, the beginning of that text within the token budget.
+
+    `fault` tells of texts of which nothing fits. Nodes without any text are left out. A document without descriptors gets
+    its first chunk (chunks: doc_id, node_id, ordinal, text), if these are given. `count`: as for `chunk_body`.
+    """
+    below = paths.select("node_id", F.explode("path").alias("ancestor")).join(nodes.select("doc_id", "node_id", "ordinal", "text"), "node_id").where(F.col("text").rlike(r"(?U)\S"))
+    routed = nodes.where(F.col("kind").isin(*kinds)).select(F.col("node_id").alias("ancestor"))
+    first = below.join(routed, "ancestor", "left_semi").groupBy("doc_id", "ancestor").agg(F.min_by(F.struct("node_id", "text"), "ordinal").alias("first"))
+    out = first.select("doc_id", F.col("ancestor").alias("node_id"), F.col("first.node_id").alias("source_id"), fitting_prefix(F.col("first.text"), budget, count).alias("intro"))
+    out = out.withColumn("fault", F.when(~F.col("intro").rlike(r"(?U)\S"), INTRO_TOO_LONG))
+    if chunks is None:
+        return out
+    lone = chunks.join(out.select("doc_id").distinct(), "doc_id", "left_anti").groupBy("doc_id").agg(F.min_by(F.struct("node_id", "text"), "ordinal").alias("first"))
+    none = F.lit(None).cast("string")
+    return out.unionByName(lone.select("doc_id", "first.node_id", F.col("first.node_id").alias("source_id"), F.col("first.text").alias("intro"), none.alias("fault")))

@@ -256,5 +256,25 @@ def chunk_body(nodes: DataFrame, most_tokens: int = 512, count: str | Callable[[
     return rows.select("node_id", "ordinal", "start", "end", "text", fault.alias("fault"))
 
 
+def fitting_prefix(text: Column, budget: int, count: str | Callable[[Column], Column] = "words") -> Column:
+    """The longest beginning of a text within a token budget, to whole extended grapheme clusters; empty if none fits.
+
+    Parts are added while they fit; the first that does not is taken by its clusters, and nothing after it.
+    """
+    counted = COUNTERS[count] if isinstance(count, str) else count
+    zero = F.struct(F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("chars"), F.lit(True).alias("open"))
+
+    def add(s: Column, p: Column) -> Column:
+        fits = s["open"] & (s["tokens"] + counted(p) <= budget)
+        return F.struct((s["tokens"] + F.when(fits, counted(p)).otherwise(0)).alias("tokens"), (s["chars"] + F.when(fits, F.char_length(p)).otherwise(0)).alias("chars"), fits.alias("open"))
+
+    def step(s: Column, p: Column) -> Column:
+        letters = F.aggregate(F.regexp_extract_all(p, F.lit(r"\X"), F.lit(0)), s, add)
+        stopped = F.element_at(F.transform(F.array(letters), lambda t: t.withField("open", F.lit(False))), 1)
+        return F.when(~s["open"], s).when(s["tokens"] + counted(p) <= budget, add(s, p)).otherwise(stopped)
+
+    return F.left(text, F.aggregate(F.regexp_extract_all(text, F.lit(PART), F.lit(0)), zero, step, lambda s: s["chars"]).cast("int"))
+
+
 def label_of(kind: Column, text: Column, chars: int = 30) -> Column:
     return F.when(kind.isin("section", "clause"), F.left(text, F.lit(chars))).otherwise(F.lit(""))

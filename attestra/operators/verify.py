@@ -37,13 +37,14 @@ def numeric_support(claims: DataFrame, units: DataFrame) -> DataFrame:
     return own.join(has, ["pack_id", "claim_id"], "left").select("pack_id", "claim_id", F.array_sort(missing).alias("missing"), (F.size(missing) == 0).alias("supported"))
 
 
-def citation_groups(cells: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
+def citation_groups(cells: DataFrame, scopes: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     """Per data cell with text, the units that must be cited with it, in the pack's order; cells that need none are left out.
 
     These are: all headers and units of measure above it in one of its columns; the textual subjects of its row that
     stand wholly to its left; and the deepest of `scopes` (pack_id, evidence_id, position, path) whose path the table's
     path goes on from. cells: pack_id, evidence_id, row, col, excerpt, and where they differ from the defaults table_id
     (0), role (row 0: header, else data), row_span and col_span (1), position (by row and column) and path (none).
+    `only` (pack_id, evidence_id), such as the units that are cited, are the cells asked for, if not all are.
     """
     has = cells.columns
     given = lambda name, default: F.col(name) if name in has else default
@@ -57,6 +58,8 @@ def citation_groups(cells: DataFrame, scopes: DataFrame | None = None) -> DataFr
     over = lambda at, span: F.explode(F.sequence(F.col(at), F.col(at) + F.col(span) - 1))
     data = rows.where(said).select(*table, F.col("evidence_id").alias("trigger"), F.col("row").alias("data_row"), F.col("col").alias("data_col"), "col_span", "path")
 
+    if only is not None:
+        data = data.join(only.select("pack_id", F.col("evidence_id").alias("trigger")).distinct(), ["pack_id", "trigger"], "left_semi")
     heads = rows.where(F.col("role").isin("header", "unit")).select(*table, over("col", "col_span").alias("column"), F.col("row").alias("head_row"), unit)
     above = data.withColumn("column", over("data_col", "col_span")).join(heads, [*table, "column"]).where("head_row < data_row").select(*table, "trigger", "unit")
     left = rows.where(said & textual_subject(F.col("excerpt"))).select(*table, over("row", "row_span").alias("data_row"), (F.col("col") + F.col("col_span")).alias("right"), unit)

@@ -56,12 +56,12 @@ def encode_evidence(spark, sf):
 
 
 @query("e9_pack_evidence", """
-WITH RECURSIVE c AS (SELECT doc_id AS query_id, CAST(ordinal + 1 AS INTEGER) AS rank, (ordinal * 7919) % 90 + 1 AS t FROM chunks),
-r AS (SELECT query_id, rank, true AS taken, 1 AS units, t AS tokens FROM c WHERE rank = 1
+WITH RECURSIVE c AS (SELECT doc_id AS query_id, CAST(ordinal + 1 AS INTEGER) AS rank, (ordinal * 7919) % 90 + 1 + CASE WHEN doc_id % 7 = 0 THEN 300 ELSE 0 END AS t FROM chunks),
+r AS (SELECT query_id, rank, t <= 300 AS taken, CASE WHEN t <= 300 THEN 1 ELSE 0 END AS units, CASE WHEN t <= 300 THEN t ELSE 0 END AS tokens FROM c WHERE rank = 1
   UNION ALL SELECT c.query_id, c.rank, r.units < 12 AND r.tokens + c.t <= 300, r.units + CASE WHEN r.units < 12 AND r.tokens + c.t <= 300 THEN 1 ELSE 0 END, r.tokens + CASE WHEN r.units < 12 AND r.tokens + c.t <= 300 THEN c.t ELSE 0 END FROM r JOIN c ON c.query_id = r.query_id AND c.rank = r.rank + 1)
-SELECT query_id, rank, taken FROM r""")
+SELECT query_id, rank, taken, CASE WHEN NOT bool_or(taken) OVER (PARTITION BY query_id) THEN 'ATOMIC_CONTEXT_TOO_LARGE' END AS fault FROM r""")
 def pack_evidence(spark, sf):
-    rows = sized(spark, sf).select(F.col("doc_id").alias("query_id"), (F.col("ordinal") + 1).cast("int").alias("rank"), F.lit(1).alias("units"), ((F.col("ordinal") * 7919) % 90 + 1).alias("tokens"))
+    rows = sized(spark, sf).select(F.col("doc_id").alias("query_id"), (F.col("ordinal") + 1).cast("int").alias("rank"), F.lit(1).alias("units"), ((F.col("ordinal") * 7919) % 90 + 1 + F.when(F.col("doc_id") % 7 == 0, 300).otherwise(0)).alias("tokens"))
     return evd.pack_evidence(rows, 12, 300)
 
 

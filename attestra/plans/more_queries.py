@@ -87,11 +87,11 @@ def chunk_template(spark, sf):
 
 @query("d20_routing_descriptors", """
 WITH RECURSIVE up AS (SELECT node_id AS leaf, node_id, parent_id FROM nodes UNION ALL SELECT u.leaf, n.node_id, n.parent_id FROM up u JOIN nodes n ON n.node_id = u.parent_id),
-f AS (SELECT u.node_id, min_by(l.text, l.ordinal) AS intro FROM up u JOIN nodes l ON l.node_id = u.leaf WHERE trim(l.text, ' ') <> '' GROUP BY 1)
-SELECT n.node_id, left(coalesce(f.intro, ''), 60) AS intro FROM nodes n LEFT JOIN f USING (node_id) WHERE n.kind IN ('document', 'section')""")
+f AS (SELECT u.node_id, min_by(l.text, l.ordinal) AS text, min_by(l.node_id, l.ordinal) AS source_id FROM up u JOIN nodes l ON l.node_id = u.leaf WHERE regexp_matches(l.text, '\\S') GROUP BY 1)
+SELECT n.doc_id, n.node_id, f.source_id, regexp_extract(f.text, '^\\s*(?:\\S+\\s*){1,12}') AS intro, CAST(NULL AS VARCHAR) AS fault FROM nodes n JOIN f USING (node_id) WHERE n.kind IN ('document', 'section')""")
 def routing_descriptors(spark, sf):
     n = fx.nodes(spark, sf)
-    return ln.routing_descriptors(tr.tree_paths(n), n, ("document", "section"), 60)
+    return ln.routing_descriptors(tr.tree_paths(n), n, ("document", "section"), 12)
 
 
 @query("t7_diagnostics_page", "SELECT doc_id, line - 1 AS ordinal, text FROM blocks WHERE line - 1 >= 2 AND line - 1 < 5")
@@ -210,15 +210,16 @@ def recheck_columns(spark, sf):
 @query("e2_anchor_closure", """
 WITH RECURSIVE n AS (SELECT node_id, doc_id, ordinal FROM nodes WHERE ordinal > 0),
 r AS (SELECT node_id, doc_id, ordinal, 0 AS round FROM n WHERE ordinal % 12 = 0
-  UNION ALL SELECT n.node_id, n.doc_id, n.ordinal, round + 1 FROM r JOIN n ON n.doc_id = r.doc_id AND n.ordinal = r.ordinal // 2 WHERE r.ordinal % 4 = 0 AND round < 8)
-SELECT node_id, CAST(min(round) AS INTEGER) AS round FROM r GROUP BY 1""")
+  UNION ALL SELECT n.node_id, n.doc_id, n.ordinal, round + 1 FROM r JOIN n ON n.doc_id = r.doc_id AND n.ordinal = r.ordinal // 2 WHERE r.ordinal % 4 = 0 AND round < 4),
+f AS (SELECT doc_id AS query_id, node_id, CAST(min(round) AS INTEGER) AS round FROM r GROUP BY 1, 2), o AS (SELECT query_id FROM f GROUP BY 1 HAVING count(*) > 6 OR max(round) = 4)
+SELECT query_id, node_id, round, CAST(NULL AS VARCHAR) AS fault FROM f WHERE query_id NOT IN (SELECT query_id FROM o) UNION ALL SELECT query_id, NULL, NULL, 'EXPANSION_LIMIT' FROM o""")
 def anchor_closure(spark, sf):
     from attestra.operators import evidence as evd
 
     n = fx.nodes(spark, sf).where("ordinal > 0")
     spans = n.select("node_id", F.col("doc_id").alias("block_key"), F.col("ordinal").alias("start"), (F.col("ordinal") + 1).alias("end"))
     refs = n.where("ordinal % 4 = 0").select("node_id", F.col("doc_id").alias("block_key"), (F.col("ordinal") / 2).cast("long").alias("start_b"), (F.col("ordinal") / 2 + 1).cast("long").alias("end_b"))
-    return evd.anchor_closure(n.where("ordinal % 12 = 0").select("node_id"), spans, refs)
+    return evd.anchor_closure(n.where("ordinal % 12 = 0").select(F.col("doc_id").alias("query_id"), "node_id"), spans, refs, 4, 6)
 
 
 @query("e5_reference_ranges", """
@@ -244,6 +245,20 @@ def expand_hits(spark, sf):
     return evd.expand_hits(n.where("ordinal % 9 = 4").select("node_id"), n, tr.ancestry(n, n.where("ordinal % 9 = 4").select("node_id")), ("paragraph",))
 
 
+@query("e3_expand_rows", """
+WITH h AS (SELECT DISTINCT table_id, 1 + table_id % 3 AS row FROM cells), c AS (SELECT table_id, row, col, CASE WHEN row % 5 = 4 AND col = 4 THEN ' ' ELSE text END AS text FROM cells), o AS (SELECT table_id, row FROM h WHERE EXISTS (SELECT 1 FROM c WHERE c.table_id = h.table_id AND c.row = h.row))
+SELECT o.table_id AS hit_id, c.table_id, c.row, c.col, CASE WHEN c.row = 0 THEN 'header' WHEN c.row = o.row THEN 'hit' ELSE 'table' END AS relation FROM o JOIN c ON c.table_id = o.table_id AND (c.row IN (0, o.row) OR c.row = CASE WHEN o.row % 2 = 1 THEN o.row + 1 ELSE o.row - 1 END) WHERE trim(c.text) <> ''""")
+def expand_rows(spark, sf):
+    """Every even row goes on from the subject of the row before it."""
+    from attestra.operators import evidence as evd
+
+    k, row, rows = F.col("table_id"), F.col("row"), fx.cells(spark, sf)
+    follows = F.concat(F.lit("item "), (row - (row + 1) % 2).cast("string"), F.when(row % 2 == 0, " bis").otherwise(""))
+    cells = rows.withColumn("text", F.when((row % 5 == 4) & (F.col("col") == 4), " ").when((row > 0) & (F.col("col") == 0), follows).otherwise(F.col("text")))
+    hits = rows.where(row == 1 + k % 3).select(k.alias("hit_id"), "table_id", "row")
+    return evd.expand_rows(hits, cells)
+
+
 #: The rows of an order as options: a limit, its refinements by part, and rows of another table or path.
 OPTIONS = """options AS (SELECT l_orderkey AS pack_id, row AS option, row, row % 4 // 3 AS table_id, CASE WHEN row % 5 = 4 THEN 'annex' ELSE 'body' END AS path,
     CASE WHEN row = 1 THEN 'Limit of ПРИЁМ ' WHEN row % 3 = 0 THEN 'The limit of прием, part ' || row ELSE 'limit of прием for part ' || row END AS subject, [row || '-0'] AS subjects, [row || '-1', row || '-2'] AS values, [row || '-0', row || '-1', row || '-2', '0-1'] AS complete FROM items),

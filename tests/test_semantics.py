@@ -390,3 +390,38 @@ def test_header_bands_contexts_and_faults(spark):
     assert chunks[2, 0] == chunks[2, 1] == (None, layout.NO_HEADER) and chunks[3, 1] == (None, layout.NO_TEXT)
     assert chunks[5, 4] == ("Group\nHead | No\nb | 3", None) and chunks[5, None] == (None, layout.NOT_COVERED)
     assert chunks[1, 5] == ("Part | Size, мм\nSize, мм\nc | 5", None) and (1, None) not in chunks
+
+
+def test_prefixes_within_a_budget_and_descriptors(spark):
+    rows = [("one two three", 2, "words", "one two "), ("  one two", 1, "words", "  one "), ("abc defgh", 6, "code points", "abc de"), ("e\u0301e\u0301", 3, "code points", "e\u0301"), ("\U0001f469\u200d\U0001f467x", 2, "code points", ""), ("", 3, "words", "")]
+    for text, budget, count, want in rows:
+        assert one(spark, lambda c, b=budget, k=count: tree.fitting_prefix(c, b, k), text) == want
+    nodes = spark.createDataFrame([(1, 10, None, 0, "document", ""), (1, 11, 10, 1, "section", " "), (1, 12, 11, 2, "clause", "first text"), (2, 20, None, 0, "document", None), (3, 30, None, 0, "document", "own words here"), (3, 31, 30, 1, "section", "")], "doc_id int, node_id int, parent_id int, ordinal int, kind string, text string")
+    from attestra.operators import lines
+
+    chunks = spark.createDataFrame([(1, 12, 0, "first text"), (2, 20, 1, "later"), (2, 20, 0, "table row")], "doc_id int, node_id int, ordinal int, text string")
+    got = lines.routing_descriptors(tree.tree_paths(nodes), nodes, ("document", "section"), 2, chunks=chunks)
+    assert sorted(map(tuple, got.collect())) == [(1, 10, 12, "first text", None), (1, 11, 12, "first text", None), (2, 20, 20, "table row", None), (3, 30, 30, "own words ", None)]
+    assert [r.fault for r in lines.routing_descriptors(tree.tree_paths(nodes), nodes, ("document",), 0).collect()] == [lines.INTRO_TOO_LONG] * 2
+
+
+def test_packs_and_closures_beyond_their_limits(spark):
+    cand = spark.createDataFrame([(1, 1, 1, 50), (1, 2, 1, 500), (2, 1, 1, 101), (2, 2, 9, 1)], "query_id long, rank int, units int, tokens int")
+    assert sorted((r.query_id, r.rank, r.taken, r.fault) for r in evidence.pack_evidence(cand, 3, 100).collect()) == [(1, 1, True, None), (1, 2, False, None), (2, 1, False, evidence.TOO_LARGE), (2, 2, False, evidence.TOO_LARGE)]
+    spans = spark.createDataFrame([(k, 1, k, k + 1) for k in range(12)], "node_id long, block_key long, start long, end long")
+    refs = spark.createDataFrame([(k, 1, k + 1, k + 2) for k in range(11)] + [(3, 1, 0, 2), (8, 1, 7, 8)], "node_id long, block_key long, start_b long, end_b long")
+    seeds = spark.createDataFrame([("a", 9), ("b", 0), ("c", 8), ("c", 11)], "query_id string, node_id long")
+    got = sorted(map(tuple, evidence.anchor_closure(seeds, spans, refs, 5, 6).collect()), key=repr)
+    assert got == sorted([("a", 9, 0, None), ("a", 10, 1, None), ("a", 11, 2, None), ("b", None, None, evidence.LIMIT), ("c", 8, 0, None), ("c", 11, 0, None), ("c", 7, 1, None), ("c", 9, 1, None), ("c", 10, 2, None)], key=repr)
+    assert [r.fault for r in evidence.anchor_closure(seeds.where("query_id = 'c'"), spans, refs, 5, 4).collect()] == [evidence.LIMIT]
+
+
+def test_hits_on_rows_take_what_stands_for_them(spark):
+    cells = [(1, 0, 0, "Part", 1), (1, 0, 1, "No", 1), (1, 1, 0, "Pipe", 1), (1, 1, 1, "1", 2), (1, 2, 0, "Pipe wide", 1), (1, 3, 0, "Valve", 1), (1, 3, 1, "3", 1), (1, 4, 0, "Pipe", 1), (1, 4, 1, " ", 1)]
+    df = spark.createDataFrame(cells, "table_id int, row int, col int, text string, row_span int")
+    hits = spark.createDataFrame([("h", 1, 2), ("g", 1, 4)], "hit_id string, table_id int, row int")
+    got = {}
+    for r in evidence.expand_rows(hits, df).collect():
+        got.setdefault(r.hit_id, {})[r.row, r.col] = r.relation
+    head = {(0, 0): "header", (0, 1): "header"}
+    assert got == {"h": head | {(2, 0): "hit", (1, 0): "table", (1, 1): "table"}, "g": head | {(4, 0): "hit"}}
