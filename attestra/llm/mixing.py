@@ -5,6 +5,7 @@ The fractions are rounded in pairs: words move at random from one document of th
 them holds a whole number, with chances that keep each document's expectation and, at every step, the source's words.
 A task rounds one hashed chunk of a source, of ROWS_PER_CHUNK documents on average, and leaves one fractional document;
 these meet in a tree of groups of FAN_IN chunks, and the last one of a source is rounded alone. So a source misses its target by less than one document.
+Equal rows (id, source and text) are counted first and rounded as one, and then share their copies out evenly.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ SEED = 20240607
 ROWS_PER_CHUNK = 1_000
 FAN_IN = 256
 WORDS = r"[^\x20\x09-\x0D]+"
-STATE = "source string, chunks long, chunk long, doc_id long, h long, size long, whole int, part double"
+STATE = "source string, chunks long, chunk long, doc_id long, h long, size long, n long, whole long, part double"
 
 
 def words(text: Column) -> Column:
@@ -88,21 +89,16 @@ def _round(seed: int):
     return group
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **kind) -> DataFrame:
-    """One row per row of `df`: doc_id, source, h (hash of the text), size, source_size, target, copies and taken.
-
-    Size counts words. taken is size times copies, and copies are 0 to `cap`. A source's taken words differ from its
-    target by less than one document. Null texts and texts without words have size 0 and take 0; a null source is a
-    source; rows with equal ids are separate documents. The same rows give the same copies in any order and
-    partitioning, as chunks and chances depend on keyed hashes of ids. An empty table gives no rows.
-    """
+def _mixed_units(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, **kind) -> DataFrame:
+    """doc_id, source, h, size, source_size, target, n (equal rows) and copies (of all of them together)."""
     slim = staged(df.select(df[id_col].cast("long").alias("doc_id"), df[source_col].cast("string").alias("source"), F.xxhash64(df[text_col]).alias("h"), words(df[text_col]).alias("size")))
     goal = staged(targets(slim, **kind))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate).cast("int")
-    rows = slim.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    all_ = F.when(F.col("size") > 0, rate * F.col("n")).otherwise(F.lit(0.0))
+    units = slim.groupBy("source", "doc_id", "h", "size").agg(F.count("*").alias("n"))
+    rows = units.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     rows = rows.withColumn("chunks", F.ceil(F.col("source_rows") / ROWS_PER_CHUNK).cast("long"))
-    rows = rows.select("source", "chunks", F.pmod(F.xxhash64("doc_id", "h"), "chunks").alias("chunk"), "doc_id", "h", "size", F.when(F.col("size") > 0, whole).otherwise(F.lit(0)).alias("whole"), F.when(F.col("size") > 0, rate - whole).otherwise(F.lit(0.0)).alias("part"))
+    rows = rows.select("source", "chunks", F.pmod(F.xxhash64("doc_id", "h"), "chunks").alias("chunk"), "doc_id", "h", "size", "n", F.floor(all_).cast("long").alias("whole"), (all_ - F.floor(all_)).alias("part"))
 
     now, settled = staged(rows.groupBy("source", "chunk").applyInArrow(_round(seed), STATE)), None
     open_ = (F.col("part") > 0) & (F.col("part") < 1)
@@ -113,18 +109,31 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         up = now.where(open_).withColumn("chunks", F.ceil(F.col("chunks") / FAN_IN).cast("long")).withColumn("chunk", F.pmod("chunk", "chunks"))
         now = staged(up.groupBy("source", "chunk").applyInArrow(_round(seed), STATE))
     settled = now if settled is None else settled.unionByName(now)
-    copies = (F.col("whole") + F.col("part")).cast("int")
     return settled.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select(
-        "doc_id", "source", "h", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"),
+        "doc_id", "source", "h", "size", "source_size", "target", "n", (F.col("whole") + F.col("part")).cast("long").alias("copies"),
     )
 
 
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **kind) -> DataFrame:
+    """One row per row of `df`: doc_id, source, h (hash of the text), size, source_size, target, copies and taken.
+
+    Size counts words. taken is size times copies, and copies are 0 to `cap`. A source's taken words differ from its
+    target by less than one document. Null texts and texts without words have size 0 and take 0; a null source is a
+    source; rows with equal ids are separate documents. The same rows give the same copies in any order and
+    partitioning, as chunks and chances depend on keyed hashes of ids. An empty table gives no rows.
+    """
+    units = _mixed_units(df, id_col, text_col, source_col, seed, **kind)
+    rows = units.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    copies = (F.floor(F.col("copies") / F.col("n")) + (F.col("k") <= F.col("copies") % F.col("n")).cast("int")).cast("int")
+    return rows.select("doc_id", "source", "h", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The documents of the mix: each row of `docs` as often as `mix` takes it, with the columns of `docs`.
 
     Equal rows (id, source and text) share their copies out evenly. Rows without words are not taken.
     """
-    got = mix(docs, seed=seed).groupBy("doc_id", "source", "h").agg(F.sum("copies").alias("sum"), F.count("*").alias("rows")).where("sum > 0")
+    got = _mixed_units(docs, "doc_id", "text", "source", seed).select("doc_id", "source", "h", F.col("copies").alias("sum"), F.col("n").alias("rows")).where("sum > 0")
     keyed = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("id"), docs["source"].cast("string").alias("from"), F.xxhash64(docs["text"]).alias("key"))
     rows = keyed.join(got, (F.col("key") == F.col("h")) & F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")))
     turn = F.row_number().over(Window.partitionBy("key", "id", "from").orderBy("key"))

@@ -73,3 +73,17 @@ def test_mixed_rows_and_empty_table(spark):
     want = sum(r.copies for r in mixing.mix(docs).collect())
     assert out.count() == want
     assert mixing.mix(docs.limit(0)).collect() == [] and mixing.mixed(docs.limit(0)).collect() == []
+
+
+def test_equal_rows_are_rounded_as_one(spark, monkeypatch):
+    rows = [(1, "a b c", "s", 0)] * 5000 + [(k, "x " * (k % 9 + 1), "s", 0) for k in range(2, 300)] + [(1, "a b c", "t", 0)] * 3
+    seen = []
+    made = mixing._mixed_units
+    monkeypatch.setattr(mixing, "_mixed_units", lambda *a, **b: seen.append(made(*a, **b)) or seen[-1])
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == len(rows) and seen[0].count() == 300
+    equal = [r.copies for r in got if r.doc_id == 1 and r.source == "s"]
+    assert len(equal) == 5000 and max(equal) - min(equal) <= 1 and max(equal) <= 2
+    for s in "st":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 9 and all(r.taken <= 2 * r["size"] for r in own)
