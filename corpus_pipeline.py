@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attestra.llm import mixing, pieces, setjoin, toxicity
 from attestra.plans.shipping import ship
-from attestra.plans.staging import staged
+from attestra.plans.staging import spent, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,5 +41,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else staged(docs), sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = staged(docs)
+            spent(before)
     return docs
