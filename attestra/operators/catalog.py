@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.functions.hashing import uuid5
+
 
 def latest_per(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """One row for each key, the first by `order`; tasks keep one row a key before the shuffle."""
@@ -264,25 +266,75 @@ def apply_retirements(documents: DataFrame, pointers: DataFrame, commands: DataF
     return rows.select("doc_id", "outcome", (F.col("outcome") == "kept").alias("searchable"), F.when(F.col("outcome") != "deactivated", F.col("publication_id")).alias("publication_id"))
 
 
-#: What a user reads where a stage failed.
-MESSAGES = {"parse": "The document could not be read.", "index": "The document could not be indexed."}
-
+#: What a user reads of a failed job; other codes read as INTERNAL_ERROR.
+MESSAGES = {
+    "PDF_INVALID": "The file could not be read.", "EXTRACTION_QUALITY_FAILED": "The text could not be extracted reliably.", "TOKEN_LIMIT_EXCEEDED": "A part of the document is too long.",
+    "DEPENDENCY_UNAVAILABLE": "A service is not available.", "SIZE_LIMIT_EXCEEDED": "The document is too large.", "INTERNAL_ERROR": "The document could not be processed.",
+}
+CHUNK_STAGES = ("chunking", "embedding", "indexing", "ready_to_publish", "publishing")
+REVOKED = "SOURCE_REVOKED"
+URL_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 
-def job_view(jobs: DataFrame, documents: DataFrame) -> DataFrame:
-    """Jobs (version_id, doc_id, parse_status, index_status, progress) as their owner may see them: title, the message of
-    the first stage that failed, the stage that it is in, and progress, which revoked documents hide."""
-    rows = jobs.join(documents.select("doc_id", "title", "revoked"), "doc_id")
-    message, stage = F.lit(None).cast("string"), F.lit("done")
-    for name in ("index", "parse"):
-        failed, status = F.col(f"{name}_status") == "failed", F.col(f"{name}_status")
-        message, stage = F.when(failed, MESSAGES[name]).otherwise(message), F.when(status != "ready", name).otherwise(stage)
-    return rows.select("version_id", "title", message.alias("message"), stage.alias("stage"), F.when(~F.col("revoked"), F.col("progress")).alias("progress"))
 
+def job_view(jobs: DataFrame, documents: DataFrame, most_attempts: int = 3) -> DataFrame:
+    """Jobs (job_id, version_id, doc_id, status, stage, attempt, processed, total, error, retryable, last_sequence) as their
+    owner may see them.
 
-def document_detail(documents: DataFrame, versions: DataFrame, publications: DataFrame) -> DataFrame:
-    """Documents with the numbers of their versions and of those ready, failed and in work, and their latest publication."""
-    state = F.when((F.col("parse_status") == "failed") | (F.col("index_status") == "failed"), "failed").when(F.col("index_status") == "ready", "ready").otherwise("working")
-    count = versions.select("doc_id", state.alias("state")).groupBy("doc_id").agg(F.count("*").alias("versions"), *[F.count_if(F.col("state") == s).alias(s) for s in ("ready", "failed", "working")])
-    last = publications.groupBy("doc_id").agg(F.max("publication_id").alias("publication"))
-    rows = documents.select("doc_id", "title").join(count, "doc_id", "left").join(last, "doc_id", "left")
-    return rows.select("doc_id", "title", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("versions", "ready", "failed", "working")], "publication")
+    Gives their state with max_attempts; progress (processed, total and its unit by stage), null before any stage; and of
+    an error its code, a public message, whether a retry may help and an id that the same error of the same job always
+    has. Jobs of revoked documents (doc_id, revoked) show nothing but that code.
+    """
+    rows = jobs.join(documents.select("doc_id", "revoked"), "doc_id")
+    known, code = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair]), F.nullif("error", F.lit(""))
+    code = F.when(code.isNotNull(), F.when(F.map_contains_key(known, code), code).otherwise("INTERNAL_ERROR"))
+    open_ = ~F.coalesce("revoked", F.lit(False))
+    given = {c: F.col(c) for c in ("version_id", "status", "stage", "attempt", "processed", "total")} | {
+        "max_attempts": F.lit(most_attempts), "unit": F.when(F.col("stage").isNotNull(), F.when(F.col("stage").isin(*CHUNK_STAGES), "chunks").otherwise("pages")),
+        "message": F.try_element_at(known, code), "retryable": F.when(code.isNotNull(), F.coalesce("retryable", F.lit(False))),
+        "request_id": uuid5(URL_NAMESPACE, F.concat(F.lit("ingestion-job:"), F.col("job_id").cast("string"), F.lit(":"), F.col("last_sequence").cast("string"), F.lit(":"), code)),
+    }
+    return rows.select("job_id", *[F.when(open_, c).alias(name) for name, c in given.items()], F.when(open_, code).otherwise(REVOKED).alias("error"))
+
+
+def document_detail(documents: DataFrame, versions: DataFrame, publications: DataFrame, after: DataFrame | None = None, limit: int = 50) -> DataFrame:
+    """Documents (doc_id, title, revoked) with their current publication and a page of their versions, newest first:
+    versions (version_id and created_at) and next, the last of the page if there are more.
+
+    `after` (doc_id, created_at, version_id) has the place from which the page of a document goes on. Revoked documents
+    have a fault and nothing else.
+    """
+    page = versions.select("doc_id", "version_id", "created_at")
+    if after is not None:
+        since = after.select("doc_id", F.col("created_at").alias("_at"), F.col("version_id").alias("_id"))
+        page = page.join(since, "doc_id", "left").where(F.col("_at").isNull() | (F.struct("created_at", "version_id") < F.struct("_at", "_id")))
+    newest = Window.partitionBy("doc_id").orderBy(F.col("created_at").desc(), F.col("version_id").desc())
+    page = page.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= limit + 1)
+    one = F.struct("version_id", "created_at")
+    whole = page.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", one.alias("v")))).alias("vs"), F.max("place").alias("most"))
+    whole = whole.select("doc_id", F.transform(F.slice("vs", 1, limit), lambda x: x["v"]).alias("versions"), F.when(F.col("most") > limit, F.try_element_at("vs", F.lit(limit))["v"]).alias("next"))
+    last = publications.groupBy("doc_id").agg(F.max_by("publication_id", F.struct("published_at", "publication_id")).alias("publication"))
+    rows = documents.select("doc_id", "title", "revoked").join(whole, "doc_id", "left").join(last, "doc_id", "left")
+    open_ = ~F.coalesce("revoked", F.lit(False))
+    none = F.array().cast(whole.schema["versions"].dataType)
+    given = {"title": F.col("title"), "publication": F.col("publication"), "versions": F.coalesce("versions", none), "next": F.col("next")}
+    return rows.select("doc_id", *[F.when(open_, c).alias(name) for name, c in given.items()], F.when(~open_, REVOKED).alias("fault"))
+
+
+def version_detail(versions: DataFrame, generations: DataFrame, publications: DataFrame, documents: DataFrame, most: int = 100) -> DataFrame:
+    """Versions (version_id, doc_id) with the publication that made them current, if they are, the newest `most` of their
+    generations (generation_id, kind, status, created_at) and the page count of the latest parse that is ready.
+
+    generations: version_id, generation_id, kind (parse or index), status, created_at, pages. Versions of revoked
+    documents have a fault and nothing else.
+    """
+    newest = Window.partitionBy("version_id").orderBy(F.col("created_at").desc(), F.col("generation_id").desc())
+    rows = generations.withColumn("place", F.row_number().over(newest))
+    ready = (F.col("kind") == "parse") & (F.col("status") == "ready")
+    listed = F.collect_list(F.when(F.col("place") <= most, F.struct("place", F.struct("generation_id", "kind", "status", "created_at").alias("g"))))
+    of = rows.groupBy("version_id").agg(F.transform(F.array_sort(listed), lambda x: x["g"]).alias("generations"), F.min_by("pages", F.when(ready, F.col("place"))).alias("pages"))
+    current = publications.groupBy("doc_id").agg(F.max_by(F.struct("publication_id", "version_id"), F.struct("published_at", "publication_id")).alias("p"))
+    current = current.select(F.col("p.version_id").alias("version_id"), F.col("p.publication_id").alias("publication"))
+    out = versions.select("version_id", "doc_id").join(of, "version_id", "left").join(current, "version_id", "left").join(documents.select("doc_id", "revoked"), "doc_id")
+    open_ = ~F.coalesce("revoked", F.lit(False))
+    given = {"publication": F.col("publication"), "pages": F.col("pages"), "generations": F.coalesce("generations", F.array().cast(of.schema["generations"].dataType))}
+    return out.select("version_id", "doc_id", *[F.when(open_, c).alias(name) for name, c in given.items()], F.when(~open_, REVOKED).alias("fault"))

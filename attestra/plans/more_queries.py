@@ -125,18 +125,53 @@ def cleanup_candidates(spark, sf):
     return free.orderBy("o_orderdate", "object_id").limit(100).select(F.col("object_id").alias("intent_id"))
 
 
+CODES = ("", "PDF_INVALID", "SQLSTATE", "DEPENDENCY_UNAVAILABLE", "")
+
+
 @query("l10_job_view", """
-SELECT v.version_id, d.title, CASE WHEN v.parse_status = 'failed' THEN 'The document could not be read.' END AS message, CASE WHEN v.parse_status <> 'ready' THEN 'parse' WHEN v.index_status <> 'ready' THEN 'index' ELSE 'done' END AS stage,
-  CASE WHEN d.revoked THEN NULL ELSE v.version_id % 101 END AS progress FROM versions v JOIN catalog d USING (doc_id)""")
+WITH j AS (SELECT version_id AS job_id, *, ['', 'PDF_INVALID', 'SQLSTATE', 'DEPENDENCY_UNAVAILABLE', ''][version_id % 5 + 1] AS raw, CASE version_id % 3 WHEN 0 THEN 'parsing' WHEN 1 THEN 'embedding' END AS stage FROM versions JOIN (SELECT doc_id, revoked FROM catalog) USING (doc_id)),
+e AS (SELECT *, CASE raw WHEN '' THEN NULL WHEN 'SQLSTATE' THEN 'INTERNAL_ERROR' ELSE raw END AS code FROM j)
+SELECT job_id, CASE WHEN NOT revoked THEN version_id END AS version_id, CASE WHEN NOT revoked THEN index_status END AS status, CASE WHEN NOT revoked THEN stage END AS stage, CASE WHEN NOT revoked THEN 1 + version_id % 3 END AS attempt, CASE WHEN NOT revoked THEN 3 END AS max_attempts,
+  CASE WHEN NOT revoked THEN version_id % 101 END AS processed, CASE WHEN NOT revoked THEN 101 END AS total, CASE WHEN NOT revoked AND stage IS NOT NULL THEN CASE stage WHEN 'parsing' THEN 'pages' ELSE 'chunks' END END AS unit,
+  CASE WHEN NOT revoked THEN CASE code WHEN 'PDF_INVALID' THEN 'The file could not be read.' WHEN 'DEPENDENCY_UNAVAILABLE' THEN 'A service is not available.' WHEN 'INTERNAL_ERROR' THEN 'The document could not be processed.' END END AS message,
+  CASE WHEN NOT revoked AND code IS NOT NULL THEN version_id % 2 = 0 END AS retryable, CASE WHEN NOT revoked AND code IS NOT NULL THEN version_id || ':' || code END AS error_of, CASE WHEN revoked THEN 'SOURCE_REVOKED' ELSE code END AS error FROM e""")
 def job_view(spark, sf):
-    return ct.job_view(fx.versions(spark, sf).withColumn("progress", F.col("version_id") % 101), fx.documents(spark, sf))
+    k = F.col("version_id")
+    jobs = fx.versions(spark, sf).select(
+        k.alias("job_id"), "version_id", "doc_id", F.col("index_status").alias("status"), F.when(k % 3 == 0, "parsing").when(k % 3 == 1, "embedding").alias("stage"), (1 + k % 3).alias("attempt"), (k % 101).alias("processed"), F.lit(101).alias("total"),
+        F.element_at(F.array(*[F.lit(c) for c in CODES]), (k % 5 + 1).cast("int")).alias("error"), (k % 2 == 0).alias("retryable"), F.lit(7).alias("last_sequence"),
+    )
+    out = ct.job_view(jobs, fx.documents(spark, sf))
+    return out.withColumn("error_of", F.when(F.col("request_id").isNotNull(), F.concat("job_id", F.lit(":"), "error"))).drop("request_id")
 
 
 @query("l11_document_detail", """
-SELECT d.doc_id, d.title, count(v.version_id) AS versions, count(*) FILTER (WHERE parse_status <> 'failed' AND v.index_status = 'ready') AS ready, count(*) FILTER (WHERE parse_status = 'failed') AS failed,
-  count(*) FILTER (WHERE parse_status <> 'failed' AND index_status <> 'ready') AS working, max(p.publication_id) AS publication FROM catalog d LEFT JOIN versions v USING (doc_id) LEFT JOIN publications p ON p.publication_id = v.version_id GROUP BY 1, 2""")
+WITH v AS (SELECT doc_id, version_id, created_at, max(CASE WHEN version_id % 3 = 0 THEN created_at END) OVER (PARTITION BY doc_id) AS since, row_number() OVER (PARTITION BY doc_id ORDER BY created_at DESC, version_id DESC) AS place FROM versions),
+p AS (SELECT doc_id, list(version_id ORDER BY place) AS ids FROM v WHERE doc_id % 2 = 0 OR place > 2 GROUP BY 1), u AS (SELECT doc_id, max_by(publication_id, (published_at, publication_id)) AS publication FROM publications GROUP BY 1)
+SELECT d.doc_id, CASE WHEN NOT revoked THEN title END AS title, CASE WHEN NOT revoked THEN publication END AS publication, CASE WHEN NOT revoked THEN coalesce(ids[1:4], []) END AS versions, CASE WHEN NOT revoked AND len(ids) > 4 THEN ids[4] END AS next, CASE WHEN revoked THEN 'SOURCE_REVOKED' END AS fault FROM catalog d LEFT JOIN p USING (doc_id) LEFT JOIN u USING (doc_id)""")
 def document_detail(spark, sf):
-    return ct.document_detail(fx.documents(spark, sf), fx.versions(spark, sf), fx.publications(spark, sf))
+    """Pages of four; those of odd documents go on after their second version."""
+    v = fx.versions(spark, sf)
+    newest = Window.partitionBy("doc_id").orderBy(F.col("created_at").desc(), F.col("version_id").desc())
+    after = v.where("doc_id % 2 = 1").withColumn("place", F.row_number().over(newest)).where("place <= 2").groupBy("doc_id").agg(F.max_by(F.struct("created_at", "version_id"), "place").alias("c")).select("doc_id", "c.*")
+    out = ct.document_detail(fx.documents(spark, sf), v, fx.publications(spark, sf), after, 4)
+    return out.select("doc_id", "title", "publication", F.transform("versions", lambda x: x["version_id"]).alias("versions"), F.col("next.version_id").alias("next"), "fault")
+
+
+@query("l11_version_detail", """
+WITH g AS (SELECT version_id, version_id * 4 AS id, 'parse' AS kind, parse_status AS status, created_at AS at1, version_id % 30 + 1 AS pages FROM versions UNION ALL SELECT version_id, version_id * 4 + 1, 'parse', 'ready', created_at - INTERVAL 1 DAY, 99 FROM versions WHERE version_id % 3 = 0
+  UNION ALL SELECT version_id, version_id * 4 + 2, 'index', index_status, created_at + INTERVAL 1 HOUR, NULL FROM versions WHERE parse_status = 'ready'),
+n AS (SELECT version_id, list(id ORDER BY at1 DESC, id DESC) AS generations, max_by(pages, at1) FILTER (WHERE kind = 'parse' AND status = 'ready') AS pages FROM g GROUP BY 1), u AS (SELECT doc_id, max_by(publication_id, (published_at, publication_id)) AS publication FROM publications GROUP BY 1)
+SELECT v.version_id, v.doc_id, CASE WHEN NOT revoked AND publication = v.version_id THEN publication END AS publication, CASE WHEN NOT revoked THEN pages END AS pages, CASE WHEN NOT revoked THEN generations END AS generations, CASE WHEN revoked THEN 'SOURCE_REVOKED' END AS fault FROM versions v JOIN n USING (version_id) JOIN catalog d ON d.doc_id = v.doc_id LEFT JOIN u ON u.doc_id = v.doc_id""")
+def version_detail(spark, sf):
+    v = fx.versions(spark, sf)
+    k, none = F.col("version_id"), F.lit(None).cast("long")
+    made = lambda rows, number, kind, status, at, pages: rows.select("version_id", (k * 4 + number).alias("generation_id"), F.lit(kind).alias("kind"), status.alias("status"), at.alias("created_at"), pages.alias("pages"))
+    days = lambda **by: F.make_dt_interval(**{c: F.lit(n) for c, n in by.items()})
+    parses = made(v, 0, "parse", F.col("parse_status"), F.col("created_at"), k % 30 + 1).unionByName(made(v.where(k % 3 == 0), 1, "parse", F.lit("ready"), F.col("created_at") - days(days=1), F.lit(99).cast("long")))
+    indexes = made(v.where("parse_status = 'ready'"), 2, "index", F.col("index_status"), F.col("created_at") + days(hours=1), none)
+    out = ct.version_detail(v, parses.unionByName(indexes), fx.publications(spark, sf), fx.documents(spark, sf))
+    return out.withColumn("generations", F.transform("generations", lambda x: x["generation_id"]))
 
 
 @query("v14_repair_targets", """
