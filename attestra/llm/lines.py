@@ -23,7 +23,10 @@ HEAVY = 10_000
 
 def line_key(line: Column) -> Column:
     """A line without ASCII white space at its ends and with A-Z lower-cased."""
-    bare = F.btrim(line, F.lit(SPACE))
+    ends = F.lit(False)  # most lines need no trimming, which is dear for long ones
+    for c in SPACE:
+        ends = ends | line.startswith(c) | line.endswith(c)
+    bare = F.when(ends, F.btrim(line, F.lit(SPACE))).otherwise(line)
     return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
