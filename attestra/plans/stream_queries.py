@@ -77,6 +77,22 @@ def job_states_stream(spark, sf):
     return jobs.latest(ev.landed(jobs.job_log(arriving(job_log(spark, sf), 43_200), "1 day")))
 
 
+@query("r4_dedupe_events_stream", "SELECT event_id, user_id, event_type FROM events")
+def dedupe_events_stream(spark, sf):
+    """Every fiftieth event is delivered twice, up to twelve hours apart."""
+    rows = fx.log(spark, sf).select("event_id", F.col("aggregate_id").alias("user_id"), "event_type", "sequence", F.col("ts").cast("timestamp").alias("ts"))
+    again = rows.where("event_id % 50 = 0").withColumn("sequence", -F.col("sequence"))
+    return ev.landed(ev.dedupe_events(arriving(rows.unionByName(again), 43_200), "1 day").select("event_id", "user_id", "event_type"))
+
+
+@query("r9_stage_metrics_stream", """
+SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS events, round(sum(value), 6) AS total FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2""")
+def stage_metrics_stream(spark, sf):
+    """The windows that the watermark has passed when the source ends."""
+    rows = fx.log(spark, sf).select("sequence", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    return ev.landed(ev.stage_metrics(arriving(rows, 43_200), "1 hour", "1 day")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("r9_stage_duration_stream", """
 SELECT aggregate_id, sequence, greatest((epoch_us(nt) - epoch_us(ts)) // 1000, 0) AS millis FROM (SELECT *, lead(event_type) OVER w AS nk, lead(ts) OVER w AS nt FROM log WHERE event_type IN ('view', 'purchase') WINDOW w AS (PARTITION BY aggregate_id ORDER BY sequence))
 WHERE event_type = 'view' AND nk = 'purchase' AND nt - ts <= INTERVAL 12 HOUR""")
