@@ -51,7 +51,7 @@ LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмно
 def chunk_words(spark, sf):
     """Chunks; those of every third document have Cyrillic words."""
     word = lambda w: F.when(F.col("doc_id") % 3 == 0, F.translate(F.lower(w), LATIN, CYRILLIC)).otherwise(w)
-    return fx.chunks(spark, sf).withColumn("words", F.transform("words", word))
+    return fx.spread(fx.chunks(spark, sf)).withColumn("words", F.transform("words", word))
 
 
 def text_queries(spark, sf):
