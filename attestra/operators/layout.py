@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -155,40 +156,72 @@ def coalesce_wrapped(cells: DataFrame) -> DataFrame:
     A row joins the one above it if both have text, in different columns, with neither headers nor cells over several
     rows, its texts are all numbers, and their middles lie inside the height of one label (a text with a letter) of the
     row above. Blank cells of joined rows go. A joined row may take the next row too. Each step depends on those before,
-    so a table, whose rows are few, is worked through in order.
+    so tables are dealt to tasks and sorted, and a task goes through its rows in order: it holds one row and the one
+    above, whatever the size and number of the tables.
     """
     letter, number = re.compile(r"[^\W\d_]"), re.compile(r"[\s\d.,+±−%-]+")
+    cell_id, row, col, row_span, col_span, y0, y1, text, header = range(1, 10)  # places in a cell
 
-    def plain(cs: list[dict]) -> bool:
-        return all(not c["header"] and c["row_span"] == 1 for c in cs)
-
-    def joins(upper: list[dict], lower: list[dict]) -> bool:
-        columns = [{k for c in cs for k in range(c["col"], c["col"] + c["col_span"])} for cs in (upper, lower)]
-        if not upper or not lower or columns[0] & columns[1] or not plain(upper + lower):
+    def joins(upper: list[tuple], lower: list[tuple]) -> bool:
+        if not upper or not lower or any(c[header] or c[row_span] != 1 for cs in (upper, lower) for c in cs):
+            return False
+        if any(c[y0] is None or not number.fullmatch(c[text]) for c in lower):
             return False
-        if any(c["y0"] is None or not number.fullmatch(c["text"]) for c in lower):
+        columns = [{k for c in cs for k in range(c[col], c[col] + c[col_span])} for cs in (upper, lower)]
+        if columns[0] & columns[1]:
             return False
-        middles = [(c["y0"] + c["y1"]) / 2 for c in lower]
-        labels = [c for c in upper if c["y0"] is not None and letter.search(c["text"])]
-        return any(c["y0"] < min(middles) and max(middles) < c["y1"] for c in labels)
-
-    def table(rows: pa.Table) -> pa.Table:
-        by_row: dict[int, list[dict]] = {}
-        for c in rows.to_pylist():
-            by_row.setdefault(c["row"], []).append(c | {"blank": not (c["text"] or "").strip()})
-        out, joined, open_row, above = [], 0, None, []
-        for r in sorted(by_row):
-            said = [c for c in by_row[r] if not c["blank"]]
-            if open_row is not None and r - joined == open_row + 1 and joins([c for c in above if not c["blank"]], said):
-                joined, above = joined + 1, [c for c in above if not c["blank"]] + said
-            else:
-                out += [(c, open_row) for c in above]
-                open_row, above = r - joined, by_row[r]
-        out += [(c, open_row) for c in above]
-        return pa.table({"table_id": [c["table_id"] for c, _ in out], "cell_id": [c["cell_id"] for c, _ in out], "row": pa.array([r for _, r in out], pa.int32())})
+        middles = [(c[y0] + c[y1]) / 2 for c in lower]
+        first, last = min(middles), max(middles)
+        return any(c[y0] is not None and c[y0] < first and last < c[y1] and letter.search(c[text]) for c in upper)
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple] | None]:
+        """The cells of one row after the other, and None where a batch ends."""
+        at, cells = None, []
+        for b in batches:
+            for c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if (c[0], c[row]) != at:
+                    if cells:
+                        yield cells
+                    at, cells = (c[0], c[row]), []
+                cells.append(c)
+            yield None
+        if cells:
+            yield cells
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list, list, list] = ([], [], [])
+        table, joined, open_row, above, above_said = None, 0, None, [], []
+
+        def give(cells: list[tuple], at: int | None) -> None:
+            for c in cells:
+                for values, v in zip(out, (c[0], c[cell_id], at), strict=True):
+                    values.append(v)
+
+        def taken() -> pa.RecordBatch:
+            batch = pa.record_batch([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["table_id", "cell_id", "row"])
+            for values in out:
+                values.clear()
+            return batch
+
+        for cells in rows_of(batches):
+            if cells is None:
+                if out[0]:
+                    yield taken()
+                continue
+            said, at = [c for c in cells if c[text] and c[text].strip()], cells[0][row]
+            if open_row is not None and cells[0][0] == table and at - joined == open_row + 1 and joins(above_said, said):
+                joined, above_said = joined + 1, above_said + said
+                above = above_said
+                continue
+            give(above, open_row)
+            if open_row is None or cells[0][0] != table:
+                table, joined = cells[0][0], 0
+            open_row, above, above_said = at - joined, cells, said
+        give(above, open_row)
+        yield taken()
 
     columns = ["table_id", "cell_id", "row", "col", "row_span", "col_span", "y0", "y1", "text", "header"]
-    return cells.select(*columns).groupBy("table_id").applyInArrow(table, WRAPPED)
+    return cells.select(*columns).repartition("table_id").sortWithinPartitions("table_id", "row").mapInArrow(run, WRAPPED)
 
 
 # A cell that holds a value, and units of measure within a header.

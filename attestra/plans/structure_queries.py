@@ -134,13 +134,12 @@ SELECT table_id, row * 4 AS cell_id, CAST(2 * (row - 1) - joined + CASE WHEN wra
 UNION ALL SELECT table_id, row * 4 + 2, CAST(2 * row - 1 - joined AS INTEGER) FROM i WHERE NOT wrapped""")
 def coalesce_wrapped(spark, sf):
     """Two rows for each line item: a tall label, then its quantity, which lies within the label's height for some, and a blank."""
-    c = fx.cells(spark, sf).where("row > 0 and col in (0, 1)")
-    flags = fx.cells(spark, sf).where("row > 0 and col = 4").select("table_id", "row", (F.col("text") == "N").alias("wrapped"))
-    rows = c.join(flags, ["table_id", "row"]).withColumn("y", F.col("row") * 40.0)
-    lower, low = F.col("col") == 1, F.when(F.col("wrapped"), F.col("y") + 10).otherwise(F.col("y") + 32)
-    at = rows.select("table_id", (F.col("row") * 4 + F.col("col")).alias("cell_id"), (2 * (F.col("row") - 1) + F.col("col")).cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.when(lower, low).otherwise(F.col("y")).alias("y0"), F.when(lower, low + 6).otherwise(F.col("y") + 30).alias("y1"), "text")
-    blank = rows.where(lower).select("table_id", (F.col("row") * 4 + 2).alias("cell_id"), (2 * F.col("row") - 1).cast("int").alias("row"), F.lit(2).alias("col"), low.alias("y0"), (low + 6).alias("y1"), F.lit(" ").alias("text"))
-    return lo.coalesce_wrapped(at.unionByName(blank).withColumns({"row_span": F.lit(1), "col_span": F.lit(1), "header": F.lit(False)}))
+    rows = fx.cells(spark, sf).where("row > 0 and col in (0, 1, 4)").groupBy("table_id", "row").pivot("col", [0, 1, 4]).agg(F.first("text"))
+    y, low = F.col("row") * 40.0, F.col("row") * 40.0 + F.when(F.col("4") == "N", 10).otherwise(32)
+    row = 2 * (F.col("row") - 1)
+    one = lambda k, row, y0, y1, text: F.struct((F.col("row") * 4 + k).alias("cell_id"), row.cast("int").alias("row"), F.lit(k).alias("col"), y0.alias("y0"), y1.alias("y1"), text.alias("text"))
+    cells = F.array(one(0, row, y, y + 30, F.col("0")), one(1, row + 1, low, low + 6, F.col("1")), one(2, row + 1, low, low + 6, F.lit(" ")))
+    return lo.coalesce_wrapped(rows.select("table_id", F.inline(cells)).withColumns({"row_span": F.lit(1), "col_span": F.lit(1), "header": F.lit(False)}))
 
 
 #: The cells of an order's table in odd forms: years in a header, units, a later band, a row that names those after it, a

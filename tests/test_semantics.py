@@ -425,3 +425,17 @@ def test_hits_on_rows_take_what_stands_for_them(spark):
         got.setdefault(r.hit_id, {})[r.row, r.col] = r.relation
     head = {(0, 0): "header", (0, 1): "header"}
     assert got == {"h": head | {(2, 0): "hit", (1, 0): "table", (1, 1): "table"}, "g": head | {(4, 0): "hit"}}
+
+
+def test_wrapped_rows_of_many_tables_go_through_tasks_in_order(spark):
+    label, low, blank = (0, 0, 1, 1, 0.0, 30.0, "length", False), (1, 1, 1, 1, 10.0, 16.0, "3,5", False), (1, 2, 1, 1, 10.0, 16.0, " ", False)
+    df = spark.createDataFrame([(t, 10 * t + k, *c) for t in range(50) for k, c in enumerate((low, blank, label) if t % 3 else (label, (*low[:4], 28.0, 40.0, *low[6:]), blank))], "table_id long, cell_id long, row int, col int, row_span int, col_span int, y0 double, y1 double, text string, header boolean")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows and tables are cut by batches
+    try:
+        out = layout.coalesce_wrapped(df)
+        got = sorted((r.cell_id, r.row) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == sorted(x for t in range(50) for x in ([(10 * t, 0), (10 * t + 2, 0)] if t % 3 else [(10 * t, 0), (10 * t + 1, 1), (10 * t + 2, 1)]))
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()  # a call for each table took most of the time
