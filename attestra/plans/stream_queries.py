@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.plans import fixtures as fx
 from attestra.plans.book import query
-from attestra.plans.staging import shared_dir
+from attestra.plans.staging import shared_dir, spent, staged
 from attestra.sources import batches as bt
 from attestra.streaming import events as ev
 from attestra.streaming import jobs, publications
@@ -17,16 +18,24 @@ from attestra.streaming import jobs, publications
 PARTS = 4
 
 
-def arriving(rows: DataFrame, jitter: int) -> DataFrame:
-    """Rows with ts as a stream over PARTS sets of files that come in the order of time, up to `jitter` seconds late."""
+def arriving(rows: DataFrame, jitter: int, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the stream that `make` makes gives of rows with ts that come in the order of time, up to `jitter` seconds late.
+
+    Rows come as PARTS sets of files, and the stream goes on from its checkpoint after each. A batch takes a whole set,
+    however many files it has: rows of one set are further apart than a watermark allows, so a set cut in two would lose
+    those of its second half.
+    """
     spark, path = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/attestra-{uuid.uuid4().hex}"
+    rows = staged(rows)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     first, last = rows.agg(F.min(at), F.max(at)).first()
     seen = at + F.pmod(F.xxhash64("sequence", "ts"), F.lit(jitter * 1_000_000))
     part = F.least(F.floor((seen - F.lit(first)) * PARTS / F.lit(max(1, (last or 0) - (first or 0)))), F.lit(PARTS - 1))
     for k in range(PARTS):
-        rows.where(part == k).write.mode("append").parquet(f"{path}/{k}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(f"{path}/*")
+        rows.where(part == k).write.parquet(f"{path}/in/{k}")
+        out = ev.landed(make(spark.readStream.schema(rows.schema).parquet(f"{path}/in/*")), f"{path}/out")
+    spent(rows)
+    return out
 
 
 def job_log(spark, sf):
@@ -74,7 +83,7 @@ def job_states(spark, sf):
 @query("r1_job_log_stream", JOB_STATES)
 def job_states_stream(spark, sf):
     """The log comes up to twelve hours out of order; leases end by timers."""
-    return jobs.latest(ev.landed(jobs.job_log(arriving(job_log(spark, sf), 43_200), "1 day")))
+    return jobs.latest(arriving(job_log(spark, sf), 43_200, lambda s: jobs.job_log(s, "1 day")))
 
 
 @query("r4_dedupe_events_stream", "SELECT event_id, user_id, event_type FROM events")
@@ -82,7 +91,7 @@ def dedupe_events_stream(spark, sf):
     """Every fiftieth event is delivered twice, up to twelve hours apart."""
     rows = fx.log(spark, sf).select("event_id", F.col("aggregate_id").alias("user_id"), "event_type", "sequence", F.col("ts").cast("timestamp").alias("ts"))
     again = rows.where("event_id % 50 = 0").withColumn("sequence", -F.col("sequence"))
-    return ev.landed(ev.dedupe_events(arriving(rows.unionByName(again), 43_200), "1 day").select("event_id", "user_id", "event_type"))
+    return arriving(rows.unionByName(again), 43_200, lambda s: ev.dedupe_events(s, "1 day").select("event_id", "user_id", "event_type"))
 
 
 @query("r9_stage_metrics_stream", """
@@ -90,7 +99,7 @@ SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_
 def stage_metrics_stream(spark, sf):
     """The windows that the watermark has passed when the source ends."""
     rows = fx.log(spark, sf).select("sequence", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
-    return ev.landed(ev.stage_metrics(arriving(rows, 43_200), "1 hour", "1 day")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return arriving(rows, 43_200, lambda s: ev.stage_metrics(s, "1 hour", "1 day")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("r9_stage_duration_stream", """
@@ -98,14 +107,14 @@ SELECT aggregate_id, sequence, greatest((epoch_us(nt) - epoch_us(ts)) // 1000, 0
 WHERE event_type = 'view' AND nk = 'purchase' AND nt - ts <= INTERVAL 12 HOUR""")
 def stage_duration_stream(spark, sf):
     log = fx.log(spark, sf).select("aggregate_id", "sequence", "ts", "event_type")
-    return ev.landed(ev.stage_duration(arriving(log, 43_200), "view", "purchase", 43_200, "1 day").drop("ts"))
+    return arriving(log, 43_200, lambda s: ev.stage_duration(s, "view", "purchase", 43_200, "1 day").drop("ts"))
 
 
 @query("r10_catalogue_changes_stream", """
 SELECT event_id, aggregate_id, event_type, row_number() OVER (PARTITION BY aggregate_id ORDER BY sequence) AS epoch FROM log WHERE event_type IN ('purchase', 'signup')""")
 def catalogue_changes_stream(spark, sf):
     log = fx.log(spark, sf).select("aggregate_id", "sequence", "ts", "event_id", "event_type")
-    return ev.landed(ev.catalogue_changes(arriving(log, 43_200), ("purchase", "signup"), "1 day").drop("sequence"))
+    return arriving(log, 43_200, lambda s: ev.catalogue_changes(s, ("purchase", "signup"), "1 day").drop("sequence"))
 
 
 YEAR = 365 * 86_400
@@ -144,7 +153,7 @@ def publication_effects(spark, sf):
 @query("l2_publication_effects_stream", EFFECTS)
 def publication_effects_stream(spark, sf):
     """Requests come up to thirty days out of order; operations are forgotten by timers."""
-    return ev.landed(publications.publication_effects(arriving(requests(spark, sf), 30 * 86_400), YEAR, "40 days"))
+    return arriving(requests(spark, sf), 30 * 86_400, lambda s: publications.publication_effects(s, YEAR, "40 days"))
 
 
 @query("s6_index_sink_stream", """

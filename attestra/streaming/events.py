@@ -137,10 +137,11 @@ def job_state(events: DataFrame) -> DataFrame:
     return events.select("aggregate_id", "sequence", "kind").groupBy("aggregate_id").applyInPandasWithState(step, STATE, "status string, sequence long, applied long, rejected long", "update", "NoTimeout")
 
 
-def landed(stream: DataFrame) -> DataFrame:
-    """What a stream has in its source, written once to the shared folder and read again: file sink, append mode."""
+def landed(stream: DataFrame, path: str | None = None) -> DataFrame:
+    """What a stream has in its source, written once to the shared folder and read again: file sink, append mode. With the
+    `path` of an earlier run it goes on from there, and gives the rows of both."""
     spark = stream.sparkSession
-    path = f"{shared_dir(spark)}/attestra-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/attestra-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -163,3 +163,19 @@ def test_a_sink_killed_between_data_and_ledger_has_each_batch_once(spark, tmp_pa
     assert spark.read.parquet(out).count() == 120
     got = spark.read.schema(batches.LEDGER).parquet(ledger).groupBy("outcome").count().collect()
     assert {r.outcome: r["count"] for r in got} == {"written": 40, "replay": 5}
+
+
+def test_sets_of_many_files_are_not_cut(spark):
+    from attestra.plans import stream_queries
+
+    year = 365 * 86_400
+    rows = [(d, k, 1_600_000_000 + (k * 50 + d) * 86_400, 100 * d + k, 100 * d + k - 1 if k > 1 else None) for d in range(24) for k in range(1, 26)]
+    df = spark.createDataFrame(rows, "doc_id long, sequence long, s long, operation_id long, expected long").select("*", F.timestamp_seconds("s").alias("ts")).drop("s")
+    df = df.withColumns({"version_id": F.col("operation_id"), "generation_id": F.col("operation_id"), "ready": F.lit(True), "active": F.lit(True), "archived": F.lit(False), "revoked": F.lit(False)})
+    before = spark.conf.get("spark.sql.files.maxRecordsPerFile")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "1")  # some 150 files a set
+    try:
+        got = stream_queries.arriving(df, 30 * 86_400, lambda s: publications.publication_effects(s, year, "40 days"))
+    finally:
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", before)
+    same(got, publications.publication_effects(df, year))
