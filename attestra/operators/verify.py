@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,36 +194,47 @@ def citation_closures(units: DataFrame, groups: DataFrame, options: DataFrame |
     under the first start, triggers before rows. units: pack_id, evidence_id, excerpt, position; groups: pack_id,
     trigger, required and, where there are any, subjects; options: pack_id, row, values, complete.
 
-    A round joins the ids reached last with their own requirements; ids reached before are left out, so loops end, and
-    closures that are too long already are given up.
+    A closure is one row with its ids, not a row for each of them. A round joins only the triggers reached last with what
+    they require; ids reached before are left out, so loops end, and closures that are too long already are given up.
     """
-    known = staged(units.select("pack_id", F.col("evidence_id").alias("id"), "position", F.col("excerpt").rlike(DIGIT).alias("digit")))
-    id_of = lambda df, name: df.join(known.select("pack_id", F.col("id").alias(name), F.col("position").alias(f"_{name}_at"), F.col("digit").alias(f"_{name}_digit")), ["pack_id", name])
-    groups = staged(id_of(groups, "trigger").where("_trigger_digit").withColumn("subjects", F.col("subjects") if "subjects" in groups.columns else F.array().cast("array<string>")))
-    triggers = groups.select("pack_id", F.col("trigger").alias("id"), F.col("_trigger_at").alias("at")).distinct()
-    edges = staged(id_of(groups.select("pack_id", "trigger", F.explode("required").alias("to")), "to").select("pack_id", F.col("trigger").alias("id"), "to").distinct())
+    none = F.array().cast("array<string>")
+    flat = lambda c: F.flatten(F.collect_list(c))
+    groups = groups.withColumn("subjects", F.coalesce("subjects", none) if "subjects" in groups.columns else none)
+    groups = groups.groupBy("pack_id", F.col("trigger").alias("id")).agg(F.array_distinct(flat("required")).alias("required"), F.array_distinct(flat("subjects")).alias("subjects"))
+    known = units.select("pack_id", F.col("evidence_id").alias("id"), "position", F.coalesce(F.col("excerpt").rlike(DIGIT), F.lit(False)).alias("digit")).join(groups, ["pack_id", "id"], "left")
+    numeric = F.col("digit") & F.col("required").isNotNull()
+    known = staged(known.select("pack_id", "id", F.struct("position", numeric.alias("numeric"), "id").alias("member"), F.when(numeric, F.col("required")).alias("required"), "subjects"))
+    members = known.select("pack_id", "id", "member")
+    asked = known.where("member.numeric").select("pack_id", F.col("id").alias("trigger"), F.explode_outer("required").alias("id"))
+    found = asked.join(members, ["pack_id", "id"], "left").groupBy("pack_id", F.col("trigger").alias("id")).agg(F.collect_set("member").alias("to"))
+    edges = staged(found.join(known.where("member.numeric").select("pack_id", "id", "member", "subjects"), ["pack_id", "id"]))
 
-    start = triggers.select("pack_id", F.lit(0).alias("kind"), F.col("at").cast("long").alias("at"), F.col("id").alias("start"), "id")
-    if options is not None:
-        rows = options.select("pack_id", "row", "complete", F.explode("values").alias("id")).join(triggers, ["pack_id", "id"], "left_semi").select("pack_id", "row", "complete").distinct()
-        rows = id_of(rows.select("pack_id", "row", F.explode("complete").alias("id")), "id")
-        start = start.unionByName(rows.select("pack_id", F.lit(1).alias("kind"), F.col("row").cast("long").alias("at"), F.concat(F.lit("row "), F.col("row").cast("string")).alias("start"), "id").distinct())
     key = ["pack_id", "kind", "at", "start"]
-    out = front = staged(start)
+    ahead = lambda new: F.transform(F.filter(new, lambda x: x["numeric"]), lambda x: x["id"])
+    own = F.array("member")
+    first = edges.select("pack_id", F.lit(0).alias("kind"), F.col("member.position").cast("long").alias("at"), F.col("id").alias("start"), F.array_union(own, "to").alias("ids"), F.col("subjects").alias("subs"), ahead(F.array_except("to", own)).alias("front"))
+    reached = [first]
+    if options is not None:
+        rows = options.select("pack_id", "row", "complete", "values", F.explode(F.array_union("complete", "values")).alias("id")).join(members, ["pack_id", "id"])
+        rows = rows.select("pack_id", "row", "complete", F.when(F.array_contains("complete", F.col("id")), F.col("member")).alias("member"), (F.array_contains("values", F.col("id")) & F.col("member.numeric")).alias("counts"))
+        rows = rows.repartition("pack_id", "row").groupBy("pack_id", "row", "complete").agg(F.collect_set("member").alias("ids"), F.bool_or("counts").alias("counts")).where("counts")
+        rows = rows.groupBy("pack_id", "row").agg(F.array_distinct(flat("ids")).alias("ids"))
+        reached.append(staged(rows.select("pack_id", F.lit(1).alias("kind"), F.col("row").cast("long").alias("at"), F.concat(F.lit("row "), F.col("row").cast("string")).alias("start"), "ids", none.alias("subs"), ahead(F.col("ids")).alias("front"))))
+    fits, open_ = F.size("ids") <= most, F.size("front") > 0
+    front = functools.reduce(DataFrame.unionByName, reached)
+    closed = front.where(fits & ~open_)
     for _ in range(most):
-        short = out.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") <= most).select(*key)
-        step = front.join(short, key, "left_semi").join(edges, ["pack_id", "id"]).select(*key, F.col("to").alias("id")).distinct()
-        front = staged(step.join(out, [*key, "id"], "left_anti"))
+        step = front.where(fits & open_).select(*key, "ids", "subs", F.explode("front").alias("id")).join(edges.select("pack_id", "id", "to", "subjects"), ["pack_id", "id"])
+        step = step.groupBy(*key).agg(F.first("ids").alias("ids"), F.first("subs").alias("subs"), F.array_distinct(flat("to")).alias("to"), flat("subjects").alias("subjects"))
+        front = staged(step.select(*key, F.array_union("ids", "to").alias("ids"), F.array_union("subs", "subjects").alias("subs"), ahead(F.array_except("to", "ids")).alias("front")).where(fits))
         if front.isEmpty():
             break
-        out = out.unionByName(front)
-
-    subject = out.join(groups.select("pack_id", F.col("trigger").alias("id"), "subjects"), ["pack_id", "id"]).select(*key, F.explode("subjects").alias("id")).distinct().withColumn("subject", F.lit(0))
-    rows = out.join(subject, [*key, "id"], "left").join(triggers.select("pack_id", "id", F.lit(1).alias("numeric")), ["pack_id", "id"], "left").join(known.select("pack_id", "id", "position"), ["pack_id", "id"])
-    rank = F.coalesce("subject", "numeric", F.lit(2))
-    whole = rows.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "position", "id"))), lambda x: x["id"]).alias("ids"), F.count("numeric").alias("numbers"))
-    first = Window.partitionBy("pack_id", "ids").orderBy("kind", "at", "start")
-    return whole.where((F.size("ids") <= most) & (F.col("numbers") > 0)).withColumn("n", F.row_number().over(first)).where("n = 1").select("pack_id", "start", "ids")
+        closed = closed.unionByName(front.where(~open_))
+
+    rank = lambda x: F.when(F.array_contains("subs", x["id"]), 0).when(x["numeric"], 1).otherwise(2)
+    order = F.array_sort(F.transform("ids", lambda x: F.struct(rank(x).alias("rank"), x["position"].alias("position"), x["id"].alias("id"))))
+    whole = closed.where(F.exists("ids", lambda x: x["numeric"])).select(*key, F.transform(order, lambda x: x["id"]).alias("ids"))
+    return whole.groupBy("pack_id", "ids").agg(F.min(F.struct("kind", "at", "start")).alias("first")).select("pack_id", "first.start", "ids")
 
 
 def artifact_lineage(artifacts: DataFrame, failed: str) -> DataFrame:

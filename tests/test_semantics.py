@@ -439,3 +439,12 @@ def test_wrapped_rows_of_many_tables_go_through_tasks_in_order(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == sorted(x for t in range(50) for x in ([(10 * t, 0), (10 * t + 2, 0)] if t % 3 else [(10 * t, 0), (10 * t + 1, 1), (10 * t + 2, 1)]))
     assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()  # a call for each table took most of the time
+
+
+def test_a_closure_is_one_row_between_rounds(spark, monkeypatch):
+    sizes = []
+    kept = verify.staged
+    monkeypatch.setattr(verify, "staged", lambda df: sizes.append((out := kept(df)).count()) or out)
+    units = [(f"h{k}", "head") for k in range(8)] + [(f"n{k}", str(k)) for k in range(10)]
+    got = closures(spark, units, [(f"n{k}", [f"h{j}" for j in range(8)], []) for k in range(10)])
+    assert len(got) == 10 and sum(sizes) <= 40  # 90 ids in the ten closures
