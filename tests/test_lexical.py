@@ -3,10 +3,13 @@
 import random
 from itertools import product
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from attestra.functions.stems import russian_stem
+from attestra.functions.stems import russian_stem, russian_stems
 from attestra.operators import retrieval
+from attestra.plans import fixtures
 
 # Words and stems from the published sample of the algorithm.
 STEMS = """в в|вавиловка вавиловк|вагнера вагнер|вагона вагон|вагоне вагон|вагонов вагон|вагоном вагон|вагоны вагон|важная важн|важнее важн|важнейшие важн|важнейшими важн|важничал важнича|важно важн|важного важн
@@ -69,3 +72,38 @@ def test_nearness_outranks_more_matches(spark):
     assert [r.chunk_id for r in near.orderBy("rank").collect()] == [1, 2]
     counted = spark.createDataFrame([(c, t, w, 1) for c, t, _, w in rows], "chunk_id int, term string, weight double, n long")
     assert [r.chunk_id for r in retrieval.lexical_topk(spark.createDataFrame([(1, ["a", "b"])], "query_id int, terms array<string>"), counted).orderBy("rank").collect()] == [2, 1]
+
+
+def test_stems_in_a_task_are_those_of_the_column(spark):
+    rng = random.Random(5)
+    words = [x.split()[0] for line in STEMS.split("\n") for x in line.split("|")] + ["", "running", "ёлками", "стр", "mixedслово", "новейшее", "длинный", "радость"]
+    words += ["".join(rng.choices("абвеиоостьнйщшмлюяxё", k=rng.randint(1, 9))) for _ in range(3000)]
+    want = [r.s for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").orderBy("i").select(russian_stem(F.col("w")).alias("s")).collect()]
+    assert russian_stems(pa.array(words)).to_pylist() == want
+    assert russian_stems(pa.array(["a", None])).to_pylist() == ["a", None]
+
+
+@pytest.mark.parametrize("few, hits", [(200_000, 4_000_000), (40, 500)])
+def test_search_within_rows_gives_what_joined_terms_give(spark, monkeypatch, few, hits):
+    rng = random.Random(7)
+    vocabulary = ["Вагон", "вагоном", "павлин", "павлиний", "the", "The", "of", *(f"w{i}" for i in range(30))]
+    pick = lambda n: [vocabulary[min(int(rng.expovariate(0.2)), len(vocabulary) - 1)] for _ in range(n)]
+    rows = [(i // 2 if i < 40 else i, pick(rng.randint(0, 2)), pick(rng.randint(0, 12))) for i in range(400)]  # some ids come twice
+    chunks = spark.createDataFrame(rows, "chunk_id long, head array<string>, words array<string>").repartition(5)
+    asked = retrieval.bounded_terms(spark.createDataFrame([(q, pick(6)) for q in range(30)] + [(99, [])], "query_id long, w array<string>"), F.col("w"))
+    terms = retrieval.search_weights(chunks, F.col("head"), F.col("words"), asked.select(F.explode("terms").alias("term")))
+    want = sorted(retrieval.lexical_topk(asked, terms, 7).select("query_id", "chunk_id", "score", "rank").collect())
+    monkeypatch.setattr(retrieval, "FEW_TERMS", few)
+    monkeypatch.setattr(retrieval, "HITS", hits)
+    got = retrieval.search_topk(asked, chunks, F.col("head"), F.col("words"), 7)
+    assert sorted(got.select("query_id", "chunk_id", "score", "rank").collect()) == want and len(want) > 200
+
+
+def test_long_texts_are_cut_after_every_forty_words(spark, tmp_path):
+    words = [f"w{i}" for i in range(30_011)]
+    texts = [(1, " \n\t" + "  ".join(words) + " "), (2, "one"), (3, " \n"), (4, ""), (5, None), (6, "x" * 200_000 + " y")]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = fixtures.chunks(spark, str(tmp_path))
+    got = {r.chunk_id: r.words for r in plan.collect()}
+    assert got == {1000 + i // 40: words[i : i + 40] for i in range(0, len(words), 40)} | {2000: ["one"], 6000: ["x" * 200_000, "y"]}
+    assert "slice(" not in plan._jdf.queryExecution().optimizedPlan().toString()  # which goes through a whole text for each chunk
