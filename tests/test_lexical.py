@@ -107,3 +107,21 @@ def test_long_texts_are_cut_after_every_forty_words(spark, tmp_path):
     got = {r.chunk_id: r.words for r in plan.collect()}
     assert got == {1000 + i // 40: words[i : i + 40] for i in range(0, len(words), 40)} | {2000: ["one"], 6000: ["x" * 200_000, "y"]}
     assert "slice(" not in plan._jdf.queryExecution().optimizedPlan().toString()  # which goes through a whole text for each chunk
+
+
+def test_nearest_vectors_in_blocks_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    vectors = [[rng.choice([-1.0, 0.5, 2.0]) for _ in range(3)] for _ in range(300)]  # many equal directions
+    none = [(900, [0.0, 0.0, 0.0]), (901, None), (902, [1.0, None, 1.0]), (903, [float("nan"), 1.0, 1.0])]
+    chunks = spark.createDataFrame([*enumerate(vectors), *none], "chunk_id long, embedding array<float>")
+    monkeypatch.setattr(retrieval, "BLOCK", 4)
+    monkeypatch.setattr(retrieval, "PACK", 16)
+    monkeypatch.setattr(retrieval, "CLOSE", 10)
+    queries = chunks.where("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "query_id")
+    got = sorted((r.query_id, r["rank"], r.chunk_id, r.distance) for r in retrieval.dense_topk(queries, chunks, 9).collect())
+    size = lambda v: sum(x * x for x in v) ** 0.5
+    want = []
+    for q in range(0, 300, 10):
+        near = sorted((round(1 - sum(x * y for x, y in zip(vectors[q], v)) / (size(vectors[q]) * size(v)), 9) + 0.0, c) for c, v in enumerate(vectors))
+        want += [(q, i + 1, c, d) for i, (d, c) in enumerate(near[:9])]
+    assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(got, want, strict=True))
