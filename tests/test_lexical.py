@@ -125,3 +125,16 @@ def test_nearest_vectors_in_blocks_against_all_pairs(spark, monkeypatch):
         near = sorted((round(1 - sum(x * y for x, y in zip(vectors[q], v)) / (size(vectors[q]) * size(v)), 9) + 0.0, c) for c, v in enumerate(vectors))
         want += [(q, i + 1, c, d) for i, (d, c) in enumerate(near[:9])]
     assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(got, want, strict=True))
+
+
+def test_terms_of_a_chunk_are_counted_in_its_row(spark):
+    rows = [(1, ["a", "B", "b"], ["a"]), (2, [], ["a", None, None]), (3, None, ["x"]), (3, ["x"], ["x", "X"]), (4, None, None)]  # 3 comes twice
+    chunks = spark.createDataFrame(rows, "chunk_id int, h array<string>, t array<string>").repartition(3)
+    parts = {"A": F.col("h"), "C": F.col("t"), 0.2: F.col("h")}
+    got = retrieval.weighted_terms(chunks, parts)
+    want = {(1, "a", 1.0, 1), (1, "b", 1.0, 2), (1, "a", 0.2, 2), (1, "b", 0.2, 2), (2, "a", 0.2, 1), (2, None, 0.2, 2), (3, "x", 1.0, 1), (3, "x", 0.2, 4)}
+    assert set(map(tuple, got.collect())) == want and got.count() == len(want)
+    asked = spark.createDataFrame([("b",), ("x",)], "term string")
+    assert set(map(tuple, retrieval.weighted_terms(chunks, parts, asked).collect())) == {w for w in want if w[1] in ("b", "x")}
+    once = retrieval.weighted_terms(chunks.where("chunk_id < 3"), parts)
+    assert "Aggregate" not in once._jdf.queryExecution().optimizedPlan().toString()  # rows of words met in a shuffle
