@@ -138,3 +138,10 @@ def test_terms_of_a_chunk_are_counted_in_its_row(spark):
     assert set(map(tuple, retrieval.weighted_terms(chunks, parts, asked).collect())) == {w for w in want if w[1] in ("b", "x")}
     once = retrieval.weighted_terms(chunks.where("chunk_id < 3"), parts)
     assert "Aggregate" not in once._jdf.queryExecution().optimizedPlan().toString()  # rows of words met in a shuffle
+
+
+def test_places_of_words_that_no_query_has_are_not_dealt(spark):
+    rows = spark.createDataFrame([(c, f"w{i}", i, 1.0) for c in range(50) for i in range(20)], "chunk_id int, term string, pos int, weight double")
+    near = retrieval.cover_topk(spark.createDataFrame([(1, ["w3", "w4"]), (2, ["w3", "none"])], "query_id int, terms array<string>"), rows, 100)
+    assert sorted((r.query_id, r.chunk_id, r.score) for r in near.collect()) == [(1, c, 1.0) for c in range(50)]
+    assert "LeftSemi" in near._jdf.queryExecution().optimizedPlan().toString()  # before, all places met in a shuffle
