@@ -50,32 +50,39 @@ def citation_groups(cells: DataFrame, scopes: DataFrame | None = None, only: Dat
     """
     has = cells.columns
     given = lambda name, default: F.col(name) if name in has else default
-    none = F.array().cast("array<string>")
-    rows = cells.select(
-        "pack_id", given("table_id", F.lit(0)).alias("table_id"), "evidence_id", "row", "col", "excerpt", given("role", F.when(F.col("row") == 0, "header").otherwise("data")).alias("role"),
-        given("row_span", F.lit(1)).alias("row_span"), given("col_span", F.lit(1)).alias("col_span"), given("position", F.col("row") * 100_000 + F.col("col")).alias("position"), given("path", none).alias("path"),
-    )
-    said = (F.col("role") == "data") & (F.trim("excerpt") != "")
-    table, unit = ["pack_id", "table_id"], F.struct("position", "evidence_id").alias("unit")
-    over = lambda at, span: F.explode(F.sequence(F.col(at), F.col(at) + F.col(span) - 1))
-    data = rows.where(said).select(*table, F.col("evidence_id").alias("trigger"), F.col("row").alias("data_row"), F.col("col").alias("data_col"), "col_span", "path")
-
+    role = given("role", F.when(F.col("row") == 0, "header").otherwise("data"))
+    table = ["pack_id", *["table_id"] * ("table_id" in has)]
+    position, col_span = given("position", F.col("row") * 100_000 + F.col("col")), given("col_span", F.lit(1))
+    said = (role == "data") & (F.trim("excerpt") != "")
+    unit = F.struct(position.alias("position"), "evidence_id", F.col("col").cast("long").alias("begin"), (F.col("col") + col_span).cast("long").alias("end"))
+    path = ["path"] if scopes is not None and "path" in has else []
+    rows = cells.select(*table, "row", "col", unit.alias("unit"), *path, F.when(role.isin("header", "unit"), "head").when(said & textual_subject(F.col("excerpt")), "subject").when(said, "value").alias("as"), given("row_span", F.lit(1)).alias("row_span"))
+    rows = rows.where("as is not null").withColumn("own", F.lit(True))
+    if "row_span" in has:  # a subject stands in each of its rows
+        more = F.transform(F.sequence(F.lit(0), F.when(F.col("as") == "subject", F.col("row_span") - 1).otherwise(0)), lambda k: F.struct((F.col("row") + k).alias("row"), (k == 0).alias("own")))
+        rows = rows.withColumn("_at", F.explode(more)).withColumns({"row": F.col("_at.row"), "own": F.col("_at.own")})
+
+    units = lambda test: F.collect_list(F.when(test, F.col("unit")))
+    data = F.struct("col", "unit", *path)
+    lines = rows.groupBy(*table, "row").agg(units(F.col("as") == "head").alias("heads"), units(F.col("as") == "subject").alias("subjects"), F.collect_list(F.when(F.col("own") & (F.col("as") != "head"), data)).alias("data"))
+    above = Window.partitionBy(*table).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("heads", F.flatten(F.collect_list(F.when(F.size("heads") > 0, F.col("heads"))).over(above)))
+    out = lines.select(*table, F.col("row").alias("data_row"), "heads", "subjects", F.explode("data").alias("d"))
     if only is not None:
-        data = data.join(only.select("pack_id", F.col("evidence_id").alias("trigger")).distinct(), ["pack_id", "trigger"], "left_semi")
-    heads = rows.where(F.col("role").isin("header", "unit")).select(*table, over("col", "col_span").alias("column"), F.col("row").alias("head_row"), unit)
-    above = data.withColumn("column", over("data_col", "col_span")).join(heads, [*table, "column"]).where("head_row < data_row").select(*table, "trigger", "unit")
-    left = rows.where(said & textual_subject(F.col("excerpt"))).select(*table, over("row", "row_span").alias("data_row"), (F.col("col") + F.col("col_span")).alias("right"), unit)
-    beside = data.join(left, [*table, "data_row"]).where("right <= data_col and unit.evidence_id <> trigger").select(*table, "trigger", "unit")
-    needed = above.unionByName(beside)
-    if scopes is not None:
-        about = scopes.select("pack_id", unit, F.col("path").alias("scope"))
-        tables = data.select(*table, "path").distinct().join(about, "pack_id").where((F.size("scope") < F.size("path")) & (F.slice("path", 1, F.size("scope")) == F.col("scope")))
+        out = out.withColumn("trigger", F.col("d.unit.evidence_id")).join(only.select("pack_id", F.col("evidence_id").alias("trigger")), ["pack_id", "trigger"], "left_semi")
+    d = F.col("d.unit")
+    needed = [F.filter("heads", lambda u: (u["begin"] < d["end"]) & (d["begin"] < u["end"])), F.filter("subjects", lambda u: (u["end"] <= d["begin"]) & (u["evidence_id"] != d["evidence_id"]))]
+    if path:
+        out = out.withColumn("path", F.col("d.path"))
+        about = scopes.select("pack_id", F.struct("position", "evidence_id").alias("unit"), F.col("path").alias("scope"))
+        tables = out.select(*table, "path").distinct().join(about, "pack_id").where((F.size("scope") < F.size("path")) & (F.slice("path", 1, F.size("scope")) == F.col("scope")))
         deepest = tables.groupBy(*table, "path").agg(F.max(F.size("scope")).alias("depth"))
-        around = tables.join(deepest, [*table, "path"]).where(F.size("scope") == F.col("depth")).select(*table, "path", "unit")
-        needed = needed.unionByName(data.join(around, [*table, "path"]).select(*table, "trigger", "unit"))
-    required = F.array_distinct(F.transform(F.array_sort(F.collect_set("unit")), lambda u: u["evidence_id"]))
-    needed = needed.groupBy(*table, "trigger").agg(required.alias("required"))
-    return data.join(needed, [*table, "trigger"]).select("pack_id", "trigger", F.col("data_row").alias("row"), F.col("data_col").alias("col"), "required")
+        around = tables.join(deepest, [*table, "path"]).where(F.size("scope") == F.col("depth"))
+        out = out.join(around.groupBy(*table, "path").agg(F.collect_list("unit").alias("around")), [*table, "path"], "left")
+        out = out.withColumn("around", F.transform(F.coalesce("around", F.array().cast(out.schema["around"].dataType)), lambda u: F.struct(u["position"].alias("position"), u["evidence_id"].alias("evidence_id"), F.lit(0).cast("long").alias("begin"), F.lit(0).cast("long").alias("end"))))
+        needed.append(F.col("around"))
+    out = out.withColumn("required", F.array_distinct(F.sort_array(F.concat(*needed))["evidence_id"])).where(F.size("required") > 0)
+    return out.select("pack_id", F.col("d.unit.evidence_id").alias("trigger"), F.col("data_row").alias("row"), F.col("d.col").alias("col"), "required")
 
 
 def row_options(cells: DataFrame) -> DataFrame:
@@ -169,7 +176,8 @@ def render_answer(claims: DataFrame) -> DataFrame:
 
 def unit_required_ids(groups: DataFrame) -> DataFrame:
     """Per trigger unit, the union of what its groups require, sorted."""
-    return groups.select("pack_id", "trigger", F.explode("required").alias("id")).groupBy("pack_id", "trigger").agg(F.array_sort(F.collect_set("id")).alias("required"))
+    ids = F.array_distinct(F.flatten(F.collect_list("required")))
+    return groups.where(F.size("required") > 0).groupBy("pack_id", "trigger").agg(F.sort_array(F.array_compact(ids)).alias("required"))
 
 
 def contrast_rows(subjects: DataFrame) -> DataFrame:
