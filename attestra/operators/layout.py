@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.plans.staging import staged
 
 from attestra.functions.text import normalised
 
@@ -286,10 +285,59 @@ def in_roles(cells: DataFrame) -> DataFrame:
     return out.withColumn("role", F.when(F.col("header"), "header").when(wide, "note").otherwise("data"))
 
 
-def _texts(cells: DataFrame, *by: str) -> DataFrame:
-    """`texts` of cells that are not blank, by row and column."""
-    pairs = F.array_sort(F.collect_list(F.struct("row", "col", "text")))
-    return cells.where(F.trim("text") != "").groupBy(*by).agg(F.transform(pairs, lambda x: x["text"]).alias("texts"))
+def lines_in_roles(cells: DataFrame) -> DataFrame:
+    """`in_roles` by table row: table_id, row, header, scope, and by column heads, data and notes (col, text, row_span).
+
+    Cells are gathered by row once. All else is windows over the rows of a table, which stay in the tasks they are in.
+    """
+    c, text = F.col, F.coalesce("text", F.lit(""))
+    spans = {n: (c(n) if n in cells.columns else F.lit(1)) for n in ("row_span", "col_span")}
+    rows = cells.withColumns({"text": text, **spans}).withColumns({"_value": F.trim("text").rlike(VALUE), "_empty": c("text") == ""})
+    rows = rows.groupBy("table_id", "row").agg(
+        F.sort_array(F.collect_list(F.struct("col", "text", "row_span", "col_span"))).alias("cells"), F.bool_or("_value").alias("_values"), F.bool_and("_empty").alias("_empty"),
+        F.bool_and(~c("_empty") & ~c("_value")).alias("_named"), F.max(c("col") + c("col_span")).alias("_end"),
+    )
+    table, line = Window.partitionBy("table_id"), Window.partitionBy("table_id").orderBy("row")
+    short = F.array_sort(F.transform("cells", lambda x: F.struct(x["col"].alias("col"), F.regexp_replace(x["text"], r"(?U)\s+", "").alias("short"))))
+    rows = rows.withColumns({"_below": F.coalesce(F.lead("_values").over(line), F.lit(False)), "_short": F.when((c("row") == 0) | c("_named"), short)})
+    top = F.filter("_short", lambda x, i: F.coalesce(F.get(c("_short"), i + 1)["col"] != x["col"], F.lit(True)))
+    first = lambda test: F.min(F.when(test, c("row"))).over(table)
+    rows = rows.withColumns({"_head": F.max(F.when(c("row") == 0, top)).over(table), "_first": F.coalesce(first(c("_values")), first(c("_empty") & (c("row") > 0)), F.max("row").over(table) + 1), "_width": F.max("_end").over(table)})
+    again = F.coalesce(F.arrays_overlap("_short", "_head"), F.lit(False))
+    rows = rows.withColumn("header", (c("row") < c("_first")) | ((c("row") > c("_first")) & c("_named") & c("_below") & again))
+    rows = rows.withColumn("_start", F.when(c("header") & ~F.coalesce(F.lag("header").over(line), F.lit(False)), c("row")))
+    rows = rows.withColumn("scope", F.last("_start", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    wide = lambda x: (x["col_span"] == c("_width")) & (c("row") >= c("_first"))
+    none = F.slice("cells", 1, 0)
+    return rows.select(
+        "table_id", "row", "header", "scope", F.when(c("header"), c("cells")).otherwise(none).alias("heads"),
+        F.when(c("header"), none).otherwise(F.filter("cells", lambda x: ~wide(x))).alias("data"), F.when(c("header"), none).otherwise(F.filter("cells", wide)).alias("notes"),
+    )
+
+
+def _in_context(lines: DataFrame) -> DataFrame:
+    """Rows of `lines_in_roles` with what stands for them: subject, headers, units, scoped and section; and `used`: does any
+    row of the same scope have data?"""
+    c, none = F.col, F.array().cast("array<string>")
+    said = lambda x: F.trim(x["text"]) != ""
+    named = F.transform(F.filter("heads", said), lambda x: F.struct(x["text"].alias("text"), x["text"].rlike(UNIT).alias("unit")))
+    rows = lines.withColumn("_named", F.when(c("header"), named))
+    band = Window.partitionBy("table_id", "scope")
+    above = band.orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_heads": F.flatten(F.collect_list(F.when(F.size("_named") > 0, c("_named"))).over(above)), "used": F.max(F.size("data") > 0).over(band)})
+    # cells that span into later rows go there as rows of their own, and are gathered by what is there
+    span = lambda x: F.transform(F.sequence(c("row") + 1, c("row") + x["row_span"] - 1), lambda at: F.struct(at.alias("row"), F.struct(c("row").alias("row"), x["col"].alias("col"), x["text"].alias("text")).alias("_span")))
+    spans = F.flatten(F.transform(F.filter("data", lambda x: (x["row_span"] > 1) & said(x)), span))
+    kind = {n: t for n, t in lines.select("row", F.explode("data").alias("x")).select("row", "x.col").dtypes}
+    own = F.array(F.struct(c("row").alias("row"), F.lit(None).cast(f"struct<row:{kind['row']},col:{kind['col']},text:string>").alias("_span")))
+    rows = rows.withColumn("_all", F.concat(own, spans)).select(*[x for x in rows.columns if x != "row"], F.inline("_all"))
+    rows = rows.withColumn("_spans", F.sort_array(F.collect_list("_span").over(Window.partitionBy("table_id", "row")))).where("_span is null")
+    line = Window.partitionBy("table_id").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_section", F.last(F.get("notes", F.lit(0))["text"], ignorenulls=True).over(line))
+    return rows.withColumns({
+        "subject": F.get("data", F.lit(0))["text"], "headers": F.coalesce(c("_heads")["text"], none), "units": F.coalesce(F.filter("_heads", lambda x: x["unit"])["text"], none),
+        "scoped": F.coalesce(c("_spans")["text"], none), "section": F.when(F.trim("_section") != "", c("_section")),
+    })
 
 
 def row_context(cells: DataFrame) -> DataFrame:
@@ -299,18 +347,8 @@ def row_context(cells: DataFrame) -> DataFrame:
 
     Cells: table_id, row, col, text, and row_span and col_span where they differ from 1.
     """
-    cells = staged(in_roles(cells))
-    data = cells.where("role = 'data'").groupBy("table_id", "row", "scope").agg(F.min_by("text", "col").alias("subject"))
-    heads = _texts(cells.where("role = 'header'"), "table_id", "scope").withColumnRenamed("texts", "headers")
-    spans = cells.where("role = 'data' and row_span > 1").withColumn("at", F.explode(F.sequence(F.col("row") + 1, F.col("row") + F.col("row_span") - 1)))
-    spans = _texts(spans, "table_id", "at").select("table_id", F.col("at").alias("row"), F.col("texts").alias("scoped"))
-    notes = cells.where("role = 'note'").select("table_id", "row", F.col("text").alias("note"))
-    out = data.join(heads, ["table_id", "scope"], "left").join(spans, ["table_id", "row"], "left")
-    line = Window.partitionBy("table_id").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    out = out.unionByName(notes, allowMissingColumns=True).withColumn("section", F.last("note", ignorenulls=True).over(line)).where("note is null")
-    none = F.array().cast("array<string>")
-    headers = F.coalesce("headers", none)
-    return out.select("table_id", "row", "subject", headers.alias("headers"), F.filter(headers, lambda h: h.rlike(UNIT)).alias("units"), F.coalesce("scoped", none).alias("scope"), F.when(F.trim("section") != "", F.col("section")).alias("section"))
+    rows = _in_context(lines_in_roles(cells)).where(F.size("data") > 0)
+    return rows.select("table_id", "row", "subject", "headers", "units", F.col("scoped").alias("scope"), "section")
 
 
 def blank_template(cells: DataFrame, context: DataFrame) -> DataFrame:
@@ -333,22 +371,20 @@ def chunk_table_rows(cells: DataFrame) -> DataFrame:
     `fault` tells of rows that no header applies to and of rows without text; they have no chunk. A table with headers or
     notes that stand for no row has a fault row of its own, with a null row, so that nothing is lost in silence.
     """
-    context = staged(row_context(cells))
-    roles = staged(in_roles(cells))
-    body = roles.where("role = 'data'").groupBy("table_id", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda x: x["text"]), " | ").alias("body"), F.bool_and(F.col("text") == "").alias("blank"))
-    rows = context.join(body, ["table_id", "row"])
-    several = lambda c: F.when(F.size(c) > 0, F.array_join(c, " | "))
-    fault = F.when(F.size("headers") == 0, NO_HEADER).when(F.col("blank"), NO_TEXT)
-    chunk = F.concat_ws("\n", "section", several("headers"), several("units"), several("scope"), "body")
-    out = rows.withColumn("fault", fault).select("table_id", "row", F.when(F.col("fault").isNull(), chunk).alias("chunk"), "fault")
-
-    used = roles.where("role = 'data'").select("table_id", "scope").distinct()
-    loose = roles.where("role = 'header' and trim(text) <> ''").join(used, ["table_id", "scope"], "left_anti").select("table_id")
+    rows = _in_context(lines_in_roles(cells))
+    c = F.col
+    several = lambda x: F.when(F.size(x) > 0, F.array_join(x, " | "))
+    rows = rows.withColumn("fault", F.when(F.size("headers") == 0, NO_HEADER).when(F.forall("data", lambda x: x["text"] == ""), NO_TEXT))
+    chunk = F.concat_ws("\n", "section", several("headers"), several("units"), several("scoped"), F.array_join(c("data")["text"], " | "))
+    said = lambda x: F.exists(x, lambda y: F.trim(y["text"]) != "")
+    loose = c("header") & said("heads") & ~c("used")
+    rows = rows.withColumn("_next", F.when(~c("header") & (said("notes") | (F.size("notes") == 0)), F.size("notes") > 0))
+    alone = said("notes") & F.coalesce(F.expr("lead(_next) ignore nulls over (partition by table_id order by row)"), F.lit(True))
     line = Window.partitionBy("table_id").orderBy("row")
-    marks = roles.where("role <> 'header'").groupBy("table_id", "row").agg(F.bool_or(F.col("role") == "note").alias("note"), F.bool_or((F.col("role") == "note") & (F.trim("text") != "")).alias("said"))
-    alone = marks.where("said or not note").withColumn("next", F.lead("note").over(line)).where("said and coalesce(next, true)").select("table_id")
-    lost = loose.unionByName(alone).distinct().select("table_id", F.lit(None).cast(cells.schema["row"].dataType).alias("row"), F.lit(None).cast("string").alias("chunk"), F.lit(NOT_COVERED).alias("fault"))
-    return out.unionByName(lost)
+    rows = rows.withColumns({"_lost": loose | alone, "_at": F.row_number().over(line)}).withColumn("_lost", F.max("_lost").over(Window.partitionBy("table_id")))
+    own = F.struct("row", F.when(c("fault").isNull(), chunk).alias("chunk"), "fault")
+    lost = F.struct(F.lit(None).cast(cells.schema["row"].dataType).alias("row"), F.lit(None).cast("string").alias("chunk"), F.lit(NOT_COVERED).alias("fault"))
+    return rows.select("table_id", F.inline(F.array_compact(F.array(F.when(F.size("data") > 0, own), F.when(c("_lost") & (c("_at") == 1), lost)))))
 
 
 def table_window(cells: DataFrame, start: int, limit: int) -> DataFrame:
