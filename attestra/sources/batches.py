@@ -132,8 +132,8 @@ def index_sink(ledger_path: str, out_path: str, order: str, payload: str) -> Cal
 
 def encode_evidence(units: DataFrame, fields: list[str], interned: str) -> DataFrame:
     """Lossless dictionary encoding of packs: distinct values of `interned` by first use, and rows with their numbers."""
-    first = units.groupBy("pack_id", interned).agg(F.min("position").alias("first"))
-    table = first.groupBy("pack_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", interned))), lambda x: x[interned]).alias("values"))
-    rows = units.join(table, "pack_id").withColumn("number", F.array_position("values", F.col(interned)).cast("int") - 1)
-    body = rows.groupBy("pack_id", "values").agg(F.array_sort(F.collect_list(F.struct("position", "number", *fields))).alias("rows"))
+    rows = units.where("pack_id is not null").groupBy("pack_id").agg(F.sort_array(F.collect_list(F.struct("position", interned, *fields))).alias("rows"))
+    rows = rows.withColumn("values", F.array_distinct(F.col("rows")[interned]))
+    numbered = F.transform("rows", lambda x: F.struct(x["position"].alias("position"), (F.array_position("values", x[interned]).cast("int") - 1).alias("number"), *[x[f].alias(f) for f in fields]))
+    body = rows.select("pack_id", "values", F.sort_array(numbered).alias("rows"))
     return body.select("pack_id", F.to_json(F.struct(F.array(F.lit("number"), *[F.lit(f) for f in fields]).alias("fields"), F.col("values"), F.col("rows"))).alias("encoded"))
