@@ -87,7 +87,7 @@ def canonical_number(col: Column) -> Column:
     sign = F.when(compact.startswith("-"), F.lit("-")).otherwise(F.lit(""))
     body = F.regexp_replace(compact, r"^[+-]", "")
     decimal = body.rlike(r"^[^,.]*[,.](?:[^,.]{0,2}|[^,.]{4,})$")
-    return F.concat(sign, F.when(decimal, F.translate(body, ",", ".")).otherwise(body))
+    return F.when(col.rlike(r"^-?[0-9]+(?:\.[0-9]+)?$"), col).otherwise(F.concat(sign, F.when(decimal, F.translate(body, ",", ".")).otherwise(body)))
 
 
 def numeric_literals(col: Column) -> Column:

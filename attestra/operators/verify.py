@@ -32,11 +32,17 @@ def repeated_claims(claims: DataFrame) -> DataFrame:
 
 def numeric_support(claims: DataFrame, units: DataFrame) -> DataFrame:
     """Per claim, its numbers that stand in none of its own cited excerpts."""
-    source = units.select("pack_id", "evidence_id", numeric_literals(F.col("excerpt")).alias("numbers"))
-    has = cited(claims).join(source, ["pack_id", "evidence_id"]).groupBy("pack_id", "claim_id").agg(F.array_distinct(F.flatten(F.collect_list("numbers"))).alias("there"))
-    own = claims.select("pack_id", "claim_id", numeric_literals(F.col("text")).alias("numbers"))
-    missing = F.array_except("numbers", F.coalesce("there", F.array().cast("array<string>")))
-    return own.join(has, ["pack_id", "claim_id"], "left").select("pack_id", "claim_id", F.array_sort(missing).alias("missing"), (F.size(missing) == 0).alias("supported"))
+    own = claims.select("pack_id", "claim_id", numeric_literals(F.col("text")).alias("numbers"), "evidence_ids")
+    rows = own.select("pack_id", "claim_id", "numbers", F.explode_outer("evidence_ids").alias("evidence_id")).withColumn("excerpt", F.lit(None).cast("string"))
+    kind = lambda c: own.schema[c].dataType
+    given = units.select("pack_id", F.lit(None).cast(kind("claim_id")).alias("claim_id"), F.lit(None).cast("array<string>").alias("numbers"), "evidence_id", "excerpt")
+    # what a claim cites meets the excerpts in a window, not in a join: rows that are dealt by pack stay where they are
+    same = Window.partitionBy("pack_id", "evidence_id")
+    rows = rows.unionByName(given).withColumn("there", F.collect_list("excerpt").over(same)).where("claim_id is not null")
+    there = F.flatten(F.collect_list(F.when(F.col("evidence_id").isNotNull(), F.flatten(F.transform("there", numeric_literals)))))
+    rows = rows.groupBy("pack_id", "claim_id", "numbers").agg(there.alias("there"))
+    missing = F.array_sort(F.array_except("numbers", "there"))
+    return rows.select("pack_id", "claim_id", missing.alias("missing"), (F.size(missing) == 0).alias("supported"))
 
 
 def citation_groups(cells: DataFrame, scopes: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:

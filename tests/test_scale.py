@@ -27,6 +27,11 @@ def test_line_items_of_a_task_are_bounded(spark, monkeypatch):
     assert sum(tasks) == fx.table(spark, SF, "lineitem").count() and max(tasks) < 1000 and len(tasks) > int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-@pytest.mark.parametrize("name", ["v17_unit_required_ids", "v4_citation_groups", "d18_chunk_table_rows", "d12_row_context"])
+@pytest.mark.parametrize("name", ["v17_unit_required_ids", "v4_citation_groups", "d18_chunk_table_rows", "d12_row_context", "s9_encode_evidence"])
 def test_rows_are_shuffled_once(spark, name):
     assert shuffles(spark, name) == 1
+
+
+@pytest.mark.parametrize("name", ["v3_numeric_support"])
+def test_both_sides_are_shuffled_once(spark, name):
+    assert shuffles(spark, name) == 2
