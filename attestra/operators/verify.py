@@ -68,14 +68,17 @@ def citation_groups(cells: DataFrame, scopes: DataFrame | None = None, only: Dat
         more = F.transform(F.sequence(F.lit(0), F.when(F.col("as") == "subject", F.col("row_span") - 1).otherwise(0)), lambda k: F.struct((F.col("row") + k).alias("row"), (k == 0).alias("own")))
         rows = rows.withColumn("_at", F.explode(more)).withColumns({"row": F.col("_at.row"), "own": F.col("_at.own")})
 
+    asked = F.lit(True)
+    if only is not None:
+        rows = rows.withColumn("_id", F.col("unit.evidence_id")).unionByName(only.select("pack_id", F.col("evidence_id").alias("_id"), F.lit(True).alias("_only")), allowMissingColumns=True)
+        rows = rows.withColumn("_only", F.coalesce(F.max("_only").over(Window.partitionBy("pack_id", "_id")), F.lit(False))).where("`as` is not null")
+        asked = F.col("_only")
     units = lambda test: F.collect_list(F.when(test, F.col("unit")))
     data = F.struct("col", "unit", *path)
-    lines = rows.groupBy(*table, "row").agg(units(F.col("as") == "head").alias("heads"), units(F.col("as") == "subject").alias("subjects"), F.collect_list(F.when(F.col("own") & (F.col("as") != "head"), data)).alias("data"))
+    lines = rows.groupBy(*table, "row").agg(units(F.col("as") == "head").alias("heads"), units(F.col("as") == "subject").alias("subjects"), F.collect_list(F.when(asked & F.col("own") & (F.col("as") != "head"), data)).alias("data"))
     above = Window.partitionBy(*table).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.withColumn("heads", F.flatten(F.collect_list(F.when(F.size("heads") > 0, F.col("heads"))).over(above)))
     out = lines.select(*table, F.col("row").alias("data_row"), "heads", "subjects", F.explode("data").alias("d"))
-    if only is not None:
-        out = out.withColumn("trigger", F.col("d.unit.evidence_id")).join(only.select("pack_id", F.col("evidence_id").alias("trigger")), ["pack_id", "trigger"], "left_semi")
     d = F.col("d.unit")
     needed = [F.filter("heads", lambda u: (u["begin"] < d["end"]) & (d["begin"] < u["end"])), F.filter("subjects", lambda u: (u["end"] <= d["begin"]) & (u["evidence_id"] != d["evidence_id"]))]
     if path:
@@ -103,9 +106,13 @@ def row_options(cells: DataFrame) -> DataFrame:
 
 def numeric_table_context(claims: DataFrame, units: DataFrame, groups: DataFrame) -> DataFrame:
     """Claims that state a number of a cited table cell without citing the context that the cell needs."""
-    asked = claims.select("pack_id", "claim_id", "evidence_ids", "text", F.explode("evidence_ids").alias("trigger"))
-    cited_cells = asked.join(groups.select("pack_id", "trigger", "required"), ["pack_id", "trigger"]).join(units.select("pack_id", F.col("evidence_id").alias("trigger"), "excerpt"), ["pack_id", "trigger"])
-    hit = cited_cells.where(F.arrays_overlap(numeric_literals(F.col("text")), numeric_literals(F.col("excerpt"))))
+    asked = claims.select("pack_id", "claim_id", "evidence_ids", numeric_literals(F.col("text")).alias("said"))
+    asked = asked.withColumn("trigger", F.explode("evidence_ids"))
+    rows = asked.unionByName(groups.select("pack_id", "trigger", "required"), allowMissingColumns=True).unionByName(units.select("pack_id", F.col("evidence_id").alias("trigger"), "excerpt"), allowMissingColumns=True)
+    same = Window.partitionBy("pack_id", "trigger")  # in place of two joins: rows that are dealt by pack stay where they are
+    rows = rows.withColumns({"groups": F.collect_list("required").over(same), "excerpts": F.collect_list("excerpt").over(same)}).where("claim_id is not null and trigger is not null and size(groups) > 0")
+    hit = rows.select("pack_id", "claim_id", "trigger", "evidence_ids", "groups", F.explode(F.filter("excerpts", lambda x: F.arrays_overlap("said", numeric_literals(x)))))
+    hit = hit.select("pack_id", "claim_id", "trigger", "evidence_ids", F.explode("groups").alias("required"))
     return hit.withColumn("missing", F.array_sort(F.array_except("required", "evidence_ids"))).where(F.size("missing") > 0).select("pack_id", "claim_id", "trigger", "missing")
 
 
@@ -280,13 +287,16 @@ def variant_groups(options: DataFrame) -> DataFrame:
     word: each subject is listed under every one of its words, so the join is on (bucket, word), not on all pairs.
     """
     bucket = ["pack_id", *[c for c in BUCKET if c in options.columns]]
-    rows = staged(options.select(*bucket, "option", plain_words(F.col("subject")).alias("w")).where(F.size("w") >= 2))
-    base = rows.select(*bucket, F.col("option").alias("base"), F.col("w").alias("bw"), F.col("w")[0].alias("word"))
-    listed = rows.select(*bucket, "option", "w", F.explode(F.array_distinct("w")).alias("word"))
+    rows = options.select(*bucket, "option", plain_words(F.col("subject")).alias("w")).where(F.size("w") >= 2).dropna(subset=bucket)
+    same = Window.partitionBy(*bucket, "word")
+    rows = rows.repartition("pack_id").withColumn("word", F.explode(F.array_distinct("w")))
+    rows = rows.withColumn("bases", F.collect_list(F.when(F.col("word") == F.col("w")[0], F.struct("option", "w"))).over(same))
     run = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    hit = base.join(listed, [*bucket, "word"]).where((F.size("w") > F.size("bw")) & F.contains(run("w"), run("bw")))
-    inner = hit.select("pack_id", F.col("option").alias("base")).distinct()
-    groups = hit.join(inner, ["pack_id", "base"], "left_anti").groupBy("pack_id", "base").agg(F.collect_set("option").alias("refined"))
+    held = F.filter("bases", lambda x: (F.size("w") > F.size(x["w"])) & F.contains(run(F.col("w")), run(x["w"])))
+    hit = rows.select("pack_id", "option", F.explode(held["option"]).alias("base"))
+    # a hit counts for its base, and shows that its option is a member
+    hit = hit.select("pack_id", F.inline(F.array(F.struct(F.col("base").alias("base"), F.col("option").alias("refined")), F.struct(F.col("option").alias("base"), F.lit(None).cast(options.schema["option"].dataType).alias("refined")))))
+    groups = hit.groupBy("pack_id", "base").agg(F.collect_set("refined").alias("refined"), F.bool_or(F.col("refined").isNull()).alias("inner")).where("not inner")
     return groups.select("pack_id", "base", F.array_sort(F.array_append("refined", F.col("base"))).alias("members"))
 
 
@@ -302,13 +312,15 @@ def missing_variants(questions: DataFrame, claims: DataFrame, options: DataFrame
     none = F.array().cast("array<string>")
     cited = claims.groupBy("pack_id").agg(F.array_distinct(F.flatten(F.collect_list("evidence_ids"))).alias("cited"))
     asked = questions.select("pack_id", plain_words(F.col("question")).alias("asked"), F.regexp_extract_all(comparable(F.col("question")), F.lit('["«“](.*?)["»”]'), F.lit(1)).alias("quoted"))
-    rows = groups.where(F.size("members") > 1).select("pack_id", "base", F.explode("members").alias("option")).join(options, ["pack_id", "option"])
+    rows = options.select("pack_id", "option", "row", "subject", "subjects", "values", "complete").withColumn("base", F.lit(None).cast(groups.schema["base"].dataType))
+    rows = rows.unionByName(groups.where(F.size("members") > 1).select("pack_id", "base", F.explode("members").alias("option")), allowMissingColumns=True)
+    rows = rows.withColumn("bases", F.collect_list("base").over(Window.partitionBy("pack_id", "option"))).where("base is null").withColumn("base", F.explode("bases")).drop("bases")
     rows = rows.withColumns({"words": F.array_distinct(plain_words(F.col("subject"))), "said": comparable(F.col("subject"))}).join(cited, "pack_id").join(asked, "pack_id")
     group = Window.partitionBy("pack_id", "base")
-    rows = staged(rows.withColumn("touched", F.max(F.arrays_overlap("cited", "values")).over(group)).where("touched"))
-    own = rows.select("pack_id", "base", "option", F.explode("words").alias("word")).withColumn("n", F.count("*").over(Window.partitionBy("pack_id", "base", "word"))).where("n = 1")
-    own = own.groupBy("pack_id", "base", "option").agg(F.collect_list("word").alias("own"))
-    rows = rows.join(own, ["pack_id", "base", "option"], "left").withColumn("own", F.coalesce("own", none))
+    rows = rows.withColumn("touched", F.max(F.arrays_overlap("cited", "values")).over(group)).where("touched")
+    plain = [c for c in rows.columns if c not in ("pack_id", "base", "option", "touched")]
+    rows = rows.withColumn("word", F.explode_outer("words")).withColumn("n", F.count("*").over(Window.partitionBy("pack_id", "base", "word")))
+    rows = rows.groupBy("pack_id", "base", "option").agg(*[F.first(c).alias(c) for c in plain], F.collect_list(F.when(F.col("n") == 1, F.col("word"))).alias("own"))
     by_words = (F.col("option") != F.col("base")) & (F.size("own") > 0) & (F.size(F.array_except("own", "asked")) == 0)
     chosen = F.coalesce(((F.col("said") != "") & F.array_contains("quoted", F.col("said"))) | by_words, F.lit(False))
     rows = rows.withColumn("chosen", chosen).withColumn("some", F.max("chosen").over(group)).where("chosen or not some")
