@@ -32,6 +32,10 @@ def test_rows_are_shuffled_once(spark, name):
     assert shuffles(spark, name) == 1
 
 
-@pytest.mark.parametrize("name", ["v3_numeric_support"])
+@pytest.mark.parametrize("name", ["v3_numeric_support", "v6_variant_groups"])
 def test_both_sides_are_shuffled_once(spark, name):
     assert shuffles(spark, name) == 2
+
+
+def test_numeric_context_shuffles_line_items_only(spark):
+    assert shuffles(spark, "v7_numeric_table_context") <= 5
