@@ -292,37 +292,65 @@ def linked(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 
 
 def _listed(p: int, q: int):
-    """For pivots a and nodes b: the first items that only one of the two has, as many as `apart` asks for.
+    """For pivots a and nodes b: the items that only one of the two has, with those marked that `apart` joins.
 
     Items that the pivot lacks come first, then those that the node lacks, each by hash: one order for all of a pivot.
+    `lead` marks the first, as many as the node must compare for any partner. A node is `near` if it differs from the
+    pivot by up to twice as much as from a partner. All items are given of near nodes and of whatever can be a partner
+    of one, only the marked ones of nodes farther off.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 200):
                 b = batch.slice(at, 200)
-                items, number, d, n = [np.empty(0, U)], [], [], []
+                items, number, leading, nodes = [np.empty(0, U)], [], [], []
                 for x, y, inside in zip(b["x"], b["y"], pc.equal(b["root_a"], b["root_b"]).to_pylist(), strict=True):
                     x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                     own, gone = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
                     n_a, n_b, size = len(x), len(y), len(own) + len(gone)
                     most = (n_b + n_b * q // p) * (q - p) // (q + p)  # differences allowed to any partner of the node
                     nearest = (-(-n_b * p // q) + n_a) * (q - p) // (q + p) + 1  # of a node outside to the pivot, at least
-                    length = size + (most - nearest - size) // 2 + 1 if inside else min(size, most + 1)
-                    items.append(np.concatenate([own, gone])[: max(0, length)])
+                    widest = n_b * q // p
+                    farthest = 2 * ((widest + widest * q // p) * (q - p) // (q + p)) + most  # of a partner of a near node
+                    lead = max(0, size + (most - nearest - size) // 2 + 1 if inside else min(size, most + 1))
+                    items.append(np.concatenate([own, gone])[: (size if size <= farthest else lead) if lead else 0])
                     number.append(len(items[-1]))
-                    d.append(size)
-                    n.append(n_b)
+                    leading.append(lead)
+                    nodes.append((n_b, size, most, nearest if inside else size - most))
                 number = np.array(number)
                 row = np.repeat(np.arange(len(b)), number)
                 place = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
-                left = np.array(d)[row] - place
-                columns = [b["a"].take(pa.array(row)), pa.array(np.concatenate(items).view(np.int64)), b["b"].take(pa.array(row)), b["root_b"].take(pa.array(row))]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v.astype(np.int32)) for v in (np.array(n)[row], np.array(d)[row], left))], ["a", "item", "node", "root", "n", "d", "left"])
+                n, d, most, least = np.array(nodes, np.int32).reshape(-1, 4).T[:, row]
+                at_row = pa.array(row)
+                columns = [b["a"].take(at_row), pa.array(np.concatenate(items).view(np.int64)), b["b"].take(at_row), b["root_b"].take(at_row)]
+                marks = [pa.array(place < np.array(leading)[row]), pa.array(d <= 2 * most)]
+                numbers = [pa.array(v.astype(np.int32)) for v in (n, d, d - place, most, least)]
+                yield pa.RecordBatch.from_arrays([*columns, *marks, *numbers], LISTED_NAMES)
 
     return run
 
 
+#: least: what a partner of the node differs by from the pivot, at least
+LISTED = "a long, item long, node long, root long, lead boolean, near boolean, n int, d int, left int, most int, least int"
+LISTED_NAMES = [c.split()[0] for c in LISTED.split(", ")]
+
+
+def fitting(listed: DataFrame) -> DataFrame:
+    """`listed` without what cannot be shared, and `own`: how many of its items a node can share (null: not all are given).
+
+    An item that only nodes of one component have is shared with no other. A near node goes if it is left with fewer
+    items than it has to share with any partner.
+    """
+    same = Window.partitionBy("a", "item")
+    rows = staged(listed.withColumns({"r0": F.min("root").over(same), "r1": F.max("root").over(same)}).where("r0 <> r1").drop("r0", "r1"))
+    nodes = rows.groupBy("a", "node").agg(F.count("*").alias("own"), *[F.first(c).alias(c) for c in ("near", "d", "most", "least")])
+    nodes = nodes.where("not near or 2 * own >= d + least - most").select("a", "node", F.when(F.col("near"), F.col("own")).alias("own"))
+    out = staged(rows.where("lead").join(nodes, ["a", "node"]))
+    spent(rows)
+    return out
+
+
 def with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """`pairs` (a, b) with root_a and root_b; a node without links is its own root."""
     place = lambda node, root: roots.select(F.col("node").alias(node), F.col("root").alias(root))
@@ -338,7 +366,8 @@ def apart(stars: DataFrame, edges: DataFrame, sets: DataFrame, roots: DataFrame,
     is a join of small sets with prefix filtering: what the pivot lacks comes first, and a node lists as many as it must
     for any partner. A node outside the pivot's component lists at most D + 1 items; one inside needs to share more than
     half of its own with a node outside, so it lists less than half, mostly items that nobody else has. Positions in the
-    lists bound what two nodes can still share.
+    lists, and the number of a node's items that are not its component's alone, bound what two nodes can still share;
+    `fitting` leaves out nodes by the latter first, as copies changed each in its own way have little in common.
 
     Jaccard distance is a metric: a node linked with the pivot is linked with none that is more than twice as far from
     the pivot (level 0), so linked nodes list nothing where all nodes outside are so far. stars: a, b and level, null
@@ -350,15 +379,11 @@ def apart(stars: DataFrame, edges: DataFrame, sets: DataFrame, roots: DataFrame,
     mixed = kept.groupBy("a").agg(F.min("root_b").alias("r0"), F.max("root_b").alias("r1")).where("r0 <> r1").select("a")
     rows = staged(kept.join(mixed, "a", "left_semi").select("a", "b", "root_a", "root_b"))
     left, right = (sets.select(F.col("node").alias(n), F.col("items").alias(i)) for n, i in (("a", "x"), ("b", "y")))
-    listed = rows.join(left, "a").join(right, "b").mapInArrow(_listed(p, q), "a long, item long, node long, root long, n int, d int, left int")
-    listed = staged(listed)
-    # An item that only nodes of one component list tells nothing.
-    across = listed.groupBy("a", "item").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("a", "item")
-    listed = staged(listed.join(across, ["a", "item"], "left_semi"))
-    other = listed.select("a", "item", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "n", "d", "left")])
+    listed = fitting(rows.join(left, "a").join(right, "b").mapInArrow(_listed(p, q), LISTED))
+    other = listed.select("a", "item", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "n", "d", "left", "own")])
     # At their first common item, what is left of either must hold all that the two have to share.
     shared = F.ceil((F.col("d") + F.col("other_d") - F.floor((F.col("n") + F.col("other_n")) * (q - p) / (q + p))) / 2)
-    near = (F.col("node") < F.col("other_node")) & (F.col("root") != F.col("other_root")) & (shared <= F.least("left", "other_left"))
+    near = (F.col("node") < F.col("other_node")) & (F.col("root") != F.col("other_root")) & (shared <= F.least("left", "other_left", "own", "other_own"))
     pairs = listed.join(other.withColumnsRenamed({"a": "_a", "item": "_item"}), (F.col("a") == F.col("_a")) & (F.col("item") == F.col("_item")) & near)
     return pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
 

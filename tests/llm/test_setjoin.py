@@ -116,6 +116,30 @@ def test_bounds_of_sketches_are_bounds(spark):
     assert sum(v == 0 for v in got.values()) > len(pairs) // 2
 
 
+def test_copies_changed_in_ways_of_their_own_are_no_candidates(spark, monkeypatch):
+    """All are near one text, and some linked with it, but no two of the others can be linked: few pairs are compared."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 161):
+        ws = list(base)
+        for k in rng.sample(range(7), 1 if i <= 40 else 4):
+            ws[20 * k + 8 + rng.randrange(5)] = f"x{i}y{k}"
+        rows.append((i, " ".join(ws)))
+    counted, apart = [], setjoin.apart
+
+    def counting(*a):
+        pairs = apart(*a)
+        counted.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(setjoin, "apart", counting)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = setjoin.near_groups(df, 5, (80, 100)).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, out.collect())) == brute(rows, 5, Fraction(4, 5))
+    assert counted[0] < len(rows)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(500, 100 + i) for i in range(50)] + [(7, 7), (900, 901), (901, 900)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
