@@ -10,8 +10,8 @@ Counts cover all training documents, and nothing is left out for being rare in a
 keyed by 64-bit hashes of word sequences, and grows with the corpus. A text's gain over the root is a sum over its word
 sequences: each adds what it stores as a next word, over what its parent gives, and the mass that it leaves as a
 context. So a text needs one look-up for each of its sequences. Tasks hold the frequent ones and a filter of fixed size
-that tells most sequences without entry; the others are listed with the text and found by a join. Both only decide where
-an entry is found.
+that tells most sequences without entry; the others are listed with the text and found by joins, a lot of hashes at a
+time, so that only a lot's share of them is on the way between tasks. These only decide where an entry is found.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ DEPTH = 3
 HOT_WORDS, HOT_SEQUENCES = 1_000_000, 2_000_000  # so many of the most frequent are looked up in tasks, at most
 FOLDS, HELD = 7, 2
 POSITIONS = 4_000_000  # that a task counts together
+LOTS = 8  # of hashes, by their low bits; what tasks do not hold is looked up one lot after another
 STEP = U(0x9E3779B97F4A7C15)  # odd; the hash of a sequence is that of all but its last word * STEP + that of the last
 END = U(0x51A7E5EE0DD5EED5)  # stands for the hash of the end token
 
@@ -123,8 +124,8 @@ def frequent(table: DataFrame, most: int, least: int) -> int:
 class Tree:
     """Frequent words with their log10 root probabilities, and frequent sequences by their hash.
 
-    hot has log10 of the mass that a sequence leaves as a context, and of what it adds as a next word to its parent's
-    probability and that mass.
+    hot has the sum of log10 of the mass that a sequence leaves as a context, and of what it adds as a next word to its
+    parent's probability and that mass.
     """
 
     root: Sparse
@@ -200,6 +201,7 @@ def grow(docs: DataFrame) -> tuple[Tree, DataFrame, DataFrame, int, tuple[DataFr
     hot_word = frequent(table, HOT_WORDS, 1)
     often = table.where(F.col("n") >= hot_word).toArrow()
     tree = Tree(Sparse(often["key"].to_numpy(), np.log10(often["n"].to_numpy() + 1.0) - unit), unit)
+    del often
     zero = F.lit(0.0)
     before = table.where(F.col("n") >= LEAST).select("key", F.lit(0).cast("long").alias("parent_key"), F.col("key").alias("next"), "n", (F.log10(F.col("n") + 1) - unit).alias("root"), zero.alias("value"), zero.alias("delta"))
     sequences, parts = [], []
@@ -216,21 +218,24 @@ def grow(docs: DataFrame) -> tuple[Tree, DataFrame, DataFrame, int, tuple[DataFr
     whole = staged(sequences)
     spent(*parts)
     sequences = whole.withColumn("hot", F.col("n") >= frequent(whole.where("mass + delta <> 0"), HOT_SEQUENCES, LEAST))
-    held = sequences.where("hot and mass + delta <> 0").select("key", "mass", "delta").toArrow()
-    tree.hot = Sparse(held["key"].to_numpy(), held["mass"].to_numpy(), held["delta"].to_numpy())
+    held = sequences.where("hot and mass + delta <> 0").select("key", (F.col("mass") + F.col("delta")).alias("value")).toArrow()
+    tree.hot = Sparse(held["key"].to_numpy(), held["value"].to_numpy())
+    del held
+    pa.default_memory_pool().release_unused()  # the driver's memory is small
     return tree, sequences, table.withColumn("hot", F.col("n") >= hot_word), total, (table, whole)
 
 
-SCORED = "doc_id long, n_tokens long, n_known long, base double, gain double, keys array<long>"
+NAMES = ["doc_id", "n_tokens", "n_known", "base", "gain", *[f"keys_{lot}" for lot in range(LOTS)]]
+SCORED = "doc_id long, n_tokens long, n_known long, base double, gain double" + "".join(f", {c} array<long>" for c in NAMES[5:])
 
 
 def _score(sent_):
-    """Sums by what tasks hold, and the keys of each text that may have an entry elsewhere, as often as they occur."""
+    """Sums by what tasks hold, and the keys of each text that may have an entry elsewhere, by lot, as often as they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, cold = sent_.value
         root = tree.root
-        value = tree.hot.values[0] + tree.hot.values[1]
+        value = tree.hot.values[0]
         for b in batches:
             for k in range(0, len(b), 500):
                 word, place, text = positions(b["text"].slice(k, 500))
@@ -252,11 +257,14 @@ def _score(sent_):
                     more = np.nonzero(missing & cold.may_have(found))[0]
                     asked.append((text[here[more]], found[more]))
                 doc, keys = (np.concatenate(x) for x in zip(*asked, strict=True))
-                order = np.argsort(doc, kind="stable")
-                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=docs))])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[order].view(np.int64)))
+                lot = (keys & U(LOTS - 1)).astype(np.int64)
+                place = lot * docs + doc
+                keys = keys[np.argsort(place, kind="stable")].view(np.int64)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=LOTS * docs))])
+                cuts = [ends[lot * docs : (lot + 1) * docs + 1] for lot in range(LOTS)]
+                lists = [pa.ListArray.from_arrays(pa.array(c - c[0], pa.int32()), pa.array(keys[c[0] : c[-1]])) for c in cuts]
                 numbers = [pa.array(x) for x in (np.bincount(text, minlength=docs), known, base, gain)]
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(k, docs), *numbers, lists], ["doc_id", "n_tokens", "n_known", "base", "gain", "keys"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(k, docs), *numbers, *lists], NAMES)
 
     return run
 
@@ -276,9 +284,15 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     entries = rare.unionByName(cold.select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), (F.col("mass") + F.col("delta")).alias("value")))
     sent = df.sparkSession.sparkContext.broadcast((tree, Filter(entries)))
     parts = staged(docs.mapInArrow(_score(sent), SCORED).withColumn("row", F.monotonically_increasing_id()))
-    asked = parts.select("row", F.explode("keys").alias("key")).join(entries.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("known", "base", "value")]), "key")
-    more = staged(asked.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("value").alias("more_gain")))
-    spent(*tables)
+    lots = []
+    for lot in range(LOTS):  # the shuffle files of a lot go before the next one's are written
+        there = entries.where(F.col("key").bitwiseAND(LOTS - 1) == lot).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("known", "base", "value")])
+        asked = parts.select("row", F.explode(f"keys_{lot}").alias("key")).join(there, "key")
+        lots.append(staged(asked.groupBy("row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("value").alias("value"))))
+    more = reduce(DataFrame.unionByName, lots).groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("value").alias("more_gain"))
+    more, numbers = staged(more), staged(parts.drop(*NAMES[5:]))
+    spent(*tables, *lots, parts)
+    parts = numbers
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     base = plus("base", "more_base")
     return parts.join(more, "row", "left").select(

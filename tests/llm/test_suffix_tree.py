@@ -111,3 +111,25 @@ def test_rare_contexts_of_a_large_corpus_are_kept_and_found(spark, monkeypatch):
         got = {r.doc_id: (r.score, r.base_score) for r in st.score_texts(docs).collect()}
         assert {i: s for i, (s, _) in got.items()} == pytest.approx(want)
         assert sum(s > b + 2 for s, b in got.values()) == 7
+
+
+def test_what_tasks_do_not_hold_is_looked_up_in_lots(spark, monkeypatch):
+    texts = ["q1 q2 q3 q4 q5"] * 7 + [" ".join(f"f{i}" for i in range(k, k + 100)) for k in range(0, 400, 100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r.doc_id: r.score for r in st.score_texts(docs).collect()}
+    monkeypatch.setattr(st, "HOT_WORDS", 0)
+    monkeypatch.setattr(st, "HOT_SEQUENCES", 0)
+    lots, staged = {}, st.staged
+
+    def watched(df):
+        out = staged(df)
+        for name in out.columns:
+            if name.startswith("keys"):
+                lots[name] = [k for r in out.select(name).collect() for k in r[0]]
+        return out
+
+    monkeypatch.setattr(st, "staged", watched)
+    assert {r.doc_id: r.score for r in st.score_texts(docs).collect()} == pytest.approx(want)
+    every = sum(map(len, lots.values()))
+    assert every > 400 and max(map(len, lots.values())) < every / 3
+    assert len({frozenset(k % 8 for k in keys) for keys in lots.values()}) == 8
