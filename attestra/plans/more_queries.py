@@ -9,7 +9,6 @@ from attestra.operators import catalog as ct, lines as ln, tree as tr, verify as
 from attestra.plans import fixtures as fx
 from attestra.plans.book import query
 from attestra.plans.catalog_queries import NOW, STATES, now
-from attestra.plans.staging import staged
 from attestra.plans.structure_queries import COLUMNS
 from attestra.streaming import events as ev
 
@@ -193,7 +192,7 @@ w AS (SELECT c.pack_id, kind, at1, start, list(c.id ORDER BY CASE WHEN o.positio
 SELECT pack_id, start, ids FROM w WHERE len(ids) <= 8 QUALIFY row_number() OVER (PARTITION BY pack_id, ids ORDER BY kind, at1, start) = 1""")
 def citation_closure(spark, sf):
     """Cells need the header above and the subject of their row; rows are cited whole, with two of their headers."""
-    u = staged(fx.units(spark, sf).withColumn("position", F.col("row") * 5 + F.col("col")))
+    u = fx.units(spark, sf).withColumn("position", F.col("row") * 5 + F.col("col"))
     head, side = F.concat(F.lit("0-"), F.col("col").cast("string")), F.concat(F.col("row").cast("string"), F.lit("-0"))
     beside = F.when(F.col("col") > 0, F.array(side)).otherwise(F.array().cast("array<string>"))
     groups = u.where("row > 0").select("pack_id", F.col("evidence_id").alias("trigger"), F.concat(F.array(head), beside).alias("required"), beside.alias("subjects"))

@@ -39,3 +39,12 @@ def test_both_sides_are_shuffled_once(spark, name):
 
 def test_numeric_context_shuffles_line_items_only(spark):
     assert shuffles(spark, "v7_numeric_table_context") <= 5
+
+
+def test_closures_of_packs_write_nothing_and_shuffle_line_items_only(spark):
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    names = lambda: set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    before = names()
+    plan = book.QUERIES["v12_citation_closure"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert names() == before and "Join" not in plan
+    assert set(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == {"l_orderkey"}
