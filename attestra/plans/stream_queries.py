@@ -82,7 +82,7 @@ def job_states(spark, sf):
 
 @query("r1_job_log_stream", JOB_STATES)
 def job_states_stream(spark, sf):
-    """The log comes up to twelve hours out of order; leases end by timers."""
+    """The log comes up to twelve hours out of order; leases end by timeouts."""
     return jobs.latest(arriving(job_log(spark, sf), 43_200, lambda s: jobs.job_log(s, "1 day")))
 
 
@@ -152,7 +152,7 @@ def publication_effects(spark, sf):
 
 @query("l2_publication_effects_stream", EFFECTS)
 def publication_effects_stream(spark, sf):
-    """Requests come up to thirty days out of order; operations are forgotten by timers."""
+    """Requests come up to thirty days out of order; operations are forgotten by timeouts."""
     return arriving(requests(spark, sf), 30 * 86_400, lambda s: publications.publication_effects(s, YEAR, "40 days"))
 
 

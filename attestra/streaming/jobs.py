@@ -1,4 +1,4 @@
-"""Jobs under leases: the state of each after its log of commands, in batch and as a stream whose timers end leases.
+"""Jobs under leases: the state of each after its log of commands, in batch and as a stream whose timeouts end leases.
 
 A log row is (aggregate_id, sequence, ts, kind, epoch, stage, processed, total, seconds, retryable). An `acquired` row
 opens a lease of `seconds` with the next epoch; writes must name that epoch and come before the lease ends. `failed`
@@ -33,7 +33,7 @@ def _clean(log: DataFrame) -> DataFrame:
 class Jobs(InOrder):
     """One row for each job that a batch touches, and one when its lease has ended."""
 
-    ROW, STATE, ZERO = ROW, STATE, ZERO
+    ROW, ZERO = ROW, ZERO
     OUT = "aggregate_id long, status string, stage string, attempt long, epoch long, processed long, total long, lease_until long, applied long, rejected long, error string, expired boolean"
 
     def take(self, state, row):

@@ -19,45 +19,39 @@ def _clean(requests: DataFrame) -> DataFrame:
 
 
 class Publications(InOrder):
-    """Effects of each request. Applied operations are kept in a map until the watermark is `remember` seconds past them."""
+    """Effects of each request. The state is the publication, its version, the revision, the time of the oldest applied
+    operation that is kept, and these by their ids, until the watermark is `remember` seconds past them."""
 
-    ROW, STATE = ROW, "publication long, version long, revision long, oldest long"
-    OUT, ZERO = f"doc_id long, sequence long, {EFFECTS}", (NONE, NONE, 0, NONE)
+    ROW, OUT = ROW, f"doc_id long, sequence long, {EFFECTS}"
 
     def __init__(self, remember: int):
         self.micros = remember * 1_000_000
 
-    def init(self, handle):
-        super().init(handle)
-        self.done = handle.getMapState("done", "operation_id long", "at long, version long, generation long, expected long")
+    def zero(self):
+        return NONE, NONE, 0, None, {}
 
     def take(self, state, row):
-        (publication, version, revision, oldest), (sequence, at, operation, new, generation, expected, ready, active, archived, revoked) = state, row
+        (publication, version, revision, oldest, done), (sequence, at, operation, new, generation, expected, ready, active, archived, revoked) = state, row
         give = lambda outcome, of=NONE, retired=NONE, superseded=NONE, seen=False, number=revision: [(sequence, operation, outcome, of, retired, superseded, seen, number)]
-        known = self.done.getValue((operation,)) if oldest != NONE else None
+        known = done.get(str(operation))
         if known is not None and at - known[0] <= self.micros:
-            return state, give("replay", operation) if tuple(known[1:]) == (new, generation, expected) else give("IDEMPOTENCY_CONFLICT")
+            return state, give("replay", operation) if known[1:] == [new, generation, expected] else give("IDEMPOTENCY_CONFLICT")
         if expected != publication:
             return state, give("VERSION_CONFLICT")
         if revoked:
             return state, give("SOURCE_REVOKED")
         if not ready:
             return state, give("GENERATION_NOT_READY")
-        self.done.updateValue((operation,), (at, new, generation, expected))
-        oldest = at if oldest == NONE else min(at, oldest)
-        return (operation, new, revision + 1, oldest), give("applied", operation, publication, version if version != new else NONE, active and not archived, revision + 1)
+        done[str(operation)] = [at, new, generation, expected]
+        oldest = at if oldest is None else min(at, oldest)
+        return (operation, new, revision + 1, oldest, done), give("applied", operation, publication, version if version != new else NONE, active and not archived, revision + 1)
 
     def alarm(self, state):
-        return (state[3] + self.micros) // 1000 + 1 if state[3] != NONE else None
+        return (state[3] + self.micros) // 1000 + 1 if state[3] is not None else None
 
     def rung(self, state, now):
-        kept = []
-        for (operation,), (at, *_) in list(self.done.iterator()):
-            if (at + self.micros) // 1000 < now:
-                self.done.removeKey((operation,))
-            else:
-                kept.append(at)
-        return (*state[:3], min(kept, default=NONE)), []
+        kept = {operation: x for operation, x in state[4].items() if (x[0] + self.micros) // 1000 >= now}
+        return (*state[:3], min((x[0] for x in kept.values()), default=None), kept), []
 
 
 def _step(micros: int):

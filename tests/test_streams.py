@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestra.sources import batches
-from attestra.streaming import events, jobs, publications
+from attestra.streaming import events, jobs, ordered, publications
 
 JOB = "aggregate_id long, sequence long, at double, kind string, epoch long, stage string, processed long, total long, seconds long, retryable boolean"
 
@@ -179,3 +179,15 @@ def test_sets_of_many_files_are_not_cut(spark):
     finally:
         spark.conf.set("spark.sql.files.maxRecordsPerFile", before)
     same(got, publications.publication_effects(df, year))
+
+
+def test_keys_of_a_stream_share_calls(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKETS", 8)
+    year = 365 * 86_400
+    df = spark.range(3000).selectExpr("id as doc_id", "1 + id % 2 as sequence", "timestamp_seconds(1600000000 + id) as ts", "id as operation_id", "id as version_id", "id as generation_id", "-1L as expected", "true as ready", "true as active", "false as archived", "false as revoked")
+    rows = df.unionByName(df.withColumn("sequence", 3 - F.col("sequence")))
+    rows.write.parquet(f"{tmp_path}/in")
+    q = publications.publication_effects(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), year, "1 day").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    same(spark.read.parquet(f"{tmp_path}/out"), publications.publication_effects(rows, year))
+    assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators) == 8  # one for each key before
