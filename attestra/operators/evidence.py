@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.hashing import canonical_json, sha256, uuid5
-from attestra.functions.text import subject
+from attestra.functions.text import subject, word_prefix
 from attestra.operators.intervals import islands, overlap_join
-from attestra.operators.layout import in_roles
-from attestra.operators.verify import contrast_rows
+from attestra.operators.layout import lines_in_roles
 from attestra.plans.staging import staged
 
 TOO_LARGE, LIMIT = "ATOMIC_CONTEXT_TOO_LARGE", "EXPANSION_LIMIT"
@@ -127,19 +126,29 @@ def expand_rows(hits: DataFrame, cells: DataFrame) -> DataFrame:
     it ends (table); cells above that span into one of these rows (scope); and all headers and notes of the table. A cell
     that comes in several ways keeps the first of these. cells: as for `row_context`.
     """
-    roles = staged(in_roles(cells).select("table_id", "row", "col", "row_span", "text", "role"))
-    subjects = roles.where("role = 'data'").groupBy("table_id", "row").agg(subject(F.min_by("text", "col")).alias("subject"))
-    pairs = contrast_rows(subjects.withColumnRenamed("table_id", "pack_id"))
-    beside = pairs.select(F.col("pack_id").alias("table_id"), "row", F.col("next_row").alias("other")).unionByName(pairs.select(F.col("pack_id").alias("table_id"), F.col("next_row").alias("row"), F.col("row").alias("other")))
-    own = hits.select("hit_id", "table_id", "row").distinct()
-    near = own.join(beside, ["table_id", "row"]).select("hit_id", "table_id", F.col("other").alias("row"))
-    chosen = staged(own.withColumn("rank", F.lit(0)).unionByName(near.withColumn("rank", F.lit(1))))
-    said = roles.where(F.trim("text") != "")
-    data = said.where("role = 'data'").drop("role")
-    spans = data.where("row_span > 1").withColumn("at", F.explode(F.sequence(F.col("row") + 1, F.col("row") + F.col("row_span") - 1)))
-    spans = spans.select("table_id", F.col("at").alias("_row"), "row", "col").join(chosen.select("hit_id", "table_id", F.col("row").alias("_row")), ["table_id", "_row"]).select("hit_id", "table_id", "row", "col", F.lit(2).alias("rank"))
-    around = said.where("role <> 'data'").join(own.select("hit_id", "table_id").distinct(), "table_id").select("hit_id", "table_id", "row", "col", F.when(F.col("role") == "header", 3).otherwise(4).alias("rank"))
-    found = chosen.join(data, ["table_id", "row"]).select("hit_id", "table_id", "row", "col", "rank").unionByName(spans).unionByName(around)
+    c = F.col
+    said = lambda x: F.trim(x["text"]) != ""
+    spots = lambda name, rank: F.transform(F.filter(name, said), lambda x: F.struct(c("row").alias("row"), x["col"].alias("col"), F.lit(rank).alias("rank")))
+    lines = lines_in_roles(cells)
+    # rows, hits and spanning cells meet in windows over a table's rows, not in joins
+    rows = lines.select("table_id", "row", subject(F.get("data", F.lit(0))["text"]).alias("subject"), spots("data", 0).alias("own"), F.concat(spots("heads", 3), spots("notes", 4)).alias("around"))
+    rows = rows.unionByName(hits.select("table_id", "row", "hit_id").distinct(), allowMissingColumns=True)
+    here, spans = Window.partitionBy("table_id", "row"), []
+    if "row_span" in cells.columns:
+        into = lines.select("table_id", "row", F.explode(F.filter("data", lambda x: (x["row_span"] > 1) & said(x))).alias("x"))
+        into = into.select("table_id", F.explode(F.sequence(c("row") + 1, c("row") + c("x.row_span") - 1)).alias("at"), F.struct("row", "x.col", F.lit(2).alias("rank")).alias("span"))
+        rows = rows.unionByName(into.withColumnRenamed("at", "row"), allowMissingColumns=True).withColumn("spans", F.collect_list("span").over(here))
+        spans = ["spans"]
+    rows = rows.withColumn("data", F.when(c("subject").isNotNull(), F.struct("row", "subject", "own", *spans)))  # a row without data has no subject
+    beside = lambda way: F.expr(f"{way}(data) ignore nulls over (partition by table_id order by row)")
+    rows = rows.withColumns({"_before": beside("lag"), "_after": beside("lead")})
+    alike = lambda other: F.when(word_prefix(c(f"{other}.subject"), c("data.subject")), c(other))
+    rows = rows.withColumn("near", F.when(c("data").isNotNull(), F.array_compact(F.array(alike("_before"), alike("_after")))))
+    rows = rows.withColumns({x: F.first(x, ignorenulls=True).over(here) for x in ("data", "near")}).where("hit_id is not null or size(around) > 0")
+    rows = rows.withColumn("around", F.flatten(F.collect_list("around").over(Window.partitionBy("table_id")))).where("hit_id is not null")
+    some = lambda x: F.coalesce(x, F.slice("around", 1, 0))
+    ranked = lambda xs, rank: F.transform(xs, lambda x: F.struct(x["row"].alias("row"), x["col"].alias("col"), F.lit(rank).alias("rank")))
+    found = [some(c("data.own")), some(F.flatten(F.transform("near", lambda x: ranked(x["own"], 1)))), *[some(x) for x in spans and (c("spans"), F.flatten(F.transform("near", lambda x: x["spans"])))], c("around")]
     names = F.array(*[F.lit(n) for n in ("hit", "table", "scope", "header", "note")])
-    first = found.groupBy("hit_id", "table_id", "row", "col").agg(F.min("rank").alias("rank"))
+    first = rows.select("hit_id", "table_id", F.inline(F.concat(*found))).groupBy("hit_id", "table_id", "row", "col").agg(F.min("rank").alias("rank"))
     return first.select("hit_id", "table_id", "row", "col", F.element_at(names, F.col("rank") + 1).alias("relation"))

@@ -286,10 +286,11 @@ def expand_rows(spark, sf):
     """Every even row goes on from the subject of the row before it."""
     from attestra.operators import evidence as evd
 
-    k, row, rows = F.col("table_id"), F.col("row"), fx.cells(spark, sf)
+    row, rows = F.col("row"), fx.cells(spark, sf)
     follows = F.concat(F.lit("item "), (row - (row + 1) % 2).cast("string"), F.when(row % 2 == 0, " bis").otherwise(""))
     cells = rows.withColumn("text", F.when((row % 5 == 4) & (F.col("col") == 4), " ").when((row > 0) & (F.col("col") == 0), follows).otherwise(F.col("text")))
-    hits = rows.where(row == 1 + k % 3).select(k.alias("hit_id"), "table_id", "row")
+    order = F.col("l_orderkey")
+    hits = fx.items(spark, sf).where(row == 1 + order % 3).select(order.alias("hit_id"), order.alias("table_id"), "row")
     return evd.expand_rows(hits, cells)
 
 

@@ -41,10 +41,23 @@ def test_numeric_context_shuffles_line_items_only(spark):
     assert shuffles(spark, "v7_numeric_table_context") <= 5
 
 
-def test_closures_of_packs_write_nothing_and_shuffle_line_items_only(spark):
+def plan_of(spark, name):
+    """The plan of a query that writes no table."""
     shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     names = lambda: set(os.listdir(shared)) if os.path.isdir(shared) else set()
     before = names()
-    plan = book.QUERIES["v12_citation_closure"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert names() == before and "Join" not in plan
+    plan = book.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert names() == before
+    return plan
+
+
+def test_closures_of_packs_write_nothing_and_shuffle_line_items_only(spark):
+    plan = plan_of(spark, "v12_citation_closure")
+    assert "Join" not in plan
     assert set(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == {"l_orderkey"}
+
+
+def test_hits_on_rows_write_nothing_and_join_nothing(spark):
+    plan = plan_of(spark, "e3_expand_rows")
+    assert "Join" not in plan
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 3  # line items for cells and for hits, rows with their subjects

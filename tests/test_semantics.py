@@ -448,3 +448,14 @@ def test_a_closure_is_one_row_between_rounds(spark, monkeypatch):
     units = [(f"h{k}", "head") for k in range(8)] + [(f"n{k}", str(k)) for k in range(10)]
     got = closures(spark, units, [(f"n{k}", [f"h{j}" for j in range(8)], []) for k in range(10)])
     assert len(got) == 10 and sum(sizes) <= 40  # 90 ids in the ten closures
+
+
+def test_hits_reach_cells_that_span_into_their_rows(spark):
+    cells = [(1, 0, 0, "Part", 1), (1, 0, 1, "No", 1), (1, 1, 0, "Pipe", 1), (1, 1, 1, "1", 3), (1, 2, 0, "Pipe wide", 1)]
+    df = spark.createDataFrame(cells, "table_id int, row int, col int, text string, row_span int")
+    hits = spark.createDataFrame([("a", 1, 2), ("b", 1, 3), ("c", 1, 9), ("d", 2, 1), ("a", 1, 1)], "hit_id string, table_id int, row int")
+    got = {}
+    for r in evidence.expand_rows(hits, df).collect():
+        got.setdefault(r.hit_id, {})[r.row, r.col] = r.relation
+    head = {(0, 0): "header", (0, 1): "header"}
+    assert got == {"a": head | {(1, 0): "hit", (1, 1): "hit", (2, 0): "hit"}, "b": head | {(1, 1): "scope"}, "c": head}
